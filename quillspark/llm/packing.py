@@ -34,7 +34,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, drops_sp
 
         task, encoder, seen = TaskContext.get().partitionId(), None, np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            encoder = encoder or Encoder(tokenizer, drops_space)
+            encoder = encoder or Encoder.of(tokenizer, drops_space)
             doc_ids, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
             for i in range(0, len(texts), 256):
                 rows: list[tuple] = []

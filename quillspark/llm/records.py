@@ -145,7 +145,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, dro
         documents = ids = at = 0
         offsets, out = [], None
         for batch in batches:
-            encoder = encoder or Encoder(tokenizer, drops_space)
+            encoder = encoder or Encoder.of(tokenizer, drops_space)
             out = out or filesystem.open_output_stream(f"{new}.rec")
             doc_ids, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
             for i in range(0, len(texts), 128):
@@ -168,8 +168,8 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, dro
     return sorted(tuple(r) for r in dealt.mapInArrow(write, "part int, documents long, ids long").collect())  # one row a part
 
 
-def read_records(spark: SparkSession, folder: str, parts: list[tuple[int, int, int]]) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and ids of every record; each task streams one part."""
+def read_records(spark: SparkSession, folder: str, parts: list[tuple[int, int, int]], with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and, if asked for, ids of every record; each task streams one part."""
     prepare(spark)
     starts, total = [], 0
     for part, _, ids in parts:
@@ -196,13 +196,13 @@ def read_records(spark: SparkSession, folder: str, parts: list[tuple[int, int, i
                                 "start": pa.array(firsts[:-1], pa.int64()),
                                 "n_tokens": pa.array(counts, pa.int64()),
                                 "ids_crc32": pa.array([zlib.crc32(x.tobytes()) for _, x in found], pa.int64()),
-                                "ids": pa.array([x.astype(np.int32) for _, x in found], pa.list_(pa.int32())),
                             }
+                            | ({"ids": pa.array([x.astype(np.int32) for _, x in found], pa.list_(pa.int32()))} if with_ids else {})
                         )
                     if rest:
                         raise ValueError(f"part {part} ends inside a frame")
 
-    return listed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    return listed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def read_at(folder: str, part: int, which: list[int]) -> list[tuple[int | None, np.ndarray]]:

@@ -13,10 +13,32 @@ import numpy as np
 
 RARE = [*"\x1c\x1d\x1e\x1f\x85\xa0 ᠎    　﻿", *map(chr, range(0x2000, 0x200C))]
 RUN = re.compile(r"\s*\S+|\s+")
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[]_`{|}~"  # an apostrophe can start a pretoken with letters in it
+#: With these, a text's runs are found by RUN; without, they lie between single spaces and line ends.
+UNEVEN = ["  ", " \n", "\n ", "\n\n", "\t", "\r", "\v", "\f", "\0"]
+
+
+class Memo(dict):
+    """Of bounded size: the older half goes when it is full."""
+
+    def __init__(self, most: int):
+        self.most = most
+
+    def trim(self) -> None:
+        if len(self) > self.most:
+            for key in list(self)[: len(self) // 2]:
+                del self[key]
 
 
 class Encoder:
-    def __init__(self, path: str, drops_space: bool, cache: int = 400_000):
+    _own: dict[str, Encoder] = {}
+
+    @classmethod
+    def of(cls, path: str, drops_space: bool) -> Encoder:
+        """The worker's own: it outlives tasks, and so do the ids it knows."""
+        return cls._own.setdefault(path, None) or cls._own.update({path: cls(path, drops_space)}) or cls._own[path]
+
+    def __init__(self, path: str, drops_space: bool, runs: int = 500_000, letters: int = 700_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -24,20 +46,91 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.drops_space, self.cache, self.known = drops_space, cache, {}
+        self.drops_space, self.known, self.letters = drops_space, Memo(runs), Memo(letters)
+        vocabulary = self.tokenizer.get_vocab()
+        #: Ids that end a pretoken of letters, or with kept space, that start one with a space.
+        self.border = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.border[[v for k, v in vocabulary.items() if (k.endswith("</w>") if drops_space else k.startswith("\u0120"))]] = True
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for i in range(0, len(texts), 4096):
+            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
+        return out
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Words of letters only go to the library as one text; the ids that border pretokens tell them apart."""
+        out = []
+        for i in range(0, len(words), 4096):
+            own = words[i : i + 4096]
+            ids = np.array(self.tokenizer.encode((" " if self.drops_space else "").join(own), add_special_tokens=False).ids, "<u4")
+            border = np.flatnonzero(self.border[ids])
+            edges = [0, *(border + 1)] if self.drops_space else [*border, len(ids)]
+            if len(edges) != len(own) + 1 or edges[-1] != len(ids) or edges[0]:
+                out += self._each(own)
+            else:
+                ids = ids.tobytes()
+                out += [ids[4 * a : 4 * b] for a, b in zip(edges, edges[1:], strict=False)]
+        return out
+
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        """The ids of these runs; those whose letters came before are kept."""
+        letters, known = self.letters, self.known
+        known.trim()
+        letters.trim()
+        split, odd, new, signs, again = [], [], set(), set(), []
+        for run in missing:
+            word = run.rstrip(SIGNS)
+            if word.isalpha():
+                tail = run[len(word) :]
+                if tail and tail not in letters:
+                    signs.add(tail)
+                if self.drops_space:
+                    word = word.lower() if word.isascii() else word
+                else:
+                    word = f" {word}"
+                if word in letters:
+                    again.append(run)
+                else:
+                    new.add(word)
+                split.append((run, word, tail))
+            else:
+                odd.append(run)
+        new, signs = list(new), list(signs)
+        letters.update(zip(new, self._letters(new), strict=True))
+        letters.update(zip(signs, self._each(signs), strict=True))
+        letters[""] = b""
+        out = {run: letters[a] + letters[b] for run, a, b in split}
+        for run in again:
+            known[run] = out[run]
+        plain = odd if self.drops_space else [run[1:] if run[:1] == "\0" else run if run[:1] == "\n" else f" {run}" for run in odd]
+        out.update(zip(odd, self._each(plain), strict=True))
+        known.update((run, out[run]) for run in odd)
+        return out
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _runs(self, text: str) -> list[str]:
+        """Without their space, if space is kept; those that have none before them start with a line end or a zero."""
+        if self.drops_space:
+            return text.split()
+        if any(x in text for x in UNEVEN):
+            return [x[1:] if x[:1] == " " and x[1:2] not in ("", "\0", "\n") else f"\0{x}" for x in RUN.findall(text)]
+        return f"\0{text}".replace("\n", " \n").split(" ") if text else []
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = str.split if self.drops_space else RUN.findall
-        runs = [None if any(c in text for c in RARE[: 4 if text.isascii() else None]) else split(text) for text in texts]
-        if len(self.known) > self.cache:
-            self.known.clear()
-        known = self.known
-        missing = list({run for own in runs if own for run in own} - known.keys())
-        for i in range(0, len(missing), 4096):
-            known.update(zip(missing[i : i + 4096], self._library(missing[i : i + 4096]), strict=True))
-        whole = iter(self._library([text for text, own in zip(texts, runs, strict=True) if own is None]))
-        return [next(whole) if own is None else b"".join(map(known.__getitem__, own)) for own in runs]
+        flat, edges, whole = [], [0], []
+        for i, text in enumerate(texts):
+            if any(c in text for c in RARE[: 4 if text.isascii() else None]):
+                whole.append(i)
+            else:
+                flat += self._runs(text)
+            edges.append(len(flat))
+        ids = list(map(self.known.get, flat))
+        if lacking := [i for i, x in enumerate(ids) if x is None]:
+            found = self._learn({flat[i] for i in lacking})
+            for i in lacking:
+                ids[i] = found[flat[i]]
+        out = [b"".join(ids[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+        for i, x in zip(whole, self._each([texts[i] for i in whole]), strict=True):
+            out[i] = x
+        return out
