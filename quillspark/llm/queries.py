@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import packing, records, shards, warc
+from quillspark.llm import packing, quality, records, rules, shards, warc
 from quillspark.llm.common import work_dir
 
 
@@ -24,7 +24,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_dir(spark, "op1")
     parts = records.write_records(_read(spark, sf_dir, "documents"), folder, tokenizer("word_bpe_49k.json"), end_id=1)
-    return records.read_records(spark, folder, parts).drop("ids")
+    return records.read_records(spark, folder, parts, with_ids=False)
 
 
 def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,8 +43,17 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(found, work_dir(spark, "op6"), capacity=2048)
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), work_dir(spark, "op3"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return rules.judge(docs, rules.train(docs, _read(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_records, op2_warc_revisits, op5_hilbert_shards, op6_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_records, op2_warc_revisits, op5_hilbert_shards, op6_best_fit_packing, op3_quality_classifier, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
