@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import packing, quality, records, rules, shards, warc
+from quillspark.llm import chunks, packing, quality, records, rules, shards, suffixes, warc
 from quillspark.llm.common import work_dir
 
 
@@ -47,13 +47,21 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), work_dir(spark, "op3"))
 
 
+def op7_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicate(_read(spark, sf_dir, "documents"), work_dir(spark, "op7"))
+
+
+def op9_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.deduplicate(_read(spark, sf_dir, "documents"), work_dir(spark, "op9"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return rules.judge(docs, rules.train(docs, _read(spark, sf_dir, "labels")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_records, op2_warc_revisits, op5_hilbert_shards, op6_best_fit_packing, op3_quality_classifier, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_records, op2_warc_revisits, op5_hilbert_shards, op6_best_fit_packing, op3_quality_classifier, op7_suffix_family, op9_gear_chunks, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
