@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chunks, packing, quality, records, rules, shards, suffixes, warc
+from quillspark.llm import chunks, jaccard, packing, quality, records, rules, shards, suffixes, warc
 from quillspark.llm.common import work_dir
 
 
@@ -51,6 +51,10 @@ def op7_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicate(_read(spark, sf_dir, "documents"), work_dir(spark, "op7"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.component_table(_read(spark, sf_dir, "documents"), work_dir(spark, "op8"), words_each=3, percent=90)
+
+
 def op9_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.deduplicate(_read(spark, sf_dir, "documents"), work_dir(spark, "op9"))
 
@@ -61,7 +65,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_records, op2_warc_revisits, op5_hilbert_shards, op6_best_fit_packing, op3_quality_classifier, op7_suffix_family, op9_gear_chunks, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_records, op2_warc_revisits, op5_hilbert_shards, op6_best_fit_packing, op3_quality_classifier, op7_suffix_family, op8_ngram_jaccard, op9_gear_chunks, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
