@@ -155,3 +155,17 @@ def classify(docs: DataFrame, labels: DataFrame, folder: str) -> DataFrame:
     scored = features.mapInArrow(run, "doc_id long, score double")
     held = F.coalesce(F.expr("crc32(cast(doc_id as string)) % 3 = 1"), F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, folder: str) -> DataFrame:
+    """The rows of docs with a score of 0.5 or more, in one pass over docs after training."""
+    model = train(table(featurise(docs), f"{folder}/features"), labels, folder)
+
+    def run(batches):
+        for batch in batches:
+            for row, offsets, data in text_slices(batch, "text"):
+                good = model.score(statistics(data, offsets)) >= 0.5
+                yield batch.slice(row, len(good)).filter(pa.array(good))
+
+    prepare(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chunks, jaccard, packing, quality, records, rules, shards, suffixes, warc
+from quillspark.llm import chunks, decontam, jaccard, packing, quality, records, rules, shards, suffixes, warc
 from quillspark.llm.common import work_dir
 
 
@@ -33,6 +33,10 @@ def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, folder, parts).drop("payload", "url")
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), work_dir(spark, "op4"))
+
+
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.hilbert_shards(_read(spark, sf_dir, "documents"), ["lang", "source", "n_chars", "doc_id"], work_dir(spark, "op5"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -65,7 +69,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_records, op2_warc_revisits, op5_hilbert_shards, op6_best_fit_packing, op3_quality_classifier, op7_suffix_family, op8_ngram_jaccard, op9_gear_chunks, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_records, op2_warc_revisits, op3_quality_classifier, op4_benchmark_decontamination, op5_hilbert_shards, op6_best_fit_packing, op7_suffix_family, op8_ngram_jaccard, op9_gear_chunks, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

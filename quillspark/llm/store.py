@@ -18,17 +18,18 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import deal, prepare, text_slices
 
-SCHEMA = pa.schema([("doc_id", pa.int64()), ("text", pa.large_binary()), ("digest", pa.binary(16))])
+SCHEMA = pa.schema([("doc_id", pa.int64()), ("text", pa.large_binary()), ("digest", pa.binary(16)), ("rest", pa.string())])
 LAST = 2**63 - 1  # null doc_ids come after all others
 
 
 class TextStore:
-    def __init__(self, folder: str):
-        self.folder, self.files = folder, 0
+    def __init__(self, folder: str, rest: bool = False):
+        self.folder, self.files, self.rest = folder, 0, rest
 
     def append(self, docs: DataFrame) -> list[int]:
-        """Writes doc_id and text of docs; the numbers of their files, from the number of files so far."""
+        """Writes doc_id, text and, where docs has it, rest; the numbers of the files, from the number of files so far."""
         prepare(docs.sparkSession)
+        rest = F.col("rest").cast("string") if self.rest else F.lit(None).cast("string")
         folder, first = self.folder, self.files
 
         def write(batches):
@@ -45,14 +46,14 @@ class TextStore:
                     view, n = memoryview(data), len(offsets) - 1
                     digests = [hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(offsets, offsets[1:], strict=False)]
                     texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(np.ascontiguousarray(data))])
-                    out.write_batch(pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), texts, pa.array(digests, pa.binary(16))], schema=SCHEMA))
+                    out.write_batch(pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), texts, pa.array(digests, pa.binary(16)), batch.column(2).slice(row, n)], schema=SCHEMA))
             if out is not None:
                 out.close()
                 sink.close()
                 filesystem.move(new, f"{root}/text-{first + part:06d}")
                 yield pa.RecordBatch.from_pydict({"file": pa.array([first + part], pa.int32())})
 
-        got = sorted(r[0] for r in docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(write, "file int").collect())  # one row a file
+        got = sorted(r[0] for r in docs.select(F.col("doc_id").cast("long"), "text", rest.alias("rest")).mapInArrow(write, "file int").collect())  # one row a file
         self.files = max([self.files, *[x + 1 for x in got]])
         return got
 
@@ -69,6 +70,13 @@ class TextStore:
                 _, offsets, data = next(text_slices(batch, "text", 1 << 62))
                 yield ids.fill_null(LAST).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), offsets, data, batch.column(2).to_pylist()
 
+    def rests(self, file: int):
+        """The column rest of each batch."""
+        filesystem, root = fs.FileSystem.from_uri(self.folder)
+        with filesystem.open_input_stream(f"{root}/text-{file:06d}") as source:
+            for batch in pa.ipc.open_stream(source):
+                yield batch.column(3).to_pylist()
+
     def side(self, name: str, file: int) -> str:
         return f"{self.folder}/{name}-{file:06d}"
 

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.llm.common import Substrings, buckets, deal, mix, packed, remove
 from quillspark.llm.store import TextStore, by_bucket, dump, joined, load, parse, save
@@ -197,7 +198,7 @@ def rows_of(store: TextStore, match: int, file: int, found: list[list[np.ndarray
     bounds = np.searchsorted(number, np.arange(number[-1] + 2 if len(number) else 1))
     done: dict[bytes, tuple] = {}
     later: list[tuple] = []
-    for at, (ids, null, offsets, data, digests, original, best, *_) in enumerate(batches_of_texts(store, file)):
+    for at, ((ids, null, offsets, data, digests, original, best, *_), rest) in enumerate(zip(batches_of_texts(store, file), store.rests(file), strict=True)):
         a, b = (bounds[at], bounds[at + 1]) if at + 1 < len(bounds) else (0, 0)
         s, c, t, g = start[a:b], count[a:b], text[a:b], group[a:b]
         cover = np.zeros(len(data) + 1, np.int32)
@@ -223,21 +224,21 @@ def rows_of(store: TextStore, match: int, file: int, found: list[list[np.ndarray
             elif digests[i] in done:
                 values = done[digests[i]]
             else:
-                later.append((None if null[i] else int(ids[i]), digests[i]))
+                later.append((None if null[i] else int(ids[i]), digests[i], rest[i]))
                 continue
-            rows.append((None if null[i] else int(ids[i]), *values))
+            rows.append((None if null[i] else int(ids[i]), *values, rest[i]))
         yield result(rows, names)
-    yield result([(i, *done[d]) for i, d in later], names)
+    yield result([(i, *done[d], r) for i, d, r in later], names)
 
 
 class SuffixFamily:
     """Levels of suffix arrays over the documents added so far."""
 
-    def __init__(self, spark, folder: str, match: int = 50):
+    def __init__(self, spark, folder: str, match: int = 50, rest: bool = False):
         if not GRAM < match <= GRAM + 62:
             raise ValueError("a run's strings are told in 64 bits")
         self.spark, self.folder, self.match = spark, folder, match
-        self.store, self.n = TextStore(folder), buckets(spark)
+        self.store, self.n = TextStore(folder, rest), buckets(spark)
         self.levels: list[tuple[int, str]] = []  # batches in it, where
         self.written = 0
 
@@ -324,7 +325,7 @@ class SuffixFamily:
 
         answers = packed(hits, ship, compare, "bucket int, blob binary", n)
         answers = deal(answers.unionByName(store.listed(spark, files)), max(1, store.files))
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept", "rest"] * with_text
 
         def finish(batches):
             bits: dict[int, list[list[np.ndarray]]] = {}
@@ -335,7 +336,7 @@ class SuffixFamily:
                 yield from rows_of(store, match, file, found, names)
 
         self._insert(scan)
-        return answers.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+        return answers.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, rest string" * with_text)
 
     def _insert(self, where: str) -> None:
         """The new level; the last two merge while they hold as many batches."""
@@ -362,7 +363,7 @@ class SuffixFamily:
 
 
 def result(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+    types = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.string()]
     return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], types[j]) for j in range(len(names))], names)
 
 
@@ -399,8 +400,8 @@ def received(df: DataFrame, receive, schema: str, n: int) -> DataFrame:
 
 def deduplicate(docs: DataFrame, folder: str, match: int = 50, batches: int = 2, with_text: bool = False) -> DataFrame:
     """Adds docs to a new family in ranges of doc_id, so that every smaller doc_id is there before; the rows of all."""
-    family = SuffixFamily(docs.sparkSession, folder, match)
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    family = SuffixFamily(docs.sparkSession, folder, match, with_text)
+    docs = docs.select(F.col("doc_id").cast("long"), "text", *(["rest"] if with_text else []))
     steps = [k / batches for k in range(1, batches)]
     bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", steps, 10_000)).first()[0] or [])) if steps else []
     edges = [None, *bounds, None]
@@ -417,3 +418,25 @@ def deduplicate(docs: DataFrame, folder: str, match: int = 50, batches: int = 2,
             rows = docs.sparkSession.read.schema(rows.schema).parquet(f"{folder}/rows-{high}".replace("--", "-m"))
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def cut(docs: DataFrame, folder: str, match: int = 50, batches: int = 2) -> DataFrame:
+    """docs with the repeated bytes cut out of text, and n_chars, if there is one, counted anew; rows that lose their whole text go.
+
+    The bytes of a character that was cut in two go as well.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    kept = deduplicate(docs.select("doc_id", "text", F.to_json(F.struct(*others) if others else F.struct(F.lit(1))).alias("rest")), folder, match, batches, with_text=True)
+
+    def decode(batches):
+        for batch in batches:
+            i = batch.schema.get_field_index("kept")
+            texts = pa.array([None if x is None else x.decode(errors="ignore") for x in batch.column(i).to_pylist()], pa.string())
+            yield batch.set_column(i, "kept", texts)
+
+    schema = "doc_id long, n_bytes long, n_removed long, kept string, rest string"
+    rows = kept.select("doc_id", "n_bytes", "n_removed", "kept", "rest").mapInArrow(decode, schema).filter("n_removed < n_bytes or n_bytes = 0")
+    fields = T.StructType([docs.schema[c] for c in others])
+    rows = rows.withColumn("rest", F.from_json("rest", fields)) if others else rows
+    text = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return rows.select(*[text.get(c, F.col("rest").getField(c) if c in others else None).alias(c) for c in docs.columns])
