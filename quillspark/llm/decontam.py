@@ -36,7 +36,7 @@ def words(text: str) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), WORDS), "")
 
 
-SHINGLES = "transform(sequence(1, size({w}) - k + 1), i -> xxhash64(slice({w}, i, k)))"
+SHINGLES = "transform(sequence(1, greatest(size({w}) - k + 1, 1)), i -> xxhash64(slice({w}, i, k)))"
 SIMHASH = """aggregate(sequence(0, 63), 0L, (acc, b) -> acc | shiftleft(if(aggregate({s}, 0, (t, h) -> t + if((shiftright(h, b) & 1L) = 1L, 1, -1)) > 0, 1L, 0L), b))"""
 SHARED = "aggregate(array_distinct(own), 0, (t, h) -> t + least(size(filter(own, x -> x = h)), size(filter({s}, x -> x = h))))"
 
@@ -67,9 +67,13 @@ def regions(docs: DataFrame, known: DataFrame) -> DataFrame:
     return hits.filter("size(region) >= n").drop("dw", "anchor").withColumn("found", F.expr(SHINGLES.format(w="region"))).drop("region")
 
 
-def windows(found: DataFrame) -> DataFrame:
-    """Those whose shingles are the item's often enough, with place and shingles."""
-    flags = found.withColumn("flags", F.expr("transform(found, h -> if(array_contains(own, h), 1, 0))")).filter("aggregate(flags, 0, (t, x) -> t + x) >= need")
+def windows(found: DataFrame, folder: str) -> DataFrame:
+    """Those whose shingles are the item's often enough, with place and shingles.
+
+    What a lambda reads over and over is written first, or the optimizer would put its whole expression there.
+    """
+    flags = table(found, f"{folder}-found").withColumn("flags", F.expr("transform(found, h -> if(array_contains(own, h), 1, 0))")).drop("own")
+    flags = table(flags, f"{folder}-flags").filter("aggregate(flags, 0, (t, x) -> t + x) >= need")
     starts = F.expr("filter(sequence(0, size(flags) - m), s -> aggregate(slice(flags, s + 1, m), 0, (t, x) -> t + x) >= need)")
     each = flags.withColumn("starts", starts).drop("flags", "at").filter("size(starts) > 0").withColumn("s", F.explode("starts"))
     return each.select("doc_id", "item", "item_id", "n", "m", (F.col("low") + F.col("s")).alias("start"), F.expr("slice(found, s + 1, m)").alias("win")).distinct()
@@ -88,7 +92,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, folder: str, shingle: in
     for part in range(parts):
         rows = every.filter(F.pmod(F.col("item"), F.lit(parts)) == part) if parts > 1 else every
         known = table(anchors(rows), f"{folder}/anchors-{part}")
-        near = table(windows(regions(docs, known)), f"{folder}/windows-{part}").withColumn("print", F.expr(SIMHASH.format(s="win")))
+        near = table(windows(regions(docs, known), f"{folder}/near-{part}"), f"{folder}/windows-{part}").withColumn("print", F.expr(SIMHASH.format(s="win")))
         index = rows.select("item", "own", F.expr(SIMHASH.format(s="own")).alias("own_print")).dropDuplicates(["item"])
         index = F.broadcast(table(index.select("*", F.inline(blocks("own_print"))).withColumnRenamed("item", "of"), f"{folder}/index-{part}"))
         each = table(near, f"{folder}/prints-{part}").select("*", F.inline(blocks("print")))
