@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillspark.llm.common import Substrings, buckets, deal, packed
+from quillspark.llm.common import Substrings, arrow, buckets, deal, packed
 from quillspark.llm.store import TextStore, by_bucket, dump, joined, parse
 
 _rng = np.random.Generator(np.random.PCG64(20240611))
@@ -143,6 +143,6 @@ def deduplicate(docs: DataFrame, folder: str, least: int = 48, most: int = 256,
                     rows.append((None if null[i] else int(ids[i]), size, len(k), int((~k).sum()), size - len(kept), int((~k & np.append(True, k[:-1])).sum()) if len(k) else 0, hashlib.sha256(kept).hexdigest(), kept.decode()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], names)
 
-    return answers.mapInArrow(finish, ", ".join(f"{k} {'long' if t == pa.int64() else 'string'}" for k, t in zip(names, types, strict=True)))
+    return arrow(answers, finish, ", ".join(f"{k} {'long' if t == pa.int64() else 'string'}" for k, t in zip(names, types, strict=True)))
 
 

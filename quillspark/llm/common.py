@@ -8,7 +8,9 @@ to numbered partitions: each map task sends one row a bucket, so a hot key costs
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
+import sys
 import tempfile
 import uuid
 from pathlib import Path
@@ -24,8 +26,17 @@ ROWS_PER_BATCH = 1024
 SLICE_BYTES = 2 << 20
 
 
+_shipped: set[str] = set()
+
+
 def prepare(spark: SparkSession) -> None:
-    """Arrow batches of few rows: texts are long, and rows bound a batch's memory."""
+    """Arrow batches of few rows: texts are long, and rows bound a batch's memory. Workers get this package."""
+    if spark.sparkContext.applicationId not in _shipped:
+        _shipped.add(spark.sparkContext.applicationId)
+        root = Path(__file__).resolve().parents[1]
+        folder = tempfile.mkdtemp(prefix="quillspark-")
+        atexit.register(shutil.rmtree, folder, True)
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{root.name}", "zip", root.parent, root.name))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > ROWS_PER_BATCH:
         spark.conf.set(key, str(ROWS_PER_BATCH))
@@ -68,6 +79,28 @@ def table(df: DataFrame, uri: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
+def arrow(df: DataFrame, each, schema, keep: bool = False) -> DataFrame:
+    """mapInArrow that gives memory back when a task ends. Workers outlive tasks: keep: so do tokenizers and what they know."""
+
+    def own(batches):
+        trim(keep)
+        yield from each(batches)
+        trim(keep)
+
+    return df.mapInArrow(own, schema)
+
+
+def trim(keep: bool) -> None:
+    tokens = sys.modules.get("quillspark.llm.tokens")
+    if tokens and not keep:
+        tokens.Encoder._own.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:
+        pass  # a C library without it
+
+
 def buckets(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -188,7 +221,7 @@ def packed(df: DataFrame, send, receive, schema: str, n: int) -> DataFrame:
     def take(batches):
         yield from receive([x for batch in batches for x in batch.column(1).to_pylist()])
 
-    return deal(df.mapInArrow(out, "bucket int, blob binary"), n).mapInArrow(take, schema)
+    return arrow(deal(arrow(df, out, "bucket int, blob binary"), n), take, schema)
 
 
 def deal(df: DataFrame, n: int) -> DataFrame:

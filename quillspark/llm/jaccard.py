@@ -1,9 +1,11 @@
 """N-gram Jaccard self-join: documents whose sets of word shingles overlap by ``percent`` of their union or more.
 
 1. Blocking without loss. Sizes fall into bands. Two linked sets of at most U shingles differ in at most
-   d = 2 U (100 - percent) / (100 + percent) shingles, so if hash ranges cut the sets into d + 1 parts, one part at least
-   is equal in both. Documents whose parts' digests meet form families; nothing but digests is exchanged for that. A document emits
-   its parts for its own band and for those that a larger linked set may fall into.
+   d = 2 U (100 - percent) / (100 + percent) shingles, so if hash ranges cut the sets into m > d parts, m - d parts at least are
+   equal in both. Digests of parts of one shingle or none say little; they are left out where the set has fewer than m - d of them.
+   Sets of small bands emit as many of their first shingles as must hold a shared one instead. A document emits keys for its own
+   band and for those that a larger linked set may fall into. Keys that occur twice go back to their files, which send the bitmap of
+   each document to the buckets of its keys; where the bitmaps allow a link, documents join a family.
 2. Size-banded tiles. A family is sorted into bands of sizes 2 % wide and cut into tiles of bounded count; tiles are compared
    where their sizes allow a link, small families as one tile. Each tile holds hashed bitmaps: the bits in which two differ
    bound the difference from below, and so the overlap from above. Pairs that pass have their sorted arrays intersected,
@@ -22,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import LOWER, Substrings, buckets, deal, grams, mix, packed, table, words
+from quillspark.llm.common import LOWER, Substrings, arrow, buckets, deal, grams, mix, packed, table, words
 from quillspark.llm.graph import Forest, components
 from quillspark.llm.store import LAST, TextStore, by_bucket, dump, joined, load, parse, save
 
-RATIO, WORDS64, TILE = 1.5, 4, 4096
+RATIO, WORDS64, TILE, SMALL = 1.3, 4, 4096, 64
 SEED = np.uint64(0xA0761D6478BD642F)
 
 
@@ -59,26 +61,72 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarr
     return out
 
 
-def parts(own: np.ndarray, percent: int) -> np.ndarray:
-    """The digests by which a set meets all those that it can be linked with."""
-    n = len(own)
+def spaces(n: int, percent: int) -> range:
+    """The bands for which a set of n shingles emits keys."""
     low, high = np.searchsorted(BANDS, [n, n * 100 // percent], "right") - 1
+    return range(int(low), int(high) + 1)
+
+
+def parts(own: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]]:
+    """For each band, the keys by which a set meets all those that it can be linked with."""
+    n = len(own)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(mix(own ^ SEED), out=sums[1:])
     out = []
-    for band in range(low, high + 1):
-        d = 2 * (int(BANDS[band + 1]) - 1) * (100 - percent) // (100 + percent)
-        cut = np.searchsorted((own >> np.uint64(32)) * np.uint64(d + 1) >> np.uint64(32), np.arange(d + 2))
-        out.append(mix((sums[cut[1:]] - sums[cut[:-1]]) ^ mix(np.arange(d + 1, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(band))))
-    return np.concatenate(out)
+    for band in spaces(n, percent):
+        most = int(BANDS[band + 1]) - 1
+        if most <= SMALL:
+            out.append((band, mix(own[: n + (-n * percent // 100) + 1] ^ mix(np.array([band], np.uint64)))))
+            continue
+        d = 2 * most * (100 - percent) // (100 + percent)
+        m = d + d // 3 + 1
+        at = np.searchsorted((own >> np.uint64(32)) * np.uint64(m) >> np.uint64(32), np.arange(m + 1))
+        size = np.diff(at)
+        least = 2 if (size < 2).sum() < m - d else 1 if (size < 1).sum() < m - d else 0
+        which = np.flatnonzero(size >= least)
+        out.append((band, mix((sums[at[which + 1]] - sums[at[which]]) ^ mix(which.astype(np.uint64) * np.uint64(1 << 20) + np.uint64(band)))))
+    return out
 
 
-def bitmap(own: np.ndarray) -> np.ndarray:
-    bits = np.zeros(64 * WORDS64, np.uint8)
-    bits[(own % np.uint64(64 * WORDS64)).astype(np.int64)] = 1
+def width(band: int) -> int:
+    """64-bit words of the bitmaps that a band's sets are compared by."""
+    return int(min(64, max(4, 2 ** np.ceil(np.log2(int(BANDS[band + 1]) / 32)))))
+
+
+def bitmap(own: np.ndarray, words64: int = WORDS64) -> np.ndarray:
+    bits = np.zeros(64 * words64, np.uint8)
+    bits[(own % np.uint64(64 * words64)).astype(np.int64)] = 1
     return np.packbits(bits).view(np.uint64)
 
 
+def may_link(size_a: np.ndarray, size_b: np.ndarray, differ: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes that differ in so many shingles at least can overlap enough."""
+    total = size_a + size_b
+    return (100 + percent) * (total - differ) >= 2 * percent * total
+
+
+def meetings(key: np.ndarray, row: np.ndarray, size: np.ndarray, maps: np.ndarray, percent: int, forest: Forest) -> None:
+    """Joins in the forest rows with a common key whose bitmaps allow a link, a key at a time."""
+    order = np.lexsort((size[row], key))
+    bounds = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+    for a, b in zip(bounds.tolist(), [*bounds[1:].tolist(), len(order)], strict=True):
+        if b - a < 2:
+            continue
+        own = np.unique(row[order[a:b]])
+        own = own[np.argsort(size[own], kind="stable")]
+        roots = {forest.find(x) for x in own.tolist()}
+        if len(roots) < 2:
+            continue
+        s, m = size[own], maps[own]
+        for j in range(1, len(own)):
+            i = int(np.searchsorted(s, -(-s[j] * percent // 100)))
+            if i >= j:
+                continue
+            differ = np.bitwise_count(m[i:j] ^ m[j]).sum(1, dtype=np.int64)
+            for x in (np.flatnonzero(may_link(s[i:j], s[j], differ, percent)) + i).tolist():
+                forest.join(int(own[x]), int(own[j]))
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """By sorted-array intersection."""
     both = np.concatenate([a, b])
@@ -100,8 +148,7 @@ def tile_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[t
         if i >= j:
             continue
         differ = np.bitwise_count(m[i:j] ^ m[j]).sum(1, dtype=np.int64)
-        total = s[i:j] + s[j]
-        pass_ = (100 + percent) * (total - differ) >= 2 * percent * total
+        pass_ = may_link(s[i:j], s[j], differ, percent)
         if two:
             pass_ &= which[i:j] != which[j]
         near = np.flatnonzero(pass_)
@@ -128,7 +175,7 @@ def component_table(docs: DataFrame, folder: str, words_each: int = 3, percent:
                         digest = own.tobytes() if len(own) < 3 else np.array([own.sum(), mix(own ^ SEED).sum(), len(own)], np.uint64).tobytes()
                         entry = known.setdefault(digest, len(known)) if len(own) else -1
                         if len(own) and entry == len(known) - 1 and (not owners or owners[-1][0] < entry):
-                            found = parts(own, percent)
+                            found = np.concatenate([x for _, x in parts(own, percent)])
                             keys.append(found)
                             owners.append((entry, len(found)))
                         ids.append(doc)
@@ -141,28 +188,77 @@ def component_table(docs: DataFrame, folder: str, words_each: int = 3, percent:
                     for bucket, own in by_bucket((key % np.uint64(n)).astype(np.int64), n, [key, owner]):
                         yield bucket, dump([*own, np.array([file], np.int32)])
 
-    def meet(blobs):
-        """Edges between the documents of this bucket whose parts meet: one forest of the bucket."""
-        key, node = [], []
+    def twice(blobs):
+        """The keys of this bucket that occur in two documents, back to their files."""
+        key, owner, file = [], [], []
         for blob in blobs:
-            k, owner, file = parse(blob)
+            k, o, f = parse(blob)
             key.append(k)
-            node.append((file.astype(np.int64) << 32) + owner)
+            owner.append(o)
+            file.append(np.repeat(f, len(k)))
         if not key:
             return
-        key, node = np.concatenate(key), np.concatenate(node)
+        key, owner, file = np.concatenate(key), np.concatenate(owner), np.concatenate(file)
         order = np.argsort(key, kind="stable")
-        same = np.flatnonzero(key[order][1:] == key[order][:-1])
-        a, b = node[order][same], node[order][same + 1]
-        names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        forest = Forest(len(names))
-        for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True):
-            forest.join(x, y)
-        root = np.array([forest.find(x) for x in range(len(names))], np.int64)
-        own = np.flatnonzero(root != np.arange(len(names)))
-        yield pa.RecordBatch.from_arrays([pa.array(names[own]), pa.array(names[root[own]])], ["a", "b"])
-
-    met = table(packed(store.listed(spark, files), send, meet, "a long, b long", n), f"{folder}/met")
+        same = key[order][1:] == key[order][:-1]
+        hit = order[np.append(same, False) | np.append(False, same)]
+        rows = [(k, dump([o, x])) for k, (o, x) in by_bucket(file[hit], store.files, [owner[hit], key[hit]])]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "blob"])
+
+    def signatures(batches):
+        """Bitmaps of the documents with such keys, one to each bucket and band of theirs, with the keys."""
+        found: dict[int, list[list[np.ndarray]]] = {}
+        for batch in batches:
+            for file, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found.setdefault(file, []).append(parse(blob))
+        for file, blobs in found.items():
+            owner, key = (np.concatenate(x) for x in zip(*blobs, strict=True))
+            order = np.lexsort((key, owner))
+            owner, key = owner[order].astype(np.int64), key[order]
+            out: dict[tuple[int, int], list[tuple]] = {}
+            held = 0
+            for entry, own in entries_of(store, file, np.unique(owner), words_each):
+                a, b = np.searchsorted(owner, [entry, entry + 1])
+                hit = key[a:b]
+                for band, keys in parts(own, percent):
+                    mine = np.intersect1d(keys, hit)
+                    if not len(mine):
+                        continue
+                    bits = bitmap(own, width(band))
+                    to = (mine % np.uint64(n)).astype(np.int64)
+                    for bucket in np.unique(to).tolist():
+                        out.setdefault((bucket, band), []).append(((file << 32) + entry, len(own), bits, mine[to == bucket]))
+                        held += len(bits)
+                if held > 1 << 20:
+                    yield from signed(out)
+                    out, held = {}, 0
+            yield from signed(out)
+
+    def signed(out):
+        for (bucket, band), rows in out.items():
+            counts = np.array([len(r[3]) for r in rows], np.int64)
+            yield bucket, dump([np.array([band], np.int32), np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), counts, np.concatenate([r[3] for r in rows]), np.concatenate([r[2] for r in rows])])
+
+    def meet(blobs):
+        """One forest of the documents of this bucket that may be linked."""
+        by_band: dict[int, list[list[np.ndarray]]] = {}
+        for blob in blobs:
+            band, *rest = parse(blob)
+            by_band.setdefault(int(band[0]), []).append(rest)
+        a, b = [], []
+        for band, found in by_band.items():
+            node, size, counts, key, maps = (np.concatenate(x) for x in zip(*found, strict=True))
+            forest = Forest(len(node))
+            meetings(key, np.repeat(np.arange(len(node)), counts), size, maps.reshape(len(node), -1), percent, forest)
+            root = np.array([forest.find(x) for x in range(len(node))], np.int64)
+            own = np.flatnonzero(root != np.arange(len(node)))
+            a.append(node[own])
+            b.append(node[root[own]])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    hits = packed(store.listed(spark, files), send, twice, "bucket int, blob binary", n)
+    met = table(packed(deal(hits, max(1, store.files)), signatures, meet, "a long, b long", n), f"{folder}/met")
     families = table(components(met, f"{folder}/families"), f"{folder}/family")
     members = spark_members(store, files, spark)
     members = table(members, f"{folder}/members")
@@ -193,24 +289,12 @@ def component_table(docs: DataFrame, folder: str, words_each: int = 3, percent:
             entry, task, side = np.concatenate(found, 1)
             order = np.argsort(entry, kind="stable")
             entry, task, side = entry[order], task[order], side[order]
-            _, of, _ = load(store.side("members", file))
-            first = np.full(int(of.max()) + 1 if len(of) else 0, -1, np.int64)
-            rows = np.flatnonzero(of >= 0)[::-1]
-            first[of[rows]] = rows
-            need = np.zeros(len(of), bool)
-            need[first[np.unique(entry)]] = True
-            at, out, sent = 0, {}, 0
-            for ids, _, offsets, data, _ in store.read(file):
-                own = np.flatnonzero(need[at : at + len(ids)])
-                for i in own.tolist():
-                    x = data[offsets[i] : offsets[i + 1]]
-                    got = shingle_sets(x, np.array([0, len(x)]), words_each)[0]
-                    e = int(of[at + i])
-                    a, b = np.searchsorted(entry, [e, e + 1])
-                    for t, s in zip(task[a:b].tolist(), side[a:b].tolist(), strict=True):
-                        out.setdefault(t % n, []).append((t, s, (file << 32) + e, got))
-                        sent += len(got)
-                at += len(ids)
+            out, sent = {}, 0
+            for e, got in entries_of(store, file, np.unique(entry), words_each):
+                a, b = np.searchsorted(entry, [e, e + 1])
+                for t, s in zip(task[a:b].tolist(), side[a:b].tolist(), strict=True):
+                    out.setdefault(t % n, []).append((t, s, (file << 32) + e, got))
+                    sent += len(got)
                 if sent > 1 << 20:
                     yield from flush(out)
                     out, sent = {}, 0
@@ -234,8 +318,8 @@ def component_table(docs: DataFrame, folder: str, words_each: int = 3, percent:
                 x, y = np.array(edges).T
                 yield pa.RecordBatch.from_arrays([pa.array(node[rows[x]]), pa.array(node[rows[y]])], ["a", "b"])
 
-    sent = deal(wanted, max(1, store.files)).mapInArrow(lambda batches: rows_of(ship(batches)), "bucket int, blob binary")
-    links = table(deal(sent, n).mapInArrow(lambda batches: compare([x for b in batches for x in b.column(1).to_pylist()]), "a long, b long"), f"{folder}/links")
+    sent = arrow(deal(wanted, max(1, store.files)), lambda batches: rows_of(ship(batches)), "bucket int, blob binary")
+    links = table(arrow(deal(sent, n), lambda batches: compare([x for b in batches for x in b.column(1).to_pylist()]), "a long, b long"), f"{folder}/links")
     labels = components(links, f"{folder}/components")
     rows = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rows = table(rows.select("doc_id", "n_shingles", F.when(F.col("entry") >= 0, F.col("label")).alias("label")), f"{folder}/labelled")
@@ -243,6 +327,22 @@ def component_table(docs: DataFrame, folder: str, words_each: int = 3, percent:
     return rows.join(least, "label", "left").select("doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def entries_of(store: TextStore, file: int, wanted: np.ndarray, words_each: int):
+    """The sets of these entries of a file."""
+    _, of, _ = load(store.side("members", file))
+    first = np.full(int(of.max()) + 1 if len(of) else 0, -1, np.int64)
+    rows = np.flatnonzero(of >= 0)[::-1]
+    first[of[rows]] = rows
+    need = np.zeros(len(of), bool)
+    need[first[wanted]] = True
+    at = 0
+    for ids, _, offsets, data, _ in store.read(file):
+        for i in np.flatnonzero(need[at : at + len(ids)]).tolist():
+            x = data[offsets[i] : offsets[i + 1]]
+            yield int(of[at + i]), shingle_sets(x, np.array([0, len(x)]), words_each)[0]
+        at += len(ids)
+
+
 def rows_of(found):
     for bucket, blob in found:
         yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
@@ -257,7 +357,7 @@ def spark_members(store: TextStore, files: list[int], spark) -> DataFrame:
                 ids, entry, size = load(store.side("members", file))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=ids == LAST), pa.array((file << 32) + entry), pa.array(entry), pa.array(size)], ["doc_id", "node", "entry", "n_shingles"])
 
-    return store.listed(spark, files).mapInArrow(read, "doc_id long, node long, entry long, n_shingles long")
+    return arrow(store.listed(spark, files), read, "doc_id long, node long, entry long, n_shingles long")
 
 
 def one_of_each(docs: DataFrame, folder: str, words_each: int = 5, percent: int = 80) -> DataFrame:

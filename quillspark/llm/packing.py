@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import prepare, table
+from quillspark.llm.common import arrow, prepare, table
 from quillspark.llm.tokens import Encoder
 
 
@@ -51,7 +51,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, drops_sp
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "seq"] + ["ids"] * keep_ids
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()] + [pa.list_(pa.int32())] * keep_ids
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, seq long" + ", ids array<int>" * keep_ids
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, schema)
+    return arrow(docs.select(F.col("doc_id").cast("long"), "text"), encode, schema, keep=True)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
@@ -130,4 +130,4 @@ def pack(found: DataFrame, folder: str, capacity: int) -> DataFrame:
                 sequence[rows], offset[rows] = slot[:, 2] + past // slot[:, 1], slot[:, 3] + past % slot[:, 1] * length
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sequence), pa.array(offset)], [*batch.schema.names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, fields).drop("rank")
+    return arrow(ranked, place, fields).drop("rank")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import per_text, prepare, table, text_slices
+from quillspark.llm.common import arrow, per_text, prepare, table, text_slices
 from quillspark.llm.textstats import DIGIT, LOWER, UPPER, count, of_text, repeats
 
 FEATURES, SEED, BINS = 256, 11, 2000
@@ -60,7 +60,7 @@ def featurise(docs: DataFrame) -> DataFrame:
                 x = statistics(data, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(x)), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * WIDTH), pa.array(x.ravel()))], ["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, x array<double>")
+    return arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, x array<double>")
 
 
 class Model:
@@ -121,7 +121,7 @@ def train(features: DataFrame, labels: DataFrame, folder: str, ridge: float = 1e
         values = np.concatenate([a[upper], b])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], ["cell", "value"])
 
-    summed = rows.filter("fold = 0").select("x", "y").mapInArrow(equations, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()  # cells of the equations
+    summed = arrow(rows.filter("fold = 0").select("x", "y"), equations, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()  # cells of the equations
     values = np.zeros(len(upper[0]) + size)
     values[[r[0] for r in summed]] = [r[1] for r in summed]
     a = np.zeros((size, size))
@@ -134,7 +134,7 @@ def train(features: DataFrame, labels: DataFrame, folder: str, ridge: float = 1e
             place = np.clip((model.raw(matrix(batch)) + 0.5) / 2 * BINS, 0, BINS - 1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(place), batch.column(1)], ["bin", "y"])
 
-    found = sorted(map(tuple, rows.filter("fold = 2").select("x", "y").mapInArrow(bins, "bin int, y int").groupBy("bin").agg(F.sum("y"), F.count("*")).collect()))  # BINS rows at most
+    found = sorted(map(tuple, arrow(rows.filter("fold = 2").select("x", "y"), bins, "bin int, y int").groupBy("bin").agg(F.sum("y"), F.count("*")).collect()))  # BINS rows at most
     if found:
         at, ones, n = (np.array(x, float) for x in zip(*found, strict=True))
         model.x, model.y = pool((at + 0.5) / BINS * 2 - 0.5, ones, n)
@@ -152,7 +152,7 @@ def classify(docs: DataFrame, labels: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(matrix(batch)))], ["doc_id", "score"])
 
-    scored = features.mapInArrow(run, "doc_id long, score double")
+    scored = arrow(features, run, "doc_id long, score double")
     held = F.coalesce(F.expr("crc32(cast(doc_id as string)) % 3 = 1"), F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -168,4 +168,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, folder: str) -> DataFrame:
                 yield batch.slice(row, len(good)).filter(pa.array(good))
 
     prepare(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return arrow(docs, run, docs.schema)

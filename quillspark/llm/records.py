@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import buckets, prepare
+from quillspark.llm.common import arrow, buckets, prepare
 from quillspark.llm.tokens import Encoder
 
 BLOCK = 64
@@ -165,7 +165,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, dro
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.crc32(F.coalesce("text", F.lit(""))).alias("crc"))
     dealt = rows.repartitionByRange(buckets(docs.sparkSession), "doc_id", "crc").sortWithinPartitions("doc_id", "crc").select("doc_id", "text")
-    return sorted(tuple(r) for r in dealt.mapInArrow(write, "part int, documents long, ids long").collect())  # one row a part
+    return sorted(tuple(r) for r in arrow(dealt, write, "part int, documents long, ids long", keep=True).collect())  # one row a part
 
 
 def read_records(spark: SparkSession, folder: str, parts: list[tuple[int, int, int]], with_ids: bool = True) -> DataFrame:
@@ -202,7 +202,7 @@ def read_records(spark: SparkSession, folder: str, parts: list[tuple[int, int, i
                     if rest:
                         raise ValueError(f"part {part} ends inside a frame")
 
-    return listed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return arrow(listed, read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def read_at(folder: str, part: int, which: list[int]) -> list[tuple[int | None, np.ndarray]]:

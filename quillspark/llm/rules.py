@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import grams, per_text, prepare, text_slices
+from quillspark.llm.common import arrow, grams, per_text, prepare, text_slices
 from quillspark.llm.textstats import Counts, count
 
 BITS = 16
@@ -116,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 1500) -> Model | Non
                 yield pa.RecordBatch.from_arrays([pa.array(quality[row : row + n], pa.int32()), pa.array([x == 2 for x in fold[row : row + n]]), pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], ["quality", "held", "cells", "shares"])
 
     own = docs.select(F.col("doc_id").cast("long"), "text").join(chosen, "doc_id").select("text", "quality", "fold")
-    rows = own.mapInArrow(featurise, "quality int, held boolean, cells binary, shares binary").collect()  # as many as the sample
+    rows = arrow(own, featurise, "quality int, held boolean, cells binary, shares binary").collect()  # as many as the sample
     rows = sorted((r.quality, r.held, bytes(r.cells), bytes(r.shares)) for r in rows)
     if len({r[0] for r in rows if not r[1]}) < 2:
         return None
@@ -141,4 +141,4 @@ def judge(docs: DataFrame, model: Model | None, least_words: int = 10, most_repe
                 kept = ~failed if p is None else ~failed & (p >= threshold)
                 yield pa.RecordBatch.from_arrays([ids.slice(row, n), *[pa.array(getattr(c, k).astype(np.int64)) for k in names], pa.array(failed), pa.nulls(n, pa.float64()) if p is None else pa.array(p), pa.array(kept)], ["doc_id", *names, "base_failed", "score", "kept"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, f"doc_id long, {', '.join(f'{k} long' for k in names)}, base_failed boolean, score double, kept boolean")
+    return arrow(docs.select(F.col("doc_id").cast("long"), "text"), score, f"doc_id long, {', '.join(f'{k} long' for k in names)}, base_failed boolean, score double, kept boolean")

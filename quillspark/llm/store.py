@@ -16,7 +16,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import deal, prepare, text_slices
+from quillspark.llm.common import arrow, deal, prepare, text_slices
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("text", pa.large_binary()), ("digest", pa.binary(16)), ("rest", pa.string())])
 LAST = 2**63 - 1  # null doc_ids come after all others
@@ -53,7 +53,7 @@ class TextStore:
                 filesystem.move(new, f"{root}/text-{first + part:06d}")
                 yield pa.RecordBatch.from_pydict({"file": pa.array([first + part], pa.int32())})
 
-        got = sorted(r[0] for r in docs.select(F.col("doc_id").cast("long"), "text", rest.alias("rest")).mapInArrow(write, "file int").collect())  # one row a file
+        got = sorted(r[0] for r in arrow(docs.select(F.col("doc_id").cast("long"), "text", rest.alias("rest")), write, "file int").collect())  # one row a file
         self.files = max([self.files, *[x + 1 for x in got]])
         return got
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import Substrings, buckets, deal, mix, packed, remove
+from quillspark.llm.common import Substrings, arrow, buckets, deal, mix, packed, remove
 from quillspark.llm.store import TextStore, by_bucket, dump, joined, load, parse, save
 
 GRAM, PREFIX, PLACE = 16, 12, np.uint64(28)
@@ -218,9 +218,9 @@ def rows_of(store: TextStore, match: int, file: int, found: list[list[np.ndarray
                 flags = gone[x:y]
                 kept = data[x:y][~flags].tobytes()
                 spans = int((flags[1:] & ~flags[:-1]).sum() + flags[0]) if len(flags) else 0
-                done[digests[i]] = (int(y - x), int(y - x) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept)
+                done[digests[i]] = (int(y - x), int(y - x) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore"))
             if ids[i] > best[i] and y - x >= match:
-                values = (int(y - x), int(y - x), 1, hashlib.sha256(b"").hexdigest(), b"")
+                values = (int(y - x), int(y - x), 1, hashlib.sha256(b"").hexdigest(), "")
             elif digests[i] in done:
                 values = done[digests[i]]
             else:
@@ -336,7 +336,7 @@ class SuffixFamily:
                 yield from rows_of(store, match, file, found, names)
 
         self._insert(scan)
-        return answers.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, rest string" * with_text)
+        return arrow(answers, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string, rest string" * with_text)
 
     def _insert(self, where: str) -> None:
         """The new level; the last two merge while they hold as many batches."""
@@ -363,7 +363,7 @@ class SuffixFamily:
 
 
 def result(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    types = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.string()]
+    types = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.string()]
     return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], types[j]) for j in range(len(names))], names)
 
 
@@ -388,14 +388,14 @@ def packed_rows(df: DataFrame, send) -> DataFrame:
         for bucket, blob in send(batches):
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
 
-    return df.mapInArrow(out, "bucket int, blob binary")
+    return arrow(df, out, "bucket int, blob binary")
 
 
 def received(df: DataFrame, receive, schema: str, n: int) -> DataFrame:
     def take(batches):
         yield from receive([x for batch in batches for x in batch.column(1).to_pylist()])
 
-    return deal(df, n).mapInArrow(take, schema)
+    return arrow(deal(df, n), take, schema)
 
 
 def deduplicate(docs: DataFrame, folder: str, match: int = 50, batches: int = 2, with_text: bool = False) -> DataFrame:
@@ -428,14 +428,7 @@ def cut(docs: DataFrame, folder: str, match: int = 50, batches: int = 2) -> Data
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     kept = deduplicate(docs.select("doc_id", "text", F.to_json(F.struct(*others) if others else F.struct(F.lit(1))).alias("rest")), folder, match, batches, with_text=True)
 
-    def decode(batches):
-        for batch in batches:
-            i = batch.schema.get_field_index("kept")
-            texts = pa.array([None if x is None else x.decode(errors="ignore") for x in batch.column(i).to_pylist()], pa.string())
-            yield batch.set_column(i, "kept", texts)
-
-    schema = "doc_id long, n_bytes long, n_removed long, kept string, rest string"
-    rows = kept.select("doc_id", "n_bytes", "n_removed", "kept", "rest").mapInArrow(decode, schema).filter("n_removed < n_bytes or n_bytes = 0")
+    rows = kept.filter("n_removed < n_bytes or n_bytes = 0")
     fields = T.StructType([docs.schema[c] for c in others])
     rows = rows.withColumn("rest", F.from_json("rest", fields)) if others else rows
     text = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")}

@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import prepare, table
+from quillspark.llm.common import arrow, prepare, table
 
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -109,7 +109,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 1000) -> list[int
             filesystem.move(new, f"{root}/archive-{part:06d}.warc.gz")
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32())})
 
-    return sorted(r[0] for r in resolve(pages, folder, least).mapInArrow(write, "part int").collect())  # one row an archive
+    return sorted(r[0] for r in arrow(resolve(pages, folder, least), write, "part int").collect())  # one row an archive
 
 
 def read_archives(spark: SparkSession, folder: str, parts: list[int]) -> DataFrame:
@@ -136,4 +136,4 @@ def read_archives(spark: SparkSession, folder: str, parts: list[int]) -> DataFra
                             found = []
                     yield rows(found)
 
-    return listed.mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return arrow(listed, read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
