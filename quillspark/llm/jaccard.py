@@ -4,8 +4,9 @@
    d = 2 U (100 - percent) / (100 + percent) shingles, so if hash ranges cut the sets into m > d parts, m - d parts at least are
    equal in both. Digests of parts of one shingle or none say little; they are left out where the set has fewer than m - d of them.
    Sets of small bands emit as many of their first shingles as must hold a shared one instead. A document emits keys for its own
-   band and for those that a larger linked set may fall into. Keys that occur twice go back to their files, which send the bitmap of
-   each document to the buckets of its keys; where the bitmaps allow a link, documents join a family.
+   band and for those that a larger linked set may fall into. Documents with a common key are a group, and
+   keys with the same documents are one group, so near copies meet once, not once a key. Files send the bitmap of each document to its
+   groups; where the bitmaps allow a link, documents join a family.
 2. Size-banded tiles. A family is sorted into bands of sizes 2 % wide and cut into tiles of bounded count; tiles are compared
    where their sizes allow a link, small families as one tile. Each tile holds hashed bitmaps: the bits in which two differ
    bound the difference from below, and so the overlap from above. Pairs that pass have their sorted arrays intersected,
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import LOWER, Substrings, arrow, buckets, deal, grams, mix, packed, table, words
+from quillspark.llm.common import LOWER, Substrings, arrow, buckets, deal, grams, mix, packed, remove, table, words
 from quillspark.llm.graph import Forest, components
 from quillspark.llm.store import LAST, TextStore, by_bucket, dump, joined, load, parse, save
 
@@ -162,22 +163,23 @@ def tile_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[t
 
 def component_table(docs: DataFrame, folder: str, words_each: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    spark, store = docs.sparkSession, TextStore(folder)
+    spark, store = docs.sparkSession, TextStore(f"{folder}/texts")
     files, n = store.append(docs), buckets(docs.sparkSession)
 
     def send(batches):
         for batch in batches:
             for file in batch.column(0).to_pylist():
                 known: dict[bytes, int] = {}
-                ids, entries, sizes, keys, owners = [], [], [], [], []
+                ids, entries, sizes, keys, band, owners = [], [], [], [], [], []
                 for doc_ids, _, offsets, data, _ in store.read(file):
                     for doc, own in zip(doc_ids, shingle_sets(data, offsets, words_each), strict=True):
                         digest = own.tobytes() if len(own) < 3 else np.array([own.sum(), mix(own ^ SEED).sum(), len(own)], np.uint64).tobytes()
                         entry = known.setdefault(digest, len(known)) if len(own) else -1
                         if len(own) and entry == len(known) - 1 and (not owners or owners[-1][0] < entry):
-                            found = np.concatenate([x for _, x in parts(own, percent)])
-                            keys.append(found)
-                            owners.append((entry, len(found)))
+                            found = parts(own, percent)
+                            keys += [x for _, x in found]
+                            band += [np.full(len(x), b, np.uint8) for b, x in found]
+                            owners.append((entry, sum(len(x) for _, x in found)))
                         ids.append(doc)
                         entries.append(entry)
                         sizes.append(len(own))
@@ -185,49 +187,53 @@ def component_table(docs: DataFrame, folder: str, words_each: int = 3, percent:
                 if keys:
                     key = np.concatenate(keys)
                     owner = np.repeat(np.array([e for e, _ in owners], np.uint32), [c for _, c in owners])
-                    for bucket, own in by_bucket((key % np.uint64(n)).astype(np.int64), n, [key, owner]):
+                    for bucket, own in by_bucket((key % np.uint64(n)).astype(np.int64), n, [key, owner, np.concatenate(band)]):
                         yield bucket, dump([*own, np.array([file], np.int32)])
 
     def twice(blobs):
-        """The keys of this bucket that occur in two documents, back to their files."""
-        key, owner, file = [], [], []
+        """For each document the groups that it meets in this bucket: a group is all that have some key, and often many keys have one group."""
+        key, owner, band, file = [], [], [], []
         for blob in blobs:
-            k, o, f = parse(blob)
-            key.append(k)
-            owner.append(o)
-            file.append(np.repeat(f, len(k)))
+            k, o, b, f = parse(blob)
+            for to, x in zip((key, owner, band, file), (k, o, b, np.repeat(f, len(k))), strict=True):
+                to.append(x)
         if not key:
             return
-        key, owner, file = np.concatenate(key), np.concatenate(owner), np.concatenate(file)
+        key, owner, band, file = (np.concatenate(x) for x in (key, owner, band, file))
         order = np.argsort(key, kind="stable")
-        same = key[order][1:] == key[order][:-1]
-        hit = order[np.append(same, False) | np.append(False, same)]
-        rows = [(k, dump([o, x])) for k, (o, x) in by_bucket(file[hit], store.files, [owner[hit], key[hit]])]
+        heads = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+        sizes = np.diff(np.append(heads, len(order)))
+        node = mix(mix((file[order].astype(np.uint64) << np.uint64(32)) + owner[order]) + band[order])
+        group = np.repeat(mix(np.add.reduceat(node, heads) + sizes.astype(np.uint64)), sizes)
+        keep = np.repeat(sizes > 1, sizes)
+        hit, group = order[keep], group[keep]
+        once = np.lexsort((group, owner[hit], file[hit]))
+        f, o, g = file[hit][once], owner[hit][once], group[once]
+        new = np.append(True, (f[1:] != f[:-1]) | (o[1:] != o[:-1]) | (g[1:] != g[:-1])) if len(once) else np.empty(0, bool)
+        hit, group = hit[once][new], g[new]
+        rows = [(k, dump(own)) for k, own in by_bucket(file[hit], store.files, [owner[hit], group, band[hit]])]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "blob"])
 
     def signatures(batches):
-        """Bitmaps of the documents with such keys, one to each bucket and band of theirs, with the keys."""
+        """Bitmaps of the documents with such groups, one to each bucket and band of theirs, with the groups."""
         found: dict[int, list[list[np.ndarray]]] = {}
         for batch in batches:
             for file, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found.setdefault(file, []).append(parse(blob))
         for file, blobs in found.items():
-            owner, key = (np.concatenate(x) for x in zip(*blobs, strict=True))
-            order = np.lexsort((key, owner))
-            owner, key = owner[order].astype(np.int64), key[order]
+            owner, group, band = (np.concatenate(x) for x in zip(*blobs, strict=True))
+            order = np.lexsort((group, band, owner))
+            owner, group, band = owner[order].astype(np.int64), group[order], band[order]
             out: dict[tuple[int, int], list[tuple]] = {}
             held = 0
             for entry, own in entries_of(store, file, np.unique(owner), words_each):
                 a, b = np.searchsorted(owner, [entry, entry + 1])
-                hit = key[a:b]
-                for band, keys in parts(own, percent):
-                    mine = np.intersect1d(keys, hit)
-                    if not len(mine):
-                        continue
-                    bits = bitmap(own, width(band))
+                for k in np.unique(band[a:b]).tolist():
+                    mine = np.unique(group[a:b][band[a:b] == k])
+                    bits = bitmap(own, width(k))
                     to = (mine % np.uint64(n)).astype(np.int64)
                     for bucket in np.unique(to).tolist():
-                        out.setdefault((bucket, band), []).append(((file << 32) + entry, len(own), bits, mine[to == bucket]))
+                        out.setdefault((bucket, k), []).append(((file << 32) + entry, len(own), bits, mine[to == bucket]))
                         held += len(bits)
                 if held > 1 << 20:
                     yield from signed(out)
@@ -324,6 +330,7 @@ def component_table(docs: DataFrame, folder: str, words_each: int = 3, percent:
     rows = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rows = table(rows.select("doc_id", "n_shingles", F.when(F.col("entry") >= 0, F.col("label")).alias("label")), f"{folder}/labelled")
     least = table(rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id")), f"{folder}/least")
+    remove(store.folder)
     return rows.join(least, "label", "left").select("doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

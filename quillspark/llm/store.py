@@ -25,6 +25,8 @@ LAST = 2**63 - 1  # null doc_ids come after all others
 class TextStore:
     def __init__(self, folder: str, rest: bool = False):
         self.folder, self.files, self.rest = folder, 0, rest
+        filesystem, path = fs.FileSystem.from_uri(folder)
+        filesystem.create_dir(path, recursive=True)
 
     def append(self, docs: DataFrame) -> list[int]:
         """Writes doc_id, text and, where docs has it, rest; the numbers of the files, from the number of files so far."""
