@@ -104,7 +104,7 @@ SQL = {
     "x6_notebook_md5": "SELECT notebook_uuid, md5(listagg(concat('page_', page_number, ':', text), '|') WITHIN GROUP (ORDER BY page_number)) AS h FROM d_page GROUP BY notebook_uuid",
     "x7_metadata_md5": "SELECT notebook_uuid, md5(concat('path:', coalesce(full_path, ''), '|opened:', coalesce(CAST(last_opened_ms AS VARCHAR(20)), ''))) AS h FROM d_notebook",
     "x9_page_sha": "SELECT page_uuid, sha256(text) AS h FROM d_page",
-    "x11_changelog_sha": "SELECT id, sha256(concat_ws('|', concat('table:', source_table), concat('op:', operation), concat('hash:', hash_after))) AS h FROM d_log",
+    "x11_changelog_sha": "SELECT id, sha256(concat_ws('|', concat('table:', source_table), concat('op:', operation), CASE WHEN hash_after IS NOT NULL THEN concat('hash:', hash_after) END)) AS h FROM d_log",
     "x13_full_text_md5": "SELECT notebook_uuid, md5(listagg(text, '') WITHIN GROUP (ORDER BY page_number)) AS h FROM d_page GROUP BY notebook_uuid",
     # what needs to be synced
     "c1_notebooks": f"WITH latest AS ({LATEST}) SELECT p.notebook_uuid, sum(CASE WHEN l.item_id IS NULL THEN 1 ELSE 0 END) AS new_pages, sum(CASE WHEN l.content_hash <> sha256(p.text) THEN 1 ELSE 0 END) AS changed_pages, max(CASE WHEN l.item_id IS NULL OR l.content_hash <> sha256(p.text) THEN 1 ELSE 0 END) AS needs_sync FROM d_page p LEFT JOIN latest l ON l.item_id = p.page_uuid AND l.target = 'notion' GROUP BY p.notebook_uuid",
