@@ -54,10 +54,20 @@ def hilbert(cells: list[Column], bits: int) -> Column:
     high = F.array(*[F.lit(1 << b).cast("long") for b in range(bits - 1, 0, -1)]) if bits > 1 else F.array().cast("array<long>")
     x = F.aggregate(high, x, turned)
     x = F.aggregate(F.sequence(F.lit(1), F.lit(n - 1)), x, lambda s, i: F.transform(s, lambda v, k: F.when(k == i, v.bitwiseXOR(F.get(s, i - 1))).otherwise(v))) if n > 1 else x
-    last = F.get(x, F.lit(n - 1))
-    t = reduce(lambda a, b: a.bitwiseXOR(F.when(last.bitwiseAND(F.lit(1 << b)) != 0, F.lit((1 << b) - 1).cast("long")).otherwise(F.lit(0).cast("long"))), range(bits - 1, 0, -1), F.lit(0).cast("long"))
-    x = F.transform(x, lambda v: v.bitwiseXOR(t))
-    return F.aggregate(F.array(*[F.lit(b) for b in range(bits - 1, -1, -1)]), F.lit(0).cast("long"), lambda acc, b: F.aggregate(x, acc, lambda a, v: F.shiftleft(a, 1).bitwiseOR(F.call_function("shiftright", v, b).bitwiseAND(F.lit(1)))))
+
+    def turn(x: Column) -> Column:
+        last = F.get(x, F.lit(n - 1))
+        return reduce(lambda a, b: a.bitwiseXOR(F.when(last.bitwiseAND(F.lit(1 << b)) != 0, F.lit((1 << b) - 1).cast("long")).otherwise(F.lit(0).cast("long"))), range(bits - 1, 0, -1), F.lit(0).cast("long"))
+
+    def interleaved(y: Column) -> Column:
+        return F.aggregate(F.array(*[F.lit(b) for b in range(bits - 1, -1, -1)]), F.lit(0).cast("long"), lambda acc, b: F.aggregate(y, acc, lambda a, v: F.shiftleft(a, 1).bitwiseOR(F.call_function("shiftright", v, b).bitwiseAND(F.lit(1)))))
+
+    return once(x, lambda x: once(turn(x), lambda t: once(F.transform(x, lambda v: v.bitwiseXOR(t)), interleaved)))
+
+
+def once(value: Column, body) -> Column:
+    """body(value), with value evaluated once however often body names it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
 def hilbert_shards(docs: DataFrame, dimensions: list[str], folder: str, shards: int = 16, bits: int = 5) -> DataFrame:
@@ -69,7 +79,7 @@ def hilbert_shards(docs: DataFrame, dimensions: list[str], folder: str, shards:
     names = [f"at_{i}" for i in range(len(dimensions))]
     bounds = keys.agg(*[F.percentile_approx(c, steps, 10_000).alias(c) for c in names]).first()  # 2^bits - 1 longs a dimension
     cells = [cell(c, sorted(set(bounds[c] or []))) for c in names]
-    keys = keys.select("doc_id", "size", "text_crc32", hilbert(cells, bits).alias("curve"))
+    keys = table(keys.select("doc_id", "size", "text_crc32", hilbert(cells, bits).alias("curve")), f"{folder}/curve")
     order = ["curve", "text_crc32", "doc_id", "size"]
     ranked = keys.repartitionByRange(buckets(spark), *order).sortWithinPartitions(*order).withColumn("row", F.monotonically_increasing_id())
     ranked = table(ranked.withColumn("part", F.shiftright("row", 33).cast("int")), f"{folder}/ranked")
