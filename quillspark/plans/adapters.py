@@ -60,10 +60,12 @@ def to_spark(sql: str) -> str:
             at += 1
         sql = f"{sql[: m.start()]}sha2({sql[m.end() : at - 1]}, 256){sql[at:]}"
     sql = re.sub(r"VARCHAR\(\d+\)", "STRING", sql).replace(", 'g')", ")")
+    sql = re.sub(r"<(\d)>", r"$\1", sql)  # groups in replacements
     return sql.replace("\\", "\\\\")  # Spark's string literals have escapes
 
 
 def to_duckdb(sql: str) -> str:
+    sql = re.sub(r"<(\d)>", r"\\\1", sql)
     return re.sub(r"listagg\((.*?)\) WITHIN GROUP \(ORDER BY ([^)]*)\)", r"string_agg(\1 ORDER BY \2)", sql, flags=re.S)
 
 

@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspark.plans import changes, notes, relational
 from quillspark.plans.adapters import run, to_duckdb, with_domain
-from quillspark.plans.relational import SQL
+
+SQL = relational.SQL | changes.SQL
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: lambda spark, sf_dir, sql=with_domain(v): run(spark, sf_dir, sql) for k, v in SQL.items()}
+    return {k: lambda spark, sf_dir, sql=with_domain(v): run(spark, sf_dir, sql) for k, v in SQL.items()} | notes.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: to_duckdb(with_domain(v)) for k, v in SQL.items()}
+    return {k: to_duckdb(with_domain(v)) for k, v in (SQL | notes.ORACLE).items()}

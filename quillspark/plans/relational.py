@@ -151,6 +151,5 @@ SQL = {
     "f21_note": "SELECT id, concat_ws(' | ', concat('Page ', page_number), CASE WHEN confidence < 0.5 THEN 'Low confidence' END, CASE WHEN corrected_text IS NOT NULL THEN 'Corrected' END) AS note FROM d_highlight",
     "f23_reasons": f"WITH latest AS ({LATEST}) SELECT p.page_uuid, CASE WHEN r = '' THEN 'no_changes' ELSE r END AS reasons FROM (SELECT p.page_uuid, concat_ws(', ', CASE WHEN l.content_hash <> sha256(p.text) THEN 'content_changed' END, CASE WHEN p.updated_ms > l.synced_ms THEN 'accessed_since_sync' END) AS r FROM d_page p JOIN latest l ON l.item_id = p.page_uuid) p",
     "t4_export": "SELECT completed, count(*) AS n, min(text) AS first_text FROM d_todo GROUP BY completed",
-    "m1_exact_containment": "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON substr(b.text, 1, 12) = substr(d.text, 1, 12) AND d.text LIKE concat(b.text, '%')",
     "n6_natural_key": "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY notebook_uuid, page_number, text, actual_date ORDER BY id) AS rn FROM d_todo) t WHERE rn > 1",
 }
