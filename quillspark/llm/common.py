@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import shutil
 import sys
 import tempfile
@@ -79,6 +80,12 @@ def table(df: DataFrame, uri: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
+def release(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of plans that nothing holds any more; it learns of that when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def arrow(df: DataFrame, each, schema, keep: bool = False) -> DataFrame:
     """mapInArrow that gives memory back when a task ends. Workers outlive tasks: keep: so do tokenizers and what they know."""
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import LOWER, Substrings, arrow, buckets, deal, grams, mix, packed, remove, table, words
+from quillspark.llm.common import LOWER, Substrings, arrow, buckets, deal, grams, mix, packed, release, remove, table, words
 from quillspark.llm.graph import Forest, components
 from quillspark.llm.store import LAST, TextStore, by_bucket, dump, joined, load, parse, save
 
@@ -265,6 +265,8 @@ def component_table(docs: DataFrame, folder: str, words_each: int = 3, percent:
 
     hits = packed(store.listed(spark, files), send, twice, "bucket int, blob binary", n)
     met = table(packed(deal(hits, max(1, store.files)), signatures, meet, "a long, b long", n), f"{folder}/met")
+    del hits
+    release(spark)
     families = table(components(met, f"{folder}/families"), f"{folder}/family")
     members = spark_members(store, files, spark)
     members = table(members, f"{folder}/members")
@@ -330,7 +332,10 @@ def component_table(docs: DataFrame, folder: str, words_each: int = 3, percent:
     rows = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rows = table(rows.select("doc_id", "n_shingles", F.when(F.col("entry") >= 0, F.col("label")).alias("label")), f"{folder}/labelled")
     least = table(rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id")), f"{folder}/least")
-    remove(store.folder)
+    for name in ("texts", "met", "families", "family", "members", "placed", "totals", "whole", "tiles", "large", "links", "components"):
+        remove(f"{folder}/{name}")
+    del sent
+    release(spark)
     return rows.join(least, "label", "left").select("doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
@@ -375,5 +380,8 @@ def one_of_each(docs: DataFrame, folder: str, words_each: int = 5, percent: int
     found = component_table(docs, folder, words_each, percent)
     keep = found.filter("n_shingles = 0 or doc_id <=> component_id").groupBy("doc_id").agg(F.max(F.col("n_shingles") > 0).alias("shingled"))
     keep = table(keep, f"{folder}/keep")
+    del found
+    for name in ("labelled", "least"):
+        remove(f"{folder}/{name}")
     kept = docs.join(keep.select(F.col("doc_id").alias("_kept")), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
     return kept

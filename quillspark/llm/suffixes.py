@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import Substrings, arrow, buckets, deal, mix, packed, remove
+from quillspark.llm.common import Substrings, arrow, buckets, deal, mix, packed, release, remove, table
 from quillspark.llm.store import TextStore, by_bucket, dump, joined, load, parse, save
 
 GRAM, PREFIX, PLACE = 16, 12, np.uint64(28)
@@ -288,9 +288,11 @@ class SuffixFamily:
         schema = "level boolean, bucket int, blob binary"
         fresh = packed_rows(store.listed(spark, files), tagged)
         old = [spark.read.schema(schema).parquet(where).filter("level").select("bucket", F.concat(F.lit(b"o"), "blob").alias("blob")) for _, where in self.levels]
-        for x in old:
-            fresh = fresh.unionByName(x)
+        while old:
+            fresh = fresh.unionByName(old.pop())
         received(fresh, merge, schema, n).write.option("compression", "none").parquet(scan)
+        del fresh, old
+        release(spark)
         hits = spark.read.schema(schema).parquet(scan).filter("not level").select("bucket", "blob")
         hits = deal(hits.unionByName(store.listed(spark, files)), max(1, store.files))
         fresh_files = set(files)
@@ -399,24 +401,26 @@ def received(df: DataFrame, receive, schema: str, n: int) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, folder: str, match: int = 50, batches: int = 2, with_text: bool = False) -> DataFrame:
-    """Adds docs to a new family in ranges of doc_id, so that every smaller doc_id is there before; the rows of all."""
-    family = SuffixFamily(docs.sparkSession, folder, match, with_text)
+    """Adds docs to a new family in ranges of doc_id, so that every smaller doc_id is there before; the rows of all.
+
+    The rows are written; texts and levels go once they are.
+    """
+    spark, family = docs.sparkSession, SuffixFamily(docs.sparkSession, f"{folder}/family", match, with_text)
     docs = docs.select(F.col("doc_id").cast("long"), "text", *(["rest"] if with_text else []))
     steps = [k / batches for k in range(1, batches)]
     bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", steps, 10_000)).first()[0] or [])) if steps else []
     edges = [None, *bounds, None]
     out = None
-    for low, high in zip(edges, edges[1:], strict=False):
+    for number, (low, high) in enumerate(zip(edges, edges[1:], strict=False)):
         keep = F.lit(True)
         if low is not None:
             keep = keep & ((F.col("doc_id") > low) | F.col("doc_id").isNull())
         if high is not None:
             keep = keep & (F.col("doc_id") <= high)
-        rows = family.add(docs.filter(keep), with_text)
-        if high is not None:  # the levels that later batches add don't concern this one's rows
-            rows.write.parquet(f"{folder}/rows-{high}".replace("--", "-m"))
-            rows = docs.sparkSession.read.schema(rows.schema).parquet(f"{folder}/rows-{high}".replace("--", "-m"))
+        rows = table(family.add(docs.filter(keep), with_text), f"{folder}/rows-{number}")  # levels that later batches add don't concern them
+        release(spark)
         out = rows if out is None else out.unionByName(rows)
+    remove(f"{folder}/family")
     return out
 
 
