@@ -20,6 +20,8 @@ An empty table gives no rows. Shingles are 64-bit hashes.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -163,6 +165,13 @@ def tile_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[t
 
 def component_table(docs: DataFrame, folder: str, words_each: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
+    rows = labelled(docs, folder, words_each, percent)
+    least = table(rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id")), f"{folder}/least")
+    return rows.join(least, "label", "left").select("doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def labelled(docs: DataFrame, folder: str, words_each: int, percent: int, digests: bool = False) -> DataFrame:
+    """doc_id, n_shingles and label of every row: rows of a component have one label, rows without shingles null. digests: and md5 of the text."""
     spark, store = docs.sparkSession, TextStore(f"{folder}/texts")
     files, n = store.append(docs), buckets(docs.sparkSession)
 
@@ -170,8 +179,10 @@ def component_table(docs: DataFrame, folder: str, words_each: int = 3, percent:
         for batch in batches:
             for file in batch.column(0).to_pylist():
                 known: dict[bytes, int] = {}
-                ids, entries, sizes, keys, band, owners = [], [], [], [], [], []
+                ids, entries, sizes, keys, band, owners, md5 = [], [], [], [], [], [], []
                 for doc_ids, _, offsets, data, _ in store.read(file):
+                    if digests:
+                        md5 += [hashlib.md5(memoryview(data)[a:b]).digest() for a, b in zip(offsets, offsets[1:], strict=False)]
                     for doc, own in zip(doc_ids, shingle_sets(data, offsets, words_each), strict=True):
                         digest = own.tobytes() if len(own) < 3 else np.array([own.sum(), mix(own ^ SEED).sum(), len(own)], np.uint64).tobytes()
                         entry = known.setdefault(digest, len(known)) if len(own) else -1
@@ -183,7 +194,7 @@ def component_table(docs: DataFrame, folder: str, words_each: int = 3, percent:
                         ids.append(doc)
                         entries.append(entry)
                         sizes.append(len(own))
-                save(store.side("members", file), [np.array(ids, np.int64), np.array(entries, np.int64), np.array(sizes, np.int64)])
+                save(store.side("members", file), [np.array(ids, np.int64), np.array(entries, np.int64), np.array(sizes, np.int64), np.frombuffer(b"".join(md5), np.uint8)])
                 if keys:
                     key = np.concatenate(keys)
                     owner = np.repeat(np.array([e for e, _ in owners], np.uint32), [c for _, c in owners])
@@ -268,7 +279,7 @@ def component_table(docs: DataFrame, folder: str, words_each: int = 3, percent:
     del hits
     release(spark)
     families = table(components(met, f"{folder}/families"), f"{folder}/family")
-    members = spark_members(store, files, spark)
+    members = spark_members(store, files, spark, digests)
     members = table(members, f"{folder}/members")
     entries = members.filter("entry >= 0").groupBy("node").agg(F.first("n_shingles").alias("size"))
     placed = families.join(entries, "node").select("node", F.col("label").alias("family"), "size", F.floor(F.log("size") / F.log(F.lit(1.02))).cast("int").alias("band"))
@@ -330,18 +341,17 @@ def component_table(docs: DataFrame, folder: str, words_each: int = 3, percent:
     links = table(arrow(deal(sent, n), lambda batches: compare([x for b in batches for x in b.column(1).to_pylist()]), "a long, b long"), f"{folder}/links")
     labels = components(links, f"{folder}/components")
     rows = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rows = table(rows.select("doc_id", "n_shingles", F.when(F.col("entry") >= 0, F.col("label")).alias("label")), f"{folder}/labelled")
-    least = table(rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id")), f"{folder}/least")
+    rows = table(rows.select("doc_id", "n_shingles", F.when(F.col("entry") >= 0, F.col("label")).alias("label"), *["md5"] * digests), f"{folder}/labelled")
     for name in ("texts", "met", "families", "family", "members", "placed", "totals", "whole", "tiles", "large", "links", "components"):
         remove(f"{folder}/{name}")
     del sent
     release(spark)
-    return rows.join(least, "label", "left").select("doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return rows
 
 
 def entries_of(store: TextStore, file: int, wanted: np.ndarray, words_each: int):
     """The sets of these entries of a file."""
-    _, of, _ = load(store.side("members", file))
+    _, of, *_ = load(store.side("members", file))
     first = np.full(int(of.max()) + 1 if len(of) else 0, -1, np.int64)
     rows = np.flatnonzero(of >= 0)[::-1]
     first[of[rows]] = rows
@@ -360,28 +370,36 @@ def rows_of(found):
         yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
 
 
-def spark_members(store: TextStore, files: list[int], spark) -> DataFrame:
-    """doc_id, node, entry (-1: no shingles), n_shingles of every row, in order of place."""
+def spark_members(store: TextStore, files: list[int], spark, digests: bool) -> DataFrame:
+    """doc_id, node, entry (-1: no shingles), n_shingles and, with digests, md5 of every row, in order of place."""
+    md5 = ["md5"] * digests
 
     def read(batches):
         for batch in batches:
             for file in batch.column(0).to_pylist():
-                ids, entry, size = load(store.side("members", file))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=ids == LAST), pa.array((file << 32) + entry), pa.array(entry), pa.array(size)], ["doc_id", "node", "entry", "n_shingles"])
+                ids, entry, size, digest = load(store.side("members", file))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=ids == LAST), pa.array((file << 32) + entry), pa.array(entry), pa.array(size), *[pa.Array.from_buffers(pa.binary(16), len(ids), [None, pa.py_buffer(digest)]).cast(pa.binary()) for _ in md5]], ["doc_id", "node", "entry", "n_shingles", *md5])
 
-    return arrow(store.listed(spark, files), read, "doc_id long, node long, entry long, n_shingles long")
+    return arrow(store.listed(spark, files), read, "doc_id long, node long, entry long, n_shingles long" + ", md5 binary" * digests)
 
 
 def one_of_each(docs: DataFrame, folder: str, words_each: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that are the first of their component: smallest doc_id, one row of it. Rows without shingles stay.
+    """One row of each component: smallest doc_id, nulls last, of these the smallest md5 of the text. Rows without shingles stay.
 
-    Null doc_ids stay only in components of such rows, one each.
+    Rows are told apart by doc_id and text; of rows that have both in common, one stays, whatever their other columns are.
     """
-    found = component_table(docs, folder, words_each, percent)
-    keep = found.filter("n_shingles = 0 or doc_id <=> component_id").groupBy("doc_id").agg(F.max(F.col("n_shingles") > 0).alias("shingled"))
-    keep = table(keep, f"{folder}/keep")
-    del found
-    for name in ("labelled", "least"):
+    rows, key = labelled(docs, folder, words_each, percent, digests=True), ["doc_id", "md5"]
+    found = rows.filter("label is not null").groupBy("label", *key).agg(F.count("*").alias("n")).withColumn("key", F.struct(F.col("doc_id").isNull().alias("last"), *key))
+    found = table(found, f"{folder}/keys")
+    first = table(found.groupBy("label").agg(F.min("key").alias("first"), F.sum("n").alias("all")).filter("all > 1"), f"{folder}/first")
+    found = table(found.join(first, "label").filter("key <> first or n > 1").select(F.col("doc_id").alias("_id"), F.col("md5").alias("_md5"), (F.col("key") == F.col("first")).alias("_stays")), f"{folder}/found")
+    for name in ("labelled", "keys", "first"):
         remove(f"{folder}/{name}")
-    kept = docs.join(keep.select(F.col("doc_id").alias("_kept")), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return kept
+    own, md5 = F.col("doc_id").cast("long"), F.unhex(F.md5(F.col("text").cast("binary")))
+    same = own.eqNullSafe(F.col("_id")) & (md5 == F.col("_md5"))
+    kept = docs.join(found, same, "left_anti")
+    repeated = found.filter("_stays")
+    if repeated.isEmpty():
+        return kept
+    one = docs.join(repeated, same, "left_semi").withColumn("_md5", md5).dropDuplicates(["doc_id", "_md5"]).drop("_md5")
+    return kept.unionByName(one)

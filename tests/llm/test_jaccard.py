@@ -10,7 +10,7 @@ import pytest
 from quillspark.llm import graph, jaccard
 from quillspark.llm.common import work_dir
 
-from .helpers import awkward, documents, empty, prose
+from .helpers import DOCS, awkward, documents, empty, prose
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -95,3 +95,16 @@ def test_one_of_each(spark):
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     assert dict(map(tuple, graph.components(edges, work_dir(spark, "g")).collect())) == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+
+
+def test_one_row_of_each_component(spark):
+    a, b, c, d = prose(1, 300), prose(7, 200), prose(9, 150), prose(11, 90)
+    near = a.replace("a", "b", 2)
+    rows = [(1, a), (1, a), (1, near), (2, near), (None, a), (3, b), (3, b), (4, a), (4, c), (None, d), (None, d), (None, "  "), (None, None), (5, ""), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", f"src{k}", None, 7, 7, 7) for k, (i, t) in enumerate(rows)], DOCS).repartition(3)
+    got = jaccard.one_of_each(docs, work_dir(spark, "t8"))
+    kept = Counter((r.doc_id, r.text) for r in got.collect())
+    of_a = {k: v for k, v in kept.items() if k[1] in (a, near)}
+    assert list(of_a.values()) == [1] and {k[0] for k in of_a} == {1}
+    assert {k: v for k, v in kept.items() if k not in of_a} == {(3, b): 1, (4, c): 1, (None, d): 1, (None, "  "): 1, (None, None): 1, (5, ""): 2}
+    assert got.columns == docs.columns
