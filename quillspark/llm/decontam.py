@@ -61,7 +61,7 @@ def anchors(rows: DataFrame) -> DataFrame:
 def regions(docs: DataFrame, known: DataFrame) -> DataFrame:
     """For each place of an anchor: the shingles of the words about it, and the place of the first of them."""
     names = [r[0] for r in known.select("anchor").distinct().collect()]  # some words each of ITEMS items
-    hits = docs.select(F.col("doc_id").cast("long"), words("text").alias("dw")).withColumn("hits", F.array_compact(F.transform("dw", lambda x, i: F.when(x.isin(names), i))))
+    hits = docs.select("doc_id", words("text").alias("dw")).withColumn("hits", F.array_compact(F.transform("dw", lambda x, i: F.when(x.isin(names), i))))
     hits = hits.filter("size(hits) > 0").select("doc_id", "dw", F.explode("hits").alias("at")).withColumn("anchor", F.expr("dw[at]"))
     hits = hits.join(F.broadcast(known), "anchor").withColumn("low", F.expr("greatest(at - n + 1, 0)")).withColumn("region", F.expr("slice(dw, low + 1, at + n - low)"))
     return hits.filter("size(region) >= n").drop("dw", "anchor").withColumn("found", F.expr(SHINGLES.format(w="region"))).drop("region")
@@ -85,6 +85,11 @@ def blocks(fingerprint: str) -> Column:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, folder: str, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, item_id, start_word, n_words and similarity of the most similar window, for each pair that has one."""
+    return matches(docs.select(F.col("doc_id").cast("long"), "text"), benchmark, folder, shingle, percent)
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, folder: str, shingle: int, percent: int) -> DataFrame:
+    """The same for a doc_id of any type."""
     every = table(items(benchmark, shingle, percent), f"{folder}/items")
     count = every.count()
     parts = max(1, -(-count // ITEMS))
@@ -106,6 +111,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, folder: str, shingle: in
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, folder: str, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose doc_id has no contaminated window; null doc_ids are judged together."""
-    found = table(contaminated(docs, benchmark, folder, shingle, percent).select(F.col("doc_id").alias("_found")).distinct(), f"{folder}/found")
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_found")), "left_anti")
+    """The rows of docs whose text has no contaminated window. Rows are judged by their texts, so null and repeated doc_ids each stay or go."""
+    key = F.md5(F.col("text").cast("binary"))
+    found = table(matches(docs.select(key.alias("doc_id"), "text"), benchmark, folder, shingle, percent).select(F.col("doc_id").alias("_found")).distinct(), f"{folder}/found")
+    return docs.join(found, key == F.col("_found"), "left_anti")

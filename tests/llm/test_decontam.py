@@ -91,3 +91,12 @@ def test_plan_has_no_python(spark, sf):
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     plan = decontam.contaminated(docs, items, work_dir(spark, "t4"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    item, other = prose(1, 40), prose(2, 60)
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, item), (None, other), (None, None), (7, f"{other} {item}"), (7, other), (7, other), (8, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = decontam.clean(docs, items, work_dir(spark, "t4"))
+    assert Counter(map(tuple, kept.collect())) == {(None, other): 1, (None, None): 1, (7, other): 2}
