@@ -1,12 +1,14 @@
 """Benchmark decontamination with DataFrame and SQL functions only.
 
-A window is a run of as many words as an item has; it is contaminated if the weighted Jaccard similarity of its word shingles to the
+A window is a run of as many words as an item has, or the whole document where that has fewer words; it is contaminated if the weighted Jaccard similarity of its word shingles to the
 item's (weights: how often each occurs) is ``percent`` or more. Of windows, only those that can be are looked at:
 
-1. An item of m shingles and a window so similar share at least c = ceil(2 m percent / (100 + percent)) of them. A word that a window
+1. An item of m shingles and a window of v so similar share at least c = ceil((m + v) percent / (100 + percent)) of them; v is m, or
+   in a shorter document m percent / 100 at least. A word that a window
    lacks costs it every shingle over that word; so of a few long words of the item, spread such that lacking them all would cost more
    than m - c shingles, one must be in the window. These anchors are looked up in the words of every whole document; a hit brings the
    words about it, from which follow the windows that share enough shingles by count. Nothing that is similar enough is lost here.
+   Shorter documents can lack more shingles and are looked up by more anchors; they go to step 3 at once.
 2. Those windows get 64-bit SimHash fingerprints. Fingerprints and items meet by blocks: of RADIUS + 1 blocks, one at least is equal in
    any two fingerprints that differ in RADIUS bits or fewer. Two sets at the threshold differ in 10 of 64 bits on average; RADIUS
    leaves almost five standard deviations.
@@ -42,41 +44,49 @@ SHARED = "aggregate(array_distinct(own), 0, (t, h) -> t + least(size(filter(own,
 
 
 def items(benchmark: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """item_id, w, n words, k words a shingle, m shingles (own), need of them, q anchors."""
+    """item_id, w, n words, k words a shingle, m shingles (own), need of them, and how few a whole document shorter than the item may share."""
     rows = benchmark.select(F.col("item_id").cast("long"), words("text").alias("w")).distinct().filter("size(w) > 0")
     rows = rows.select("*", F.expr("size(w)").alias("n"), F.expr(f"least(size(w), {shingle})").alias("k"))
-    rows = rows.withColumn("m", F.expr("n - k + 1")).withColumn("need", F.expr(f"int(ceil(2 * m * {percent} / {100 + percent}))")).withColumn("q", F.expr("(m - need) div k + 1"))
+    rows = rows.withColumn("m", F.expr("n - k + 1")).withColumn("need", F.expr(f"int(ceil(2 * m * {percent} / {100 + percent}))")).withColumn("fewest", F.expr(f"int(ceil(m * {percent} / 100))"))
     return rows.withColumn("own", F.expr(SHINGLES.format(w="w"))).withColumn("item", F.xxhash64("item_id", "w"))
 
 
 def anchors(rows: DataFrame) -> DataFrame:
+    """Anchors for windows of the item's size, and (short) for documents that have fewer words."""
+    return placed(rows, "need").withColumn("short", F.lit(False)).unionByName(placed(rows.filter("fewest < m"), "fewest").withColumn("short", F.lit(True)))
+
+
+def placed(rows: DataFrame, least: str) -> DataFrame:
     """Long words of each item, one in each of q stretches, k places apart and covered by k shingles where any may be lacking."""
+    rows = rows.withColumn("least", F.col(least)).withColumn("q", F.expr("(m - least) div k + 1"))
     each = rows.select("*", F.posexplode("w").alias("p", "anchor")).withColumn("part", F.expr("int(p * q div n)"))
     low, high = "int(ceil(part * n / q)) + k div 2", "int(ceil((part + 1) * n / q)) - 1 - k div 2"
-    inner = each.filter(f"need = m or p between greatest(k - 1, {low}) and least(n - k, {high})")
+    inner = each.filter(f"least = m or m < k and p between n - k and k - 1 or p between greatest(k - 1, {low}) and least(n - k, {high})")
     best = F.max_by("anchor", F.struct(F.length("anchor"), F.col("p")))
     return inner.groupBy("item", "item_id", "n", "k", "m", "need", "own", "part").agg(best.alias("anchor")).drop("part").distinct()
 
 
-def regions(docs: DataFrame, known: DataFrame) -> DataFrame:
+def regions(docs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """For each place of an anchor: the shingles of the words about it, and the place of the first of them."""
     names = [r[0] for r in known.select("anchor").distinct().collect()]  # some words each of ITEMS items
     hits = docs.select("doc_id", words("text").alias("dw")).withColumn("hits", F.array_compact(F.transform("dw", lambda x, i: F.when(x.isin(names), i))))
     hits = hits.filter("size(hits) > 0").select("doc_id", "dw", F.explode("hits").alias("at")).withColumn("anchor", F.expr("dw[at]"))
-    hits = hits.join(F.broadcast(known), "anchor").withColumn("low", F.expr("greatest(at - n + 1, 0)")).withColumn("region", F.expr("slice(dw, low + 1, at + n - low)"))
-    return hits.filter("size(region) >= n").drop("dw", "anchor").withColumn("found", F.expr(SHINGLES.format(w="region"))).drop("region")
+    hits = hits.join(F.broadcast(known), "anchor").filter(f"if(short, size(dw) < n and 100 * (size(dw) - k + 1) >= {percent} * m, size(dw) >= n)")
+    hits = hits.withColumn("low", F.expr("greatest(at - n + 1, 0)")).withColumn("region", F.expr("slice(dw, low + 1, at + n - low)"))
+    return hits.withColumn("n", F.expr("least(n, size(dw))")).drop("dw", "anchor", "short").withColumn("found", F.expr(SHINGLES.format(w="region"))).drop("region")
 
 
-def windows(found: DataFrame, folder: str) -> DataFrame:
+def windows(found: DataFrame, folder: str, percent: int) -> DataFrame:
     """Those whose shingles are the item's often enough, with place and shingles.
 
     What a lambda reads over and over is written first, or the optimizer would put its whole expression there.
     """
+    found = found.withColumn("v", F.expr("least(m, size(found))")).withColumn("need", F.expr(f"int(ceil((m + v) * {percent} / {100 + percent}))"))
     flags = table(found, f"{folder}-found").withColumn("flags", F.expr("transform(found, h -> if(array_contains(own, h), 1, 0))")).drop("own")
     flags = table(flags, f"{folder}-flags").filter("aggregate(flags, 0, (t, x) -> t + x) >= need")
-    starts = F.expr("filter(sequence(0, size(flags) - m), s -> aggregate(slice(flags, s + 1, m), 0, (t, x) -> t + x) >= need)")
+    starts = F.expr("filter(sequence(0, size(flags) - v), s -> aggregate(slice(flags, s + 1, v), 0, (t, x) -> t + x) >= need)")
     each = flags.withColumn("starts", starts).drop("flags", "at").filter("size(starts) > 0").withColumn("s", F.explode("starts"))
-    return each.select("doc_id", "item", "item_id", "n", "m", (F.col("low") + F.col("s")).alias("start"), F.expr("slice(found, s + 1, m)").alias("win")).distinct()
+    return each.select("doc_id", "item", "item_id", "n", "m", "v", (F.col("low") + F.col("s")).alias("start"), F.expr("slice(found, s + 1, v)").alias("win")).distinct()
 
 
 def blocks(fingerprint: str) -> Column:
@@ -97,14 +107,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, folder: str, shingle: int, pe
     for part in range(parts):
         rows = every.filter(F.pmod(F.col("item"), F.lit(parts)) == part) if parts > 1 else every
         known = table(anchors(rows), f"{folder}/anchors-{part}")
-        near = table(windows(regions(docs, known), f"{folder}/near-{part}"), f"{folder}/windows-{part}").withColumn("print", F.expr(SIMHASH.format(s="win")))
+        near = table(windows(regions(docs, known, percent), f"{folder}/near-{part}", percent), f"{folder}/windows-{part}").withColumn("print", F.expr(SIMHASH.format(s="win")))
         index = rows.select("item", "own", F.expr(SIMHASH.format(s="own")).alias("own_print")).dropDuplicates(["item"])
         index = F.broadcast(table(index.select("*", F.inline(blocks("own_print"))).withColumnRenamed("item", "of"), f"{folder}/index-{part}"))
-        each = table(near, f"{folder}/prints-{part}").select("*", F.inline(blocks("print")))
+        near = table(near, f"{folder}/prints-{part}")
+        each = near.filter("v = m").select("*", F.inline(blocks("print")))
         pairs = each.join(index, (each.item == index.of) & (each.block == index.block) & (each.value == index.value)).select(each["*"], index.own, index.own_print).drop("block", "value")
         pairs = pairs.filter(F.bit_count(F.col("print").bitwiseXOR(F.col("own_print"))) <= RADIUS).dropDuplicates(["doc_id", "item", "start", "print"])
-        pairs = pairs.withColumn("c", F.expr(SHARED.format(s="win"))).filter(f"100 * c >= {percent} * (2 * m - c)")
-        found = pairs.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.expr("c / (2 * m - c)").cast("double").alias("similarity"), (-F.col("start")).alias("back"), F.col("n"))).alias("best"))
+        whole = near.filter("v < m").join(index.filter("block = 0"), F.col("item") == F.col("of")).select(*pairs.columns)
+        pairs = pairs.unionByName(whole)
+        pairs = pairs.withColumn("c", F.expr(SHARED.format(s="win"))).filter(f"100 * c >= {percent} * (m + v - c)")
+        found = pairs.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.expr("c / (m + v - c)").cast("double").alias("similarity"), (-F.col("start")).alias("back"), F.col("n"))).alias("best"))
         best = found if best is None else best.unionByName(found)
     best = best if parts == 1 else best.groupBy("doc_id", "item_id").agg(F.max("best").alias("best"))
     return best.select("doc_id", "item_id", (-F.col("best.back")).cast("long").alias("start_word"), F.col("best.n").cast("long").alias("n_words"), "best.similarity")

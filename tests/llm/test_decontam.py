@@ -100,3 +100,39 @@ def test_rows_are_judged_by_their_own_text(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = decontam.clean(docs, items, work_dir(spark, "t4"))
     assert Counter(map(tuple, kept.collect())) == {(None, other): 1, (None, None): 1, (7, other): 2}
+
+
+def brute_short(docs, items, percent=80):
+    """Documents with fewer words than an item, as one window."""
+    out = {}
+    for item, text in items:
+        own = WORD.findall((text or "").lower())
+        k = min(5, len(own))
+        for doc, text in docs:
+            words = WORD.findall((text or "").lower())
+            if own and len(words) < len(own):
+                want, have = shingles(own, k), shingles(words, k)
+                c, total = sum((want & have).values()), sum((want | have).values())
+                if 100 * c >= percent * total:
+                    out[doc, item] = (c / total, 0, len(words))
+    return out
+
+
+def test_documents_shorter_than_an_item(spark):
+    rng = random.Random(5)
+    items = [prose(700 + i, n) for i, n in enumerate([1, 4, 5, 8, 9, 10, 13, 14, 24, 25, 40, 60, 100, 130])] + ["again " * 12]
+    texts = []
+    for item in items:
+        own = item.split()
+        for cut in (1, 2, len(own) // 10, len(own) // 6, len(own) // 4):
+            texts += [" ".join(own[cut:]), " ".join(own[: len(own) - cut]), " ".join(own[cut // 2 : len(own) - (cut + 1) // 2])]
+            at = rng.randrange(len(own))
+            texts.append(" ".join([*own[:at], *own[at + cut :]]))
+    docs = documents(spark, [*texts, None, ""])
+    known = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows, known_rows = docs.select("doc_id", "text").collect(), list(enumerate(items))
+    want = brute(rows, known_rows) | brute_short(rows, known_rows)
+    assert found(docs, known, spark) == want and len(brute_short(rows, known_rows)) > 80
+    kept = decontam.clean(docs, known, work_dir(spark, "t4"))
+    dirty = {(texts + [None, ""])[d] for d, _ in want}
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i, t in enumerate([*texts, None, ""]) if t not in dirty]
