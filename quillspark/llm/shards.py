@@ -2,8 +2,9 @@
 
 Each dimension is quantised by its own quantiles into 2^bits cells (strings by their first 7 bytes, whose order is the
 strings'), the cells give an index on a Hilbert curve, and rows are range-partitioned and sorted by it. A shard is a
-run of ranks, so its files span a small box of every dimension, which minimum and maximum statistics can prune. Only
-keys and digests are shuffled, never texts; the sorted rows are written once, and ranks come from counts of partitions.
+run of ranks, so its files span a small box of every dimension, which minimum and maximum statistics can prune. Whole rows
+are shuffled once and written sorted; ranks come from counts of partitions, and a second pass writes the shards, a folder of
+Parquet files each, with all columns of the documents. What is returned is computed from these files.
 
 Nulls fall into the lowest cell. Ties on the curve are ordered by text checksum, doc_id and size; repeated rows get
 ranks of their own. An empty table gives no rows.
@@ -16,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import buckets, table
+from quillspark.llm.common import buckets, release, remove, table
 
 
 def ordinal(df: DataFrame, column: str) -> Column:
@@ -71,18 +72,38 @@ def once(value: Column, body) -> Column:
 
 
 def hilbert_shards(docs: DataFrame, dimensions: list[str], folder: str, shards: int = 16, bits: int = 5) -> DataFrame:
-    """doc_id, size, text_crc32, curve, shard, slot of every row; shards' counts differ by one at most."""
-    spark, text = docs.sparkSession, F.coalesce("text", F.lit(""))
-    keys = docs.select(F.col("doc_id").cast("long"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), *[ordinal(docs, c).alias(f"at_{i}") for i, c in enumerate(dimensions)])
-    keys = table(keys, f"{folder}/keys")
+    """Writes the shards; doc_id, size, text_crc32, curve, shard, slot of every row in their files. Shards' counts differ by one at most."""
+    rows, names = write_shards(docs, dimensions, folder, shards, bits)
+    return rows.select(F.col("doc_id").cast("long"), size(), crc(), *[F.col(own).alias(name) for name, own in names.items()])
+
+
+def size() -> Column:
+    return (F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 1).alias("size")
+
+
+def crc() -> Column:
+    return F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32")
+
+
+def write_shards(docs: DataFrame, dimensions: list[str], folder: str, shards: int, bits: int) -> tuple[DataFrame, dict[str, str]]:
+    """The documents read back from a folder of Parquet files a shard, in curve order, and the names there of curve, shard and slot."""
+    spark, taken, names = docs.sparkSession, {c.lower() for c in docs.columns}, {}
+    for name in ("curve", "shard", "slot"):
+        names[name] = name
+        while names[name] in taken:
+            names[name] += "_"
     steps = [k / 2**bits for k in range(1, 2**bits)]
-    names = [f"at_{i}" for i in range(len(dimensions))]
-    bounds = keys.agg(*[F.percentile_approx(c, steps, 10_000).alias(c) for c in names]).first()  # 2^bits - 1 longs a dimension
-    cells = [cell(c, sorted(set(bounds[c] or []))) for c in names]
-    keys = table(keys.select("doc_id", "size", "text_crc32", hilbert(cells, bits).alias("curve")), f"{folder}/curve")
-    order = ["curve", "text_crc32", "doc_id", "size"]
-    ranked = keys.repartitionByRange(buckets(spark), *order).sortWithinPartitions(*order).withColumn("row", F.monotonically_increasing_id())
+    at = [f"at_{i}" for i in range(len(dimensions))]
+    ordinals = [ordinal(docs, c).alias(a) for c, a in zip(dimensions, at, strict=True)]
+    bounds = docs.select(*ordinals).agg(*[F.percentile_approx(c, steps, 10_000).alias(c) for c in at]).first()  # 2^bits - 1 longs a dimension
+    cells = [cell(c, sorted(set(bounds[c] or []))) for c in at]
+    # the place in the input parts repeated rows; it also keeps the optimizer from putting the ordinals into the cells
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), size(), crc(), *ordinals, F.monotonically_increasing_id().alias("place"))
+    order = ["curve", "text_crc32", "doc_id", "size", "place"]
+    rows = rows.select("doc", hilbert(cells, bits).alias("curve"), *order[1:])
+    ranked = rows.repartitionByRange(buckets(spark), *order).sortWithinPartitions(*order).select("doc", "curve", F.monotonically_increasing_id().alias("row"))
     ranked = table(ranked.withColumn("part", F.shiftright("row", 33).cast("int")), f"{folder}/ranked")
+    release(spark)
     counts = sorted(map(tuple, ranked.groupBy("part").agg(F.count("*").alias("n")).collect()))  # one row a partition
     total, firsts = 0, []
     for part, n in counts:
@@ -91,11 +112,8 @@ def hilbert_shards(docs: DataFrame, dimensions: list[str], folder: str, shards:
     first = F.broadcast(spark.createDataFrame(firsts, "part int, first long"))  # one row a partition
     rank = F.col("first") + F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
     ranked = ranked.join(first, "part").withColumn("rank", rank)
-    ranked = ranked.withColumn("shard", F.expr(f"int(rank * {shards} div {max(total, 1)})"))
-    return ranked.select("doc_id", "size", "text_crc32", "curve", "shard", F.expr(f"rank - (shard * {total} + {shards - 1}) div {shards}").alias("slot"))
-
-
-def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Writes the documents as a folder of Parquet files a shard, in curve order."""
-    rows = docs.join(placed.select("doc_id", "curve", "shard", "slot"), "doc_id")
-    rows.repartitionByRange(buckets(docs.sparkSession), "shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    ranked = ranked.withColumn("shard", F.expr(f"int(rank * {shards} div {max(total, 1)})")).withColumn("slot", F.expr(f"rank - (shard * {total} + {shards - 1}) div {shards}"))
+    whole = ranked.select(*[F.col("doc")[c].alias(c) for c in docs.columns], *[F.col(name).alias(own) for name, own in names.items()])
+    whole.sortWithinPartitions(names["shard"], names["slot"]).write.mode("overwrite").partitionBy(names["shard"]).parquet(f"{folder}/shards")
+    remove(f"{folder}/ranked")
+    return spark.read.schema(whole.schema).parquet(f"{folder}/shards"), names

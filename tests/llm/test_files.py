@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from quillspark.llm import packing, queries, records, shards, warc
 from quillspark.llm.common import work_dir
 
-from .helpers import awkward, documents, empty, prose
+from .helpers import DOCS, awkward, documents, empty, prose
 
 
 def ids_of(name, texts, end):
@@ -171,3 +171,16 @@ def test_archive_is_plain_warc(spark):
     data = warc.record(1, "http://a", b"<p>", hashlib.sha1(b"<p>").hexdigest(), None)
     assert data.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and data.endswith(b"<p>\r\n\r\n")
     assert struct.pack("<Q", 3) and gzip.decompress(gzip.compress(data)) == data
+
+
+def test_shards_hold_whole_rows(spark):
+    rows = [(i % 40 if i % 5 else None, prose(i % 50, 30), "en", f"src{i % 3}", i, 7, 3, i) for i in range(160)] + [(None, None, None, None, None, 1, 1, 1), (9, "twice", "de", "s", 5, 7, 7, 7), (9, "twice", "de", "s", 5, 7, 7, 7), (9, "other", "de", "s", 5, 7, 7, 7)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    folder = work_dir(spark, "t5")
+    placed = shards.hilbert_shards(docs, ["lang", "source", "n_chars", "doc_id"], folder)
+    files = spark.read.parquet(f"{folder}/shards")
+    assert Counter(map(tuple, files.select(*docs.columns).collect())) == Counter(rows)
+    assert len([x for x in files.inputFiles() if "shard_=" in x]) >= 16
+    want = Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode()), r.curve, r.shard_, r.slot) for r in files.collect())
+    assert Counter(map(tuple, placed.collect())) == want
+    assert len({(r.shard_, r.slot) for r in files.collect()}) == len(rows)
