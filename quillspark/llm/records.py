@@ -6,8 +6,10 @@ little-endian. ``part-N.idx`` holds the offset of each frame of ``part-N.rec`` a
 A part is one range of doc_id in ascending order, so parts in turn are the whole sequence. A retried task writes the same
 bytes under another name first and renames them, so a reader never meets half a part.
 
-Null texts are empty and get the end id alone; null doc_ids come first and are read back as null; rows that repeat a
-doc_id are kept, in the order of their texts' checksums. An empty table makes a folder without parts.
+Null and empty texts get the end id alone; null doc_ids come first and are read back as null; rows that repeat a
+doc_id are kept, in the order of their texts' checksums (equal texts: any, as their records are the same). A text of any length is one
+frame, held whole by its task. Columns other than doc_id and text aren't read, whatever their names. An empty table makes a folder
+without parts.
 """
 
 from __future__ import annotations
@@ -122,7 +124,10 @@ def parse(buffer: bytes) -> tuple[list[bytes], int]:
 
 
 def payload(doc_id: int | None, ids: bytes, width: int) -> bytes:
+    """ValueError: an id needs more than ``width`` bytes."""
     values = np.frombuffer(ids, "<u4")
+    if width == 2 and len(values) and values.max() >= 1 << 16:
+        raise ValueError("an id needs four bytes")
     return struct.pack("<qBBHI", doc_id or 0, doc_id is not None, width, 0, len(values)) + (values.astype("<u2").tobytes() if width == 2 else ids)
 
 
@@ -131,8 +136,8 @@ def unpack(body: bytes) -> tuple[int | None, np.ndarray]:
     return doc_id if known else None, np.frombuffer(body, f"<u{width}", offset=16).astype("<u4")
 
 
-def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, drops_space: bool = True, width: int = 2) -> list[tuple[int, int, int]]:
-    """Encodes doc_id, text of docs into records below folder; (part, documents, ids) of each part, in order."""
+def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, drops_space: bool = True) -> list[tuple[int, int, int]]:
+    """Encodes doc_id, text of docs into records below folder; (part, documents, ids) of each part, in order. Ids take two bytes if the vocabulary's all do."""
     prepare(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
@@ -146,6 +151,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, dro
         offsets, out = [], None
         for batch in batches:
             encoder = encoder or Encoder.of(tokenizer, drops_space)
+            width = 2 if max(encoder.last, end_id) < 1 << 16 else 4
             out = out or filesystem.open_output_stream(f"{new}.rec")
             doc_ids, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
             for i in range(0, len(texts), 128):

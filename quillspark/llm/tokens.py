@@ -1,33 +1,26 @@
 """Exact and quick encoding with the tokenizers library.
 
-Both public vocabularies split a text into pretokens that never cross a change from non-space to white space, so a text's
-ids are those of its runs of white space and following word, in turn. Equal runs recur, and the library's own cache
-is small: this one keeps the library's ids of each run. Texts with rare white space go to the library whole.
+Both public vocabularies first split a text into pretokens by a pattern, and encode each on its own. Over a fixed alphabet, in which
+the classes of characters are known and normalisation only lower-cases one character to one, that pattern is written here for ``re``;
+the library gives each pretoken's ids, which are kept, as pretokens recur and its own cache is small. Texts with any other character,
+or with what may be the content of an added token, go to the library whole, with its own settings.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
 
-RARE = [*"\x1c\x1d\x1e\x1f\x85\xa0 ᠎    　﻿", *map(chr, range(0x2000, 0x200C))]
-RUN = re.compile(r"\s*\S+|\s+")
-SIGNS = "!\"#$%&()*+,-./:;<=>?@[]_`{|}~"  # an apostrophe can start a pretoken with letters in it
-#: With these, a text's runs are found by RUN; without, they lie between single spaces and line ends.
-UNEVEN = ["  ", " \n", "\n ", "\n\n", "\t", "\r", "\v", "\f", "\0"]
-
-
-class Memo(dict):
-    """Of bounded size: the older half goes when it is full."""
-
-    def __init__(self, most: int):
-        self.most = most
-
-    def trim(self) -> None:
-        if len(self) > self.most:
-            for key in list(self)[: len(self) // 2]:
-                del self[key]
+LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+NUMBER = "0-9²³¹¼½¾"
+BLANK = " \t\n\r\x0b\x0c\x85\xa0"
+#: Characters beyond these have other classes, compose, or change their number in lower case (U+0130).
+OTHER = re.compile("[^\0-\x1b -įı-ɏ‐-‧‰-⁞₠-₿\U0001f300-\U0001f6ff]")
+CONTRACTED = "'s|'t|'re|'ve|'m|'ll|'d"
+DROPS = re.compile(f"{CONTRACTED}|[{LETTER}]+|[{NUMBER}]|[^{BLANK}{LETTER}{NUMBER}]+")
+KEEPS = re.compile(f"{CONTRACTED}| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{BLANK}{LETTER}{NUMBER}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
 
 
 class Encoder:
@@ -36,21 +29,28 @@ class Encoder:
     @classmethod
     def of(cls, path: str, drops_space: bool) -> Encoder:
         """The worker's own: it outlives tasks, and so do the ids it knows."""
-        return cls._own.setdefault(path, None) or cls._own.update({path: cls(path, drops_space)}) or cls._own[path]
+        if path not in cls._own:
+            cls._own[path] = cls(path, drops_space)
+        return cls._own[path]
 
-    def __init__(self, path: str, drops_space: bool, runs: int = 500_000, letters: int = 700_000):
+    def __init__(self, path: str, drops_space: bool, most: int = 1_000_000):
+        """most: pretokens whose ids are kept; the older half goes when there are more."""
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.drops_space, self.known, self.letters = drops_space, Memo(runs), Memo(letters)
+        self.drops_space, self.most, self.known = drops_space, most, {}
+        self.split = (DROPS if drops_space else KEEPS).findall
+        #: Every added token starts with one of these.
+        self.added = sorted({x["content"][:2] for x in json.loads(self.tokenizer.to_str())["added_tokens"]})
         vocabulary = self.tokenizer.get_vocab()
+        self.last = max([*vocabulary.values(), *(x["id"] for x in json.loads(self.tokenizer.to_str())["added_tokens"])], default=0)
+        self.line = vocabulary.get("Ċ", -1)
         #: Ids that end a pretoken of letters, or with kept space, that start one with a space.
         self.border = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-        self.border[[v for k, v in vocabulary.items() if (k.endswith("</w>") if drops_space else k.startswith("\u0120"))]] = True
+        self.border[[v for k, v in vocabulary.items() if (k.endswith("</w>") if drops_space else k.startswith("Ġ"))]] = True
 
     def _each(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -58,78 +58,54 @@ class Encoder:
             out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
         return out
 
-    def _letters(self, words: list[str]) -> list[bytes]:
-        """Words of letters only go to the library as one text; the ids that border pretokens tell them apart."""
+    def _joined(self, words: list[str], between: str) -> list[bytes]:
+        """Pretokens of letters that go to the library as one text; the ids that border them tell them apart."""
         out = []
         for i in range(0, len(words), 4096):
             own = words[i : i + 4096]
-            ids = np.array(self.tokenizer.encode((" " if self.drops_space else "").join(own), add_special_tokens=False).ids, "<u4")
-            border = np.flatnonzero(self.border[ids])
-            edges = [0, *(border + 1)] if self.drops_space else [*border, len(ids)]
-            if len(edges) != len(own) + 1 or edges[-1] != len(ids) or edges[0]:
+            ids = np.array(self.tokenizer.encode_batch_fast([between.join(own)], add_special_tokens=False)[0].ids, "<u4")
+            if between == "\n":
+                at = np.flatnonzero(ids == self.line)
+                starts, ends = [0, *(at + 1)], [*at, len(ids)]
+            else:
+                at = np.flatnonzero(self.border[ids])
+                starts, ends = ([0, *(at[:-1] + 1)], [*(at + 1)]) if self.drops_space else ([*at], [*at[1:], len(ids)])
+            if len(starts) != len(own) or len(ends) != len(own) or starts[0] or ends[-1] != len(ids):
                 out += self._each(own)
             else:
                 ids = ids.tobytes()
-                out += [ids[4 * a : 4 * b] for a, b in zip(edges, edges[1:], strict=False)]
-        return out
-
-    def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        """The ids of these runs; those whose letters came before are kept."""
-        letters, known = self.letters, self.known
-        known.trim()
-        letters.trim()
-        split, odd, new, signs, again = [], [], set(), set(), []
-        for run in missing:
-            word = run.rstrip(SIGNS)
-            if word.isalpha():
-                tail = run[len(word) :]
-                if tail and tail not in letters:
-                    signs.add(tail)
-                if self.drops_space:
-                    word = word.lower() if word.isascii() else word
-                else:
-                    word = f" {word}"
-                if word in letters:
-                    again.append(run)
-                else:
-                    new.add(word)
-                split.append((run, word, tail))
-            else:
-                odd.append(run)
-        new, signs = list(new), list(signs)
-        letters.update(zip(new, self._letters(new), strict=True))
-        letters.update(zip(signs, self._each(signs), strict=True))
-        letters[""] = b""
-        out = {run: letters[a] + letters[b] for run, a, b in split}
-        for run in again:
-            known[run] = out[run]
-        plain = odd if self.drops_space else [run[1:] if run[:1] == "\0" else run if run[:1] == "\n" else f" {run}" for run in odd]
-        out.update(zip(odd, self._each(plain), strict=True))
-        known.update((run, out[run]) for run in odd)
+                out += [ids[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)]
         return out
 
-    def _runs(self, text: str) -> list[str]:
-        """Without their space, if space is kept; those that have none before them start with a line end or a zero."""
+    def _learn(self, missing: list[str]) -> None:
+        if len(self.known) + len(missing) > self.most:
+            self.known = dict(list(self.known.items())[len(self.known) // 2 :])
         if self.drops_space:
-            return text.split()
-        if any(x in text for x in UNEVEN):
-            return [x[1:] if x[:1] == " " and x[1:2] not in ("", "\0", "\n") else f"\0{x}" for x in RUN.findall(text)]
-        return f"\0{text}".replace("\n", " \n").split(" ") if text else []
+            words = [x for x in missing if x.isalpha()]
+            self.known.update(zip(words, self._joined(words, " "), strict=True))
+        else:
+            words = [x for x in missing if x[0] == " " and x[1:].isalpha()]
+            self.known.update(zip(words, self._joined(words, ""), strict=True))
+            words = [x for x in missing if x.isalpha()]
+            self.known.update(zip(words, self._joined(words, "\n"), strict=True))
+        odd = [x for x in missing if x not in self.known]
+        self.known.update(zip(odd, self._each(odd), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         flat, edges, whole = [], [0], []
         for i, text in enumerate(texts):
-            if any(c in text for c in RARE[: 4 if text.isascii() else None]):
+            if any(x in text for x in self.added) or OTHER.search(text):
                 whole.append(i)
             else:
-                flat += self._runs(text)
+                flat += self.split(text.lower() if self.drops_space else text)
             edges.append(len(flat))
         ids = list(map(self.known.get, flat))
-        if lacking := [i for i, x in enumerate(ids) if x is None]:
-            found = self._learn({flat[i] for i in lacking})
+        if None in ids:
+            lacking = [i for i, x in enumerate(ids) if x is None]
+            self._learn(list(dict.fromkeys(flat[i] for i in lacking)))
             for i in lacking:
-                ids[i] = found[flat[i]]
+                ids[i] = self.known[flat[i]]
         out = [b"".join(ids[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
         for i, x in zip(whole, self._each([texts[i] for i in whole]), strict=True):
             out[i] = x

@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import random
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from quillspark.llm import packing, queries, records, shards, warc
+from quillspark.llm import packing, queries, records, shards, tokens, warc
 from quillspark.llm.common import work_dir
 
 from .helpers import DOCS, awkward, documents, empty, prose
@@ -18,7 +19,6 @@ from .helpers import DOCS, awkward, documents, empty, prose
 
 def ids_of(name, texts, end):
     t = Tokenizer.from_file(queries.tokenizer(name))
-    t.encode_special_tokens = True
     return [np.array([*t.encode(x or "", add_special_tokens=False).ids, end], "<u4") for x in texts]
 
 
@@ -37,6 +37,17 @@ def test_crc32c():
     assert records.crc32c(many).tolist() == [slow_crc32c(x) for x in many]
 
 
+@pytest.mark.parametrize(("name", "drops_space"), [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_ids_are_the_librarys_own(name, drops_space):
+    rng = random.Random(1)
+    alphabet = [*"abzABZ 019.,'!-_\n\t\r\x0b\x0c\0\x1c\x1f\x85\xa0", "  ", "'s", "'ll", "'T", "İ", "ı", "é", "É", "ß", "ǅ", "ɏ", "ɐ", "²", "½", "ª", "µ", "\u0301", "\u0307", "–", "’", "…", "\u2009", "\u200b", "€", "😀", "👍🏽", "Σ", "ς", "\u212a", "한", "中", "<|endoftext|>", "<|startoftext|>", "<|", "VERİ.", "İ-", "ﬁ", "\u2028", "\u0345", "12", "🇩"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 30))) for _ in range(20000)] + ["", "a<|startoftext|>b x", "a<|endoftext|>b", "word " * 3000]
+    encoder, library = tokens.Encoder(queries.tokenizer(name), drops_space, most=3000), Tokenizer.from_file(queries.tokenizer(name))
+    for i in range(0, len(texts), 500):
+        want = [np.array(x.ids, "<u4").tobytes() for x in library.encode_batch(texts[i : i + 500], add_special_tokens=False)]
+        assert encoder.encode(texts[i : i + 500]) == want
+
+
 def test_frames_round_trip_and_damage():
     bodies = [records.payload(5, np.array([1, 2, 3], "<u4").tobytes(), 2), records.payload(None, b"", 4)]
     joined = b"".join(records.frames(bodies))
@@ -64,6 +75,13 @@ def test_token_records(spark, sf, kind):
         assert (doc_id, len(ids)) == (want[-1][1], want[-1][2])
 
 
+def test_ids_of_four_bytes():
+    wide = np.array([70000, 3], "<u4")
+    assert records.unpack(records.payload(5, wide.tobytes(), 4))[1].tolist() == [70000, 3]
+    with pytest.raises(ValueError):
+        records.payload(5, wide.tobytes(), 2)
+
+
 def test_page_ids_survive():
     for x in (0, 1, 2**62, 2**63 - 1, -1, -(2**63)):
         assert warc.page_of(warc.record_id(x)) == x
