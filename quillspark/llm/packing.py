@@ -4,18 +4,21 @@ Pieces above a third of the capacity fit at most twice in a sequence: they are m
 largest partner that fits. Smaller pieces, largest first, go where they leave the least room. Only the number of
 pieces of each length matters to both, so the plan is made from one histogram (as many counts as the capacity, whatever
 the input), as patterns of lengths with a count of sequences. Pieces then find their place by their rank among those of
-their length: numbered in the task that encodes them, plus a base from the counts of each task.
+their length: numbered in the task that encodes them, plus a base from the counts of each task, read from a file.
 
-Null texts are empty: their end id is a piece of one. Null doc_ids are kept. An empty table gives no rows. Ties are
-broken by place in the input. Longer documents are cut into full pieces; the first may be shorter.
+Null and empty texts are one piece, their end id. Null doc_ids are kept. An empty table gives no rows. Ties (pieces of one length) and
+repeated rows are told apart by place in the input. Longer documents are cut into full pieces; the first may be shorter; a text of any
+length is encoded whole by its task. Columns other than doc_id and text aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +26,8 @@ from pyspark.sql import types as T
 from quillspark.llm.common import arrow, prepare, table
 from quillspark.llm.tokens import Encoder
 
+GROUP = 256
+
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, drops_space: bool = False, keep_ids: bool = False) -> DataFrame:
     """Pieces of every document with task and seq, its place among the task's pieces of that length. keep_ids: with ids."""
@@ -108,26 +113,65 @@ def places(patterns: list[tuple[int, tuple[tuple[int, int], ...]]]) -> dict[int,
     return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
+def bases(counts: DataFrame, folder: str, capacity: int) -> None:
+    """Writes how many pieces of each length the tasks before a task have: a row of longs each, GROUP tasks a file.
+
+    A task that places pieces then reads the rows of the tasks whose pieces it has; nothing grows with the number of tasks there.
+    """
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select(F.expr(f"task div {GROUP}").cast("int").alias("file"), "task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+
+    def write(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            file, task, length, base = (c.to_numpy() for c in batch.columns)
+            for f in np.unique(file).tolist():
+                own = held.setdefault(f, np.zeros((GROUP, capacity + 1), np.int64))
+                rows = file == f
+                own[task[rows] % GROUP, length[rows]] = base[rows]
+        for f, own in held.items():
+            filesystem, root = fs.FileSystem.from_uri(folder)
+            new = f"{root}/.{uuid.uuid4().hex}"
+            with filesystem.open_output_stream(new) as out:
+                out.write(own.tobytes())
+            filesystem.move(new, f"{root}/bases-{f:06d}")
+        yield pa.RecordBatch.from_arrays([pa.array([len(held)], pa.int64())], ["files"])
+
+    arrow(base.repartition("file"), write, "files long").agg(F.sum("files")).collect()
+
+
+def base_of(folder: str, task: int, capacity: int) -> np.ndarray:
+    filesystem, root = fs.FileSystem.from_uri(folder)
+    size = 8 * (capacity + 1)
+    with filesystem.open_input_file(f"{root}/bases-{task // GROUP:06d}") as source:
+        return np.frombuffer(source.read_at(size, task % GROUP * size), np.int64)
+
+
 def pack(found: DataFrame, folder: str, capacity: int) -> DataFrame:
     """Adds sequence_id and offset to pieces()."""
     found = table(found, f"{folder}/pieces")
     counts = table(found.groupBy("length", "task").agg(F.count("*").alias("n")), f"{folder}/counts")
     total = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # as many rows as the capacity, at most
     where = places(plan(total, capacity))
-    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    base = table(counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), f"{folder}/bases")
-    ranked = found.join(base, ["length", "task"]).withColumn("rank", F.col("base") + F.col("seq")).drop("base", "seq", "task")
-    fields = T.StructType([*ranked.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    bases(counts, folder, capacity)
+    fields = [f for f in found.schema.fields if f.name not in ("task", "seq")]
 
     def place(batches):
+        known: dict[int, np.ndarray] = {}
         for batch in batches:
-            lengths, ranks = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
+            lengths, tasks, seq = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "task", "seq"))
+            ranks = seq.copy()
+            for task in np.unique(tasks).tolist():
+                if task not in known:
+                    known = {task: base_of(folder, task, capacity), **dict(list(known.items())[:7])}
+                ranks[tasks == task] += known[task][lengths[tasks == task]]
             sequence, offset = np.empty(len(ranks), np.int64), np.empty(len(ranks), np.int64)
             for length in np.unique(lengths):
                 rows, slots = np.flatnonzero(lengths == length), where[int(length)]
                 slot = slots[np.searchsorted(slots[:, 0], ranks[rows], "right") - 1]
                 past = ranks[rows] - slot[:, 0]
                 sequence[rows], offset[rows] = slot[:, 2] + past // slot[:, 1], slot[:, 3] + past % slot[:, 1] * length
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sequence), pa.array(offset)], [*batch.schema.names, "sequence_id", "offset"])
+            names = [f.name for f in fields]
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in names], pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    return arrow(ranked, place, fields).drop("rank")
+    return arrow(found, place, T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
