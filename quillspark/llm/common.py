@@ -66,6 +66,14 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return uri
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores as it takes not to be a column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def remove(uri: str) -> None:
     filesystem, path = fs.FileSystem.from_uri(uri)
     try:

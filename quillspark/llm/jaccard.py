@@ -1,21 +1,25 @@
 """N-gram Jaccard self-join: documents whose sets of word shingles overlap by ``percent`` of their union or more.
 
-1. Blocking without loss. Sizes fall into bands. Two linked sets of at most U shingles differ in at most
+1. First links. Sketches of two hash minima are exchanged; where texts share one, they are compared with the first text of that
+   sketch, in their file and then across files. Most near copies are then one component, whatever its size: a label.
+2. Blocking without loss. Sizes fall into bands. Two linked sets of at most U shingles differ in at most
    d = 2 U (100 - percent) / (100 + percent) shingles, so if hash ranges cut the sets into m > d parts, m - d parts at least are
    equal in both. Digests of parts of one shingle or none say little; they are left out where the set has fewer than m - d of them.
    Sets of small bands emit as many of their first shingles as must hold a shared one instead. A document emits keys for its own
-   band and for those that a larger linked set may fall into. Documents with a common key are a group, and
-   keys with the same documents are one group, so near copies meet once, not once a key. Files send the bitmap of each document to its
-   groups; where the bitmaps allow a link, documents join a family.
-2. Size-banded tiles. A family is sorted into bands of sizes 2 % wide and cut into tiles of bounded count; tiles are compared
-   where their sizes allow a link, small families as one tile. Each tile holds hashed bitmaps: the bits in which two differ
+   band and for those that a larger linked set may fall into. A file sends a key once for each label, and only keys that two labels
+   share come back, so that a group of near copies costs a row a file, not a row a pair or a document. Keys with the same documents
+   are one group. Files send the bitmap of each document to its groups; where bitmaps allow a link of two labels, documents join a family.
+3. Size-banded tiles. A family is sorted into bands of sizes 2 % wide and cut into tiles of bounded count and bytes; tiles are compared
+   where their sizes allow a link, small families as one tile. Each tile holds hashed bitmaps, about a bit a shingle: a bit is set
+   if an odd number of shingles falls on it, so that the bits in which two differ
    bound the difference from below, and so the overlap from above. Pairs that pass have their sorted arrays intersected,
-   unless links found in the tile already join them. Tiles give the edges of a spanning forest, not all pairs.
-3. Components of those edges; each document gets the least doc_id of its component.
+   unless labels or links found in the tile already join them. Tiles give the edges of a spanning forest, not all pairs.
+4. Components of all edges; each document gets the least doc_id of its component.
 
 Equal sets of a file are one entry. Null, empty and blank texts have no shingles and are linked with nothing. Null doc_ids
 take part, but don't name a component; a component of such rows only has a null id. Repeated rows are linked copies.
-An empty table gives no rows. Shingles are 64-bit hashes.
+An empty table gives no rows. Shingles are 64-bit hashes. A text of any length is one set, held whole by a task. Columns other than
+doc_id and text aren't read, whatever their names; one_of_each returns them as they are.
 """
 
 from __future__ import annotations
@@ -24,14 +28,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import LOWER, Substrings, arrow, buckets, deal, grams, mix, packed, release, remove, table, words
+from quillspark.llm.common import LOWER, Substrings, arrow, buckets, deal, grams, mix, packed, release, remove, table, unused, words
 from quillspark.llm.graph import Forest, components
 from quillspark.llm.store import LAST, TextStore, by_bucket, dump, joined, load, parse, save
 
-RATIO, WORDS64, TILE, SMALL = 1.3, 4, 4096, 64
+RATIO, TILE, SMALL = 1.3, 2048, 64
+TILE_SHINGLES = 4 << 20
 SEED = np.uint64(0xA0761D6478BD642F)
 
 
@@ -91,15 +96,19 @@ def parts(own: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]]:
     return out
 
 
-def width(band: int) -> int:
-    """64-bit words of the bitmaps that a band's sets are compared by."""
-    return int(min(64, max(4, 2 ** np.ceil(np.log2(int(BANDS[band + 1]) / 32)))))
+def width(most: int) -> int:
+    """64-bit words of the bitmaps that sets of at most so many shingles are compared by: a bit a shingle or more."""
+    return int(max(4, 2 ** np.ceil(np.log2(max(most, 1) / 64))))
 
 
-def bitmap(own: np.ndarray, words64: int = WORDS64) -> np.ndarray:
-    bits = np.zeros(64 * words64, np.uint8)
-    bits[(own % np.uint64(64 * words64)).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.uint64)
+def bitmap(own: np.ndarray, words64: int = 4) -> np.ndarray:
+    """Of each bit, whether an odd number of shingles falls on it."""
+    bits = np.bincount((own % np.uint64(64 * words64)).astype(np.int64), minlength=64 * words64) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.uint64)
+
+
+def sketch(own: np.ndarray) -> np.uint64:
+    return mix(np.array([own[0] ^ mix(mix(own ^ SEED).min(keepdims=True))[0]], np.uint64))[0]
 
 
 def may_link(size_a: np.ndarray, size_b: np.ndarray, differ: np.ndarray, percent: int) -> np.ndarray:
@@ -108,8 +117,8 @@ def may_link(size_a: np.ndarray, size_b: np.ndarray, differ: np.ndarray, percent
     return (100 + percent) * (total - differ) >= 2 * percent * total
 
 
-def meetings(key: np.ndarray, row: np.ndarray, size: np.ndarray, maps: np.ndarray, percent: int, forest: Forest) -> None:
-    """Joins in the forest rows with a common key whose bitmaps allow a link, a key at a time."""
+def meetings(key: np.ndarray, row: np.ndarray, size: np.ndarray, label: np.ndarray, maps: np.ndarray, percent: int, forest: Forest) -> None:
+    """Joins in the forest rows of two labels with a common key whose bitmaps allow a link, a key at a time."""
     order = np.lexsort((size[row], key))
     bounds = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
     for a, b in zip(bounds.tolist(), [*bounds[1:].tolist(), len(order)], strict=True):
@@ -117,34 +126,47 @@ def meetings(key: np.ndarray, row: np.ndarray, size: np.ndarray, maps: np.ndarra
             continue
         own = np.unique(row[order[a:b]])
         own = own[np.argsort(size[own], kind="stable")]
-        roots = {forest.find(x) for x in own.tolist()}
-        if len(roots) < 2:
+        s, of, m = size[own], label[own], maps[own]
+        kinds, counts = np.unique(of, return_counts=True)
+        if len(kinds) < 2:
             continue
-        s, m = size[own], maps[own]
-        for j in range(1, len(own)):
-            i = int(np.searchsorted(s, -(-s[j] * percent // 100)))
-            if i >= j:
-                continue
-            differ = np.bitwise_count(m[i:j] ^ m[j]).sum(1, dtype=np.int64)
-            for x in (np.flatnonzero(may_link(s[i:j], s[j], differ, percent)) + i).tolist():
+        # rows of the commonest label meet the others from their side
+        for j in np.flatnonzero(of != kinds[counts.argmax()]).tolist():
+            i, k = np.searchsorted(s, -(-s[j] * percent // 100)), np.searchsorted(s, s[j] * 100 // percent, "right")
+            near = np.flatnonzero(of[i:k] != of[j]) + i
+            near = near[may_link(s[near], s[j], np.bitwise_count(m[near] ^ m[j]).sum(1, dtype=np.int64), percent)]
+            for x in near.tolist():
                 forest.join(int(own[x]), int(own[j]))
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """By sorted-array intersection."""
-    both = np.concatenate([a, b])
-    both.sort()
-    inner = int((both[1:] == both[:-1]).sum())
-    return 100 * inner >= percent * (len(a) + len(b) - inner)
+    return bool(links_of(a, [b], percent)[0])
+
 
+def links_of(a: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the sets are linked with a: by intersection of sorted arrays, in one pass."""
+    sizes = np.array([len(x) for x in others])
+    every = np.concatenate(others)
+    same = a[np.minimum(np.searchsorted(a, every), len(a) - 1)] == every
+    inner = np.add.reduceat(same.astype(np.int64), np.cumsum(sizes) - sizes)
+    return 100 * inner >= percent * (len(a) + sizes - inner)
 
-def tile_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Edges that join all linked sets of one tile (side 0), or of side 0 with side 1, in one forest."""
+
+def tile_links(sets: list[np.ndarray], side: np.ndarray, percent: int, label: np.ndarray | None = None, tested: list | None = None) -> list[tuple[int, int]]:
+    """Edges that join all linked sets of one tile (side 0), or of side 0 with side 1, in one forest; sets of a label are joined before.
+
+    tested: gets the number of pairs that pass the bitmaps.
+    """
     sizes = np.array([len(x) for x in sets])
-    maps = np.stack([bitmap(x) for x in sets])
+    words64 = width(int(sizes.max()))
     forest, out = Forest(len(sets)), []
+    if label is not None:
+        _, first, which = np.unique(label, return_index=True, return_inverse=True)
+        for i, x in enumerate(first[which].tolist()):
+            forest.join(i, x)
     order = np.argsort(sizes, kind="stable")
-    s, m, which = sizes[order], maps[order], side[order]
+    s, m, which = sizes[order], np.stack([bitmap(sets[i], words64) for i in order.tolist()]), side[order]
     two = len(np.unique(side)) > 1
     for j in range(1, len(order)):
         i = np.searchsorted(s, -(-s[j] * percent // 100))
@@ -155,11 +177,19 @@ def tile_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[t
         if two:
             pass_ &= which[i:j] != which[j]
         near = np.flatnonzero(pass_)
-        for x in (near[np.argsort(differ[near], kind="stable")] + i).tolist():
-            a, b = int(order[x]), int(order[j])
-            if forest.find(a) != forest.find(b) and linked(sets[a], sets[b], percent):
-                forest.join(a, b)
-                out.append((a, b))
+        if tested is not None:
+            tested.append(len(near))
+        near = order[near[np.argsort(differ[near], kind="stable")] + i].tolist()
+        b = int(order[j])
+        while near:
+            root = forest.find(b)
+            some = [x for x in near if forest.find(x) != root]
+            some, near = some[:16], some[16:]
+            if not some:
+                break
+            for x in np.array(some)[links_of(sets[b], [sets[x] for x in some], percent)].tolist():
+                if forest.join(x, b):
+                    out.append((x, b))
     return out
 
 
@@ -174,77 +204,114 @@ def labelled(docs: DataFrame, folder: str, words_each: int, percent: int, digest
     """doc_id, n_shingles and label of every row: rows of a component have one label, rows without shingles null. digests: and md5 of the text."""
     spark, store = docs.sparkSession, TextStore(f"{folder}/texts")
     files, n = store.append(docs), buckets(docs.sparkSession)
+    early = table(first_links(spark, store, files, words_each, percent, digests), f"{folder}/early")
+    release(spark)
+    joined_early = table(components(early, f"{folder}/first"), f"{folder}/joined")
+    place = F.shiftright("node", 32).cast("int").alias("bucket"), F.col("node").bitwiseAND(F.lit(2**32 - 1)).alias("entry")
+    known = joined_early.select(*place, "label").unionByName(spark.createDataFrame([(x, None, None) for x in files], "bucket int, entry long, label long"))
+    known = deal(known, max(1, store.files))
 
     def send(batches):
-        for batch in batches:
-            for file in batch.column(0).to_pylist():
-                known: dict[bytes, int] = {}
-                ids, entries, sizes, keys, band, owners, md5 = [], [], [], [], [], [], []
-                for doc_ids, _, offsets, data, _ in store.read(file):
-                    if digests:
-                        md5 += [hashlib.md5(memoryview(data)[a:b]).digest() for a, b in zip(offsets, offsets[1:], strict=False)]
-                    for doc, own in zip(doc_ids, shingle_sets(data, offsets, words_each), strict=True):
-                        digest = own.tobytes() if len(own) < 3 else np.array([own.sum(), mix(own ^ SEED).sum(), len(own)], np.uint64).tobytes()
-                        entry = known.setdefault(digest, len(known)) if len(own) else -1
-                        if len(own) and entry == len(known) - 1 and (not owners or owners[-1][0] < entry):
-                            found = parts(own, percent)
-                            keys += [x for _, x in found]
-                            band += [np.full(len(x), b, np.uint8) for b, x in found]
-                            owners.append((entry, sum(len(x) for _, x in found)))
-                        ids.append(doc)
-                        entries.append(entry)
-                        sizes.append(len(own))
-                save(store.side("members", file), [np.array(ids, np.int64), np.array(entries, np.int64), np.array(sizes, np.int64), np.frombuffer(b"".join(md5), np.uint8)])
-                if keys:
-                    key = np.concatenate(keys)
-                    owner = np.repeat(np.array([e for e, _ in owners], np.uint32), [c for _, c in owners])
-                    for bucket, own in by_bucket((key % np.uint64(n)).astype(np.int64), n, [key, owner, np.concatenate(band)]):
-                        yield bucket, dump([*own, np.array([file], np.int32)])
+        for file, (entries, labels) in by_file(batches, 2).items():
+            label, several = labels_of(store, file, entries, labels)
+            keys, band, owners = [], [], []
+            for entry, own in entries_of(store, file, np.arange(len(label)), words_each):
+                for k, x in parts(own, percent):
+                    keys.append(x)
+                    band.append(k)
+                    owners.append(entry)
+            if not keys:
+                continue
+            sizes = [len(x) for x in keys]
+            key, owner, band = np.concatenate(keys), np.repeat(np.array(owners, np.uint32), sizes), np.repeat(np.array(band, np.uint8), sizes)
+            if several.any():  # a key once for each label
+                order = np.lexsort((owner, label[owner], key))
+                same = np.append(False, (key[order][1:] == key[order][:-1]) & (label[owner[order]][1:] == label[owner[order]][:-1]))
+                keep = order[~same]
+                key, owner, band = key[keep], owner[keep], band[keep]
+            for bucket, (k, o, b) in by_bucket((key % np.uint64(n)).astype(np.int64), n, [(key // np.uint64(n)).astype(np.uint32), owner, band]):
+                order = np.argsort(k, kind="stable")
+                whose = np.unique(o)
+                mine = whose[label[whose] != (file << 32) + whose.astype(np.int64)]
+                yield bucket, dump([np.diff(k[order], prepend=np.uint32(0)), o[order], b[order], mine, label[mine], whose[several[whose]], np.array([file, bucket], np.int32)])
 
     def twice(blobs):
-        """For each document the groups that it meets in this bucket: a group is all that have some key, and often many keys have one group."""
-        key, owner, band, file = [], [], [], []
+        """For each document the groups of two labels that it meets in this bucket: a group is all that have some key, and often many keys have one group."""
+        key, owner, band, file, label, many, bucket = [], [], [], [], [], [], 0
         for blob in blobs:
-            k, o, b, f = parse(blob)
-            for to, x in zip((key, owner, band, file), (k, o, b, np.repeat(f, len(k))), strict=True):
+            steps, o, b, mine, other, several, at = parse(blob)
+            own = (int(at[0]) << 32) + o.astype(np.int64)
+            if len(mine):
+                i = np.minimum(np.searchsorted(mine, o), len(mine) - 1)
+                own = np.where(mine[i] == o, other[i], own)
+            bucket = int(at[1])
+            for to, x in zip((key, owner, band, file, label, many), (np.cumsum(steps, dtype=np.uint32), o, b, np.full(len(o), at[0], np.int32), own, np.isin(o, several)), strict=True):
                 to.append(x)
         if not key:
             return
-        key, owner, band, file = (np.concatenate(x) for x in (key, owner, band, file))
-        order = np.argsort(key, kind="stable")
-        heads = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+        key, owner, band, file, label, many = (np.concatenate(x) for x in (key, owner, band, file, label, many))
+        order = np.lexsort((label, key))
+        k, l = key[order], label[order]
+        heads = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
         sizes = np.diff(np.append(heads, len(order)))
+        two = l[heads] != l[heads + sizes - 1]
         node = mix(mix((file[order].astype(np.uint64) << np.uint64(32)) + owner[order]) + band[order])
         group = np.repeat(mix(np.add.reduceat(node, heads) + sizes.astype(np.uint64)), sizes)
-        keep = np.repeat(sizes > 1, sizes)
+        keep = np.repeat(two, sizes)
         hit, group = order[keep], group[keep]
-        once = np.lexsort((group, owner[hit], file[hit]))
-        f, o, g = file[hit][once], owner[hit][once], group[once]
-        new = np.append(True, (f[1:] != f[:-1]) | (o[1:] != o[:-1]) | (g[1:] != g[:-1])) if len(once) else np.empty(0, bool)
+        split = np.where(many[hit], key[hit], 0)  # documents that stand for others need the key
+        once = np.lexsort((split, group, owner[hit], file[hit]))
+        f, o, g, x = file[hit][once], owner[hit][once], group[once], split[once]
+        new = np.append(True, (f[1:] != f[:-1]) | (o[1:] != o[:-1]) | (g[1:] != g[:-1]) | (x[1:] != x[:-1])) if len(once) else np.empty(0, bool)
         hit, group = hit[once][new], g[new]
-        rows = [(k, dump(own)) for k, own in by_bucket(file[hit], store.files, [owner[hit], group, band[hit]])]
+        rows = [(k, dump([*own, np.full(len(own[0]), bucket, np.int32)])) for k, own in by_bucket(file[hit], store.files, [owner[hit], group, band[hit], key[hit]])]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "blob"])
 
     def signatures(batches):
         """Bitmaps of the documents with such groups, one to each bucket and band of theirs, with the groups."""
         found: dict[int, list[list[np.ndarray]]] = {}
+        given: dict[int, list[tuple]] = {}
         for batch in batches:
-            for file, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found.setdefault(file, []).append(parse(blob))
+            for file, blob, entry, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if blob is not None:
+                    found.setdefault(file, []).append(parse(blob))
+                elif entry is not None:
+                    given.setdefault(file, []).append((entry, label))
         for file, blobs in found.items():
-            owner, group, band = (np.concatenate(x) for x in zip(*blobs, strict=True))
+            mine = np.array(given.get(file, []), np.int64).reshape(-1, 2)
+            label, several = labels_of(store, file, mine[:, 0], mine[:, 1])
+            owner, group, band, key, bucket = (np.concatenate(x) for x in zip(*blobs, strict=True))
+            owner = owner.astype(np.int64)
+            wanted = several[owner]
+            # of a label with several documents, all those that have the key
+            full = key[wanted].astype(np.uint64) * np.uint64(n) + bucket[wanted].astype(np.uint64)
+            tags, tag_label, tag_band, tag_group = full, label[owner[wanted]], band[wanted], group[wanted]
+            order = np.argsort(tags, kind="stable")
+            tags, tag_label, tag_band, tag_group = tags[order], tag_label[order], tag_band[order], tag_group[order]
             order = np.lexsort((group, band, owner))
-            owner, group, band = owner[order].astype(np.int64), group[order], band[order]
+            owner, group, band = owner[order], group[order], band[order]
+            need = np.union1d(owner, np.flatnonzero(np.isin(label, tag_label)))
             out: dict[tuple[int, int], list[tuple]] = {}
             held = 0
-            for entry, own in entries_of(store, file, np.unique(owner), words_each):
+            for entry, own in entries_of(store, file, need, words_each):
                 a, b = np.searchsorted(owner, [entry, entry + 1])
+                groups: dict[int, list[np.ndarray]] = {}
                 for k in np.unique(band[a:b]).tolist():
-                    mine = np.unique(group[a:b][band[a:b] == k])
-                    bits = bitmap(own, width(k))
+                    groups.setdefault(k, []).append(group[a:b][band[a:b] == k])
+                if several[entry] and len(tags):
+                    for k, x in parts(own, percent):
+                        x = np.unique(x // np.uint64(n) % np.uint64(2**32) * np.uint64(n) + x % np.uint64(n))
+                        lo, hi = np.searchsorted(tags, x), np.searchsorted(tags, x, "right")
+                        at = np.concatenate([np.arange(i, j) for i, j in zip(lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True)] or [np.empty(0, np.int64)]).astype(np.int64)
+                        at = at[(tag_label[at] == label[entry]) & (tag_band[at] == k)]
+                        if len(at):
+                            groups.setdefault(k, []).append(tag_group[at])
+                for k, mine in groups.items():
+                    mine = np.unique(np.concatenate(mine))
+                    bits = bitmap(own, width(int(BANDS[k + 1])))
                     to = (mine % np.uint64(n)).astype(np.int64)
-                    for bucket in np.unique(to).tolist():
-                        out.setdefault((bucket, k), []).append(((file << 32) + entry, len(own), bits, mine[to == bucket]))
+                    for bucket_ in np.unique(to).tolist():
+                        out.setdefault((bucket_, k), []).append(((file << 32) + entry, len(own), int(label[entry]), bits, mine[to == bucket_]))
                         held += len(bits)
                 if held > 1 << 20:
                     yield from signed(out)
@@ -253,8 +320,8 @@ def labelled(docs: DataFrame, folder: str, words_each: int, percent: int, digest
 
     def signed(out):
         for (bucket, band), rows in out.items():
-            counts = np.array([len(r[3]) for r in rows], np.int64)
-            yield bucket, dump([np.array([band], np.int32), np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), counts, np.concatenate([r[3] for r in rows]), np.concatenate([r[2] for r in rows])])
+            counts = np.array([len(r[4]) for r in rows], np.int64)
+            yield bucket, dump([np.array([band], np.int32), *[np.array([r[j] for r in rows], np.int64) for j in range(3)], counts, np.concatenate([r[4] for r in rows]), np.concatenate([r[3] for r in rows])])
 
     def meet(blobs):
         """One forest of the documents of this bucket that may be linked."""
@@ -264,9 +331,9 @@ def labelled(docs: DataFrame, folder: str, words_each: int, percent: int, digest
             by_band.setdefault(int(band[0]), []).append(rest)
         a, b = [], []
         for band, found in by_band.items():
-            node, size, counts, key, maps = (np.concatenate(x) for x in zip(*found, strict=True))
+            node, size, label, counts, key, maps = (np.concatenate(x) for x in zip(*found, strict=True))
             forest = Forest(len(node))
-            meetings(key, np.repeat(np.arange(len(node)), counts), size, maps.reshape(len(node), -1), percent, forest)
+            meetings(key, np.repeat(np.arange(len(node)), counts), size, label, maps.reshape(len(node), -1), percent, forest)
             root = np.array([forest.find(x) for x in range(len(node))], np.int64)
             own = np.flatnonzero(root != np.arange(len(node)))
             a.append(node[own])
@@ -274,8 +341,9 @@ def labelled(docs: DataFrame, folder: str, words_each: int, percent: int, digest
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    hits = packed(store.listed(spark, files), send, twice, "bucket int, blob binary", n)
-    met = table(packed(deal(hits, max(1, store.files)), signatures, meet, "a long, b long", n), f"{folder}/met")
+    hits = packed(known, send, twice, "bucket int, blob binary", n).select("bucket", "blob", F.lit(None).cast("long").alias("entry"), F.lit(None).cast("long").alias("label"))
+    given = joined_early.select(place[0], F.lit(None).cast("binary").alias("blob"), place[1], "label")
+    met = table(packed(deal(hits.unionByName(given), max(1, store.files)), signatures, meet, "a long, b long", n), f"{folder}/met")
     del hits
     release(spark)
     families = table(components(met, f"{folder}/families"), f"{folder}/family")
@@ -283,36 +351,34 @@ def labelled(docs: DataFrame, folder: str, words_each: int, percent: int, digest
     members = table(members, f"{folder}/members")
     entries = members.filter("entry >= 0").groupBy("node").agg(F.first("n_shingles").alias("size"))
     placed = families.join(entries, "node").select("node", F.col("label").alias("family"), "size", F.floor(F.log("size") / F.log(F.lit(1.02))).cast("int").alias("band"))
-    placed = table(placed, f"{folder}/placed")
-    totals = table(placed.groupBy("family", "band").agg(F.count("*").alias("n")), f"{folder}/totals")
-    whole = table(totals.groupBy("family").agg(F.sum("n").alias("all")), f"{folder}/whole")
+    placed = table(placed.join(joined_early.select("node", F.col("label").alias("known")), "node", "left").withColumn("known", F.coalesce("known", "node")), f"{folder}/placed")
+    totals = table(placed.groupBy("family", "band").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")), f"{folder}/totals")
+    share = f"greatest({{n}} / {TILE}, {{s}} / {TILE_SHINGLES})"
+    whole = table(totals.groupBy("family").agg(F.expr(share.format(n="sum(n)", s="sum(shingles)") + " <= 1").alias("single")), f"{folder}/whole")
     reach = int(np.ceil(np.log(100 / percent) / np.log(1.02))) + 1
     placed = placed.join(whole, "family").join(totals, ["family", "band"])
-    placed = placed.withColumn("tile", F.when(F.col("all") <= TILE, F.lit(-1)).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / TILE)))).withColumn("band", F.when(F.col("tile") < 0, 0).otherwise(F.col("band")))
-    placed = table(placed.select("node", "family", "band", "tile"), f"{folder}/tiles")
-    large = table(placed.filter("tile >= 0").select("family", "band", "tile").distinct(), f"{folder}/large")
-    other = large.select("family", F.col("band").alias("band2"), F.col("tile").alias("tile2"))
-    pairs = large.join(other, "family").filter(f"band2 between band and band + {reach} and (band2 > band or tile2 >= tile)")
+    placed = placed.withColumn("tile", F.when(F.col("single"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("node"), F.expr("ceil(" + share.format(n="n", s="shingles") + ")")))).withColumn("band", F.when(F.col("tile") < 0, 0).otherwise(F.col("band")))
+    placed = table(placed.select("node", "family", "band", "tile", "known"), f"{folder}/tiles")
+    large = table(placed.filter("tile >= 0").groupBy("family", "band", "tile").agg(F.min("known").alias("low"), F.max("known").alias("high")), f"{folder}/large")
+    other = large.select("family", F.col("band").alias("band2"), F.col("tile").alias("tile2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    # each tile meets those of the bands within reach; two tiles of one label have nothing to find
+    reached = large.withColumn("band2", F.explode(F.sequence("band", F.col("band") + reach)))
+    pairs = reached.join(other, ["family", "band2"]).filter("(band2 > band or tile2 >= tile) and not (low = high and low2 = high2 and low = low2)")
     task = F.xxhash64("family", "band", "tile", "band2", "tile2")
     sides = pairs.select("family", "band", "tile", task.alias("task"), F.lit(0).alias("side")).unionByName(pairs.filter("band2 > band or tile2 > tile").select("family", F.col("band2").alias("band"), F.col("tile2").alias("tile"), task.alias("task"), F.lit(1).alias("side")))
-    wanted = placed.filter("tile < 0").select("node", F.xxhash64("family").alias("task"), F.lit(0).alias("side")).unionByName(placed.filter("tile >= 0").join(sides, ["family", "band", "tile"]).select("node", "task", "side"))
-    wanted = wanted.select(F.shiftright("node", 32).cast("int").alias("bucket"), F.col("node").bitwiseAND(F.lit(2**32 - 1)).alias("entry"), "task", "side")
+    wanted = placed.filter("tile < 0").select("node", F.xxhash64("family").alias("task"), F.lit(0).alias("side"), "known").unionByName(placed.filter("tile >= 0").join(sides, ["family", "band", "tile"]).select("node", "task", "side", "known"))
+    wanted = wanted.select(place[0], place[1], "task", "side", "known")
 
     def ship(batches):
-        tasks: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            file, *rest = (c.to_numpy() for c in batch.columns)
-            for f in np.unique(file):
-                tasks.setdefault(int(f), []).append(np.stack([x[file == f].astype(np.int64) for x in rest]))
-        for file, found in tasks.items():
-            entry, task, side = np.concatenate(found, 1)
+        for file, found in by_file(batches, 4).items():
+            entry, *found = found
             order = np.argsort(entry, kind="stable")
-            entry, task, side = entry[order], task[order], side[order]
+            entry, (task, side, label) = entry[order], (x[order] for x in found)
             out, sent = {}, 0
             for e, got in entries_of(store, file, np.unique(entry), words_each):
                 a, b = np.searchsorted(entry, [e, e + 1])
-                for t, s in zip(task[a:b].tolist(), side[a:b].tolist(), strict=True):
-                    out.setdefault(t % n, []).append((t, s, (file << 32) + e, got))
+                for t, s, x in zip(task[a:b].tolist(), side[a:b].tolist(), label[a:b].tolist(), strict=True):
+                    out.setdefault(t % n, []).append((t, s, (file << 32) + e, x, got))
                     sent += len(got)
                 if sent > 1 << 20:
                     yield from flush(out)
@@ -321,10 +387,10 @@ def labelled(docs: DataFrame, folder: str, words_each: int, percent: int, digest
 
     def flush(out):
         for bucket, rows in out.items():
-            yield bucket, dump([np.array([r[j] for r in rows], np.int64) for j in range(3)] + [np.array([len(r[3]) for r in rows], np.int64), np.concatenate([r[3] for r in rows])])
+            yield bucket, dump([np.array([r[j] for r in rows], np.int64) for j in range(4)] + [np.array([len(r[4]) for r in rows], np.int64), np.concatenate([r[4] for r in rows])])
 
     def compare(blobs):
-        task, side, node, sizes, sets = joined(blobs, [np.int64] * 4 + [np.uint64])
+        task, side, node, label, sizes, sets = joined(blobs, [np.int64] * 5 + [np.uint64])
         if not len(task):
             return
         ends = np.cumsum(sizes)
@@ -332,23 +398,151 @@ def labelled(docs: DataFrame, folder: str, words_each: int, percent: int, digest
         bounds = np.flatnonzero(np.append(True, task[order][1:] != task[order][:-1]))
         for a, b in zip(bounds, [*bounds[1:], len(order)], strict=True):
             rows = order[a:b]
-            edges = tile_links([sets[ends[r] - sizes[r] : ends[r]] for r in rows], side[rows], percent)
+            edges = tile_links([sets[ends[r] - sizes[r] : ends[r]] for r in rows], side[rows], percent, label[rows])
             if edges:
                 x, y = np.array(edges).T
                 yield pa.RecordBatch.from_arrays([pa.array(node[rows[x]]), pa.array(node[rows[y]])], ["a", "b"])
 
     sent = arrow(deal(wanted, max(1, store.files)), lambda batches: rows_of(ship(batches)), "bucket int, blob binary")
-    links = table(arrow(deal(sent, n), lambda batches: compare([x for b in batches for x in b.column(1).to_pylist()]), "a long, b long"), f"{folder}/links")
+    links = arrow(deal(sent, n), lambda batches: compare([x for b in batches for x in b.column(1).to_pylist()]), "a long, b long")
+    links = table(links.unionByName(early), f"{folder}/links")
     labels = components(links, f"{folder}/components")
     rows = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rows = table(rows.select("doc_id", "n_shingles", F.when(F.col("entry") >= 0, F.col("label")).alias("label"), *["md5"] * digests), f"{folder}/labelled")
-    for name in ("texts", "met", "families", "family", "members", "placed", "totals", "whole", "tiles", "large", "links", "components"):
+    for name in ("texts", "early", "first", "joined", "met", "families", "family", "members", "placed", "totals", "whole", "tiles", "large", "links", "components"):
         remove(f"{folder}/{name}")
-    del sent
+    del sent, known, given
     release(spark)
     return rows
 
 
+def first_links(spark: SparkSession, store: TextStore, files: list[int], words_each: int, percent: int, digests: bool) -> DataFrame:
+    """Writes the members of each file; edges (a, b) between linked documents that share a sketch, stars about its first."""
+    n = buckets(spark)
+
+    def send(batches):
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                known: dict[bytes, int] = {}
+                ids, entries, sizes, sketches, md5 = [], [], [], [], []
+                for doc_ids, _, offsets, data, _ in store.read(file):
+                    if digests:
+                        md5 += [hashlib.md5(memoryview(data)[a:b]).digest() for a, b in zip(offsets, offsets[1:], strict=False)]
+                    for doc, own in zip(doc_ids, shingle_sets(data, offsets, words_each), strict=True):
+                        digest = own.tobytes() if len(own) < 3 else np.array([own.sum(), mix(own ^ SEED).sum(), len(own)], np.uint64).tobytes()
+                        entry = known.setdefault(digest, len(known)) if len(own) else -1
+                        if entry == len(sketches):
+                            sketches.append(sketch(own))
+                        ids.append(doc)
+                        entries.append(entry)
+                        sizes.append(len(own))
+                found = np.array(sketches, np.uint64)
+                save(store.side("members", file), [np.array(ids, np.int64), np.array(entries, np.int64), np.array(sizes, np.int64), np.frombuffer(b"".join(md5), np.uint8)])
+                save(store.side("sketches", file), [found])
+                found = np.unique(found)
+                for bucket, own in by_bucket((found % np.uint64(n)).astype(np.int64), n, [found]):
+                    yield bucket, dump([*own, np.array([file], np.int32)])
+
+    def shared(blobs):
+        found = [parse(x) for x in blobs]
+        if not found:
+            return
+        value, file = np.concatenate([x for x, _ in found]), np.concatenate([np.repeat(f, len(x)) for x, f in found])
+        once, of, counts = np.unique(value, return_inverse=True, return_counts=True)
+        hit = counts[of] > 1
+        rows = [(k, dump(own)) for k, own in by_bucket(file[hit], store.files, [value[hit]])]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "blob"])
+
+    def star(nodes: list[int], sets: list[np.ndarray]) -> tuple[np.ndarray, list[int]]:
+        """Edges to the first, and the places of the sets that aren't linked with it."""
+        ok = links_of(sets[0], sets[1:], percent) if len(sets) > 1 else np.empty(0, bool)
+        rest = np.array(nodes[1:], np.int64)
+        return np.stack([rest[ok], np.full(int(ok.sum()), nodes[0], np.int64)]), (np.flatnonzero(~ok) + 1).tolist()
+
+    def ship(batches):
+        asked: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for file, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                asked.setdefault(file, []).extend(parse(blob) if blob else [])
+        for file, values in asked.items():
+            (own,) = load(store.side("sketches", file))
+            once, of, counts = np.unique(own, return_inverse=True, return_counts=True)
+            across = np.isin(once, np.concatenate(values)) if values else np.zeros(len(once), bool)
+            wanted = np.flatnonzero((across | (counts > 1))[of])
+            first: dict[int, tuple[int, np.ndarray]] = {}
+            out: dict[int, list[tuple]] = {}
+            edges, sent = [], 0
+            for entry, got in entries_of(store, file, wanted, words_each):
+                value, node = int(own[entry]), (file << 32) + entry
+                if value in first and linked(first[value][1], got, percent):
+                    edges.append((node, first[value][0]))
+                    continue
+                if value not in first and counts[of[entry]] > 1:
+                    first[value] = node, got
+                if across[of[entry]]:
+                    out.setdefault(value % n, []).append((value, node, got))
+                    sent += len(got)
+                if sent > 1 << 20:
+                    yield from flush(out)
+                    out, sent = {}, 0
+            yield from flush(out)
+            if edges:
+                yield file % n, dump([np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.array(edges, np.int64).ravel()])
+
+    def flush(out):
+        for bucket, rows in out.items():
+            yield bucket, dump([np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64), np.array([len(r[2]) for r in rows], np.int64), np.concatenate([r[2] for r in rows]), np.empty(0, np.int64)])
+
+    def verify(batches):
+        """Each set is compared with the first of its sketch, and goes."""
+        first: dict[int, tuple[int, np.ndarray]] = {}
+        for batch in batches:
+            for blob in batch.column(1).to_pylist():
+                value, node, sizes, sets, local = parse(blob)
+                ends = np.cumsum(sizes)
+                a, b = local[::2].tolist(), local[1::2].tolist()
+                groups: dict[int, list[int]] = {}
+                for i, v in enumerate(value.tolist()):
+                    groups.setdefault(v, []).append(i)
+                for v, rows in groups.items():
+                    got = [sets[ends[i] - sizes[i] : ends[i]] for i in rows]
+                    nodes = node[rows].tolist()
+                    if v in first:
+                        got, nodes = [first[v][1], *got], [first[v][0], *nodes]
+                    else:
+                        first[v] = nodes[0], got[0].copy()
+                    edges, _ = star(nodes, got)
+                    a += edges[0].tolist()
+                    b += edges[1].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    listed = store.listed(spark, files)
+    asked = packed(listed, send, shared, "bucket int, blob binary", n)
+    sent = arrow(deal(asked.unionByName(listed), max(1, store.files)), lambda batches: rows_of(ship(batches)), "bucket int, blob binary")
+    return arrow(deal(sent, n), verify, "a long, b long")
+
+
+def by_file(batches, columns: int) -> dict[int, list[np.ndarray]]:
+    """The rows of each file, a column each after that of the file; rows of nulls only name a file."""
+    found: dict[int, list[list[np.ndarray]]] = {}
+    for batch in batches:
+        file = batch.column(0).to_numpy()
+        some = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+        rest = [c.fill_null(0).to_numpy().astype(np.int64) for c in batch.columns[1:]]
+        for f in np.unique(file).tolist():
+            found.setdefault(f, []).append([x[(file == f) & some] for x in rest])
+    return {f: [np.concatenate(x) for x in zip(*parts, strict=True)] for f, parts in found.items()}
+
+
+def labels_of(store: TextStore, file: int, entries: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The label of each entry of a file, its own number where it has no other; and whether another entry here has it, too."""
+    (own,) = load(store.side("sketches", file))
+    label = (file << 32) + np.arange(len(own))
+    label[entries] = labels
+    _, of, counts = np.unique(label, return_inverse=True, return_counts=True)
+    return label, counts[of] > 1
+
+
 def entries_of(store: TextStore, file: int, wanted: np.ndarray, words_each: int):
     """The sets of these entries of a file."""
     _, of, *_ = load(store.side("members", file))
@@ -359,9 +553,11 @@ def entries_of(store: TextStore, file: int, wanted: np.ndarray, words_each: int)
     need[first[wanted]] = True
     at = 0
     for ids, _, offsets, data, _ in store.read(file):
-        for i in np.flatnonzero(need[at : at + len(ids)]).tolist():
-            x = data[offsets[i] : offsets[i + 1]]
-            yield int(of[at + i]), shingle_sets(x, np.array([0, len(x)]), words_each)[0]
+        rows = np.flatnonzero(need[at : at + len(ids)])
+        if len(rows) < len(ids):
+            texts = [data[offsets[i] : offsets[i + 1]] for i in rows.tolist()]
+            offsets, data = np.cumsum([0, *map(len, texts)]), np.concatenate(texts) if texts else data[:0]
+        yield from zip(of[at + rows].tolist(), shingle_sets(data, offsets, words_each), strict=True)
         at += len(ids)
 
 
@@ -391,15 +587,16 @@ def one_of_each(docs: DataFrame, folder: str, words_each: int = 5, percent: int
     rows, key = labelled(docs, folder, words_each, percent, digests=True), ["doc_id", "md5"]
     found = rows.filter("label is not null").groupBy("label", *key).agg(F.count("*").alias("n")).withColumn("key", F.struct(F.col("doc_id").isNull().alias("last"), *key))
     found = table(found, f"{folder}/keys")
-    first = table(found.groupBy("label").agg(F.min("key").alias("first"), F.sum("n").alias("all")).filter("all > 1"), f"{folder}/first")
-    found = table(found.join(first, "label").filter("key <> first or n > 1").select(F.col("doc_id").alias("_id"), F.col("md5").alias("_md5"), (F.col("key") == F.col("first")).alias("_stays")), f"{folder}/found")
-    for name in ("labelled", "keys", "first"):
+    first = table(found.groupBy("label").agg(F.min("key").alias("first"), F.sum("n").alias("all")).filter("all > 1"), f"{folder}/least")
+    id_, md5_, stays = (unused(docs, x) for x in ("id_kept", "md5_kept", "stays"))
+    found = table(found.join(first, "label").filter("key <> first or n > 1").select(F.col("doc_id").alias(id_), F.col("md5").alias(md5_), (F.col("key") == F.col("first")).alias(stays)), f"{folder}/found")
+    for name in ("labelled", "keys", "least"):
         remove(f"{folder}/{name}")
     own, md5 = F.col("doc_id").cast("long"), F.unhex(F.md5(F.col("text").cast("binary")))
-    same = own.eqNullSafe(F.col("_id")) & (md5 == F.col("_md5"))
+    same = own.eqNullSafe(F.col(id_)) & (md5 == F.col(md5_))
     kept = docs.join(found, same, "left_anti")
-    repeated = found.filter("_stays")
+    repeated = found.filter(stays)
     if repeated.isEmpty():
         return kept
-    one = docs.join(repeated, same, "left_semi").withColumn("_md5", md5).dropDuplicates(["doc_id", "_md5"]).drop("_md5")
+    one = docs.join(repeated, same, "left_semi").withColumn(md5_, md5).dropDuplicates(["doc_id", md5_]).drop(md5_)
     return kept.unionByName(one)

@@ -83,6 +83,30 @@ def test_parts_meet_whenever_sets_are_linked():
             assert differ <= len(np.setxor1d(a, b))
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_bitmaps_hold_for_large_sets(percent):
+    rng = np.random.default_rng(3)
+    common = rng.integers(0, 2**64, 700, np.uint64)
+    sets = [np.unique(np.concatenate([common, rng.integers(0, 2**64, 1300, np.uint64)])) for _ in range(200)]
+    sets += [np.unique(np.concatenate([sets[i][20:], rng.integers(0, 2**64, 20, np.uint64)])) for i in range(10)]
+    tested: list[int] = []
+    edges = jaccard.tile_links(sets, np.zeros(len(sets), np.int64), percent, tested=tested)
+    assert sorted((min(x), max(x)) for x in edges) == [(i, 200 + i) for i in range(10)]
+    assert sum(tested) <= 12  # of 21,945 pairs
+
+
+def test_labels_are_not_compared_again():
+    sets = [np.arange(i, i + 100, dtype=np.uint64) << np.uint64(40) for i in (0, 1, 2, 3)]
+    edges = jaccard.tile_links(sets, np.zeros(4, np.int64), 90, np.array([7, 7, 7, 9]))
+    assert len(edges) == 1 and 3 in edges[0]
+
+
+def test_columns_with_the_operators_names(spark):
+    a, b = prose(1, 300), prose(7, 200)
+    docs = spark.createDataFrame([(1, a, 1, "x", True), (2, a, 2, "y", False), (3, b, 3, "z", True)], "doc_id long, text string, id_kept long, md5_kept string, stays boolean")
+    assert sorted(map(tuple, jaccard.one_of_each(docs, work_dir(spark, "t8")).collect())) == [(1, a, 1, "x", True), (3, b, 3, "z", True)]
+
+
 def test_one_of_each(spark):
     docs = documents(spark, near(5))
     kept = jaccard.one_of_each(docs, work_dir(spark, "t8"))
