@@ -1,17 +1,24 @@
 """Suffix-array deduplication with a logarithmic family of indexes.
 
-The suffixes that are indexed start at minimizers: of the ``WIDTH`` places in a string of ``match`` bytes at which 16 bytes
-fit, the one whose 16 bytes hash least. It depends on the string alone, so equal strings meet at equal suffixes, about
-one byte in 18 is indexed, and nothing is missed. A batch's suffix array holds the first ``PREFIX`` bytes of each
-suffix and its file, in lexical order, dealt to buckets by prefix. It is merge-scanned against the arrays of the
-levels; prefixes found in two files go back to both, whose matching strings ("runs": all strings with one
-minimizer) are then compared whole. Levels of equal size merge, so a row is rewritten once a doubling.
-
-Strings are compared byte by byte after their hashes agree. Equal documents and equal runs of a file are sent once, so a hot
-document or passage costs one entry a file.
+The suffixes that are indexed start at minimizers: of the places in a string of ``match`` bytes at which GRAM bytes fit, the one
+whose bytes hash least. It depends on the string alone, so equal strings meet at equal suffixes, about one byte in 20 is
+indexed, and nothing is missed. Of each suffix, a level holds its first bytes, fingerprints of what is right of its start, left of it and of its
+whole surroundings (all strings about it), and its place: file, batch and byte. Levels are in lexical order, dealt to buckets by ranges.
+
+A new batch's suffixes are sorted and merge-scanned against the levels. Surroundings that an older batch has are repeated, without
+a look at the text. Otherwise a string about the suffix that another document has is wholly in
+the right or the left half of what surrounds both: neighbours in the merged array that agree to the right (by ``match`` - half
+bytes), or suffixes that agree to the left, may hold one. Only these stretches are fetched, by their places, and compared: in the
+middle of a long match, surroundings agree whole, so only its ends are. A level keeps each surroundings once, so a hot passage is
+one row, whatever its copies. Levels of equal size merge, bucket by bucket and without a shuffle; a row is rewritten once a doubling.
+The last batch isn't inserted.
+
+Batches come in ascending doc_id, so all that a level holds is of smaller doc_ids. Whole copies are found first, by 128-bit digests; only
+the first of them is indexed. Strings are compared byte by byte after their hashes agree; whole surroundings by 64-bit hashes beside their prefixes.
 
 Null texts are empty. Null doc_ids come after all others. Rows with equal doc_id don't remove each other's bytes. Texts
-under ``match`` bytes keep all. An empty table gives no rows.
+under ``match`` bytes keep all. Texts of any length are indexed in pieces; a task holds one whole. An empty table gives no rows. Columns
+other than doc_id and text aren't read; ``cut`` returns them as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,10 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import Substrings, arrow, buckets, deal, mix, packed, release, remove, table
-from quillspark.llm.store import TextStore, by_bucket, dump, joined, load, parse, save
+from quillspark.llm.common import SLICE_BYTES, Substrings, arrow, buckets, deal, mix, release, remove, table
+from quillspark.llm.store import LAST, TextStore, by_bucket, dump, joined, load, parse, save
 
-GRAM, PREFIX, PLACE = 16, 12, np.uint64(28)
+GRAM, PLACE = 12, np.uint64(28)
+PIECE = SLICE_BYTES - 1024
+ALL = np.uint64(2**64 - 1)
+RIGHT, LEFT = 0, 1
 
 
 def windows_min(h: np.ndarray, width: int) -> np.ndarray:
@@ -39,41 +49,48 @@ def windows_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - size)], h[width - size :]) if width > size else h
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, match: int) -> tuple[np.ndarray, ...]:
-    """Of each run: its first string's start, how many strings, the minimizer's place, the text."""
-    n, width = len(data), match - GRAM + 1
-    none = np.empty(0, np.int64)
-    if n < match:
-        return none, none, none, none
-    if n >= 1 << int(PLACE):
-        raise ValueError("a text of 256 MB or more")
-    at = np.arange(n - GRAM + 1)
-    h = Substrings(data)(at, at + GRAM)
-    h = (h >> PLACE << PLACE) | at.astype(np.uint64)
-    anchor = (windows_min(h, width) & np.uint64((1 << int(PLACE)) - 1)).astype(np.int64)
-    valid = np.zeros(len(anchor) + 1, np.int32)
-    sizes = np.diff(offsets)
-    long = sizes >= match
-    np.add.at(valid, offsets[:-1][long], 1)
-    np.add.at(valid, (offsets[1:] - match + 1)[long], -1)
-    valid = np.cumsum(valid[:-1]) > 0
-    border = np.zeros(len(anchor) + 1, bool)
-    border[offsets[:-1][long]] = True
-    new = valid.copy()
-    new[1:] &= border[1:-1] | ~valid[:-1] | (anchor[1:] != anchor[:-1])
-    start = np.flatnonzero(new)
-    stop = np.flatnonzero(valid & np.append(new[1:] | ~valid[1:], True)) + 1
-    return start, stop - start, anchor[start], np.searchsorted(offsets, start, "right") - 1
-
-
-def prefixes(data: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first 8 and the next 4 bytes of each suffix, as numbers in lexical order."""
-    chars = data[anchor[:, None] + np.arange(PREFIX)]
-    return chars[:, :8].copy().view(">u8").ravel().astype(np.uint64), chars[:, 8:].copy().view(">u4").ravel().astype(np.uint32)
-
-
-def key(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    return mix(hi ^ mix(lo.astype(np.uint64) + np.uint64(1)))
+def suffixes(data: np.ndarray, offsets: np.ndarray, match: int):
+    """Of each minimizer in order: place, text, first 8 and next 4 bytes as numbers in lexical order, fingerprints of right, left (0: too near the text's end) and surroundings."""
+    width, half = match - GRAM + 1, (match - GRAM + 1) // 2
+    last = -1
+    for a in range(0, max(len(data) - match + 1, 0), PIECE):
+        low, high = max(0, a - 2 * match), min(len(data), a + PIECE + 2 * match)
+        own = data[low:high]
+        hashed = Substrings(own)
+        at = np.arange(len(own) - GRAM + 1)
+        h = (hashed(at, at + GRAM) >> PLACE << PLACE) | at.astype(np.uint64)
+        anchor = (windows_min(h, width) & np.uint64((1 << int(PLACE)) - 1)).astype(np.int64)
+        inside = offsets[(offsets > low) & (offsets < high)] - low
+        steps = np.zeros(len(anchor) + 1, np.int32)
+        np.add.at(steps, np.clip(inside - match + 1, 0, len(anchor)), 1)
+        np.add.at(steps, np.clip(inside, 0, len(anchor)), -1)
+        valid = np.cumsum(steps[:-1]) == 0  # strings that don't cross texts
+        valid[: a - low] = False
+        valid[a - low + PIECE :] = False
+        p = anchor[valid]
+        p = p[np.append(True, p[1:] != p[:-1])] if len(p) else p
+        p = p[p + low > last]
+        if not len(p):
+            continue
+        last = int(p[-1]) + low
+        text = np.searchsorted(offsets, p + low, "right") - 1
+        start, end = np.maximum(offsets[text] - low, 0), np.minimum(offsets[text + 1] - low, len(own))
+        chars = own[p[:, None] + np.arange(GRAM)]
+        right, left = p + match - half, p - half
+        r = np.where(right <= end, hashed(p, np.minimum(right, len(own))) >> np.uint64(32) | np.uint64(1), np.uint64(0))
+        l = np.where(left >= start, hashed(np.maximum(left, 0), p + GRAM) >> np.uint64(32) | np.uint64(1), np.uint64(0))  # noqa: E741
+        start, end = np.maximum(start, p - width + 1), np.minimum(end, p + match)
+        f = mix(hashed(start, end) ^ ((p - start) << 8 | (end - p)).astype(np.uint64))
+        yield p + low, text, chars[:, :8].copy().view(">u8").ravel().astype(np.uint64), chars[:, 8:].copy().view(">u4").ravel().astype(np.uint32), r.astype(np.uint32), l.astype(np.uint32), f
+
+
+def stretch(p: np.ndarray, offsets: np.ndarray, side: np.ndarray, match: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start of the right or left half of what surrounds each place of a batch, and how many strings it has."""
+    width, half = match - GRAM + 1, (match - GRAM + 1) // 2
+    text = np.searchsorted(offsets, p, "right") - 1
+    start = np.maximum(offsets[text], np.where(side == RIGHT, p - half, p - width + 1))
+    end = np.minimum(offsets[text + 1], np.where(side == RIGHT, p + match, p + match - half))
+    return start, np.maximum(end - start - match + 1, 0)
 
 
 def originals(digests: list[bytes], ids: np.ndarray, least: dict[bytes, tuple[int, int]], at: int) -> None:
@@ -83,79 +100,76 @@ def originals(digests: list[bytes], ids: np.ndarray, least: dict[bytes, tuple[in
         least[digest] = place, min(best, doc)
 
 
-def batches_of(store: TextStore, file: int, match: int):
-    """Each batch of a file with the runs of the texts that aren't copies within the file."""
+def digests_of(store: TextStore, file: int) -> dict[bytes, tuple[int, int]]:
     least: dict[bytes, tuple[int, int]] = {}
     at = 0
-    for ids, _, _, _, digests in store.read(file):
-        originals(digests, ids, least, at)
+    for _, batch in store.batches(file, columns=[0, 2]):
+        ids = batch.column(0).fill_null(LAST).to_numpy()
+        originals(batch.column(1).to_pylist(), ids, least, at)
         at += len(ids)
+    return least
+
+
+def pairs_of(digests: list[bytes]) -> np.ndarray:
+    """Both halves of each digest, in turn."""
+    return np.frombuffer(b"".join(digests), np.uint64)
+
+
+def batches_of(store: TextStore, file: int):
+    """Each batch of a file with: which texts are the first copies in it, and the least doc_id of each text's copies."""
+    least = digests_of(store, file)
     at = 0
     for ids, null, offsets, data, digests in store.read(file):
         found = [least[d] for d in digests]
-        original = np.array([p == at + i for i, (p, _) in enumerate(found)], bool)
-        best = np.array([b for _, b in found], np.int64)
-        start, count, anchor, text = runs(data, offsets, match)
-        own = original[text] if len(text) else np.zeros(0, bool)
-        yield ids, null, offsets, data, digests, original, best, start[own], count[own], anchor[own], text[own]
+        yield ids, null, offsets, data, digests, np.array([p == at + i for i, (p, _) in enumerate(found)], bool), np.array([b for _, b in found], np.int64)
         at += len(ids)
 
 
-def suffix_array(store: TextStore, file: int, match: int) -> tuple[np.ndarray, np.ndarray]:
-    parts = [prefixes(data, anchor) for _, _, _, data, _, _, _, _, _, anchor, _ in batches_of(store, file, match) if len(anchor)]
-    if not parts:
-        return np.empty(0, np.uint64), np.empty(0, np.uint32)
-    hi, lo = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((lo, hi))
-    hi, lo = hi[order], lo[order]
-    new = np.append(True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1]))
-    return hi[new], lo[new]
-
-
-def chosen_runs(store: TextStore, file: int, match: int, wanted: np.ndarray):
-    """(doc, strings, padded bytes, group's first?, group) of the runs of a file whose prefix is wanted or recurs in the file."""
-    found, where, size = [], [], match + (match - GRAM)
-    batches = [x for x in batches_of(store, file, match)]
-    keys = [key(*prefixes(x[3], x[9])) if len(x[9]) else np.empty(0, np.uint64) for x in batches]
-    every = np.sort(np.concatenate(keys)) if keys else np.empty(0, np.uint64)
-    own = np.unique(every[1:][every[1:] == every[:-1]])
-    wanted = np.union1d(wanted, own)
-    for number, (x, k) in enumerate(zip(batches, keys, strict=True)):
-        _, _, _, data, _, _, best, start, count, _, text = x
-        at = np.searchsorted(wanted, k)
-        take = np.flatnonzero((at < len(wanted)) & (wanted[np.minimum(at, len(wanted) - 1)] == k)) if len(wanted) else np.empty(0, np.int64)
-        start, count, text, k = start[take], count[take], text[take], k[take]
-        place = start[:, None] + np.arange(size)
-        chars = np.where(np.arange(size) < (count + match - 1)[:, None], data[np.minimum(place, len(data) - 1)], 0).astype(np.uint8) if len(take) else np.empty((0, size), np.uint8)
-        found.append((k, best[text] if len(take) else np.empty(0, np.int64), count, chars))
-        where.append((np.full(len(take), number, np.int32), start, count, text))
-    k, doc, count, chars = (np.concatenate(x) if found else None for x in zip(*found, strict=True)) if found else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, size), np.uint8))
-    where = [np.concatenate(x) for x in zip(*where, strict=True)] if where else [np.empty(0, np.int64)] * 4
-    return k, doc, count, chars, where
-
-
-def distinct(k: np.ndarray, doc: np.ndarray, count: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The group of each run (equal bytes), and each group's first row by doc."""
-    flat = np.ascontiguousarray(chars).ravel()
-    size = chars.shape[1]
-    starts = np.arange(len(k)) * size
-    h = np.empty(len(k), np.uint64)
-    for a in range(0, len(k), 1 << 14):
-        b = min(len(k), a + (1 << 14))
-        h[a:b] = Substrings(flat[a * size : b * size])(starts[: b - a], starts[: b - a] + size)
-    h += count.astype(np.uint64)
-    order = np.lexsort((doc, h))
-    new = np.ones(len(k), bool)
-    if len(k) > 1:
-        left, right = order[:-1], order[1:]
-        new[1:] = (h[right] != h[left]) | (count[right] != count[left]) | (chars[right] != chars[left]).any(1)
-    group = np.empty(len(k), np.int64)
-    group[order] = np.cumsum(new) - 1
-    return group, order[new]
+def index(store: TextStore, file: int, match: int, copies: set[bytes]) -> list[np.ndarray]:
+    """hi, lo, right, left, surroundings and place of each distinct surroundings of a new file: the place is in the document with the least doc_id.
+
+    Written beside: the other places of surroundings that recur in the file, with the first one and whether their document comes later;
+    the least doc_id of each row's copies; the copies.
+    """
+    parts: list[list[np.ndarray]] = []
+    best_of = []
+    for number, (_, _, offsets, data, digests, original, best) in enumerate(batches_of(store, file)):
+        best_of.append(best)
+        take = original & np.array([d not in copies for d in digests], bool)
+        for p, text, *rest in suffixes(data, offsets, match):
+            own = take[text]
+            parts.append([(number << 32) + p[own], best[text[own]], *[x[own] for x in rest]])
+    kinds = [np.int64, np.int64, np.uint64, np.uint32, np.uint32, np.uint32, np.uint64]
+    p, doc, hi, lo, r, l, f = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.empty(0, k) for k in kinds]  # noqa: E741
+    order = np.lexsort((p, doc, f))
+    new = np.append(True, f[order][1:] != f[order][:-1])[: len(order)]
+    first = order[new]
+    of = first[np.cumsum(new) - 1] if len(order) else order
+    again = ~new
+    save(store.side("same", file), [p[order[again]], p[of[again]], (doc[order[again]] > doc[of[again]]).astype(np.uint8)])
+    save(store.side("best", file), [np.concatenate(best_of) if best_of else np.empty(0, np.int64), np.array([len(x) for x in best_of], np.int64)])
+    save(store.side("copies", file), [pairs_of(sorted(copies))])
+    return [x[first] for x in (hi, lo, r, l, f, p)]
+
+
+def fetched(store: TextStore, file: int, p: np.ndarray, side: np.ndarray, match: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """How many strings each half has, and its bytes; only the batches of a file that these places are in are read."""
+    count, text = np.zeros(len(p), np.int64), [np.empty(0, np.uint8)] * len(p)
+    order = np.argsort(p, kind="stable")
+    number = p[order] >> 32
+    which = np.unique(number)
+    for k, (_, _, offsets, data, _) in zip(which.tolist(), store.read(file, which.tolist()), strict=True):
+        rows = order[np.searchsorted(number, k) : np.searchsorted(number, k, "right")]
+        start, n = stretch(p[rows] & 0xFFFFFFFF, offsets, side[rows], match)
+        count[rows] = n
+        for row, a, m in zip(rows.tolist(), start.tolist(), n.tolist(), strict=True):
+            if m:
+                text[row] = data[a : a + m + match - 1]
+    return count, text
 
 
 def earlier(doc: np.ndarray, count: np.ndarray, text: np.ndarray, match: int) -> np.ndarray:
-    """Of each run in text, its strings (bit k: that at k) that some run of a smaller doc has, too."""
+    """Of each stretch in text, its strings (bit k: that at k) that some stretch of a smaller doc has, too."""
     n = len(doc)
     if not n:
         return np.empty(0, np.uint64)
@@ -165,7 +179,7 @@ def earlier(doc: np.ndarray, count: np.ndarray, text: np.ndarray, match: int) ->
     k = np.arange(int(count.sum())) - np.repeat(first, count)
     at = np.repeat(starts, count) + k
     h = np.empty(len(at), np.uint64)
-    step = 1 << 15  # runs at a time, for bounded tables of powers
+    step = 1 << 14  # stretches at a time, for bounded tables of powers
     for a in range(0, n, step):
         b = min(n, a + step)
         x, y = first[a], first[b - 1] + count[b - 1]
@@ -189,29 +203,44 @@ def earlier(doc: np.ndarray, count: np.ndarray, text: np.ndarray, match: int) ->
     return np.add.reduceat(flag.astype(np.uint64) << k.astype(np.uint64), first)
 
 
-def rows_of(store: TextStore, match: int, file: int, found: list[list[np.ndarray]], names: list[str]):
-    """The result of a file: runs of documents after their group's first are removed whole, those of the first as answered."""
-    number, start, count, text, group, least = load(store.side("runs", file))
-    bits = np.zeros(len(least), np.uint64)
-    for g, b in found:
-        bits[g] = b
-    bounds = np.searchsorted(number, np.arange(number[-1] + 2 if len(number) else 1))
+def rows_of(store: TextStore, match: int, file: int, whole: np.ndarray, place: np.ndarray, side: np.ndarray, bits: np.ndarray, names: list[str]):
+    """The result of a file: places whose surroundings are repeated whole, and strings (bits) of halves that are."""
+    other, first, later_doc = load(store.side("same", file))
+    copies = load(store.side("copies", file))[0].tobytes()
+    copies = {copies[i : i + 16] for i in range(0, len(copies), 16)}
+    # places with the same surroundings fare as their first one, or are repeated whole
+    gone = (later_doc > 0) | np.isin(first, whole)
+    whole = np.sort(np.concatenate([whole, other[gone]]))
+    other, first = other[~gone], first[~gone]
+    order = np.argsort(place, kind="stable")
+    place, side, bits = place[order], side[order], bits[order]
+    low, high = np.searchsorted(place, first), np.searchsorted(place, first, "right")
+    for k in (0, 1):  # two halves at most
+        has = low + k < high
+        at = (low + k)[has]
+        place, side, bits = np.concatenate([place, other[has]]), np.concatenate([side, side[at]]), np.concatenate([bits, bits[at]])
+    order = np.argsort(place, kind="stable")
+    place, side, bits = place[order], side[order], bits[order]
+    width, half = match - GRAM + 1, (match - GRAM + 1) // 2
     done: dict[bytes, tuple] = {}
     later: list[tuple] = []
-    for at, ((ids, null, offsets, data, digests, original, best, *_), rest) in enumerate(zip(batches_of_texts(store, file), store.rests(file), strict=True)):
-        a, b = (bounds[at], bounds[at + 1]) if at + 1 < len(bounds) else (0, 0)
-        s, c, t, g = start[a:b], count[a:b], text[a:b], group[a:b]
+    for number, ((ids, null, offsets, data, digests, original, best), rest) in enumerate(zip(batches_of(store, file), store.rests(file), strict=True)):
+        edges = np.array([number << 32, (number + 1) << 32])
         cover = np.zeros(len(data) + 1, np.int32)
-        whole = best[t] > least[g] if len(t) else np.zeros(0, bool)
-        np.add.at(cover, s[whole], 1)
-        np.add.at(cover, s[whole] + c[whole] + match - 1, -1)
-        s, left = s[~whole], bits[g[~whole]]
-        for k in range(match - GRAM + 1):
-            on = s[(left >> np.uint64(k)) & np.uint64(1) == 1] + k
+        a, b = np.searchsorted(whole, edges)
+        p = whole[a:b] - edges[0]
+        text = np.searchsorted(offsets, p, "right") - 1
+        np.add.at(cover, np.maximum(offsets[text], p - width + 1), 1)
+        np.add.at(cover, np.minimum(offsets[text + 1], p + match), -1)
+        a, b = np.searchsorted(place, edges)
+        start, _ = stretch(place[a:b] - edges[0], offsets, side[a:b], match)
+        left = bits[a:b]
+        for k in range(max(half, width - 1 - half) + 1):
+            on = start[(left >> np.uint64(k)) & np.uint64(1) == 1] + k
             np.add.at(cover, on, 1)
             np.add.at(cover, on + match, -1)
         gone = np.cumsum(cover[:-1]) > 0
-        rows = []
+        rows, which = [], []
         for i in range(len(ids)):
             x, y = offsets[i], offsets[i + 1]
             if original[i]:
@@ -219,188 +248,295 @@ def rows_of(store: TextStore, match: int, file: int, found: list[list[np.ndarray
                 kept = data[x:y][~flags].tobytes()
                 spans = int((flags[1:] & ~flags[:-1]).sum() + flags[0]) if len(flags) else 0
                 done[digests[i]] = (int(y - x), int(y - x) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore"))
-            if ids[i] > best[i] and y - x >= match:
+            if (ids[i] > best[i] or digests[i] in copies) and y - x >= match:
                 values = (int(y - x), int(y - x), 1, hashlib.sha256(b"").hexdigest(), "")
             elif digests[i] in done:
                 values = done[digests[i]]
             else:
-                later.append((None if null[i] else int(ids[i]), digests[i], rest[i]))
+                later.append((None if null[i] else int(ids[i]), digests[i], rest.slice(i, 1)))
                 continue
-            rows.append((None if null[i] else int(ids[i]), *values, rest[i]))
-        yield result(rows, names)
-    yield result([(i, *done[d], r) for i, d, r in later], names)
+            rows.append((None if null[i] else int(ids[i]), *values))
+            which.append(i)
+        yield result(rows, rest.take(pa.array(which, pa.int64())), names)
+    if later:
+        yield result([(i, *done[d]) for i, d, _ in later], pa.concat_arrays([r for _, _, r in later]), names)
+
+
+def result(rows: list[tuple], rest: pa.Array, names: list[str]) -> pa.RecordBatch:
+    types = [pa.int64()] * 4 + [pa.string(), pa.string()]
+    n = len(names) - ("rest" in names)
+    return pa.RecordBatch.from_arrays([*[pa.array([r[j] for r in rows], types[j]) for j in range(n)], *[rest] * (len(names) - n)], names)
+
+
+KINDS = [np.uint64, np.uint32, np.uint32, np.uint32, np.uint64, np.int64, np.int32]  # hi, lo, right, left, surroundings, place, file
+
+
+def in_order(hi: np.ndarray, lo: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Lexical, then by what is to the right; runs that are in order are merged, not sorted anew."""
+    return np.lexsort(((lo.astype(np.uint64) << np.uint64(32)) | r, hi))
+
+
+def shared(key: np.ndarray, order: np.ndarray, none: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """Which rows have a neighbour in this order with the same key, in a group with a fresh row."""
+    out = np.zeros(len(key), bool)
+    order = order[~none[order]]
+    if not len(order):
+        return out
+    k = key[order]
+    heads = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    sizes = np.diff(np.append(heads, len(order)))
+    some = np.logical_or.reduceat(fresh[order], heads) & (sizes > 1)
+    out[order] = np.repeat(some, sizes)
+    return out
+
+
+def rows_to(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["whole", "bucket", "blob"])
+
+
+SCANNED = "whole boolean, bucket int, blob binary"
 
 
 class SuffixFamily:
-    """Levels of suffix arrays over the documents added so far."""
+    """Levels of suffix arrays over the documents added so far. Batches must come in ascending doc_id; one doc_id's rows are in one batch."""
 
     def __init__(self, spark, folder: str, match: int = 50, rest: bool = False):
-        if not GRAM < match <= GRAM + 62:
-            raise ValueError("a run's strings are told in 64 bits")
+        if not 2 * GRAM < match <= GRAM + 62:
+            raise ValueError("a half's strings are told in 64 bits, and hold a suffix's first bytes")
         self.spark, self.folder, self.match = spark, folder, match
         self.store, self.n = TextStore(folder, rest), buckets(spark)
-        self.levels: list[tuple[int, str]] = []  # batches in it, where
+        self.levels: list[tuple[int, str]] = []  # batches in it, name
+        self.borders = np.empty(0, np.int64)  # none while there are no suffixes
         self.written = 0
 
     def _name(self) -> str:
         self.written += 1
-        return f"{self.folder}/level-{self.written}"
+        return f"level-{self.written}"
+
+    def _ranges(self, files: list[int]) -> np.ndarray:
+        """Borders of the buckets: quantiles of the first bytes of suffixes in the first batch of texts of each file."""
+        store, match = self.store, self.match
 
-    def add(self, docs: DataFrame, with_text: bool = False) -> DataFrame:
-        """Adds a batch of documents; doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each, against all added so far."""
+        def sample(batches):
+            for batch in batches:
+                for file in batch.column(0).to_pylist():
+                    _, _, offsets, data, _ = next(iter(store.read(file, [0])))
+                    found = [x[2] for x in suffixes(data, offsets, match)]
+                    yield pa.RecordBatch.from_arrays([pa.array((x[:: max(1, len(x) // 4096)] >> np.uint64(1)).astype(np.int64)) for x in ([np.concatenate(found)] if found else [np.empty(0, np.uint64)])], ["hi"])
+
+        steps = [k / self.n for k in range(1, self.n)]
+        if not files or not steps:
+            return np.empty(0, np.int64)
+        borders = arrow(store.listed(self.spark, files), sample, "hi long").agg(F.percentile_approx("hi", steps, min(100 * self.n, 1_000_000))).first()[0]  # as many as buckets
+        return np.array(sorted(borders or []), np.int64)
+
+    def add(self, docs: DataFrame, with_text: bool = False, last: bool = False) -> DataFrame:
+        """Adds a batch of documents; doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each, against all added so far. last: nothing is added after it."""
         spark, store, match, n = self.spark, self.store, self.match, self.n
         files = store.append(docs)
-        scan = self._name()
+        if not len(self.borders):
+            self.borders = self._ranges(files)
+        borders, levels, name = self.borders, [x for _, x in self.levels], self._name()
 
-        def send(batches):
+        def send_digests(batches):
             for batch in batches:
                 for file in batch.column(0).to_pylist():
-                    hi, lo = suffix_array(store, file, match)
-                    for bucket, own in by_bucket((key(hi, lo) % np.uint64(n)).astype(np.int64), n, [hi, lo]):
-                        yield bucket, dump([*own, np.full(len(own[0]), file, np.int32)])
-
-        kinds = [np.uint64, np.uint32, np.int32]
-
-        def merge(blobs):
-            """The batch's array, as a level's row; and for each file the prefixes that it shares with another."""
-            new = [x[1:] for x in blobs if x[:1] == b"n"]
-            hi, lo, file = joined(new, kinds)
-            order = np.lexsort((file, lo, hi))
-            level = [x[order] for x in (hi, lo, file)]
-            old = joined([x[1:] for x in blobs if x[:1] == b"o"], kinds)
-            hi, lo, file = (np.concatenate(x) for x in zip(level, old, strict=True))
-            fresh = np.arange(len(hi)) < len(level[0])
-            order = np.lexsort((lo, hi))
-            new_key = np.ones(len(hi), bool)
-            new_key[1:] = (hi[order][1:] != hi[order][:-1]) | (lo[order][1:] != lo[order][:-1])
-            group = np.cumsum(new_key) - 1
-            several = np.bincount(group, minlength=1) > 1
-            touched = np.bincount(group, fresh[order], minlength=1) > 0
-            hit = order[(several & touched)[group]] if len(order) else order
-            rows = [(k, dump([np.sort(key(*own))])) for k, own in by_bucket(file[hit], store.files, [hi[hit], lo[hit]])]
-            bucket = int((key(hi[:1], lo[:1]) % np.uint64(n))[0]) if len(hi) else 0
-            rows.append((bucket, dump(level)))
-            yield pa.RecordBatch.from_arrays([pa.array([i == len(rows) - 1 for i in range(len(rows))]), pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["level", "bucket", "blob"])
-
-        def tagged(batches):
-            yield from ((k, b"n" + x) for k, x in send(batches))
-
-        schema = "level boolean, bucket int, blob binary"
-        fresh = packed_rows(store.listed(spark, files), tagged)
-        old = [spark.read.schema(schema).parquet(where).filter("level").select("bucket", F.concat(F.lit(b"o"), "blob").alias("blob")) for _, where in self.levels]
-        while old:
-            fresh = fresh.unionByName(old.pop())
-        received(fresh, merge, schema, n).write.option("compression", "none").parquet(scan)
-        del fresh, old
+                    found = digests_of(store, file)
+                    digest, doc = pairs_of(list(found)).reshape(-1, 2), np.array([b for _, b in found.values()], np.int64)
+                    for bucket, own in by_bucket((digest[:, 0] % np.uint64(n)).astype(np.int64), n, [digest[:, 0], digest[:, 1], doc]):
+                        yield bucket, dump([*own, np.array([file, bucket], np.int32)])
+
+        def find_copies(blobs):
+            """For each file the digests that a smaller doc_id has; the others are kept for later batches."""
+            if not blobs:
+                return
+            found = [parse(x) for x in blobs]
+            a, b, doc = (np.concatenate([x[j] for x in found]) for j in range(3))
+            file, bucket = np.concatenate([np.repeat(x[3][0], len(x[0])) for x in found]), int(found[0][3][1])
+            old = [x for level in levels for x in [part(store, f"{level}-digests", bucket, [np.uint64] * 2)]]
+            x, y = (np.concatenate([a, *[o[0] for o in old]]), np.concatenate([b, *[o[1] for o in old]]))
+            docs_ = np.concatenate([doc, np.full(len(x) - len(a), -(2**63), np.int64)])
+            order = np.lexsort((docs_, y, x))
+            new = np.append(True, (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1]))
+            heads = order[new][np.cumsum(new) - 1]
+            later = np.zeros(len(x), bool)
+            later[order] = docs_[order] > docs_[heads]
+            if not last:
+                keep = order[new]
+                keep = keep[keep < len(a)]
+                save(store.side(f"{name}-digests", bucket), [a[keep], b[keep]])
+            hit = later[: len(a)]
+            yield from rows_out((k, dump(own)) for k, own in by_bucket(file[hit], store.files, [a[hit], b[hit]]))
+
+        def send(batches):
+            told: dict[int, list[bytes]] = {}
+            for batch in batches:
+                for file, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    told.setdefault(file, []).extend([blob] if blob else [])
+            for file, blobs in told.items():
+                raw = np.stack(joined(blobs, [np.uint64] * 2), 1).tobytes()
+                hi, *rest = index(store, file, match, {raw[i : i + 16] for i in range(0, len(raw), 16)})
+                order = in_order(hi, rest[0], rest[1])
+                for bucket, own in by_bucket(np.searchsorted(borders, (hi[order] >> np.uint64(1)).astype(np.int64), "right"), n, [x[order] for x in (hi, *rest)]):
+                    own[0] = np.diff(own[0], prepend=np.uint64(0))
+                    yield bucket, dump([*own, np.array([file, bucket], np.int32)])
+
+        def scan(blobs):
+            """The merge-scan of a bucket; its new surroundings become the level's."""
+            if not blobs:
+                return
+            found = [parse(x) for x in blobs]
+            for x in found:
+                x[0] = np.cumsum(x[0], dtype=np.uint64)
+            new = [np.concatenate([x[j] for x in found]) for j in range(6)] + [np.concatenate([np.repeat(x[6][0], len(x[0])) for x in found])]
+            bucket = int(found[0][6][1])
+            del found
+            old = [np.concatenate(x) for x in zip(*[part(store, level, bucket, KINDS) for level in levels], [np.empty(0, k) for k in KINDS], strict=True)]
+            rows = []
+            whole = np.isin(new[4], old[4])
+            rows += [(True, k, dump([np.sort(own[0])])) for k, own in by_bucket(new[6][whole], store.files, [new[5][whole]])]
+            new = [x[~whole] for x in new]
+            hi, lo, r, l, f, p, file = (np.concatenate(x) for x in zip(old, new, strict=True))  # noqa: E741
+            fresh = np.arange(len(hi)) >= len(old[0])
+            order = in_order(hi, lo, r)
+            right = mix(hi ^ mix((lo.astype(np.uint64) << np.uint64(32)) | r))
+            left = mix(~hi ^ mix((lo.astype(np.uint64) << np.uint64(32)) | l))
+            on_right = shared(right, order, r == 0, fresh)
+            on_left = shared(left, np.argsort(left, kind="stable"), l == 0, fresh)
+            once = np.zeros(len(hi), bool)
+            once[np.unique(f, return_index=True)[1]] = True  # one row of each surroundings lends its text
+            hit = on_right | on_left
+            flags = on_right.astype(np.uint8) | on_left.astype(np.uint8) << 1 | once.astype(np.uint8) << 2
+            rows += [(False, k, dump(own)) for k, own in by_bucket(file[hit], store.files, [x[hit] for x in (p, f, right, left, flags)])]
+            if not last:
+                keep = order[(fresh & once)[order]]
+                save(store.side(name, bucket), [x[keep] for x in (hi, lo, r, l, f, p, file)])
+            yield rows_to(rows)
+
+        self.scanned = f"{self.folder}/{name}-scan"
+        answers = packed_rows(deal(received(packed_rows(store.listed(spark, files), send_digests), find_copies, "bucket int, blob binary", n).unionByName(store.listed(spark, files)), max(1, store.files)), send)
+        received(answers, scan, SCANNED, n).write.option("compression", "none").parquet(self.scanned)
+        del answers
         release(spark)
-        hits = spark.read.schema(schema).parquet(scan).filter("not level").select("bucket", "blob")
-        hits = deal(hits.unionByName(store.listed(spark, files)), max(1, store.files))
+        scanned = spark.read.schema(SCANNED).parquet(self.scanned)
         fresh_files = set(files)
 
         def ship(batches):
-            wanted: dict[int, list[np.ndarray]] = {}
+            wanted: dict[int, list[list[np.ndarray]]] = {}
             for batch in batches:
                 for file, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    wanted.setdefault(file, []).extend(parse(blob) if blob else [])
-            for file, keys in wanted.items():
-                k, doc, count, chars, where = chosen_runs(store, file, match, np.unique(np.concatenate(keys)) if keys else np.empty(0, np.uint64))
-                group, first = distinct(k, doc, count, chars)
+                    wanted.setdefault(file, []).append(parse(blob))
+            for file, found in wanted.items():
+                p, f, right, left, flags = (np.concatenate(x) for x in zip(*found, strict=True))
                 if file in fresh_files:
-                    save(store.side("runs", file), [*where, group, doc[first]])
-                for bucket, (d, c, g, ch) in by_bucket((k[first] % np.uint64(n)).astype(np.int64), n, [doc[first], count[first], np.arange(len(first), dtype=np.uint32), chars[first]]):
-                    text = ch[np.arange(ch.shape[1]) < (c + match - 1)[:, None]]
-                    yield bucket, dump([d, c.astype(np.uint8), g, np.array([file], np.int32), text])
+                    best, sizes = load(store.side("best", file))
+                    starts = np.cumsum(sizes) - sizes
+                    doc = np.empty(len(p), np.int64)
+                    for number, (_, batch) in zip(np.unique(p >> 32).tolist(), store.batches(file, np.unique(p >> 32).tolist()), strict=True):
+                        rows = p >> 32 == number
+                        where = np.frombuffer(batch.column(1).buffers()[1], np.int64)[batch.column(1).offset : batch.column(1).offset + batch.num_rows + 1]
+                        doc[rows] = best[starts[number] + np.searchsorted(where - where[0], p[rows] & 0xFFFFFFFF, "right") - 1]
+                else:
+                    doc = np.full(len(p), -(2**63), np.int64)
+                each = [np.flatnonzero(flags & 1), np.flatnonzero(flags & 2)]
+                row, side = np.concatenate(each), np.repeat(np.array([RIGHT, LEFT], np.uint8), [len(x) for x in each])
+                to = (np.where(side == RIGHT, right[row], left[row]) % np.uint64(n)).astype(np.int64)
+                lends = np.flatnonzero(flags[row] & 4)
+                count, text = np.zeros(len(row), np.int64), [np.empty(0, np.uint8)] * len(row)
+                some, texts = fetched(store, file, p[row[lends]], side[lends], match)
+                count[lends] = some
+                for i, x in zip(lends.tolist(), texts, strict=True):
+                    text[i] = x
+                for bucket, (i,) in by_bucket(to, n, [np.arange(len(row))]):
+                    yield bucket, dump([f[row[i]], doc[row[i]], p[row[i]], side[i], count[i].astype(np.uint8), np.concatenate([text[j] for j in i.tolist()]), np.array([file], np.int32)])
 
         def compare(blobs):
-            doc, count, group, file, text = [], [], [], [], []
-            for blob in blobs:
-                d, c, g, f, t = parse(blob)
-                for to, x in zip((doc, count, group, file, text), (d, c, g, np.repeat(f, len(d)), t), strict=True):
-                    to.append(x)
-            if not doc:
+            if not blobs:
                 return
-            doc, count, group, file, text = (np.concatenate(x) for x in (doc, count, group, file, text))
-            bits = earlier(doc, count.astype(np.int64), text, match)
-            some = np.flatnonzero((bits > 0) & np.isin(file, list(fresh_files)))
-            rows = [(k, dump(own)) for k, own in by_bucket(file[some], store.files, [group[some], bits[some]])]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "blob"])
-
-        answers = packed(hits, ship, compare, "bucket int, blob binary", n)
-        answers = deal(answers.unionByName(store.listed(spark, files)), max(1, store.files))
+            found = [parse(x) for x in blobs]
+            f, doc, p, side, count, text = (np.concatenate([x[j] for x in found]) for j in range(6))
+            file = np.concatenate([np.repeat(x[6][0], len(x[0])) for x in found])
+            _, kind = np.unique(f ^ (side.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True)
+            least = np.full(int(kind.max()) + 1, 2**63 - 1, np.int64)
+            np.minimum.at(least, kind, doc)
+            lends = np.flatnonzero(count)
+            bits = np.zeros(len(least), np.uint64)
+            bits[kind[lends]] = earlier(least[kind[lends]], count[lends].astype(np.int64), text, match)
+            own = np.where(doc > least[kind], ALL, bits[kind])
+            whole = doc > least[kind]
+            fresh = np.isin(file, list(fresh_files))
+            rows = [(True, k, dump([np.unique(x[0])])) for k, x in by_bucket(file[fresh & whole], store.files, [p[fresh & whole]])]
+            some = fresh & ~whole & (own > 0)
+            rows += [(False, k, dump(x)) for k, x in by_bucket(file[some], store.files, [p[some], side[some], own[some]])]
+            yield rows_to(rows)
+
+        hits = scanned.filter("not whole").select("bucket", "blob")
+        answers = received(packed_rows(deal(hits, max(1, store.files)), ship), compare, SCANNED, n)
+        answers = answers.unionByName(scanned.filter("whole")).unionByName(store.listed(spark, files).withColumn("whole", F.lit(True)))
+        answers = deal(answers, max(1, store.files))
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept", "rest"] * with_text
 
         def finish(batches):
-            bits: dict[int, list[list[np.ndarray]]] = {}
+            told: dict[int, tuple[list, list]] = {}
             for batch in batches:
-                for file, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    bits.setdefault(file, []).extend([parse(blob)] if blob else [])
-            for file, found in bits.items():
-                yield from rows_of(store, match, file, found, names)
-
-        self._insert(scan)
-        return arrow(answers, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string, rest string" * with_text)
-
-    def _insert(self, where: str) -> None:
-        """The new level; the last two merge while they hold as many batches."""
-        self.levels.append((1, where))
-        schema = "level boolean, bucket int, blob binary"
-        kinds = [np.uint64, np.uint32, np.int32]
-
-        def merge(blobs):
-            hi, lo, file = joined(blobs, kinds)
-            order = np.lexsort((file, lo, hi))
-            if len(order):
-                bucket = int((key(hi[:1], lo[:1]) % np.uint64(n))[0])
-                yield pa.RecordBatch.from_arrays([pa.array([True]), pa.array([bucket], pa.int32()), pa.array([dump([hi[order], lo[order], file[order]])], pa.binary())], ["level", "bucket", "blob"])
-
-        n = self.n
+                for whole, file, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    own = told.setdefault(file, ([], []))
+                    if blob:
+                        own[0 if whole else 1].append(blob)
+            for file, (whole, some) in told.items():
+                (places,) = joined(whole, [np.int64])
+                yield from rows_of(store, match, file, np.unique(places), *joined(some, [np.int64, np.uint8, np.uint64]), names)
+
+        if not last:
+            self._insert(name)
+        schema = T.StructType([T.StructField(x, T.StringType() if x in ("kept_sha256", "kept") else T.LongType()) for x in names if x != "rest"])
+        return arrow(answers, finish, schema.add(docs.schema["rest"]) if with_text else schema)
+
+    def _insert(self, name: str) -> None:
+        """The new level; the last two merge while they hold as many batches: each bucket's files by one task, in lexical order."""
+        self.levels.append((1, name))
+        store, n = self.store, self.n
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (a, x), (b, y) = self.levels.pop(), self.levels.pop()
-            rows = [self.spark.read.schema(schema).parquet(p).filter("level").select("bucket", "blob") for p in (x, y)]
-            to = self._name()
-            received(rows[0].unionByName(rows[1]), merge, schema, n).write.option("compression", "none").parquet(to)
+            (a, x), (b, y), to = self.levels.pop(), self.levels.pop(), self._name()
+
+            def merge(batches, x=x, y=y, to=to):
+                for batch in batches:
+                    for bucket in batch.column(0).to_pylist():
+                        own = [np.concatenate(z) for z in zip(part(store, y, bucket, KINDS), part(store, x, bucket, KINDS), strict=True)]
+                        order = in_order(*own[:3])
+                        save(store.side(to, bucket), [z[order] for z in own])
+                        save(store.side(f"{to}-digests", bucket), [np.concatenate(z) for z in zip(*[part(store, f"{k}-digests", bucket, [np.uint64] * 2) for k in (y, x)], strict=True)])
+                        yield pa.RecordBatch.from_arrays([pa.array([len(order)], pa.int64())], ["n"])
+
+            every = deal(self.spark.range(n).selectExpr("int(id) as bucket"), n)
+            arrow(every, merge, "n long").agg(F.sum("n")).collect()
             self.levels.append((a + b, to))
-            if y != where:
-                remove(y)
+            store.drop([f"{k}{kind}" for k in (x, y) for kind in ("", "-digests")], n)
 
 
-def result(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    types = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], types[j]) for j in range(len(names))], names)
+def part(store: TextStore, name: str, bucket: int, kinds: list) -> list[np.ndarray]:
+    """A level's arrays in a bucket; buckets without rows have no file."""
+    try:
+        return load(store.side(name, bucket))
+    except FileNotFoundError:
+        return [np.empty(0, k) for k in kinds]
 
 
-def batches_of_texts(store: TextStore, file: int):
-    """As batches_of, without the runs."""
-    least: dict[bytes, tuple[int, int]] = {}
-    at = 0
-    for ids, _, _, _, digests in store.read(file):
-        originals(digests, ids, least, at)
-        at += len(ids)
-    at = 0
-    for ids, null, offsets, data, digests in store.read(file):
-        found = [least[d] for d in digests]
-        yield ids, null, offsets, data, digests, np.array([p == at + i for i, (p, _) in enumerate(found)], bool), np.array([b for _, b in found], np.int64)
-        at += len(ids)
+def rows_out(found):
+    for bucket, blob in found:
+        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
 
 
 def packed_rows(df: DataFrame, send) -> DataFrame:
     """The rows (bucket, blob) that send yields."""
-
-    def out(batches):
-        for bucket, blob in send(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
-
-    return arrow(df, out, "bucket int, blob binary")
+    return arrow(df, lambda batches: rows_out(send(batches)), "bucket int, blob binary")
 
 
 def received(df: DataFrame, receive, schema: str, n: int) -> DataFrame:
-    def take(batches):
-        yield from receive([x for batch in batches for x in batch.column(1).to_pylist()])
+    return arrow(deal(df, n), lambda batches: receive([x for batch in batches for x in batch.column(1).to_pylist()]), schema)
 
-    return arrow(deal(df, n), take, schema)
 
-
-def deduplicate(docs: DataFrame, folder: str, match: int = 50, batches: int = 2, with_text: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, folder: str, match: int = 50, batches: int = 4, with_text: bool = False) -> DataFrame:
     """Adds docs to a new family in ranges of doc_id, so that every smaller doc_id is there before; the rows of all.
 
     The rows are written; texts and levels go once they are.
@@ -417,23 +553,21 @@ def deduplicate(docs: DataFrame, folder: str, match: int = 50, batches: int = 2,
             keep = keep & ((F.col("doc_id") > low) | F.col("doc_id").isNull())
         if high is not None:
             keep = keep & (F.col("doc_id") <= high)
-        rows = table(family.add(docs.filter(keep), with_text), f"{folder}/rows-{number}")  # levels that later batches add don't concern them
+        rows = table(family.add(docs.filter(keep), with_text, last=number == len(bounds)), f"{folder}/rows-{number}")  # levels that later batches add don't concern them
+        remove(family.scanned)
         release(spark)
         out = rows if out is None else out.unionByName(rows)
     remove(f"{folder}/family")
     return out
 
 
-def cut(docs: DataFrame, folder: str, match: int = 50, batches: int = 2) -> DataFrame:
+def cut(docs: DataFrame, folder: str, match: int = 50, batches: int = 4) -> DataFrame:
     """docs with the repeated bytes cut out of text, and n_chars, if there is one, counted anew; rows that lose their whole text go.
 
-    The bytes of a character that was cut in two go as well.
+    The bytes of a character that was cut in two go as well. Other columns stay as they are.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    kept = deduplicate(docs.select("doc_id", "text", F.to_json(F.struct(*others) if others else F.struct(F.lit(1))).alias("rest")), folder, match, batches, with_text=True)
-
+    kept = deduplicate(docs.select("doc_id", "text", F.struct(*others or [F.lit(1).alias("none")]).alias("rest")), folder, match, batches, with_text=True)
     rows = kept.filter("n_removed < n_bytes or n_bytes = 0")
-    fields = T.StructType([docs.schema[c] for c in others])
-    rows = rows.withColumn("rest", F.from_json("rest", fields)) if others else rows
-    text = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
-    return rows.select(*[text.get(c, F.col("rest").getField(c) if c in others else None).alias(c) for c in docs.columns])
+    own = {c: x.cast(docs.schema[c].dataType) for c, x in {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept")}.items() if c in docs.columns}
+    return rows.select(*[own.get(c, F.col("rest").getField(c) if c in others else None).alias(c) for c in docs.columns])

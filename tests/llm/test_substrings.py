@@ -49,7 +49,7 @@ def spliced(seed, n=60):
     return texts + texts[:5] + [t[1:] for t in texts[5:8]] + [None, "", "é" * 40, "é" * 40]
 
 
-@pytest.mark.parametrize("batches", [1, 2, 3, 5])
+@pytest.mark.parametrize("batches", [1, 2, 3, 5, 8])
 def test_suffixes_against_brute_force(spark, batches):
     docs = documents(spark, spliced(batches))
     got = Counter(map(tuple, suffixes.deduplicate(docs, work_dir(spark, "t7"), batches=batches).collect()))
@@ -77,6 +77,59 @@ def test_levels_grow_by_doubling(spark):
     assert sizes == [[1], [2], [2, 1], [4]]
 
 
+def test_levels_keep_lexical_order_and_one_row_of_each_surroundings(spark):
+    family = suffixes.SuffixFamily(spark, work_dir(spark, "t7"))
+    passage = prose(5, 60)
+    for i in range(3):
+        family.add(documents(spark, [prose(10 * i + j, 40) + passage for j in range(6)], first=10 * i)).count()
+    every = []
+    for _, name in family.levels:
+        for bucket in range(family.n):
+            hi, lo, r, _, f, p, file = suffixes.part(family.store, name, bucket, suffixes.KINDS)
+            assert list(zip(hi, lo, r, strict=True)) == sorted(zip(hi, lo, r, strict=True))
+            every += f.tolist()
+            for x, y, place, at in zip(hi.tolist(), lo.tolist(), p.tolist(), file.tolist(), strict=True):
+                _, _, _, data, _ = next(family.store.read(at, [place >> 32]))
+                own = bytes(data[place & 0xFFFFFFFF :][:12])
+                assert (x, y) == (int.from_bytes(own[:8], "big"), int.from_bytes(own[8:], "big"))
+    assert len(every) == len(set(every)) > 0
+
+
+def test_only_batches_with_wanted_places_are_read(spark, monkeypatch):
+    store = suffixes.TextStore(work_dir(spark, "t7"))
+    files = store.append(documents(spark, [prose(i, 60000) for i in range(8)]).coalesce(1))
+    assert len(list(store.batches(files[0]))) > 1
+    seen, plain = [], type(store).batches
+
+    def batches(self, file, which=None, columns=None):
+        for number, batch in plain(self, file, which, columns):
+            seen.append(number)
+            yield number, batch
+
+    monkeypatch.setattr(type(store), "batches", batches)
+    count, text = suffixes.fetched(store, files[0], np.array([(1 << 32) + 500]), np.array([suffixes.RIGHT], np.uint8), 50)
+    assert seen == [1] and count[0] == 20 and len(text[0]) == 69
+
+
+def test_long_texts_are_indexed_in_pieces(monkeypatch):
+    rows = [t.encode() for t in spliced(3, 80) if t]
+    data, offsets = np.frombuffer(b"".join(rows), np.uint8), np.cumsum([0, *map(len, rows)])
+    whole = [np.concatenate(x) for x in zip(*suffixes.suffixes(data, offsets, 50), strict=True)]
+    monkeypatch.setattr(suffixes, "PIECE", 97)
+    for a, b in zip(whole, zip(*suffixes.suffixes(data, offsets, 50), strict=True), strict=True):
+        assert np.array_equal(a, np.concatenate(b))
+
+
+def test_cut_keeps_other_columns_as_they_are(spark):
+    rows = [(1, prose(1, 60), 7, "2024-05-06 07:08:09.123456", "x"), (2, "new words " + prose(1, 60), 8, "1999-01-01 00:00:00.000001", None), (3, prose(1, 60), 9, None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, n_chars int, at string, rest string").selectExpr("doc_id", "text", "n_chars", "timestamp(at) as at", "rest", "named_struct('kept', array(1.5d), 'day', date(at)) as kept")
+    got = suffixes.cut(docs, work_dir(spark, "t7"))
+    assert got.dtypes == docs.dtypes
+    want = {r.doc_id: r for r in docs.collect()}
+    found = {r.doc_id: r for r in got.collect()}
+    assert set(found) == {1, 2} and all((r.at, r.rest, r.kept) == (want[i].at, want[i].rest, want[i].kept) and r.n_chars == len(r.text) for i, r in found.items())
+
+
 def brute_chunks(rows, least=48, most=256, bits=5):
     def cut(b):
         h, out, at = 0, [], 0
