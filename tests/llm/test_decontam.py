@@ -87,6 +87,55 @@ def test_odd_tables(spark):
     assert found(empty(spark), items, spark) == {} and found(awkward(spark), items.limit(0), spark) == {}
 
 
+def test_recall_of_the_index_alone(spark):
+    """Of all windows that are similar enough, those that fingerprints and blocks find, before anything is verified."""
+    rng, items = random.Random(9), {i: prose(900 + i, n) for i, n in enumerate([30, 30, 30, 45, 45, 60, 60, 90, 90, 140])}
+    texts = []
+    for i in range(120):
+        own = items[i % 10].split()
+        for _ in range(max(1, round(len(own) * rng.uniform(0, 0.02)))):
+            own[rng.randrange(len(own))] = f"w{rng.randrange(10**6)}"
+        texts.append(" ".join([*prose(5000 + i, 30).split(), *own, *prose(7000 + i, 30).split()]))
+    known = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    folder = work_dir(spark, "t4")
+    rows = decontam.table(decontam.items(known, 5, 80), f"{folder}/items")
+    long, short = decontam.anchors(rows)
+    found = decontam.hits(documents(spark, texts), long.select("anchor").distinct())
+    runs = decontam.stretches(found.join(long, "anchor"), f"{folder}/near")
+    got = {(r.doc_id, r.item_id, r.start) for r in decontam.nearby(decontam.windows(runs), rows).join(rows.select("item", "item_id"), "item").collect()}
+    want = set()
+    for d, text in enumerate(texts):
+        words = WORD.findall(text.lower())
+        for i, item in items.items():
+            own = item.split()
+            k, n, shared = 5, len(own), shingles(own, 5)
+            if len(set(words) & set(own)) > n // 2:
+                for s in range(len(words) - n + 1):
+                    c = sum((shared & shingles(words[s : s + n], k)).values())
+                    if 100 * c >= 80 * (2 * (n - k + 1) - c):
+                        want.add((d, i, s))
+    assert len(want) > 300 and len(want & got) / len(want) >= 0.99
+
+
+def test_long_items(spark):
+    item = prose(31, 5000).split()
+    changed = item[:]
+    for at in range(40, 5000, 160):
+        changed[at] = "changed"
+    texts = [" ".join([*prose(32, 500).split(), *changed, *prose(33, 100).split()]), " ".join(item[600:]), " ".join(item[2500:] * 2), prose(34, 9000)]
+    docs, known = documents(spark, texts), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    rows = docs.select("doc_id", "text").collect()
+    got = found(docs, known, spark)
+    assert set(got) == {(0, 1), (1, 1)} and got[0, 1][1:] == (500, 5000) and got[1, 1] == brute_short(rows, [(1, " ".join(item))])[1, 1]
+
+
+def test_columns_with_the_operators_names(spark):
+    item = prose(1, 40)
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, item, 1, "a"), (2, prose(2, 50), 2, "b")], "doc_id long, text string, found int, _found string")
+    assert list(map(tuple, decontam.clean(docs, items, work_dir(spark, "t4")).collect())) == [(2, prose(2, 50), 2, "b")]
+
+
 def test_plan_has_no_python(spark, sf):
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     plan = decontam.contaminated(docs, items, work_dir(spark, "t4"))._jdf.queryExecution().toString()
