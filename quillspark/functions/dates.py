@@ -42,6 +42,12 @@ def page_date(text: Column) -> Column:
     return F.get(F.filter(F.transform(found, normal_date), lambda x: x.isNotNull()), F.lit(0))
 
 
+def page_dates(text: Column) -> Column:
+    """All valid dates, each once, in the order of page_date. Null text: null."""
+    found = F.concat(*[F.regexp_extract_all(text, F.lit(p), 1) for p in PAGE_DATES])
+    return F.array_distinct(F.filter(F.transform(found, normal_date), lambda x: x.isNotNull()))
+
+
 def calendar_date(text: Column) -> Column:
     """The first pattern's first match that is a day of the calendar, as a date."""
     return F.coalesce(*[F.try_to_timestamp(F.regexp_extract(text, p, 1), F.lit(f)).cast("date") for p, f in CALENDAR_DATES])

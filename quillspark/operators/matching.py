@@ -90,14 +90,14 @@ def to_sentence(text: str, start: int, end: int) -> tuple[int, int]:
     return (before[-1] if before else 0), (after.end() if after else len(text))
 
 
-def match(needle: str | None, text: str | None, threshold: int) -> tuple[int, str | None]:
+def match(needle: str | None, text: str | None, threshold: int, longer: tuple[int, ...] = (5, 10)) -> tuple[int, str | None]:
     if not needle or not text:
         return 0, None
     n, t = (" ".join(x.split()).lower() for x in (needle, text))
     if n and n in t:
         at = t.index(n)
         return 100, text[at : at + len(n)]  # offsets of the normalised text, as the original is cut
-    score, first, last = best_window(n, t, threshold)
+    score, first, last = best_window(n, t, threshold, longer)
     if score < threshold:
         return score, None
     return score, text[slice(*to_sentence(text, *word_span(text, first, last)))]
@@ -114,21 +114,29 @@ def book_match(needle: str | None, book: str | None, page: int, pages: int, thre
     if not needle or not book or not page or not pages:
         return 0, None
     for window in (0.10, 0.15, 0.20, 0.30):
-        score, found = match(needle, chunk(book, page / pages, window), threshold)
+        score, found = match(needle, chunk(book, page / pages, window), threshold, (5, 10, 20))
         if found is not None and ratio(needle[:100].lower(), found[:100].lower()) >= 70:
             return score, found
     return 0, None
 
 
 def scored(pairs: DataFrame, threshold: int) -> DataFrame:
-    """pairs (id, order, page, needle, text) with score and found instead of the texts."""
+    """pairs (id, order, page, needle, text): the first of each id by order whose text has the needle, with score and found. Those after it aren't looked at."""
 
     def run(batches):
+        done = None
         for b in batches:
-            got = [match(n, t, threshold) for n, t in zip(b["needle"], b["text"], strict=True)]
-            yield pd.DataFrame({"id": b["id"], "order": b["order"], "page": b["page"], "score": [s for s, _ in got], "found": [x for _, x in got]})
+            rows = []
+            for id_, order, page, needle, text in zip(*(b[c] for c in ("id", "order", "page", "needle", "text")), strict=True):
+                if id_ != done:
+                    score, found = match(needle, text, threshold)
+                    if found is not None:
+                        done = id_
+                        rows.append((id_, order, page, score, found))
+            yield pd.DataFrame(rows, columns=["id", "order", "page", "score", "found"])
 
-    return pairs.mapInPandas(run, f"id {pairs.schema['id'].dataType.simpleString()}, order int, page long, score int, found string")
+    dealt = pairs.select("id", "order", "page", "needle", "text").repartition("id").sortWithinPartitions("id", "order")
+    return dealt.mapInPandas(run, f"id {pairs.schema['id'].dataType.simpleString()}, order int, page long, score int, found string")
 
 
 def page_search(highlights: DataFrame, pages: DataFrame, book: str, reach: int = 2, threshold: int = 65) -> DataFrame:
@@ -140,5 +148,42 @@ def page_search(highlights: DataFrame, pages: DataFrame, book: str, reach: int =
     wanted = highlights.filter("page_number > 0").select("id", book, F.col("text").alias("needle"), "page_number", F.posexplode(F.array(*map(F.lit, offsets))).alias("order", "_by"))
     wanted = wanted.select("id", book, "needle", "order", (F.col("page_number") + F.col("_by")).alias("page_number"))
     pairs = wanted.join(pages.select(book, "page_number", "text"), [book, "page_number"])
-    hits = scored(pairs.select("id", "order", F.col("page_number").cast("long").alias("page"), "needle", "text"), threshold).filter(F.col("found").isNotNull())
-    return hits.groupBy("id").agg(F.min_by(F.struct("page", "score", "found"), "order").alias("b")).select("id", "b.*")
+    return scored(pairs.select("id", "order", F.col("page_number").cast("long").alias("page"), "needle", "text"), threshold).select("id", "page", "score", "found")
+
+
+def book_search(highlights: DataFrame, books: DataFrame, book: str, threshold: int = 85) -> DataFrame:
+    """id, score and found of the highlights whose text is in its book around page / pages, accepted as book_match does.
+
+    highlights: id, book, page_number, pages, text; books: book, text. A book's text goes to its highlights; unknown pages have no row.
+    """
+    wanted = highlights.filter("page_number > 0 and pages > 0").select("id", book, F.col("text").alias("needle"), F.col("page_number").cast("long").alias("page"), F.col("pages").cast("long"))
+    pairs = wanted.join(books.select(book, "text"), book).select("id", "needle", "page", "pages", "text")
+
+    def run(batches):
+        for b in batches:
+            got = [book_match(n, t, int(p), int(k), threshold) for n, t, p, k in zip(b["needle"], b["text"], b["page"], b["pages"], strict=True)]
+            yield pd.DataFrame({"id": b["id"], "score": [s for s, _ in got], "found": [x for _, x in got]})
+
+    return pairs.mapInPandas(run, f"id {highlights.schema['id'].dataType.simpleString()}, score int, found string").filter(F.col("found").isNotNull())
+
+
+def two_stage(highlights: DataFrame, pages: DataFrame, books: DataFrame, book: str) -> DataFrame:
+    """All highlights (id, book, page_number, text) with text, original_text, corrected and confidence.
+
+    First they are looked for on the pages about theirs; what is found there is then looked for in the book's own text, if it is in ``books``.
+    """
+    last = pages.groupBy(book).agg(F.max("page_number").alias("pages"))
+    first = page_search(highlights, pages, book)
+    found = highlights.select("id", book, "page_number").join(first.select("id", F.col("found").alias("text")), "id").join(last, book)
+    second = book_search(found, books, book)
+    own = highlights.join(first.select("id", F.col("found").alias("page_text"), F.col("score").alias("page_score")), "id", "left").join(second.select("id", F.col("found").alias("book_text"), F.col("score").alias("book_score")), "id", "left")
+    corrected = F.col("page_text").isNotNull()
+    return own.select("id", F.coalesce("book_text", "page_text", "text").alias("text"), F.when(corrected, F.col("text")).alias("original_text"), corrected.alias("corrected"), (F.coalesce("book_score", "page_score") / 100.0).alias("confidence"))
+
+
+def rematch(highlights: DataFrame, books: DataFrame, book: str, fallback: int = 317) -> DataFrame:
+    """id and the new corrected_text and confidence of stored highlights (id, book, page_number, original_text, corrected_text) that a search of their books changes."""
+    total = highlights.groupBy(book).agg(F.coalesce(F.max("page_number"), F.lit(fallback)).alias("pages"))
+    wanted = highlights.select("id", book, "page_number", F.coalesce("original_text", "corrected_text").alias("text")).join(total, book)
+    got = book_search(wanted, books, book, threshold=65).filter("score >= 85")
+    return got.join(highlights.select("id", "corrected_text"), "id").filter(~F.col("found").eqNullSafe(F.col("corrected_text"))).select("id", F.col("found").alias("corrected_text"), (F.col("score") / 100.0).alias("confidence"))

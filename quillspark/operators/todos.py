@@ -105,3 +105,8 @@ def plan(new: DataFrame, existing: DataFrame, page: list[str], threshold: float
     best = both.groupBy("id").agg(F.max_by(F.struct("_id", "_s", "_r"), F.struct("_s", -F.col("_id"))).alias("_best"))
     action = F.when(F.col("_best").isNull(), "insert").when(F.col("_best._r"), "update").otherwise("skip")
     return new.select("id").join(best, "id", "left").select("id", action.alias("action"), F.when(action == "update", F.col("_best._id")).alias("existing_id"), F.col("_best._s").alias("similarity"))
+
+
+def plan_counts(planned: DataFrame) -> DataFrame:
+    """How many todos are inserted, updated and skipped."""
+    return planned.groupBy("action").agg(F.count("*").alias("n"))

@@ -27,7 +27,7 @@ def ocr_repair(text: str, parity: bool = False) -> str:
 
 
 SPLIT_STATE = f"WITH latest AS ({LATEST})"
-LINES = "concat('# ', role, '\n\n- [ ] ', substr(text, 1, 40), '\n- [X] ', substr(text, 41, 30), '\n* ', substr(text, 71, 20), '\n12. ', substr(text, 91, 20), '\n---\n', substr(text, 111, 60), '\nDate: ', conv_id % 35, '/', turn + 6, '/2', turn)"
+LINES = "concat('# ', role, '\n\n- [ ] ', replace(replace(text, ', ', '\n- [X] '), '. ', '.\n* '), '\n12. ', role, '\n---\nDate: ', conv_id % 35, '/', turn + 6, '/2', turn)"
 _SEEN = "SELECT notebook_uuid, count(DISTINCT page_number) AS total FROM d_sync WHERE status = 'success' GROUP BY notebook_uuid"
 _OLD = "SELECT notebook_uuid, CASE WHEN length(notebook_uuid) % 2 = 0 THEN full_path ELSE concat(coalesce(full_path, ''), '/old') END AS full_path, last_opened_ms FROM d_notebook WHERE document_type <> 'epub'"
 
@@ -41,15 +41,15 @@ SQL = {
     "c14_metadata_diff": f"SELECT coalesce(n.notebook_uuid, o.notebook_uuid) AS notebook_uuid, CASE WHEN o.notebook_uuid IS NULL THEN 'new' WHEN coalesce(n.full_path, '') <> coalesce(o.full_path, '') THEN 'path' WHEN coalesce(n.last_opened_ms, 0) <> coalesce(o.last_opened_ms, 0) THEN 'opened' ELSE 'same' END AS change FROM d_notebook n FULL OUTER JOIN ({_OLD}) o ON o.notebook_uuid = n.notebook_uuid",
     "c15_metadata_upsert": f"SELECT n.notebook_uuid, n.full_path, n.document_type = 'notebook' AS tracked FROM d_notebook n LEFT JOIN ({_OLD}) o ON o.notebook_uuid = n.notebook_uuid WHERE o.notebook_uuid IS NULL OR coalesce(n.full_path, '') <> coalesce(o.full_path, '')",
     "c16_page_gate": "SELECT p.page_uuid FROM d_page p WHERE length(p.text) > 0 AND NOT EXISTS (SELECT 1 FROM d_sync s WHERE s.notebook_uuid = p.notebook_uuid AND s.page_number = p.page_number AND s.content_hash = sha256(p.text))",
-    "c18_pending_matrix": "SELECT t.target, 'page' AS kind, count(*) AS n FROM d_page p JOIN (SELECT DISTINCT target FROM d_sync) t ON 1 = 1 LEFT JOIN (SELECT DISTINCT item_id, target FROM d_sync WHERE status = 'success') s ON s.item_id = p.page_uuid AND s.target = t.target WHERE s.item_id IS NULL GROUP BY t.target",
+    "c18_pending_matrix": "SELECT i.kind, i.target, count(*) AS items, count(s.item_id) AS synced, count(*) - count(s.item_id) AS pending FROM (SELECT 'page' AS kind, page_uuid AS item, 'notion' AS target FROM d_page UNION ALL SELECT 'page', page_uuid, 'readwise' FROM d_page UNION ALL SELECT 'page', page_uuid, 'archive' FROM d_page UNION ALL SELECT 'todo', CAST(id AS VARCHAR(20)), 'notion' FROM d_todo UNION ALL SELECT 'todo', CAST(id AS VARCHAR(20)), 'readwise' FROM d_todo UNION ALL SELECT 'todo', CAST(id AS VARCHAR(20)), 'archive' FROM d_todo UNION ALL SELECT 'highlight', CAST(id AS VARCHAR(20)), 'notion' FROM d_highlight UNION ALL SELECT 'highlight', CAST(id AS VARCHAR(20)), 'readwise' FROM d_highlight UNION ALL SELECT 'highlight', CAST(id AS VARCHAR(20)), 'archive' FROM d_highlight) i LEFT JOIN (SELECT DISTINCT 'page' AS kind, item_id, target FROM d_sync WHERE status = 'success' UNION ALL SELECT 'todo', CAST(todo_id AS VARCHAR(20)), 'notion' FROM d_todo_sync UNION ALL SELECT DISTINCT 'highlight', source_id, 'readwise' FROM d_log WHERE source_table = 'highlights' AND status = 'processed') s ON s.kind = i.kind AND s.item_id = i.item AND s.target = i.target GROUP BY i.kind, i.target",
     "c19_baseline": "SELECT p.page_uuid, CASE WHEN r.h IS NULL THEN 'needs_sync' ELSE 'already_synced' END AS state FROM d_page p LEFT JOIN (SELECT DISTINCT content_hash AS h FROM d_sync WHERE target = 'notion') r ON r.h = sha256(p.text)",
-    "c22_legacy_mappers": "SELECT kind, item_id, h FROM (SELECT kind, item_id, h, row_number() OVER (PARTITION BY h ORDER BY kind, item_id) AS rn FROM (SELECT 'page_text' AS kind, item_id, content_hash AS h FROM d_sync WHERE status = 'success' UNION ALL SELECT 'todo', CAST(id AS VARCHAR(20)), sha256(concat('todo|', id)) FROM d_todo WHERE completed UNION ALL SELECT 'highlight', CAST(id AS VARCHAR(20)), sha256(original_text) FROM d_highlight) a) t WHERE rn = 1",
+    "c22_legacy_mappers": "SELECT h, min(concat(kind, ' ', item_id)) AS first_item, count(*) AS n FROM (SELECT 'page_text' AS kind, item_id, content_hash AS h FROM d_sync WHERE status = 'success' UNION ALL SELECT 'todo', CAST(id AS VARCHAR(20)), sha256(concat('todo|', id)) FROM d_todo WHERE completed UNION ALL SELECT 'highlight', CAST(id AS VARCHAR(20)), sha256(original_text) FROM d_highlight) a GROUP BY h",
     "c23_validation": "SELECT item_type, status, count(*) AS n, sum(CASE WHEN content_hash IS NULL OR length(content_hash) <> 64 THEN 1 ELSE 0 END) AS bad_hashes, count(external_id) AS with_block FROM d_sync GROUP BY item_type, status",
     "c25_page_backfill": "SELECT p.page_uuid, EXISTS (SELECT 1 FROM d_todo t WHERE t.notebook_uuid = p.notebook_uuid AND t.page_number = p.page_number) AS is_remote FROM d_page p WHERE p.page_uuid NOT IN (SELECT item_id FROM d_sync WHERE status = 'success')",
     "c26_rehash": "SELECT s.id, s.content_hash AS old_hash, sha256(p.text) AS new_hash FROM d_sync s JOIN d_page p ON p.page_uuid = s.item_id WHERE s.content_hash <> sha256(p.text)",
     "c27_audit_flag": "SELECT p.page_uuid, coalesce(b.blocks, 0) > 1 OR coalesce(b.lost, 0) > 0 AS possible_duplicate FROM d_page p LEFT JOIN (SELECT item_id, count(external_id) AS blocks, count(*) - count(external_id) AS lost FROM d_sync GROUP BY item_id) b ON b.item_id = p.page_uuid",
     "c28_uuid_baseline": "SELECT p.notebook_uuid, 'uuid' AS match_method, md5(listagg(p.text, '') WITHIN GROUP (ORDER BY p.page_number)) AS h FROM d_page p WHERE p.notebook_uuid IN (SELECT notebook_uuid FROM d_sync) GROUP BY p.notebook_uuid",
-    "c30_methods": "SELECT method, count(*) AS n, count(DISTINCT h) AS texts FROM (SELECT 'old' AS method, md5(original_text) AS h FROM d_highlight UNION ALL SELECT 'new', md5(coalesce(corrected_text, original_text)) FROM d_highlight) t GROUP BY method",
+    "c30_methods": f"WITH found AS (SELECT 'old' AS method, id, md5(original_text) AS h FROM d_highlight UNION ALL SELECT 'new', id, md5(coalesce(corrected_text, original_text)) FROM d_highlight UNION ALL SELECT 'enhanced', id, md5({ocr_repair('coalesce(corrected_text, original_text)')}) FROM d_highlight) SELECT a.method, count(*) AS n, count(DISTINCT a.h) AS texts, sum(CASE WHEN b.h <> a.h THEN 1 ELSE 0 END) AS differ_from_old FROM found a JOIN found b ON b.id = a.id AND b.method = 'old' GROUP BY a.method",
     # fingerprints
     "x8_page_md5": "SELECT page_uuid, md5(concat(text, ':', CAST(confidence AS VARCHAR(30)))) AS h FROM d_page",
     "x12_target_md5": "SELECT notebook_uuid, md5(listagg(concat('page_', page_number, ':', text, ':', CAST(confidence AS VARCHAR(30))), '|') WITHIN GROUP (ORDER BY page_number)) AS h FROM d_page GROUP BY notebook_uuid",
@@ -67,14 +67,11 @@ SQL = {
     "f3_todo_norm": r"SELECT id, regexp_replace(regexp_replace(lower(trim(text)), '[ \t\n\r]+', ' ', 'g'), '[^\p{L}\p{N}_ \t\n\r:.-]', '', 'g') AS clean FROM d_todo",
     "f7_ocr_repair": f"SELECT doc_id, md5(repaired) AS h, repaired <> text AS changed FROM (SELECT doc_id, text, {ocr_repair('text')} AS repaired FROM (SELECT doc_id, replace(replace(text, ' the ', ' speciDc '), ' and ', ' e:ect ') AS text FROM documents) d) t",
     "f7_ocr_repair_parity": f"SELECT item_id, {ocr_repair('text', parity=True)} AS repaired FROM benchmark",
-    "f9_block_lists": "SELECT page_uuid, fragment FROM (SELECT page_uuid, trim(replace(concat(CASE WHEN page_number % 4 = 0 THEN 'Layer 1<' WHEN page_number % 4 = 1 THEN 'l!' ELSE '' END, substr(text, 1, 50)), 'l!', '')) AS fragment FROM d_page) t WHERE fragment NOT IN (" + ", ".join(f"'{x}'" for x in UNWANTED) + ") AND " + " AND ".join(f"lower(fragment) NOT LIKE '%{x.lower()}%'" for x in UNWANTED_PARTS),
-    "f10_collate": "SELECT notebook_uuid, count(*) AS fragments, listagg(fragment, ' ') WITHIN GROUP (ORDER BY page_number) AS text FROM (SELECT notebook_uuid, page_number, trim(substr(text, 1, 30)) AS fragment FROM d_page) t WHERE length(fragment) > 0 GROUP BY notebook_uuid",
+    "f9_block_lists": "SELECT page_uuid, fragment FROM (SELECT page_uuid, trim(replace(concat(CASE WHEN page_number % 4 = 0 THEN 'Layer 1<' WHEN page_number % 4 = 1 THEN 'l!' ELSE '' END, text), 'l!', '')) AS fragment FROM d_page) t WHERE fragment NOT IN (" + ", ".join(f"'{x}'" for x in UNWANTED) + ") AND " + " AND ".join(f"lower(fragment) NOT LIKE '%{x.lower()}%'" for x in UNWANTED_PARTS),
+    "f10_collate": "SELECT notebook_uuid, count(*) AS fragments, listagg(fragment, ' ') WITHIN GROUP (ORDER BY page_number) AS text FROM (SELECT notebook_uuid, page_number, trim(text) AS fragment FROM d_page) t WHERE length(fragment) > 0 GROUP BY notebook_uuid",
     "f11_demotion": "SELECT id, round(CASE WHEN corrected_text IS NULL THEN confidence * CAST(0.9 AS DOUBLE) ELSE confidence END, 9) AS confidence FROM d_highlight",
     "f16_ms": "SELECT id, CASE WHEN regexp_extract(raw, '^([0-9]+)$', 1) <> '' THEN CAST(regexp_extract(concat(raw, '|0'), '([0-9]+)', 1) AS BIGINT) END AS at_ms FROM (SELECT id, CASE WHEN id % 3 = 0 THEN 'unknown' ELSE CAST(changed_ms AS VARCHAR(20)) END AS raw FROM d_log) t",
     "f17_fence": "SELECT item_id, CASE WHEN body <> '' THEN body ELSE raw END AS text FROM (SELECT item_id, raw, regexp_extract(raw, '(?s)^```(markdown|md|text)?[ \\t]*\\n(.*?)\\n```$', 2) AS body FROM (SELECT item_id, concat('```', CASE item_id % 3 WHEN 0 THEN 'markdown' WHEN 1 THEN 'mermaid' ELSE '' END, '\n', text, '\n```') AS raw FROM benchmark) f) t",
     "f22_source_file": "SELECT source_file, CASE WHEN source_file LIKE '%.content' THEN substr(source_file, 1, length(source_file) - 8) WHEN source_file LIKE '%/%.rm' THEN split_part(source_file, '/', 1) WHEN length(source_file) = 36 AND length(replace(source_file, '-', '')) = 32 THEN source_file END AS notebook_uuid, CASE WHEN source_file LIKE '%/%.rm' THEN regexp_extract(source_file, '([^/]*)[.]rm$', 1) END AS page_uuid FROM (SELECT CASE page_number % 3 WHEN 0 THEN concat(notebook_uuid, '.content') WHEN 1 THEN concat(notebook_uuid, '/', page_uuid, '.rm') ELSE concat(notebook_uuid, page_uuid) END AS source_file FROM d_page) t",
     "f25_distance": "SELECT a.id, round(sqrt(power(a.page_number + 2.0 - b.page_number - 3.0, 2) + power(a.id % 50 + 1.0 - b.id % 40, 2)), 6) AS distance FROM d_highlight a JOIN d_highlight b ON b.id = a.id + 1",
-    # hierarchy
-    "h6_tags": "SELECT notebook_uuid, trim(split_part(full_path, '/', 1)) AS first_tag, CASE WHEN length(full_path) - length(replace(full_path, '/', '')) > 1 THEN trim(split_part(full_path, '/', 2)) END AS second_tag FROM d_notebook WHERE full_path LIKE '%/%'",
-    "h8_output_path": r"""SELECT notebook_uuid, CASE WHEN name = '' THEN 'untitled' ELSE substr(name, 1, 255) END AS file FROM (SELECT notebook_uuid, regexp_replace(regexp_replace(regexp_replace(concat(visible_name, ': "', coalesce(authors, ''), '"?'), '[<>:"/|?*]', '_', 'g'), '[\x00-\x1f]', '', 'g'), '^[ .]+|[ .]+$', '', 'g') AS name FROM d_notebook) t""",
 }

@@ -22,6 +22,10 @@ def _own(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return run(spark, sf_dir, with_domain(sql))
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _own(spark, sf_dir, f"SELECT concat(conv_id, '-', turn) AS page, text FROM ({PAGES}) p")
+
+
 def f12_page_dates(spark, sf_dir):
     return _own(spark, sf_dir, PAGES).select("conv_id", "turn", dates.page_date(F.col("text")).alias("page_date"))
 
@@ -49,11 +53,13 @@ def f24_word_jaccard(spark, sf_dir):
 
 
 def n3_todo_plan(spark, sf_dir):
-    """Todos of odd ids as new ones on the pages of the even ones' notebook, some misread anew."""
-    side = "SELECT id, concat('nb-', id % 8000 - id % 2) AS nb, CASE WHEN id % 2 = 1 THEN replace(text, 'rn', 'm') ELSE text END AS text, CAST(id % 10 AS DOUBLE) / CAST(10 AS DOUBLE) AS confidence FROM d_todo WHERE id % 2 = {}"
+    """Sentences of documents as todos: those of odd ids as new ones, some misread anew, on the pages of the even id before."""
+    docs = _own(spark, sf_dir, "SELECT doc_id AS id, concat('nb-', doc_id - doc_id % 2) AS nb, text FROM documents")
+    own = docs.select("id", "nb", F.posexplode(F.split("text", r"[.!?\n]+")).alias("page", "text")).withColumn("text", F.trim("text")).filter("text <> ''")
     box = F.struct((F.col("id") % 100).cast("double").alias("x"), F.lit(1.0).alias("y"), F.lit(9.0).alias("width"), F.lit(9.0).alias("height"))
-    new, old = (_own(spark, sf_dir, side.format(k)).withColumn("box", box) for k in (1, 0))
-    return todos.plan(new, old, ["nb"])
+    own = own.withColumn("box", box).withColumn("confidence", (F.col("page") % 10) / 10).withColumn("number", F.col("id") * 100_000 + F.col("page"))
+    new, old = (own.filter(F.col("id") % 2 == k).withColumn("id", F.col("number")).drop("number") for k in (1, 0))
+    return todos.plan(new.withColumn("text", F.replace("text", F.lit("rn"), F.lit("m"))), old, ["nb", "page"])
 
 
 def m1_exact_containment(spark, sf_dir):
@@ -62,18 +68,18 @@ def m1_exact_containment(spark, sf_dir):
 
 
 def m6_page_search(spark, sf_dir):
-    """Passages of pages, misread, looked for around the page after theirs."""
-    wanted = _own(spark, sf_dir, "SELECT page_uuid AS id, notebook_uuid, page_number + 1 AS page_number, replace(substr(text, 10, 90), 'e', 'c') AS text FROM d_page WHERE length(text) > 120")
+    """The longest sentence of each page, misread, looked for around the page after its own."""
+    longest = F.array_max(F.transform(F.split("text", r"[.!?\n]+"), lambda x: F.struct(F.length(x).alias("n"), F.trim(x).alias("x"))))["x"]
+    wanted = _own(spark, sf_dir, "SELECT page_uuid AS id, notebook_uuid, page_number + 1 AS page_number, text FROM d_page").withColumn("text", F.replace(longest, F.lit("e"), F.lit("c")))
     return matching.page_search(wanted, _own(spark, sf_dir, "SELECT notebook_uuid, page_number, text FROM d_page"), "notebook_uuid")
 
 
 def k1_blocks(spark, sf_dir):
-    pages = _own(spark, sf_dir, f"SELECT concat(conv_id, '-', turn) AS page, text FROM ({PAGES}) p")
-    return blocks.blocks(pages, "page")
+    return blocks.blocks(pages(spark, sf_dir), "page")
 
 
 def k3_rich_text(spark, sf_dir):
-    own = _own(spark, sf_dir, "SELECT item_id, concat('a **', substr(text, 1, 9), '** b *', substr(text, 10, 9), '* ', substr(text, 19, 9)) AS text FROM benchmark")
+    own = _own(spark, sf_dir, "SELECT item_id, concat('a **', replace(replace(text, '*', ''), '. ', '** b *'), '* c') AS text FROM benchmark")
     return own.select("item_id", F.posexplode(blocks.rich_text(F.col("text"))).alias("at", "r")).select("item_id", "at", "r.text", "r.bold", "r.italic")
 
 
@@ -97,7 +103,7 @@ def x4_highlight_hash(spark, sf_dir):
     return own.select("id", fingerprints.highlight_hash(*map(F.col, ("original_text", "corrected_text", "source_file", "page_number"))).alias("h"))
 
 
-def g1_stored_changes(spark, sf_dir):
+def g1_dedup(spark, sf_dir):
     own = _own(spark, sf_dir, "SELECT id, source_table, source_id, operation, hash_after, changed_ms FROM d_log")
     return files.stored_changes(own, ["source_table", "source_id", "operation", "hash_after"], "changed_ms", "id").select("id")
 
@@ -106,7 +112,7 @@ def s10_page_texts(spark, sf_dir):
     return strokes.with_html_text(_own(spark, sf_dir, "SELECT page_id, html FROM pages"), "page_id")
 
 
-_ALL = (f12_page_dates, f15_calendar_dates, t1_todo_lines, t2_todo_dates, t4_todo_list, f24_word_jaccard, n3_todo_plan, m1_exact_containment, m6_page_search, k1_blocks, k3_rich_text, x1_notebook_hash, x2_page_hash, x3_todo_hash, x4_highlight_hash, g1_stored_changes, s10_page_texts)
+_ALL = (f12_page_dates, f15_calendar_dates, t1_todo_lines, t2_todo_dates, t4_todo_list, f24_word_jaccard, n3_todo_plan, m1_exact_containment, m6_page_search, k1_blocks, k3_rich_text, x1_notebook_hash, x2_page_hash, x3_todo_hash, x4_highlight_hash, g1_dedup, s10_page_texts)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _LINE = f"SELECT conv_id, turn, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS line, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13) || chr(12)) AS raw FROM ({PAGES}) p"

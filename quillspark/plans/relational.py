@@ -2,8 +2,11 @@
 
 from quillspark.plans.adapters import DAY, NOW
 
-LATEST = "SELECT item_id, target, max_by(content_hash, synced_ms * 100000 + id) AS content_hash, max(synced_ms) AS synced_ms FROM d_sync WHERE status = 'success' GROUP BY item_id, target"
+LATEST = "SELECT item_id, target, max_by(content_hash, struct(synced_ms, id)) AS content_hash, max(synced_ms) AS synced_ms FROM d_sync WHERE status = 'success' GROUP BY item_id, target"
 MEANT = "lower(text) NOT LIKE '%this appears to be a blank%' AND lower(text) NOT LIKE '%completely empty page%'"
+LETTERS = r"CAST(length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS DOUBLE) / length(text)"
+SYMBOLS = r"CAST(length(regexp_replace(text, '[\p{L}\p{N} \t\n\r\f]', '', 'g')) AS DOUBLE) / length(text)"
+N_WORDS = r"(CASE WHEN trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g')) = '' THEN 0 ELSE length(trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g'))) - length(replace(trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g')), ' ', '')) + 1 END)"
 
 SQL = {
     # predicates and projections
@@ -18,7 +21,7 @@ SQL = {
     "p9_status_case": f"WITH latest AS ({LATEST}) SELECT p.page_uuid, CASE WHEN l.item_id IS NULL THEN 'NEVER SYNCED' WHEN p.updated_ms > l.synced_ms THEN 'CONTENT_NEWER_THAN_SYNC' ELSE 'UP_TO_DATE' END AS state FROM d_page p LEFT JOIN latest l ON l.item_id = p.page_uuid AND l.target = 'notion'",
     "p10_preview": "SELECT id, substr(coalesce(corrected_text, original_text), 1, 100) AS preview, CASE WHEN length(original_text) > 50 THEN concat(substr(original_text, 1, 50), '...') ELSE original_text END AS short FROM d_highlight",
     "p11_epoch_seconds": "SELECT notebook_uuid, CAST(floor(last_opened_ms / 1000) AS BIGINT) AS opened_s FROM d_notebook",
-    "p12_json_path": "SELECT id, CAST(regexp_extract(props, '\"k\": ([0-9]+)', 1) AS BIGINT) AS k FROM d_log",
+    "p12_json_path": "SELECT id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM d_log",
     "p13_split_key": "SELECT split_part(composite, '|', 1) AS notebook_uuid, CAST(split_part(composite, '|', 2) AS BIGINT) AS page_number FROM (SELECT concat(notebook_uuid, '|', page_number) AS composite FROM d_page) t",
     "p14_author_suffix": "SELECT notebook_uuid, substr(title, 1, length(title) - length(authors) - 3) AS title FROM (SELECT notebook_uuid, authors, concat(visible_name, ' - ', authors) AS title FROM d_notebook) t WHERE authors IS NOT NULL AND title LIKE concat('% - ', authors)",
     "p15_md5_rows": "SELECT id FROM (SELECT id, CASE WHEN id % 2 = 0 THEN md5(original_text) ELSE sha256(original_text) END AS h FROM d_highlight) t WHERE length(h) = 32",
@@ -50,7 +53,7 @@ SQL = {
     "a7_text": "SELECT notebook_uuid, listagg(text, '\n\n') WITHIN GROUP (ORDER BY page_number) AS text FROM d_page GROUP BY notebook_uuid",
     "a8_top_groups": "SELECT n.authors, count(*) AS n FROM d_notebook n JOIN d_highlight h ON h.notebook_uuid = n.notebook_uuid WHERE n.authors IS NOT NULL GROUP BY n.authors ORDER BY n DESC, n.authors LIMIT 5",
     "a9_books": "SELECT n.notebook_uuid, n.visible_name, n.authors, count(h.id) AS n FROM d_notebook n JOIN d_highlight h ON h.notebook_uuid = n.notebook_uuid GROUP BY n.notebook_uuid, n.visible_name, n.authors",
-    "a10_duplicates": "SELECT text, count(*) AS n, min(id) AS keep, listagg(CAST(id AS VARCHAR(20)), ',') WITHIN GROUP (ORDER BY id) AS ids FROM d_todo GROUP BY text HAVING count(*) > 1",
+    "a10_duplicates": "SELECT t.id, g.keep, g.n FROM d_todo t JOIN (SELECT text, count(*) AS n, min(id) AS keep FROM d_todo GROUP BY text HAVING count(*) > 1) g ON g.text = t.text",
     "a11_singletons": "SELECT count(*) AS n FROM (SELECT text FROM d_todo GROUP BY text HAVING count(*) = 1) t",
     "a12_gaps": "SELECT n.notebook_uuid, n.total_pages - count(DISTINCT s.page_number) AS gap FROM d_notebook n LEFT JOIN d_sync s ON s.notebook_uuid = n.notebook_uuid AND s.status = 'success' GROUP BY n.notebook_uuid, n.total_pages HAVING n.total_pages > count(DISTINCT s.page_number)",
     "a13_no_blocks": "SELECT notebook_uuid FROM d_sync GROUP BY notebook_uuid HAVING count(external_id) < count(*)",
@@ -60,21 +63,21 @@ SQL = {
     "a17_nested_pages": "SELECT notebook_uuid, listagg(concat('page_', page_number, ':', length(text)), '|') WITHIN GROUP (ORDER BY page_number) AS pages FROM d_page GROUP BY notebook_uuid",
     "a18_cost": "SELECT document_type, sum(CASE WHEN document_type = 'notebook' THEN total_pages ELSE 0 END) AS paid_pages, round(sum(CASE WHEN document_type = 'notebook' THEN CAST(total_pages AS DOUBLE) * CAST(0.003 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS cost FROM d_notebook GROUP BY document_type",
     "a19_results": "SELECT CASE status WHEN 'success' THEN 'success' WHEN 'failed' THEN 'failed' ELSE 'skipped' END AS result, count(*) AS n FROM d_sync GROUP BY 1",
-    "a20_export_stats": f"SELECT count(*) AS total, sum(CASE WHEN created_ms > {NOW - 64 * DAY} THEN 1 ELSE 0 END) AS recent, round(CAST(sum(CASE WHEN completed THEN 1 ELSE 0 END) AS DOUBLE) / CAST(count(actual_date) AS DOUBLE) * 100, 1) AS pct FROM d_todo",
-    "a21_version": "SELECT max(retry_count) AS version FROM d_sync",
+    "a20_export_stats": f"SELECT count(*) AS total, sum(CASE WHEN t.created_ms > {NOW - 64 * DAY} THEN 1 ELSE 0 END) AS recent, count(x.todo_id) AS exported, CASE WHEN count(t.actual_date) = 0 THEN CAST(0 AS DOUBLE) ELSE round(CAST(count(x.todo_id) AS DOUBLE) / CAST(count(t.actual_date) AS DOUBLE) * 100, 1) END AS pct FROM d_todo t LEFT JOIN (SELECT DISTINCT todo_id FROM d_todo_sync) x ON x.todo_id = t.id",
+    "a21_version": "SELECT coalesce(max(version), 0) AS version, coalesce(max(version), 0) < 6 AS pending FROM d_migration",
     "a22_recent_first": "SELECT notebook_uuid, count(*) AS n, max(created_ms) AS last_ms FROM d_highlight GROUP BY notebook_uuid",
     # windows
     "w1_latest_success": "SELECT item_id, target, content_hash FROM (SELECT s.*, row_number() OVER (PARTITION BY item_id, target, item_type ORDER BY synced_ms DESC, id DESC) AS rn FROM d_sync s WHERE status = 'success') t WHERE rn = 1",
-    "w2_keep_first": "SELECT id, text FROM (SELECT id, text, row_number() OVER (PARTITION BY text ORDER BY id) AS rn FROM d_todo) t WHERE rn = 1",
+    "w2_keep_first": "SELECT min(id) AS id, text FROM d_todo GROUP BY text",
     "w4_predecessor": "SELECT page_uuid, lag(page_uuid) OVER (PARTITION BY notebook_uuid ORDER BY page_number DESC) AS after_page FROM d_page",
-    "w5_newest_pages": "SELECT page_uuid FROM (SELECT page_uuid, row_number() OVER (PARTITION BY notebook_uuid ORDER BY page_number DESC) AS rn FROM d_page) t WHERE rn <= 3",
+    "w5_newest_pages": "SELECT page_uuid FROM (SELECT page_uuid, row_number() OVER (PARTITION BY notebook_uuid ORDER BY page_number DESC) AS rn FROM d_page) t WHERE rn <= 50",
     # sorts and limits: the limit is the operator
     "o1_newest": "SELECT id, changed_ms FROM d_log ORDER BY changed_ms DESC, id LIMIT 20",
     "o2_nulls_last": "SELECT id, actual_date FROM d_todo ORDER BY actual_date DESC NULLS LAST, id LIMIT 25",
     "o3_numeric_text": "SELECT source_id, id FROM d_log ORDER BY CAST(source_id AS BIGINT), id LIMIT 30",
     "o4_quotas": "SELECT * FROM (SELECT 'todo' AS kind, id, created_ms FROM d_todo ORDER BY created_ms DESC, id LIMIT 10) a UNION ALL SELECT * FROM (SELECT 'highlight' AS kind, id, created_ms FROM d_highlight ORDER BY created_ms DESC, id LIMIT 10) b",
     "o5_priority": "SELECT id, status, synced_ms FROM d_sync ORDER BY CASE status WHEN 'failed' THEN 0 WHEN 'retry' THEN 1 ELSE 2 END, synced_ms DESC, id LIMIT 15",
-    "o6_gap_order": "SELECT notebook_uuid, total_pages - 2 AS gap FROM d_notebook ORDER BY total_pages - 2 DESC, notebook_uuid LIMIT 10",
+    "o6_gap_order": "SELECT n.notebook_uuid, n.total_pages - coalesce(s.pages, 0) AS gap FROM d_notebook n LEFT JOIN (SELECT notebook_uuid, count(DISTINCT page_number) AS pages FROM d_sync WHERE status = 'success' GROUP BY notebook_uuid) s ON s.notebook_uuid = n.notebook_uuid ORDER BY n.total_pages - coalesce(s.pages, 0) DESC, n.notebook_uuid LIMIT 10",
     "o7_reading_order": "SELECT notebook_uuid, listagg(text, ' ') WITHIN GROUP (ORDER BY confidence, page_number) AS text FROM d_page GROUP BY notebook_uuid",
     "o8_filter_then_limit": "SELECT item_id, id FROM d_sync WHERE status <> 'success' ORDER BY id LIMIT 12",
     "o9_new_then_backlog": "SELECT page_uuid, is_new FROM (SELECT p.page_uuid, p.page_number, CASE WHEN s.item_id IS NULL THEN 1 ELSE 0 END AS is_new FROM d_page p LEFT JOIN (SELECT DISTINCT item_id FROM d_sync) s ON s.item_id = p.page_uuid) t ORDER BY is_new DESC, page_number DESC, page_uuid LIMIT 50",
@@ -83,8 +86,8 @@ SQL = {
     "u2_page_sets": "SELECT notebook_uuid, page_number FROM d_page EXCEPT SELECT notebook_uuid, page_number FROM d_sync WHERE status = 'success'",
     "u3_distinct": "SELECT DISTINCT notebook_uuid, status FROM d_sync",
     "u5_three_way": "SELECT side, count(*) AS n FROM (SELECT CASE WHEN a.k IS NULL THEN 'only_remote' WHEN b.k IS NULL THEN 'only_local' ELSE 'both' END AS side FROM (SELECT DISTINCT concat(notebook_uuid, '|', page_number) AS k FROM d_page) a FULL OUTER JOIN (SELECT DISTINCT concat(notebook_uuid, '|', page_number) AS k FROM d_todo) b ON a.k = b.k) t GROUP BY side",
-    "d1_insert_or_ignore": "SELECT id, text FROM (SELECT id, text, row_number() OVER (PARTITION BY text ORDER BY id) AS rn FROM d_todo) t WHERE rn = 1 AND text NOT IN (SELECT substr(original_text, 1, 60) FROM d_highlight)",
-    "d2_upsert": "SELECT item_id, content_hash, 0 AS retry_count FROM (SELECT item_id, content_hash, row_number() OVER (PARTITION BY item_id ORDER BY version DESC) AS rn FROM (SELECT item_id, content_hash, synced_ms * 100000 + id AS version FROM d_sync UNION ALL SELECT page_uuid, sha256(text), 9000000000000000000 FROM d_page WHERE page_number = 1) v) t WHERE rn = 1",
+    "d1_insert_or_ignore": "SELECT min(t.id) AS id, t.text FROM d_todo t WHERE NOT EXISTS (SELECT 1 FROM d_highlight h WHERE h.original_text = t.text) GROUP BY t.text",
+    "d2_upsert": "SELECT item_id, content_hash, 0 AS retry_count FROM (SELECT item_id, content_hash, row_number() OVER (PARTITION BY item_id ORDER BY version DESC) AS rn FROM (SELECT item_id, content_hash, struct(synced_ms, id) AS version FROM d_sync UNION ALL SELECT page_uuid, sha256(text), struct(9000000000000000000, CAST(0 AS BIGINT)) FROM d_page WHERE page_number = 1) v) t WHERE rn = 1",
     "d3_replace_partition": "SELECT notebook_uuid, page_number, text FROM d_page WHERE notebook_uuid NOT IN (SELECT notebook_uuid FROM d_highlight) UNION ALL SELECT notebook_uuid, page_number, original_text FROM d_highlight",
     "d4_partial_update": "SELECT s.id, coalesce(u.status, s.status) AS status, s.content_hash FROM d_sync s LEFT JOIN (SELECT id, 'archived' AS status FROM d_sync WHERE retry_count > 5) u ON u.id = s.id",
     "d6_retention": f"SELECT id FROM d_log WHERE changed_ms >= {NOW - 68 * DAY}",
@@ -93,16 +96,11 @@ SQL = {
     "d9_rebuild": "SELECT lower(visible_name) AS title, coalesce(authors, 'Unknown') AS author, notebook_uuid FROM d_notebook",
     "d10_stamp": f"SELECT id, CASE WHEN status = 'retry' THEN {NOW} ELSE synced_ms END AS updated_ms FROM d_sync",
     "d12_view_pages": "SELECT item_id AS page_uuid, content_hash, synced_ms FROM d_sync WHERE item_type = 'page_text' AND target = 'notion'",
-    # hierarchy
-    "h1_paths": "WITH RECURSIVE walk AS (SELECT uuid, name, item_type, CASE WHEN parent IS NULL THEN name WHEN parent = 'trash' THEN concat('🗑️ Trash/', name) ELSE concat('📁 ', name) END AS path FROM d_folder WHERE parent IS NULL OR parent NOT IN (SELECT uuid FROM d_folder) UNION ALL SELECT f.uuid, f.name, f.item_type, concat(w.path, '/', f.name) FROM d_folder f JOIN walk w ON f.parent = w.uuid) SELECT uuid, path FROM walk",
-    "h2_plain_paths": "WITH RECURSIVE walk AS (SELECT uuid, name AS path FROM d_folder WHERE parent IS NULL UNION ALL SELECT f.uuid, concat(w.path, '/', f.name) FROM d_folder f JOIN walk w ON f.parent = w.uuid) SELECT uuid, path FROM walk",
-    "h3_documents": "WITH RECURSIVE walk AS (SELECT uuid, item_type, name AS path FROM d_folder WHERE parent IS NULL UNION ALL SELECT f.uuid, f.item_type, concat(w.path, '/', f.name) FROM d_folder f JOIN walk w ON f.parent = w.uuid) SELECT uuid, path FROM walk WHERE item_type = 'document'",
-    "h4_without_trash": "WITH RECURSIVE gone AS (SELECT uuid FROM d_folder WHERE parent = 'trash' UNION ALL SELECT f.uuid FROM d_folder f JOIN gone g ON f.parent = g.uuid) SELECT f.uuid, lower(f.name) AS name FROM d_folder f WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.uuid = f.uuid)",
-    "h5_listing": "WITH RECURSIVE walk AS (SELECT uuid, name, 0 AS depth, concat(lower(name), ' ', uuid) AS place FROM d_folder WHERE parent IS NULL UNION ALL SELECT f.uuid, f.name, w.depth + 1, concat(w.place, '/', lower(f.name), ' ', f.uuid) FROM d_folder f JOIN walk w ON f.parent = w.uuid) SELECT place, concat(repeat('  ', depth), uuid, ' ', name) AS line FROM walk",
+    # hierarchy (the others are in devices.py)
     "h7_folder_part": "SELECT notebook_uuid, CASE WHEN full_path IS NULL THEN NULL WHEN full_path NOT LIKE '%/%' THEN '' ELSE regexp_extract(full_path, '^(.*)/[^/]*$', 1) END AS folder FROM d_notebook",
     # fingerprints
     "x6_notebook_md5": "SELECT notebook_uuid, md5(listagg(concat('page_', page_number, ':', text), '|') WITHIN GROUP (ORDER BY page_number)) AS h FROM d_page GROUP BY notebook_uuid",
-    "x7_metadata_md5": "SELECT notebook_uuid, md5(concat('path:', coalesce(full_path, ''), '|opened:', coalesce(CAST(last_opened_ms AS VARCHAR(20)), ''))) AS h FROM d_notebook",
+    "x7_metadata_md5": "SELECT notebook_uuid, md5(concat('path:', coalesce(full_path, ''), '|modified:', coalesce(CAST(modified_ms AS VARCHAR(20)), ''), '|opened:', coalesce(CAST(last_opened_ms AS VARCHAR(20)), ''))) AS h FROM d_notebook",
     "x9_page_sha": "SELECT page_uuid, sha256(text) AS h FROM d_page",
     "x11_changelog_sha": "SELECT id, sha256(concat_ws('|', concat('table:', source_table), concat('op:', operation), CASE WHEN hash_after IS NOT NULL THEN concat('hash:', hash_after) END)) AS h FROM d_log",
     "x13_full_text_md5": "SELECT notebook_uuid, md5(listagg(text, '') WITHIN GROUP (ORDER BY page_number)) AS h FROM d_page GROUP BY notebook_uuid",
@@ -120,7 +118,6 @@ SQL = {
     "c24_backfill": "SELECT s.id, coalesce(nullif(s.external_id, ''), concat('map-', p.page_uuid)) AS external_id FROM d_sync s JOIN d_page p ON p.page_uuid = s.item_id",
     "c29_duplicate_books": "SELECT a.notebook_uuid FROM d_notebook a WHERE a.authors IS NULL AND EXISTS (SELECT 1 FROM d_notebook b WHERE lower(substr(b.visible_name, 1, 10)) = lower(substr(a.visible_name, 1, 10)) AND b.authors IS NOT NULL)",
     # changelog
-    "g1_dedup": "SELECT id FROM (SELECT id, changed_ms, hash_after, lag(changed_ms) OVER (PARTITION BY source_table, source_id, operation, hash_after ORDER BY changed_ms, id) AS before_ms FROM d_log) t WHERE hash_after IS NULL OR before_ms IS NULL OR changed_ms - before_ms > 300000",
     "g3_pending": "SELECT g.id, s.target, s.status FROM d_log g LEFT JOIN (SELECT DISTINCT notebook_uuid, target, status FROM d_sync) s ON s.notebook_uuid = concat('nb-', g.source_id) WHERE g.status = 'pending'",
     "g5_health": "SELECT count(*) AS total, sum(CASE WHEN status = 'pending' THEN 1 ELSE 0 END) AS pending, round(CAST(sum(CASE WHEN status = 'processed' THEN 1 ELSE 0 END) AS DOUBLE) / count(*) * 100, 1) AS rate, min(CASE WHEN status = 'pending' THEN changed_ms END) AS oldest FROM d_log",
     "g7_hook_filter": "SELECT notebook_uuid FROM d_notebook WHERE document_type = 'notebook' AND (full_path IS NULL OR full_path NOT LIKE 'trash%')",
@@ -131,7 +128,7 @@ SQL = {
     "e4_routing": "SELECT g.id, c.target FROM d_log g JOIN (SELECT 'notebooks' AS source_table, 'notion' AS target UNION ALL SELECT 'pages', 'notion' UNION ALL SELECT 'todos', 'notion' UNION ALL SELECT 'highlights', 'readwise') c ON c.source_table = g.source_table WHERE g.status = 'pending'",
     "e6_retry": f"SELECT id FROM d_sync WHERE status = 'retry' AND retry_count < 5 AND synced_ms < {NOW} - 30000 * power(2, retry_count)",
     "e7_stale": f"SELECT count(*) AS n FROM d_sync WHERE status IN ('pending', 'in_progress') AND synced_ms < {NOW - DAY}",
-    "e9_batches": "SELECT notebook_uuid, CAST(floor((page_number - 1) / 3) AS BIGINT) AS batch, min(page_number) AS first_page, max(page_number) AS last_page, count(*) AS n FROM d_page GROUP BY notebook_uuid, CAST(floor((page_number - 1) / 3) AS BIGINT)",
+    "e9_batches": "SELECT notebook_uuid, CAST(floor((page_number - 1) / 25) AS BIGINT) AS batch, concat('[', min(page_number), ',', max(page_number), ']') AS item, count(*) AS n FROM d_page GROUP BY notebook_uuid, CAST(floor((page_number - 1) / 25) AS BIGINT)",
     "e13_payload": "SELECT id, substr(original_text, 1, 2000) AS text, concat_ws(' | ', concat('page ', page_number), CASE WHEN confidence < 0.7 THEN 'low confidence' END) AS note FROM d_highlight WHERE length(original_text) >= 10",
     "e14_todo_export": f"SELECT t.id, n.visible_name FROM d_todo t LEFT JOIN d_notebook n ON n.notebook_uuid = t.notebook_uuid WHERE t.completed = FALSE AND t.created_ms > {NOW - 66 * DAY} AND lower(n.full_path) NOT LIKE '%archive%'",
     "e16_find_book": "SELECT a.notebook_uuid, min(b.notebook_uuid) AS book FROM d_notebook a JOIN d_notebook b ON trim(lower(a.visible_name)) = trim(lower(b.visible_name)) AND a.authors = b.authors GROUP BY a.notebook_uuid",
@@ -139,11 +136,11 @@ SQL = {
     "r6_catch_up": "SELECT source_table, count(*) AS n, count(*) > 10 AS over_cap FROM d_log WHERE status = 'pending' GROUP BY source_table",
     "r7_recent_events": "SELECT id, source_table FROM d_log ORDER BY id DESC LIMIT 50",
     # text functions
-    "f1_clean": "SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')) AS clean FROM documents",
+    "f1_clean": "SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), '[ \\t\\n\\r]+', ' ', 'g')) AS clean FROM documents",
     "f2_normalise": "SELECT doc_id, lower(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'))) AS clean FROM documents",
-    "f4_quality": "SELECT doc_id, length(text) >= 15 AND CAST(length(regexp_replace(text, '[^\\p{L}]', '', 'g')) AS DOUBLE) / length(text) > 0.6 AND CAST(length(regexp_replace(text, '[\\p{L}\\p{N} \\t\\n\\r]', '', 'g')) AS DOUBLE) / length(text) < 0.2 AS good FROM documents WHERE length(text) > 0",
-    "f5_gibberish": "SELECT doc_id FROM documents WHERE length(text) > 0 AND (CAST(length(regexp_replace(text, '[^\\p{L}]', '', 'g')) AS DOUBLE) / length(text) < 0.6 OR CAST(length(regexp_replace(text, '[\\p{L}\\p{N} \\t\\n\\r]', '', 'g')) AS DOUBLE) / length(text) > 0.2)",
-    "f6_confidence": "SELECT doc_id, round(least(CAST(1 AS DOUBLE), CASE WHEN length(text) < 20 THEN CAST(0.8 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END * CASE WHEN substr(text, length(text), 1) IN ('.', '!', '?') THEN CAST(1.1 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END), 9) AS confidence FROM documents WHERE length(text) > 0",
+    "f4_quality": f"SELECT doc_id, length(text) >= 15 AND {LETTERS} > 0.6 AND {SYMBOLS} < 0.2 AND {N_WORDS} >= 3 AND NOT regexp_like(text, '[^\\p{{L}}\\p{{N}} \\t\\n\\r\\f]{{4,}}') AS good FROM documents WHERE length(text) > 0",
+    "f5_gibberish": f"SELECT doc_id FROM documents WHERE length(text) > 0 AND (length(text) < 15 OR {LETTERS} < 0.6 OR {SYMBOLS} > 0.2 OR {N_WORDS} < 3 OR regexp_like(text, '[^\\p{{L}}\\p{{N}} \\t\\n\\r\\f]{{4,}}'))",
+    "f6_confidence": f"SELECT doc_id, round(least(CAST(1 AS DOUBLE), CASE WHEN length(text) < 20 THEN CAST(0.8 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END * CASE WHEN substr(text, length(text), 1) IN ('.', '!', '?') THEN CAST(1.1 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END * CASE WHEN {SYMBOLS} >= 0.2 THEN CAST(0.7 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END), 9) AS confidence FROM documents WHERE length(text) > 0",
     "f14_iso_date": "SELECT id, concat_ws('-', split_part(d, '-', 3), split_part(d, '-', 2), split_part(d, '-', 1)) AS iso FROM (SELECT id, concat(split_part(actual_date, '-', 3), '-', split_part(actual_date, '-', 2), '-', split_part(actual_date, '-', 1)) AS d FROM d_todo WHERE actual_date IS NOT NULL) t",
     "f18_truncate": "SELECT doc_id, CASE WHEN length(text) > 2000 THEN concat(substr(text, 1, 1997), '...') ELSE text END AS short FROM documents",
     "f19_badge": "SELECT id, CASE WHEN confidence > 0.8 THEN '🟢' WHEN confidence > 0.5 THEN '🟡' WHEN confidence > 0 THEN '🔴' ELSE '' END AS badge FROM d_highlight",

@@ -98,6 +98,25 @@ def printable_runs(spark: SparkSession, folder: str, least: int = 15) -> DataFra
     return files(spark, folder, "*.rm").select(stem().alias("page_uuid"), F.posexplode(F.regexp_extract_all(text, F.lit(f"([ -~]{{{least},}})"), 1)).alias("at", "run"))
 
 
+def page_hashes(spark: SparkSession, folder: str) -> DataFrame:
+    """page_uuid and hash of every listed page: SHA-256 of its file, or MD5 of its number and name where it has none."""
+    listed = pages(spark, folder)
+    own = F.md5(F.concat_ws(":", F.lit("page"), F.col("page_number").cast("string"), F.col("page_uuid")))
+    return listed.join(stroke_hashes(spark, folder), "page_uuid", "left").select("page_uuid", F.coalesce("hash", own).alias("hash"))
+
+
+def legacy_sentences(spark: SparkSession, folder: str, words: int = 3, letters: float = 0.6, symbols: float = 0.2) -> DataFrame:
+    """page_uuid, pdf_page and a row for each run of a page file that is mostly text; pages with a side file ``<page>-metadata.json`` are left out."""
+    there = files(spark, folder, "*-metadata.json").select(F.regexp_extract("path", r"([^/]*)-metadata\.json$", 1).alias("page_uuid"))
+    runs = printable_runs(spark, folder, 1).join(there, "page_uuid", "left_anti")
+    text = F.trim(F.replace("run", F.lit("l!"), F.lit("")))
+    own = runs.select("page_uuid", text.alias("sentence")).filter("sentence <> '' and not sentence like 'reMarkable .lines file, version=_'")
+    size = F.greatest(F.length("sentence"), F.lit(1))
+    count = lambda pattern: F.length(F.regexp_replace("sentence", pattern, ""))
+    good = (count(r"[^\p{L}]") / size > letters) & (F.size(F.split(F.col("sentence"), r"\s+")) >= words) & (count(r"[\p{L}\p{N}\s]") / size < symbols)
+    return own.filter(good).join(page_map(spark, folder).select("page_uuid", "pdf_page"), "page_uuid", "left").select("page_uuid", "sentence", "pdf_page")
+
+
 def allowed(spark: SparkSession, path: str) -> DataFrame:
     """The lines of a list, without blank ones and comments."""
     return spark.read.text(path).select(F.trim("value").alias("line")).filter("line <> '' and line not like '#%'")

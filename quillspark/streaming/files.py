@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -16,7 +16,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers needn't h
 
 def file_events(spark: SparkSession, folder: str, pattern: str = "*.rm", per_trigger: int = 100) -> DataFrame:
     """path and ts of files as they appear; the file source knows no deletions."""
-    stream = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger)
+    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger)
     return stream.load(folder).select("path", F.col("modificationTime").alias("ts"))
 
 
@@ -80,9 +80,12 @@ def route(events: DataFrame, kinds: DataFrame, key: str, to: dict[str, Callable[
     """Starts a query that hands each micro-batch's events to the sinks of their document_type; a type may have several names in ``to`` joined by |."""
 
     def each(batch: DataFrame, _: int) -> None:
-        joined = batch.join(kinds, key)
-        for names, sink in to.items():
-            sink(joined.filter(F.col("document_type").isin(names.split("|"))))
+        joined = batch.join(kinds, key).persist()
+        try:
+            for names, sink in to.items():
+                sink(joined.filter(F.col("document_type").isin(names.split("|"))))
+        finally:
+            joined.unpersist()
 
     return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -91,3 +94,14 @@ def catch_up(pending: DataFrame, cap: int = 10, force: bool = False) -> DataFram
     """pending if it has at most ``cap`` rows or is forced, else none of it: a guard against a flood at the start."""
     over = pending.limit(cap + 1).count() > cap
     return pending if force or not over else pending.limit(0)
+
+
+def debounced(events: DataFrame, key: str, quiet_seconds: int = 30, late_seconds: int = 60) -> DataFrame:
+    """key, first and last time and number of the events of a burst: one row once the key has been quiet. Works on streams and tables."""
+    bursts = events.withWatermark("ts", f"{late_seconds} seconds").groupBy(F.session_window("ts", f"{quiet_seconds} seconds"), key)
+    return bursts.agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n")).drop("session_window")
+
+
+def budget(pages: Column) -> Column:
+    """Seconds that a notebook may take. Null pages count as none."""
+    return F.lit(120) + 150 * F.coalesce(pages, F.lit(0))
