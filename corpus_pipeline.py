@@ -1,4 +1,9 @@
-"""A corpus from raw documents to packed sequences: five stages, each written as Parquet and read by the next."""
+"""A corpus from raw documents to packed sequences: five stages, each written as Parquet and read by the next.
+
+All but the last stage return rows of documents with all columns as they came, whatever their names; suffix_array_dedup changes text and
+n_chars. Every stage takes empty tables, giving no rows, and nulls in any column; null texts count as empty. Texts of any length are
+looked at whole.
+"""
 
 from __future__ import annotations
 
@@ -10,27 +15,33 @@ from quillspark.llm.queries import tokenizer
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored 0.5 or more stay."""
+    """Documents scored 0.5 or more stay. Null and empty texts are scored like others; repeated rows fare alike."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), work_dir(spark, "quality"))
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates stays: five words, 80 %."""
+    """The document with the smallest doc_id of each group of near-duplicates stays: five words, 80 %.
+
+    Null doc_ids come last; of equal ones, the text with the smallest md5 stays, once. Texts without words all stay.
+    """
     return jaccard.one_of_each(docs, work_dir(spark, "jaccard"), words_each=5, percent=80)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 50 bytes or more that a smaller doc_id has are cut out of the texts."""
+    """Strings of 50 bytes or more that a smaller doc_id has are cut out of the texts; documents that lose all go.
+
+    Null doc_ids come last; equal ones (null, too) cut nothing out of each other. Null and empty texts stay, empty.
+    """
     return suffixes.cut(docs, work_dir(spark, "suffixes"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark stay."""
+    """Documents without a passage of the benchmark stay: similarity 0.8 of five-word shingles. Rows are judged by text; null and empty ones stay."""
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), work_dir(spark, "decontam"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its place in sequences of at most 2048 tokens."""
+    """Every piece of every document with its place in sequences of at most 2048 tokens; repeated rows and null doc_ids have pieces of their own."""
     return packing.pack(packing.pieces(docs, tokenizer("byte_bpe_50k.json"), end_id=0, capacity=2048), work_dir(spark, "packing"), capacity=2048)
 
 
