@@ -7,7 +7,8 @@ the same document.
 
 Chunks have ``least`` to ``most`` bytes and about ``least + 2^bits`` on average; a shorter rest joins the chunk before.
 Cuts never split a character. Null texts are empty: no chunks. Rows with null doc_id come after all others; repeated rows
-are copies. An empty table gives no rows.
+are copies. An empty table gives no rows. A text of any length is cut whole by its task. Columns other than doc_id and text aren't read,
+whatever their names.
 """
 
 from __future__ import annotations

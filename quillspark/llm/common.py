@@ -23,6 +23,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.shared import base
+
 ROWS_PER_BATCH = 1024
 SLICE_BYTES = 2 << 20
 
@@ -43,23 +45,9 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, str(ROWS_PER_BATCH))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = Path(tempfile.mkdtemp(prefix="quillspark-")).as_uri()
-        atexit.register(shutil.rmtree, base.removeprefix("file://"), True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    if base.startswith("/"):
-        base = f"file://{base}"
-    elif base.startswith("file:/") and not base.startswith("file://"):
-        base = f"file://{base.removeprefix('file:')}"
-    return base.rstrip("/")
-
-
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one. It goes when the driver's Python ends."""
-    uri = f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
+    uri = f"{base(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
     filesystem, path = fs.FileSystem.from_uri(uri)
     filesystem.create_dir(path, recursive=True)
     atexit.register(remove, uri)

@@ -7,7 +7,8 @@ Remainder 1 is held out. All labelled rows of their folds are used.
 
 Null and empty texts have statistics of zeros and are scored alike. Null doc_ids are scored and not held out. Without labels
 of both classes every score is the share of label 1, or 0.5 without any. Null labels are left out; repeated rows count
-again.
+again. A text of any length is measured whole by its task. An empty table gives no rows. Columns other than doc_id and text aren't
+read; keep_good returns them as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillspark.llm.common import arrow, per_text, prepare, table, text_slices
+from quillspark.llm.common import arrow, per_text, prepare, table, text_slices, unused
 from quillspark.llm.textstats import DIGIT, LOWER, UPPER, count, of_text, repeats
 
 FEATURES, SEED, BINS = 256, 11, 2000
@@ -51,6 +53,10 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 WIDTH = 4 + len(MARKS) + 10
 
 
+def listed(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * WIDTH), pa.array(x.ravel()))
+
+
 def featurise(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
 
@@ -58,7 +64,7 @@ def featurise(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for row, offsets, data in text_slices(batch, "text"):
                 x = statistics(data, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(x)), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * WIDTH), pa.array(x.ravel()))], ["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(x)), listed(x)], ["doc_id", "x"])
 
     return arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, x array<double>")
 
@@ -158,14 +164,22 @@ def classify(docs: DataFrame, labels: DataFrame, folder: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, folder: str) -> DataFrame:
-    """The rows of docs with a score of 0.5 or more, in one pass over docs after training."""
-    model = train(table(featurise(docs), f"{folder}/features"), labels, folder)
+    """The rows of docs with a score of 0.5 or more. Rows are written with their statistics, which are taken once."""
+    prepare(docs.sparkSession)
+    name = unused(docs, "x")
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
 
-    def run(batches):
+    def measure(batches):
         for batch in batches:
             for row, offsets, data in text_slices(batch, "text"):
-                good = model.score(statistics(data, offsets)) >= 0.5
-                yield batch.slice(row, len(good)).filter(pa.array(good))
+                yield pa.RecordBatch.from_arrays([*batch.slice(row, len(offsets) - 1).columns, listed(statistics(data, offsets))], [*batch.schema.names, name])
 
-    prepare(docs.sparkSession)
-    return arrow(docs, run, docs.schema)
+    whole = table(arrow(docs, measure, schema), f"{folder}/measured")
+    model = train(whole.select(F.col("doc_id").cast("long"), F.col(name).alias("x")), labels, folder)
+
+    def good(batches):
+        for batch in batches:
+            x = np.asarray(batch.column(batch.schema.get_field_index(name)).flatten()).reshape(-1, WIDTH)
+            yield batch.filter(pa.array(model.score(x) >= 0.5)).drop_columns([name])
+
+    return arrow(whole, good, docs.schema)

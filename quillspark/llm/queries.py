@@ -72,5 +72,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_token_records, op2_warc_revisits, op3_quality_classifier, op4_benchmark_decontamination, op5_hilbert_shards, op6_best_fit_packing, op7_suffix_family, op8_ngram_jaccard, op9_gear_chunks, op10_quality_rules)}
 
 
+#: Equal payloads by their text; of those of 1000 bytes the largest page_id is the response.
+_WARC = """SELECT page_id, size AS payload_bytes, digest AS payload_digest, if(best IS NULL, 'response', 'revisit') AS record_type, best AS refers_to
+FROM (SELECT page_id, strlen(h) AS size, sha1(h) AS digest, if(strlen(h) >= 1000 AND page_id < max(page_id) OVER (PARTITION BY h), max(page_id) OVER (PARTITION BY h), NULL) AS best
+      FROM (SELECT page_id, coalesce(html, '') AS h FROM pages) p) q"""
+#: All pairs of documents that share a shingle, then all that pairs reach.
+_JACCARD = r"""WITH RECURSIVE split AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM split),
+each AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM each a JOIN each b ON b.x = a.x AND b.doc_id <> a.doc_id AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON p.a = r.b)
+SELECT s.doc_id, len(s.s) AS n_shingles, c.low AS component_id FROM sets s JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) c ON c.a = s.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others need a tokenizer, a fitted model, bytes or a curve, or all windows of all texts: tests hold them against brute force."""
+    return {"op2_warc_revisits": _WARC, "op8_ngram_jaccard": _JACCARD}

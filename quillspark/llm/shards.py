@@ -1,13 +1,14 @@
 """Hilbert-curve ordering of documents, cut into shards of near equal row counts.
 
-Each dimension is quantised by its own quantiles into 2^bits cells (strings by their first 7 bytes, whose order is the
-strings'), the cells give an index on a Hilbert curve, and rows are range-partitioned and sorted by it. A shard is a
+Each dimension is quantised by its own quantiles into 2^bits cells (strings by the 7 bytes after those that all have in common, whose order
+is the strings'), the cells give an index on a Hilbert curve, and rows are range-partitioned and sorted by it. A shard is a
 run of ranks, so its files span a small box of every dimension, which minimum and maximum statistics can prune. Whole rows
 are shuffled once and written sorted; ranks come from counts of partitions, and a second pass writes the shards, a folder of
 Parquet files each, with all columns of the documents. What is returned is computed from these files.
 
 Nulls fall into the lowest cell. Ties on the curve are ordered by text checksum, doc_id and size; repeated rows get
-ranks of their own. An empty table gives no rows.
+ranks of their own. An empty table gives no rows. Texts of any length are moved with their rows. The documents' other columns are kept;
+where they have the name of curve, shard or slot, these get underscores.
 """
 
 from __future__ import annotations
@@ -20,17 +21,31 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import buckets, release, remove, table
 
 
-def ordinal(df: DataFrame, column: str) -> Column:
-    """A long in the order of the column's values, as far as their first 7 bytes tell."""
-    if df.schema[column].dataType.typeName() == "string":
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(column), "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+def is_text(df: DataFrame, column: str) -> bool:
+    return df.schema[column].dataType.typeName() == "string"
+
+
+def common(df: DataFrame, columns: list[str]) -> dict[str, int]:
+    """How many bytes all of a string column's values start with: those that the least and the greatest have in common."""
+    texts = [c for c in columns if is_text(df, c)]
+    if not texts:
+        return {}
+    ends = df.agg(*[f(F.encode(F.col(c), "UTF-8")) for c in texts for f in (F.min, F.max)]).first()
+    pairs = {c: (bytes(ends[2 * i] or b""), bytes(ends[2 * i + 1] or b"")) for i, c in enumerate(texts)}
+    return {c: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b))) for c, (a, b) in pairs.items()}
+
+
+def ordinal(df: DataFrame, column: str, skip: int = 0) -> Column:
+    """A long in the order of the column's values; of strings, as far as the 7 bytes after the first ``skip`` tell."""
+    if is_text(df, column):
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(column), "UTF-8"), skip + 1, 7)), 14, "0"), 16, 10).cast("long")
     return F.col(column).cast("long")
 
 
-def cell(column: str, bounds: list[int]) -> Column:
-    """How many of the bounds the value reaches; 0 for null."""
+def cell(column: str, bounds: list[int], bits: int) -> Column:
+    """How many of the bounds the value reaches, spread over all cells, so that a dimension of few values counts like others; 0 for null."""
     reached = F.filter(F.array(*[F.lit(v).cast("long") for v in bounds]), lambda v: F.col(column) >= v)
-    return F.when(F.col(column).isNull() | F.lit(not bounds), 0).otherwise(F.array_size(reached)).cast("long")
+    return F.when(F.col(column).isNull() | F.lit(not bounds), 0).otherwise(F.floor(F.array_size(reached) * (2**bits - 1) / max(len(bounds), 1))).cast("long")
 
 
 def hilbert(cells: list[Column], bits: int) -> Column:
@@ -94,9 +109,10 @@ def write_shards(docs: DataFrame, dimensions: list[str], folder: str, shards: in
             names[name] += "_"
     steps = [k / 2**bits for k in range(1, 2**bits)]
     at = [f"at_{i}" for i in range(len(dimensions))]
-    ordinals = [ordinal(docs, c).alias(a) for c, a in zip(dimensions, at, strict=True)]
+    skip = common(docs, dimensions)
+    ordinals = [ordinal(docs, c, skip.get(c, 0)).alias(a) for c, a in zip(dimensions, at, strict=True)]
     bounds = docs.select(*ordinals).agg(*[F.percentile_approx(c, steps, 10_000).alias(c) for c in at]).first()  # 2^bits - 1 longs a dimension
-    cells = [cell(c, sorted(set(bounds[c] or []))) for c in at]
+    cells = [cell(c, sorted(set(bounds[c] or [])), bits) for c in at]
     # the place in the input parts repeated rows; it also keeps the optimizer from putting the ordinals into the cells
     rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), size(), crc(), *ordinals, F.monotonically_increasing_id().alias("place"))
     order = ["curve", "text_crc32", "doc_id", "size", "place"]

@@ -1,12 +1,13 @@
 """Web archives with revisit records.
 
-Payload digests are taken where the pages are read. Headers (digest, page_id) are summed to one original a digest, that with
-the largest page_id, for payloads of ``least`` bytes or more that occur more than once; that small table is written, then joined to
-the pages by digest (adaptive execution splits a hot digest), and each task writes its pages as a gzip member a record,
-with fresh headers: a response with its payload, or a revisit without, that names the response.
+Pages are written once as numbered files of the shared folder, a file a scan task; payloads are never shuffled. Each file sends its
+headers: the digests of payloads of ``least`` bytes or more, once each, with the largest page_id. Buckets of digests answer each file
+which page is the original of its digests. Each task then writes its pages as a gzip member a record,
+with fresh headers: a response with its payload, or a revisit without, that names the response. A hot payload is a header a file.
 
 Null html is an empty payload. Pages without page_id are responses, as are rows that repeat an original's page_id.
-Null urls give an empty target. An empty table makes a folder without archives.
+Null urls give an empty target. An empty table makes a folder without archives. A payload of any length is one record, held whole by its
+task. Columns other than page_id, url and html aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ import hashlib
 import re
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import arrow, prepare, table
+from quillspark.llm.common import arrow, buckets, deal, packed, remove
+from quillspark.llm.store import TextStore, by_bucket, dump, parse
 
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -80,36 +83,79 @@ def read_archive(stream) -> iter:
         yield head, block
 
 
-def resolve(pages: DataFrame, folder: str, least: int = 1000) -> DataFrame:
-    """page_id, url, payload, sha1 and refers_to, null for responses."""
-    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    keyed = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha1"))
-    headers = pages.select(F.col("page_id").cast("long"), F.sha1(payload).alias("sha1"), F.octet_length(payload).alias("size"))
-    originals = headers.filter((F.col("size") >= least) & F.col("page_id").isNotNull()).groupBy("sha1").agg(F.max("page_id").alias("original"), F.count("*").alias("n"))
-    originals = table(originals.filter("n > 1").select("sha1", "original"), f"{folder}/originals")
-    return keyed.join(originals, "sha1", "left").select("page_id", "url", "payload", "sha1", F.expr("if(page_id < original, original, null)").alias("refers_to"))
+def sha1s(offsets: np.ndarray, data: np.ndarray) -> list[bytes]:
+    view = memoryview(data)
+    return [hashlib.sha1(view[a:b]).digest() for a, b in zip(offsets, offsets[1:], strict=False)]
+
+
+def originals(store: TextStore, files: list[int], spark: SparkSession, least: int) -> DataFrame:
+    """For each file (bucket) the digests that several pages have, with the original's page_id."""
+    n = buckets(spark)
+
+    def send(batches):
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                found: dict[bytes, tuple[int, int]] = {}
+                for ids, null, offsets, data, _ in store.read(file):
+                    for page, lacks, size, sha1 in zip(ids.tolist(), null.tolist(), np.diff(offsets).tolist(), sha1s(offsets, data), strict=True):
+                        if size >= least and not lacks:
+                            best, many = found.get(sha1, (page, 0))
+                            found[sha1] = max(best, page), many + 1
+                digest = np.frombuffer(b"".join(x + bytes(4) for x in found), np.uint64).reshape(-1, 3)
+                page, many = np.array(list(found.values()), np.int64).reshape(-1, 2).T
+                for bucket, own in by_bucket((digest[:, 0] % np.uint64(n)).astype(np.int64), n, [*digest.T, page, many]):
+                    yield bucket, dump([*own, np.array([file], np.int32)])
+
+    def answer(blobs):
+        found = [parse(x) for x in blobs]
+        if not found:
+            return
+        a, b, c, page, many = (np.concatenate([x[j] for x in found]) for j in range(5))
+        file = np.concatenate([np.repeat(x[5], len(x[0])) for x in found])
+        order = np.lexsort((page, c, b, a))
+        new = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]) | (c[order][1:] != c[order][:-1]))
+        heads = np.flatnonzero(new)
+        sizes = np.diff(np.append(heads, len(order)))
+        best, total = np.empty(len(a), np.int64), np.empty(len(a), np.int64)
+        best[order] = np.repeat(page[order][heads + sizes - 1], sizes)
+        total[order] = np.repeat(np.add.reduceat(many[order], heads), sizes)
+        hit = total > 1
+        rows = [(k, dump(own)) for k, own in by_bucket(file[hit], store.files, [x[hit] for x in (a, b, c, best)])]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "blob"])
+
+    return packed(store.listed(spark, files), send, answer, "bucket int, blob binary", n)
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = 1000) -> list[int]:
     """Writes archive-N.warc.gz below folder; the numbers N."""
-    prepare(pages.sparkSession)
+    spark, store = pages.sparkSession, TextStore(f"{folder}/pages", rest=True)
+    files = store.append(pages.select(F.col("page_id").cast("long").alias("doc_id"), F.col("html").alias("text"), F.coalesce("url", F.lit("")).alias("rest")))
+    told = deal(originals(store, files, spark, least).unionByName(store.listed(spark, files)), max(1, store.files))
 
     def write(batches):
-        from pyspark import TaskContext
-
-        part, out = TaskContext.get().partitionId(), None
-        filesystem, root = fs.FileSystem.from_uri(folder)
-        new = f"{root}/.{uuid.uuid4().hex}"
+        answers: dict[int, list[list[np.ndarray]]] = {}
         for batch in batches:
-            out = out or filesystem.open_output_stream(new, compression=None)
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out.write(gzip.compress(record(*row), 5, mtime=0))
-        if out:
-            out.close()
-            filesystem.move(new, f"{root}/archive-{part:06d}.warc.gz")
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32())})
-
-    return sorted(r[0] for r in arrow(resolve(pages, folder, least), write, "part int").collect())  # one row an archive
+            for file, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                answers.setdefault(file, []).extend([parse(blob)] if blob else [])
+        filesystem, root = fs.FileSystem.from_uri(folder)
+        for file, found in answers.items():
+            of: dict[bytes, int] = {}
+            for *digest, best in found:
+                raw = np.stack(digest, 1).tobytes()
+                of |= {raw[24 * i : 24 * i + 20]: x for i, x in enumerate(best.tolist())}
+            new = f"{root}/.{uuid.uuid4().hex}"
+            with filesystem.open_output_stream(new, compression=None) as out:
+                for (ids, null, offsets, data, _), urls in zip(store.read(file), store.rests(file), strict=True):
+                    for i, (page, url, sha1) in enumerate(zip(ids.tolist(), urls.to_pylist(), sha1s(offsets, data), strict=True)):
+                        html = data[offsets[i] : offsets[i + 1]].tobytes()
+                        to = of.get(sha1) if len(html) >= least and not null[i] else None
+                        out.write(gzip.compress(record(None if null[i] else page, url, html, sha1.hex(), to if to is not None and page < to else None), 5, mtime=0))
+            filesystem.move(new, f"{root}/archive-{file:06d}.warc.gz")
+            yield pa.RecordBatch.from_pydict({"part": pa.array([file], pa.int32())})
+
+    done = sorted(r[0] for r in arrow(told, write, "part int").collect())  # one row an archive
+    remove(f"{folder}/pages")
+    return done
 
 
 def read_archives(spark: SparkSession, folder: str, parts: list[int]) -> DataFrame:

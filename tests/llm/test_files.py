@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -104,10 +105,29 @@ def test_archives(spark):
         to = to if to is not None and page_id is not None and page_id != to else None
         want[page_id, len(b), hashlib.sha1(b).hexdigest(), "response" if to is None else "revisit", to, b if to is None else b""] += 1
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, bytes(r.payload)) for r in got) == want
+    many = spark.range(400).selectExpr("id as page_id", "'u' as url", f"if(id % 3 = 0, '{big}', concat('{other}', id % 5)) as html").repartition(7)
+    folder = work_dir(spark, "t2")
+    kinds = Counter((r.record_type, r.refers_to) for r in warc.read_archives(spark, folder, warc.write_archives(many, folder)).collect())
+    assert kinds[("response", None)] == 6 and kinds[("revisit", 399)] == 133 and sum(kinds.values()) == 400
     empty_folder = work_dir(spark, "t2")
     assert warc.read_archives(spark, empty_folder, warc.write_archives(pages.limit(0), empty_folder)).count() == 0
 
 
+def test_archives_of_the_table(spark, sf):
+    pages, folder = spark.read.parquet(f"{sf}/pages.parquet"), work_dir(spark, "t2")
+    rows = pages.select("page_id", "html").collect()
+    best = {}
+    for page, html in rows:
+        best[html] = max(page, best.get(html, page))
+    want = Counter()
+    for page, html in rows:
+        b = (html or "").encode()
+        to = best[html] if len(b) >= 1000 and best[html] != page else None
+        want[page, len(b), hashlib.sha1(b).hexdigest(), "response" if to is None else "revisit", to] += 1
+    got = warc.read_archives(spark, folder, warc.write_archives(pages, folder)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    assert Counter(map(tuple, got.collect())) == want
+
+
 def test_hilbert_is_a_curve(spark):
     from pyspark.sql import functions as F
 
@@ -191,6 +211,28 @@ def test_archive_is_plain_warc(spark):
     assert struct.pack("<Q", 3) and gzip.decompress(gzip.compress(data)) == data
 
 
+def test_a_box_is_in_few_files(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(i, 5), rng.choice(["de", "en", "fr", "it"]), f"https://example.org/source/{rng.randrange(40):02d}", rng.randrange(10_000), 0, 0, 0) for i in range(4000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert shards.common(docs, ["lang", "source", "n_chars"]) == {"lang": 0, "source": len("https://example.org/source/")}
+    folder = work_dir(spark, "t5")
+    shards.hilbert_shards(docs, ["lang", "source", "n_chars"], folder)
+    files = [pq.ParquetFile(p.removeprefix("file:").replace("%3A", ":")).metadata for p in spark.read.parquet(f"{folder}/shards").inputFiles()]
+
+    def reach(meta, column):
+        at = next(i for i in range(meta.num_columns) if meta.schema.column(i).path == column)
+        found = [meta.row_group(g).column(at).statistics for g in range(meta.num_row_groups)]
+        return min(x.min for x in found), max(x.max for x in found)
+
+    def read(box):  # by what statistics can't rule out
+        return sum(m.num_rows for m in files if all(reach(m, c)[0] <= high and low <= reach(m, c)[1] for c, (low, high) in box.items())) / len(rows)
+
+    one = "https://example.org/source/07"
+    assert read({"lang": ("de", "de"), "n_chars": (0, 2500)}) <= 0.35
+    assert read({"source": (one, one)}) <= 0.6 and read({"lang": ("it", "it"), "source": (one, one), "n_chars": (9000, 9999)}) <= 0.2
+
+
 def test_shards_hold_whole_rows(spark):
     rows = [(i % 40 if i % 5 else None, prose(i % 50, 30), "en", f"src{i % 3}", i, 7, 3, i) for i in range(160)] + [(None, None, None, None, None, 1, 1, 1), (9, "twice", "de", "s", 5, 7, 7, 7), (9, "twice", "de", "s", 5, 7, 7, 7), (9, "other", "de", "s", 5, 7, 7, 7)]
     docs = spark.createDataFrame(rows, DOCS).repartition(3)
