@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import paths
 from quillspark.shared import folder
-from quillspark.sources import notebooks, strokes
+from quillspark.sources import drawing, notebooks, strokes
 from quillspark.streaming import files
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers needn't have this package
@@ -125,6 +125,18 @@ def b2_strokes(spark, sf_dir):
     return found.select(notebooks.stem().alias("page_uuid"), "layer", "stroke", "pen", "colour", F.array_max("xs").alias("right"), F.array_max("ys").alias("low"), F.size("xs").alias("points"))
 
 
+def b3_pens(spark, sf_dir):
+    """The width and shade of the first polyline of each stroke."""
+    found = drawing.with_svg(_pages(spark, sf_dir))
+    each = F.posexplode(F.regexp_extract_all("svg", F.lit(r'stroke:(rgb\([0-9,]+\);stroke-width:[0-9.]+)'), 1)).alias("stroke", "style")
+    return found.select(notebooks.stem().alias("page_uuid"), each)
+
+
+def b4_polylines(spark, sf_dir):
+    found = drawing.with_svg(_pages(spark, sf_dir), width=702, height=936)
+    return found.select(notebooks.stem().alias("page_uuid"), F.posexplode(F.regexp_extract_all("svg", F.lit('points="([^"]*)"'), 1)).alias("at", "points"))
+
+
 def r1_file_events(spark, sf_dir):
     """The stream of page files, read to its end into a table."""
     root, out = seeded(spark, sf_dir), folder(spark, "events")
@@ -195,7 +207,7 @@ def h8_output_path(spark, sf_dir):
     return _books(spark, sf_dir).select("notebook_uuid", paths.output_path(F.col("full_path"), F.col("name")).alias("file"))
 
 
-_ALL = (s1_sidecars, s2_notebooks, s3_pages, s4_page_counts, s5_page_map, s6_kinds, s7_metadata, s8_templates, s12_page_files, f8_printable_runs, b1_versions, b2_strokes, r1_file_events, r4_routing, h1_paths, h2_plain_paths, h3_documents, h4_without_trash, h5_listing, h6_tags, h8_output_path)
+_ALL = (s1_sidecars, s2_notebooks, s3_pages, s4_page_counts, s5_page_map, s6_kinds, s7_metadata, s8_templates, s12_page_files, f8_printable_runs, b1_versions, b2_strokes, b3_pens, b4_polylines, r1_file_events, r4_routing, h1_paths, h2_plain_paths, h3_documents, h4_without_trash, h5_listing, h6_tags, h8_output_path)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _CONV = "(SELECT DISTINCT conv_id AS c FROM conversations) n"
@@ -214,6 +226,9 @@ ORACLE = {
     "f8_printable_runs": "SELECT page_uuid, n AS runs FROM (SELECT 'pg-' || conv_id || '-' || turn AS page_uuid, len(regexp_extract_all(text, '[ -~]{15,}')) AS n FROM conversations) x WHERE n > 0",
     "b1_versions": "SELECT 'pg-' || conv_id || '-' || turn AS page_uuid, CAST(if(conv_id % 2 = 1, 5, 3) AS INTEGER) AS version FROM conversations",
     "b2_strokes": "SELECT 'pg-' || conv_id || '-' || turn AS page_uuid, CAST(0 AS INTEGER) AS layer, CAST(s AS INTEGER) AS stroke, ['ballpoint', 'fineliner'][s + 1] AS pen, CAST(conv_id % 3 AS INTEGER) AS colour, CAST(30 + s AS DOUBLE) AS \"right\", CAST(15 AS DOUBLE) AS low, CAST(4 AS INTEGER) AS points FROM conversations, (SELECT unnest(range(2)) AS s) z WHERE s < turn % 3",
+    # a ballpoint's width and shade follow from pressure 0.5, width 2 and speed 1, a fineliner's from its base and the colour
+    "b3_pens": "SELECT 'pg-' || conv_id || '-' || turn AS page_uuid, CAST(s AS INTEGER) AS stroke, if(s = 0, 'rgb(0,0,0);stroke-width:2.990', ['rgb(0,0,0)', 'rgb(125,125,125)', 'rgb(255,255,255)'][conv_id % 3 + 1] || ';stroke-width:5.573') AS style FROM conversations, (SELECT unnest(range(2)) AS s) z WHERE s < turn % 3",
+    "b4_polylines": "SELECT 'pg-' || conv_id || '-' || turn AS page_uuid, CAST(s AS INTEGER) AS at, array_to_string(list_transform(range(4), lambda i: format('{:.3f},{:.3f}', (10 * i + s) / 2, 5 * i / 2)), ' ') AS points FROM conversations, (SELECT unnest(range(2)) AS s) z WHERE s < turn % 3",
     "r1_file_events": "SELECT 'pg-' || conv_id || '-' || turn AS page_uuid FROM conversations",
     "r4_routing": "SELECT 'pg-' || conv_id || '-' || turn AS page_uuid, if(conv_id % 3 = 0, 'pages', 'books') AS sink FROM conversations",
     "h1_paths": "WITH RECURSIVE walk AS (" + _WALK.format(path="CASE WHEN parent IS NULL THEN name WHEN parent = 'trash' THEN concat('🗑️ Trash/', name) ELSE concat('📁 ', name) END", top="parent IS NULL OR parent NOT IN (SELECT uuid FROM d_folder)") + ") SELECT uuid, path FROM walk",

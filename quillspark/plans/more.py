@@ -267,13 +267,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 _FRESH = "(SELECT content_hash FROM d_sync EXCEPT SELECT content_hash FROM d_sync WHERE target = 'readwise')"
 _GOOD = "len(list_filter(string_split(s, ''), lambda c: regexp_full_match(c, '\\p{L}'))) > 0.6 * length(s) AND len(list_filter(string_split(s, ''), lambda c: NOT regexp_full_match(c, '[\\p{L}\\p{N}\\s]'))) < 0.2 * length(s)"
+#: Lines of pages, numbered, told apart by their first characters rather than by patterns of whole lines where that does.
+_LINE = f"SELECT page, row_number() OVER (PARTITION BY page ORDER BY place) AS block, l FROM (SELECT concat(conv_id, '-', turn) AS page, generate_subscripts(string_split(text, chr(10)), 1) AS place, regexp_replace(unnest(string_split(text, chr(10))), '^\\s+|\\s+$', '', 'g') AS l FROM ({notes.PAGES}) p) x WHERE l <> ''"
+_KIND = f"SELECT *, CASE WHEN left(l, 1) = '#' THEN 'heading' WHEN length(l) > 2 AND replace(l, '-', '') = '' THEN 'divider' WHEN regexp_matches(l, '^-\\s*\\[[ xX]\\]\\s+.') THEN 'checkbox' WHEN left(l, 1) IN ('-', '*') AND regexp_matches(substr(l, 2), '^\\s+.') THEN 'bullet' WHEN regexp_matches(l, '^\\d+[.]\\s+.') THEN 'numbered' ELSE 'paragraph' END AS kind FROM ({_LINE}) y WHERE block <= 100"
+_BLOCKS = f"SELECT page, CAST(block AS INTEGER) AS block, kind, if(kind = 'heading', CAST(least(3, length(l) - length(ltrim(l, '#'))) AS INTEGER), NULL) AS level, CASE kind WHEN 'heading' THEN trim(ltrim(l, '#')) WHEN 'divider' THEN '' WHEN 'checkbox' THEN trim(substr(l, strpos(l, ']') + 1)) WHEN 'bullet' THEN trim(substr(l, 2)) WHEN 'numbered' THEN trim(substr(l, strpos(l, '.') + 1)) ELSE l END AS content, if(kind = 'checkbox', lower(substr(l, strpos(l, '[') + 1, 1)) = 'x', NULL) AS checked FROM ({_KIND}) z"
 ORACLE = {
     "d5_full_refresh": "SELECT notebook_uuid, visible_name, document_type AS state FROM d_notebook WHERE notebook_uuid NOT IN (SELECT notebook_uuid FROM d_notebook WHERE last_opened_ms IS NULL)",
     "d11_batched_insert": "SELECT id, source_table, operation FROM d_log",
     "d14_null_parents": "SELECT uuid, parent FROM d_folder f WHERE parent IS NULL OR EXISTS (SELECT 1 FROM d_folder g WHERE g.uuid = f.parent)",
     "e1_sync": f"SELECT content_hash, 'mock' AS target, 'success' AS status, 'mock_' || left(content_hash, 12) AS external_id FROM {_FRESH} f",
     "e5_parallel": "SELECT true AS few, count(DISTINCT content_hash) AS n FROM d_sync",
+    "e11_failing_target": "SELECT unnest(['success', 'failed', 'again failed']) AS status, unnest([count(*) - count(*) FILTER (bad), count(*) FILTER (bad), count(*) FILTER (bad)]) AS n FROM (SELECT DISTINCT content_hash, ('0x' || left(md5(content_hash), 8))::UBIGINT % 1000 < 100 AS bad FROM d_sync) x",
     "e12_rate": "SELECT target, CAST((count(*) + 49) // 50 AS INTEGER) AS requests, round(((count(*) + 49) // 50) * 60.0::DOUBLE / 235, 6) AS seconds FROM d_sync GROUP BY target",
+    "k1_blocks": f"SELECT page, block, kind, level, content, checked FROM ({_BLOCKS}) b",
+    "k2_block_structs": f"SELECT page, CAST(count(*) AS INTEGER) AS n, string_agg(kind, ',' ORDER BY block) AS types FROM ({_BLOCKS}) b GROUP BY page",
     "k5_layout": """SELECT notebook_uuid, CAST(0 AS INTEGER) AS at, 'heading' AS kind, '📓 ' || visible_name AS content FROM d_notebook
         UNION ALL SELECT notebook_uuid, 1, 'paragraph', 'Total pages: ' || total_pages || ' | UUID: ' || left(notebook_uuid, 8) || '...' || ifnull(' | Path: ' || full_path, '') || ' | Modified: 2024-01-01' || ifnull(' | Tags: ' || authors, '') || if(total_pages > 3, ' | Showing latest 3 pages (truncated)', '') FROM d_notebook
         UNION ALL SELECT notebook_uuid, 2, 'callout', '⚠️ This notebook has ' || total_pages || ' pages, but only the latest 3 are shown' FROM d_notebook WHERE total_pages > 3

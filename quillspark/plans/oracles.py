@@ -65,7 +65,6 @@ SQL = {
     "c29_duplicate_books": "SELECT notebook_uuid FROM d_notebook WHERE authors IS NULL AND lower(visible_name[1:10]) IN (SELECT lower(visible_name[1:10]) FROM d_notebook WHERE authors IS NOT NULL)",
     # changelog
     "g1_dedup": _STORED,
-    "g1_stored_changes": _STORED,
     "g3_pending": "SELECT g.id, s.target, s.status FROM (SELECT * FROM d_log WHERE status NOT IN ('failed', 'processed')) g LEFT JOIN (SELECT notebook_uuid, target, status FROM d_sync GROUP BY ALL) s ON substr(s.notebook_uuid, 4) = g.source_id",
     "g5_health": "SELECT count(*) AS total, count(*) FILTER (status = 'pending') AS pending, round(100.0 * count(*) FILTER (status = 'processed') / count(*), 1) AS rate, min(changed_ms) FILTER (status = 'pending') AS oldest FROM d_log",
     "g8_real_updates": "SELECT id FROM d_log g WHERE hash_after IS DISTINCT FROM (SELECT b.hash_after FROM d_log b WHERE b.source_table = g.source_table AND b.source_id = g.source_id AND (b.changed_ms, b.id) < (g.changed_ms, g.id) ORDER BY b.changed_ms DESC, b.id DESC LIMIT 1)",

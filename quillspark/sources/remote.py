@@ -87,7 +87,7 @@ def sqlite_table(spark: SparkSession, paths: str, query: str, schema: str) -> Da
 
 
 #: Where each old name of a setting went.
-MOVED = {"remarkable.source_directory": "remarkable.sync_directory"}
+MOVED = {"device.source_directory": "device.sync_directory"}
 
 
 def merged(a: dict, b: dict) -> dict:

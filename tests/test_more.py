@@ -3,8 +3,10 @@
 import json
 import re
 import sqlite3
+import struct
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from quillspark.operators import blocks, matching, paths, todos
 from quillspark.plans import notes
 from quillspark.plans.changes import LINES
 from quillspark.shared import base, folder
-from quillspark.sources import remote, targets
+from quillspark.sources import drawing, remote, targets
 from quillspark.sources.tables import VersionedTable
 from quillspark.streaming import files
 
@@ -80,8 +82,8 @@ def test_pages_and_settings(tmp_path, spark, monkeypatch):
     (tmp_path / "y.db").write_bytes(b"no database")
     assert sorted(map(tuple, remote.sqlite_table(spark, f"{tmp_path.as_uri()}/*.db", "select a, b from t", "a long, b string").collect())) == [(1, "é"), (2, None)]
     monkeypatch.setenv("QUILL_KEY", "secret")
-    c = remote.Config({"remarkable": {"sync_directory": ""}, "a": {"b": 1, "c": 2}}, {"a": {"b": 5}, "remarkable": {"source_directory": "/old"}}, {"QUILL_KEY": "api.key"})
-    assert (c.get("a.b"), c.get("a.c"), c.get("api.key"), c.get("remarkable.sync_directory"), c.get("x.y", 3)) == (5, 2, "secret", "/old", 3)
+    c = remote.Config({"device": {"sync_directory": ""}, "a": {"b": 1, "c": 2}}, {"a": {"b": 5}, "device": {"source_directory": "/old"}}, {"QUILL_KEY": "api.key"})
+    assert (c.get("a.b"), c.get("a.c"), c.get("api.key"), c.get("device.sync_directory"), c.get("x.y", 3)) == (5, 2, "secret", "/old", 3)
 
 
 def test_layout_and_blanks(spark):
@@ -146,6 +148,26 @@ def test_blocks_of_the_table(spark, sf):
     assert LINES and set(got) == set(texts) and all(got[k].types.split(",") == line_kinds(t) == line_kinds(t)[: got[k].n] for k, t in texts.items())
 
 
+def test_drawing():
+    n = 7
+    points = drawing.Points(np.arange(7.0), np.zeros(n), np.full(n, 50.0), np.full(n, 1.0), np.full(n, 4.0), np.full(n, 0.5))
+    lines = drawing.polylines("marker", 1, 2.0, points)
+    assert [len(x[3]) for x in lines] == [3, 4, 2] and {x[0] for x in lines} == {"rgb(125,125,125)"}
+    first = 0.9 * (4 - 0.4)
+    assert np.allclose([x[1] for x in lines], [first, first + 0.1 * first, first + 0.1 * (first + 0.1 * first)])
+    assert np.allclose([x[1] for x in drawing.polylines("ballpoint", 0, 2.0, points)], 0.5 + 0.5 + 4 - 0.5)
+    pencil = drawing.polylines("pencil", 0, 2.0, points)
+    assert np.allclose(pencil[0][1], 0.7 * ((0.8 * 2 + 0.25) * 4 - 0.25 - 0.6)) and np.isclose(pencil[0][2], 0.5 - 50 / 350 - 0.1)
+    assert drawing.polylines("highlighter", 3, 9.0, points)[0][:3] == ("rgb(251,247,25)", 15.0, 0.3)
+    assert drawing.svg(None).count("polyline") == drawing.svg(b"junk").count("polyline") == 0
+    assert 'points="20.000,10.000' in drawing.svg(_page([(20.0, 10.0)])) and 'points="20.000,20.000' in drawing.svg(_page([(20.0, 10.0)]), 1404, 3744).replace("40.000,", "20.000,")
+
+
+def _page(places):
+    head = b"reMarkable .lines file, version=5".ljust(43) + struct.pack("<II", 1, 1) + struct.pack("<IIIffI", 4, 0, 0, 2.0, 0.0, len(places))
+    return head + b"".join(struct.pack("<6f", x, y, 0, 0, 2, 0.5) for x, y in places)
+
+
 def test_shared_folder_must_be_named_on_a_cluster(monkeypatch):
     class Context:
         master = "spark://host:7077"
