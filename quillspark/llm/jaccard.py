@@ -28,8 +28,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.llm.common import LOWER, Substrings, arrow, buckets, deal, grams, mix, packed, release, remove, table, unused, words
 from quillspark.llm.graph import Forest, components
@@ -200,9 +202,13 @@ def component_table(docs: DataFrame, folder: str, words_each: int = 3, percent:
     return rows.join(least, "label", "left").select("doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def labelled(docs: DataFrame, folder: str, words_each: int, percent: int, digests: bool = False) -> DataFrame:
-    """doc_id, n_shingles and label of every row: rows of a component have one label, rows without shingles null. digests: and md5 of the text."""
-    spark, store = docs.sparkSession, TextStore(f"{folder}/texts")
+def labelled(docs: DataFrame, folder: str, words_each: int, percent: int, digests: bool = False, store: TextStore | None = None) -> DataFrame:
+    """doc_id, n_shingles and label of every row: rows of a component have one label, rows without shingles null.
+
+    digests: and md5 of the text. store: where docs' texts go, and stay; place is a row's file and place there.
+    """
+    spark, keep = docs.sparkSession, store is not None
+    store = store or TextStore(f"{folder}/texts")
     files, n = store.append(docs), buckets(docs.sparkSession)
     early = table(first_links(spark, store, files, words_each, percent, digests), f"{folder}/early")
     release(spark)
@@ -256,7 +262,10 @@ def labelled(docs: DataFrame, folder: str, words_each: int, percent: int, digest
         sizes = np.diff(np.append(heads, len(order)))
         two = l[heads] != l[heads + sizes - 1]
         node = mix(mix((file[order].astype(np.uint64) << np.uint64(32)) + owner[order]) + band[order])
-        group = np.repeat(mix(np.add.reduceat(node, heads) + sizes.astype(np.uint64)), sizes)
+        lead = np.minimum.reduceat((file[order].astype(np.int64) << 32) + owner[order], heads).astype(np.uint64)
+        # groups with one least member go to one bucket, where their documents' bitmaps are sent once
+        group = mix(np.add.reduceat(node, heads) + sizes.astype(np.uint64)) // np.uint64(2 * n) * np.uint64(n) + mix(lead) % np.uint64(n)
+        group = np.repeat(group, sizes)
         keep = np.repeat(two, sizes)
         hit, group = order[keep], group[keep]
         split = np.where(many[hit], key[hit], 0)  # documents that stand for others need the key
@@ -352,21 +361,22 @@ def labelled(docs: DataFrame, folder: str, words_each: int, percent: int, digest
     entries = members.filter("entry >= 0").groupBy("node").agg(F.first("n_shingles").alias("size"))
     placed = families.join(entries, "node").select("node", F.col("label").alias("family"), "size", F.floor(F.log("size") / F.log(F.lit(1.02))).cast("int").alias("band"))
     placed = table(placed.join(joined_early.select("node", F.col("label").alias("known")), "node", "left").withColumn("known", F.coalesce("known", "node")), f"{folder}/placed")
-    totals = table(placed.groupBy("family", "band").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")), f"{folder}/totals")
-    share = f"greatest({{n}} / {TILE}, {{s}} / {TILE_SHINGLES})"
-    whole = table(totals.groupBy("family").agg(F.expr(share.format(n="sum(n)", s="sum(shingles)") + " <= 1").alias("single")), f"{folder}/whole")
+    share = f"greatest(count(*) / {TILE}, sum(size) / {TILE_SHINGLES})"
+    totals = table(placed.groupBy("family", "band").agg(F.expr(share).alias("share")), f"{folder}/totals")
+    # bands in turn fill tiles; a band that is more than a tile is cut by hash
+    before = F.sum("share").over(Window.partitionBy("family").orderBy("band").rowsBetween(Window.unboundedPreceding, -1))
+    whole = F.sum("share").over(Window.partitionBy("family"))
+    totals = table(totals.select("family", "band", F.when(whole <= 1, -1).otherwise(F.floor(F.coalesce(before, F.lit(0.0)))).cast("int").alias("tile"), F.ceil("share").cast("int").alias("cuts")), f"{folder}/tilings")
+    placed = placed.join(totals, ["family", "band"]).withColumn("cut", F.pmod(F.xxhash64("node"), "cuts").cast("int"))
+    placed = table(placed.select("node", "family", "band", "tile", F.when(F.col("tile") < 0, 0).otherwise(F.col("cut")).alias("cut"), "known"), f"{folder}/tiles")
     reach = int(np.ceil(np.log(100 / percent) / np.log(1.02))) + 1
-    placed = placed.join(whole, "family").join(totals, ["family", "band"])
-    placed = placed.withColumn("tile", F.when(F.col("single"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("node"), F.expr("ceil(" + share.format(n="n", s="shingles") + ")")))).withColumn("band", F.when(F.col("tile") < 0, 0).otherwise(F.col("band")))
-    placed = table(placed.select("node", "family", "band", "tile", "known"), f"{folder}/tiles")
-    large = table(placed.filter("tile >= 0").groupBy("family", "band", "tile").agg(F.min("known").alias("low"), F.max("known").alias("high")), f"{folder}/large")
-    other = large.select("family", F.col("band").alias("band2"), F.col("tile").alias("tile2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    # each tile meets those of the bands within reach; two tiles of one label have nothing to find
-    reached = large.withColumn("band2", F.explode(F.sequence("band", F.col("band") + reach)))
-    pairs = reached.join(other, ["family", "band2"]).filter("(band2 > band or tile2 >= tile) and not (low = high and low2 = high2 and low = low2)")
-    task = F.xxhash64("family", "band", "tile", "band2", "tile2")
-    sides = pairs.select("family", "band", "tile", task.alias("task"), F.lit(0).alias("side")).unionByName(pairs.filter("band2 > band or tile2 > tile").select("family", F.col("band2").alias("band"), F.col("tile2").alias("tile"), task.alias("task"), F.lit(1).alias("side")))
-    wanted = placed.filter("tile < 0").select("node", F.xxhash64("family").alias("task"), F.lit(0).alias("side"), "known").unionByName(placed.filter("tile >= 0").join(sides, ["family", "band", "tile"]).select("node", "task", "side", "known"))
+    large = table(placed.filter("tile >= 0").groupBy("family", "tile", "cut").agg(F.min("band").alias("first"), F.max("band").alias("last"), F.min("known").alias("low"), F.max("known").alias("high")), f"{folder}/large")
+    other = large.select("family", *[F.col(c).alias(f"{c}2") for c in ("tile", "cut", "first", "last", "low", "high")])
+    # tiles meet those of bands within reach; two tiles of one label have nothing to find
+    pairs = large.join(other, "family").filter(f"(tile2 > tile or tile2 = tile and cut2 >= cut) and first2 <= last + {reach} and not (low = high and low2 = high2 and low = low2)")
+    task = F.xxhash64("family", "tile", "cut", "tile2", "cut2")
+    sides = pairs.select("family", "tile", "cut", task.alias("task"), F.lit(0).alias("side")).unionByName(pairs.filter("tile2 > tile or cut2 > cut").select("family", F.col("tile2").alias("tile"), F.col("cut2").alias("cut"), task.alias("task"), F.lit(1).alias("side")))
+    wanted = placed.filter("tile < 0").select("node", F.xxhash64("family").alias("task"), F.lit(0).alias("side"), "known").unionByName(placed.filter("tile >= 0").join(sides, ["family", "tile", "cut"]).select("node", "task", "side", "known"))
     wanted = wanted.select(place[0], place[1], "task", "side", "known")
 
     def ship(batches):
@@ -408,8 +418,10 @@ def labelled(docs: DataFrame, folder: str, words_each: int, percent: int, digest
     links = table(links.unionByName(early), f"{folder}/links")
     labels = components(links, f"{folder}/components")
     rows = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rows = table(rows.select("doc_id", "n_shingles", F.when(F.col("entry") >= 0, F.col("label")).alias("label"), *["md5"] * digests), f"{folder}/labelled")
-    for name in ("texts", "early", "first", "joined", "met", "families", "family", "members", "placed", "totals", "whole", "tiles", "large", "links", "components"):
+    rows = table(rows.select("doc_id", "n_shingles", F.when(F.col("entry") >= 0, F.col("label")).alias("label"), "place", *["md5"] * digests), f"{folder}/labelled")
+    if keep:
+        store.drop(["members", "sketches"], store.files)
+    for name in (*["texts"] * (not keep), "early", "first", "joined", "met", "families", "family", "members", "placed", "totals", "tilings", "tiles", "large", "links", "components"):
         remove(f"{folder}/{name}")
     del sent, known, given
     release(spark)
@@ -567,36 +579,52 @@ def rows_of(found):
 
 
 def spark_members(store: TextStore, files: list[int], spark, digests: bool) -> DataFrame:
-    """doc_id, node, entry (-1: no shingles), n_shingles and, with digests, md5 of every row, in order of place."""
+    """doc_id, node, entry (-1: no shingles), n_shingles, place and, with digests, md5 of every row, in order of place."""
     md5 = ["md5"] * digests
 
     def read(batches):
         for batch in batches:
             for file in batch.column(0).to_pylist():
                 ids, entry, size, digest = load(store.side("members", file))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=ids == LAST), pa.array((file << 32) + entry), pa.array(entry), pa.array(size), *[pa.Array.from_buffers(pa.binary(16), len(ids), [None, pa.py_buffer(digest)]).cast(pa.binary()) for _ in md5]], ["doc_id", "node", "entry", "n_shingles", *md5])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=ids == LAST), pa.array((file << 32) + entry), pa.array(entry), pa.array(size), pa.array((file << 32) + np.arange(len(ids))), *[pa.Array.from_buffers(pa.binary(16), len(ids), [None, pa.py_buffer(digest)]).cast(pa.binary()) for _ in md5]], ["doc_id", "node", "entry", "n_shingles", "place", *md5])
 
-    return arrow(store.listed(spark, files), read, "doc_id long, node long, entry long, n_shingles long" + ", md5 binary" * digests)
+    return arrow(store.listed(spark, files), read, "doc_id long, node long, entry long, n_shingles long, place long" + ", md5 binary" * digests)
 
 
 def one_of_each(docs: DataFrame, folder: str, words_each: int = 5, percent: int = 80) -> DataFrame:
     """One row of each component: smallest doc_id, nulls last, of these the smallest md5 of the text. Rows without shingles stay.
 
-    Rows are told apart by doc_id and text; of rows that have both in common, one stays, whatever their other columns are.
+    Of rows that have doc_id and text in common, one stays, whatever their other columns are. Texts are read from the operator's own
+    files, so they aren't shuffled; the files must be there until the result is written.
     """
-    rows, key = labelled(docs, folder, words_each, percent, digests=True), ["doc_id", "md5"]
-    found = rows.filter("label is not null").groupBy("label", *key).agg(F.count("*").alias("n")).withColumn("key", F.struct(F.col("doc_id").isNull().alias("last"), *key))
-    found = table(found, f"{folder}/keys")
-    first = table(found.groupBy("label").agg(F.min("key").alias("first"), F.sum("n").alias("all")).filter("all > 1"), f"{folder}/least")
-    id_, md5_, stays = (unused(docs, x) for x in ("id_kept", "md5_kept", "stays"))
-    found = table(found.join(first, "label").filter("key <> first or n > 1").select(F.col("doc_id").alias(id_), F.col("md5").alias(md5_), (F.col("key") == F.col("first")).alias(stays)), f"{folder}/found")
-    for name in ("labelled", "keys", "least"):
-        remove(f"{folder}/{name}")
-    own, md5 = F.col("doc_id").cast("long"), F.unhex(F.md5(F.col("text").cast("binary")))
-    same = own.eqNullSafe(F.col(id_)) & (md5 == F.col(md5_))
-    kept = docs.join(found, same, "left_anti")
-    repeated = found.filter(stays)
-    if repeated.isEmpty():
-        return kept
-    one = docs.join(repeated, same, "left_semi").withColumn(md5_, md5).dropDuplicates(["doc_id", md5_]).drop(md5_)
-    return kept.unionByName(one)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    null = unused(docs, "null")
+    stored = docs.select("doc_id", "text", F.struct(*others, F.col("text").isNull().alias(null)).alias("rest"))
+    store = TextStore(f"{folder}/texts", rest=True)
+    rows = labelled(stored, folder, words_each, percent, digests=True, store=store)
+    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "md5", "place")
+    found = rows.filter("label is not null")
+    first = table(found.groupBy("label").agg(F.min(key).alias("first"), F.count("*").alias("n")).filter("n > 1").select("label", F.col("first.place").alias("stays")), f"{folder}/least")
+    gone = found.select("label", "place").join(first, "label").filter("place <> stays")
+    gone = table(gone.select(F.shiftright("place", 32).cast("int").alias("bucket"), F.col("place").bitwiseAND(F.lit(2**32 - 1)).alias("row")), f"{folder}/gone")
+    remove(f"{folder}/labelled")
+    spark = docs.sparkSession
+    every = gone.unionByName(spark.createDataFrame([(x, None) for x in range(store.files)], "bucket int, row long"))
+
+    def read(batches):
+        for file, (lost,) in by_file(batches, 1).items():
+            if not store.has(file):
+                continue
+            at, lost = 0, np.sort(lost)
+            for _, batch in store.batches(file):
+                keep = np.ones(len(batch), bool)
+                a, b = np.searchsorted(lost, [at, at + len(batch)])
+                keep[lost[a:b] - at] = False
+                at += len(batch)
+                batch = batch.filter(pa.array(keep))
+                text = pc.if_else(batch.column(3).field(null), None, batch.column(1).cast(pa.string()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), text, batch.column(3)], ["doc_id", "text", "rest"])
+
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), stored.schema["rest"]])
+    kept = arrow(deal(every, max(1, store.files)), read, schema)
+    return kept.select(*[F.col(c).cast(docs.schema[c].dataType).alias(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in docs.columns])

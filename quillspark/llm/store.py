@@ -73,6 +73,11 @@ class TextStore:
             for number in range(reader.num_record_batches) if which is None else which:
                 yield number, reader.get_batch(number)
 
+    def has(self, file: int) -> bool:
+        """Empty tasks write no file."""
+        filesystem, root = fs.FileSystem.from_uri(self.folder)
+        return filesystem.get_file_info(f"{root}/text-{file:06d}").type == fs.FileType.File
+
     def read(self, file: int, which: list[int] | None = None):
         """doc_ids (nulls: LAST), whether null, offsets, bytes, digests of each batch."""
         for _, batch in self.batches(file, which):
