@@ -146,4 +146,63 @@ SQL = {
     "n6_natural_key": "SELECT id FROM d_todo a WHERE EXISTS (SELECT 1 FROM d_todo b WHERE b.id < a.id AND b.notebook_uuid = a.notebook_uuid AND b.page_number = a.page_number AND b.text = a.text AND b.actual_date IS NOT DISTINCT FROM a.actual_date)",
     "s15_restore": "SELECT notebook_uuid, page_uuid, page_number FROM d_page WHERE page_number % 3 = 0",
     "s18_allow_list": "SELECT notebook_uuid FROM d_notebook WHERE visible_name IN ('Notebook 1', 'Notebook 7')",
+    # the rest, by other operators of SQL
+    "p4_in_list": "SELECT notebook_uuid, visible_name FROM d_notebook WHERE list_contains(['nb-1', 'nb-5', 'nb-8'], notebook_uuid) AND list_contains(['notebook', 'pdf'], document_type)",
+    "p5_recent": f"SELECT id, created_ms FROM d_highlight EXCEPT ALL SELECT id, created_ms FROM d_highlight WHERE created_ms <= {NOW - 60 * DAY}",
+    "p6_excluded_notebooks": "SELECT notebook_uuid FROM d_notebook WHERE NOT regexp_matches(visible_name, '^Notebook (2$|1)|(?i)book 33')",
+    "p8_page_range": "SELECT page_uuid, page_number FROM d_page WHERE page_number IN (SELECT unnest(range(2, 5)))",
+    "p10_preview": "SELECT id, left(if(corrected_text IS NULL, original_text, corrected_text), 100) AS preview, left(original_text, 50) || if(length(original_text) > 50, '...', '') AS short FROM d_highlight",
+    "p11_epoch_seconds": "SELECT notebook_uuid, epoch(to_timestamp(last_opened_ms // 1000))::BIGINT AS opened_s FROM d_notebook",
+    "p17_id_compare": "SELECT if(external_id IS NULL, 'missing', 'real') AS kind, count(*) AS n FROM (SELECT s.external_id FROM d_sync s WHERE s.item_id IN (SELECT page_uuid FROM d_page) UNION ALL SELECT NULL FROM d_page WHERE page_uuid NOT IN (SELECT item_id FROM d_sync)) x GROUP BY 1 HAVING kind <> 'real' UNION ALL SELECT if(translate(substr(s.external_id, 4), '-', '') = translate(substr(s.item_id, 4), '-', ''), 'dash_only', 'real'), count(*) FROM d_sync s WHERE s.external_id IS NOT NULL AND s.item_id IN (SELECT page_uuid FROM d_page) GROUP BY 1",
+    "p18_deep_link": "SELECT id, format('https://notes.example/{}#{}', translate(notebook_uuid, '-', ''), translate(external_id, '-', '')) AS link FROM d_sync WHERE external_id IS NOT NULL",
+    "j3_left_on_predicates": "SELECT item_id AS page_uuid, id AS sync_id FROM d_sync WHERE target = 'notion' AND status = 'success' AND item_id IN (SELECT page_uuid FROM d_page) UNION ALL SELECT page_uuid, NULL FROM d_page p WHERE NOT EXISTS (SELECT 1 FROM d_sync s WHERE s.item_id = p.page_uuid AND s.target = 'notion' AND s.status = 'success')",
+    "j4_cast_key": "SELECT TRY_CAST(source_id AS BIGINT) AS id, operation, count(*) AS n FROM d_log WHERE TRY_CAST(source_id AS BIGINT) IN (SELECT id FROM d_todo) GROUP BY ALL UNION ALL SELECT id, NULL, 0 FROM d_todo WHERE CAST(id AS VARCHAR) NOT IN (SELECT source_id FROM d_log)",
+    "j7_changed_or_new": "SELECT s.item_id AS page_uuid FROM d_sync s JOIN d_page p ON p.page_uuid = s.item_id WHERE s.status = 'success' AND NOT sha256(p.text) = s.content_hash UNION ALL SELECT page_uuid FROM d_page WHERE page_uuid NOT IN (SELECT item_id FROM d_sync WHERE status = 'success')",
+    "j10_two_targets": "SELECT page_uuid, unnest(coalesce((SELECT list(s.status) FROM d_sync s WHERE s.item_id = p.page_uuid AND s.target = 'notion'), [NULL])) AS notion, (SELECT s.status FROM d_sync s WHERE s.item_id = p.page_uuid AND s.target = 'readwise') AS readwise FROM d_page p",
+    "j11_chain": "SELECT x.id, (SELECT n.visible_name FROM d_notebook n WHERE n.notebook_uuid = x.notebook_uuid) AS visible_name, page_uuid, unnest(coalesce((SELECT list(s.external_id) FROM d_sync s WHERE s.item_id = x.page_uuid AND s.status = 'success'), [NULL])) AS external_id FROM (SELECT t.*, (SELECT p.page_uuid FROM d_page p WHERE p.notebook_uuid = t.notebook_uuid AND p.page_number = t.page_number) AS page_uuid FROM d_todo t WHERE NOT completed) x",
+    "j13_computed_key": "SELECT page_uuid, unnest(coalesce((SELECT list(s.id) FROM d_sync s WHERE s.external_id IS NULL AND s.notebook_uuid = p.notebook_uuid AND s.page_number = p.page_number), [NULL])) AS sync_id FROM d_page p",
+    "j15_full_lookup": "SELECT notebook_uuid, (SELECT n.visible_name FROM d_notebook n WHERE n.notebook_uuid = k.notebook_uuid) AS visible_name, nullif((SELECT count(*) FROM d_todo t WHERE t.notebook_uuid = k.notebook_uuid), 0) AS n FROM (SELECT notebook_uuid FROM d_notebook UNION SELECT notebook_uuid FROM d_todo) k",
+    "a1_counts": "SELECT unnest(['pages', 'todos', 'syncs', 'log']) AS name, unnest([(SELECT count(*) FROM d_page), (SELECT count(*) FROM d_todo), (SELECT count(*) FROM d_sync), (SELECT count(*) FROM d_log)]) AS n",
+    "a2_by_status": "SELECT DISTINCT target, item_type, status, count(*) OVER (PARTITION BY target, item_type, status) AS n FROM d_sync",
+    "a3_min_max": "SELECT DISTINCT target, item_type, status, count(*) OVER w AS n, first_value(synced_ms) OVER (w ORDER BY synced_ms) AS first_ms, first_value(synced_ms) OVER (w ORDER BY synced_ms DESC) AS last_ms FROM d_sync WINDOW w AS (PARTITION BY target, item_type, status)",
+    "a6_rollup": "SELECT notebook_uuid, len(l) AS pages, list_sum(list_transform(l, lambda x: length(x.t)))::BIGINT AS total_characters, round(list_avg(list_transform(l, lambda x: x.c)), 9) AS confidence, list_min(list_transform(l, lambda x: x.u)) AS first_ms, list_max(list_transform(l, lambda x: x.u)) AS last_ms FROM (SELECT notebook_uuid, list({'t': text, 'c': confidence, 'u': updated_ms}) AS l FROM d_page GROUP BY notebook_uuid) x WHERE list_sum(list_transform(l, lambda x: length(x.t))) > 1000",
+    "a8_top_groups": "SELECT authors, n FROM (SELECT authors, sum(n)::BIGINT AS n, row_number() OVER (ORDER BY sum(n) DESC, authors) AS k FROM (SELECT b.authors, (SELECT count(*) FROM d_highlight h WHERE h.notebook_uuid = b.notebook_uuid) AS n FROM d_notebook b WHERE b.authors IS NOT NULL) x WHERE n > 0 GROUP BY authors) y WHERE k <= 5",
+    "a9_books": "SELECT notebook_uuid, visible_name, authors, n FROM (SELECT b.*, (SELECT count(*) FROM d_highlight h WHERE h.notebook_uuid = b.notebook_uuid) AS n FROM d_notebook b) x WHERE n > 0",
+    "a14_dates": "SELECT actual_date, len(l) AS n, list_min(l) AS first_id, list_max(l) AS last_id FROM (SELECT actual_date, list(id) AS l FROM d_todo GROUP BY actual_date) x WHERE actual_date IS NOT NULL",
+    "a15_pending": "SELECT source_table, operation, len(l) AS n, list_min(l) AS oldest, list_max(l) AS newest FROM (SELECT source_table, operation, list(changed_ms) FILTER (status = 'pending') AS l FROM d_log GROUP BY ALL) x WHERE l IS NOT NULL",
+    "a17_nested_pages": f"SELECT notebook_uuid, {_joined(chr(39) + 'page_' + chr(39) + ' || page_number || ' + chr(39) + ':' + chr(39) + ' || length(text)', '|', 'page_number')} AS pages FROM {_BOOKS}",
+    "a18_cost": "SELECT document_type, coalesce(sum(total_pages) FILTER (document_type = 'notebook'), 0)::BIGINT AS paid_pages, round(coalesce(sum(total_pages * 0.003::DOUBLE) FILTER (document_type = 'notebook'), 0), 6) AS cost FROM d_notebook GROUP BY document_type",
+    "a19_results": "SELECT result, count(*) AS n FROM (SELECT coalesce(map_extract_value(MAP {'success': 'success', 'failed': 'failed'}, status), 'skipped') AS result FROM d_sync) x GROUP BY result",
+    "a21_version": "SELECT version, version < 6 AS pending FROM d_migration ORDER BY version DESC LIMIT 1",
+    "a22_recent_first": "SELECT notebook_uuid, len(l) AS n, l[1] AS last_ms FROM (SELECT notebook_uuid, list(created_ms ORDER BY created_ms DESC) AS l FROM d_highlight GROUP BY notebook_uuid) x",
+    "o1_newest": "SELECT id, changed_ms FROM (SELECT *, row_number() OVER (ORDER BY changed_ms DESC, id) AS k FROM d_log) x WHERE k <= 20",
+    "o2_nulls_last": "SELECT id, actual_date FROM (SELECT *, row_number() OVER (ORDER BY actual_date IS NULL, actual_date DESC, id) AS k FROM d_todo) x WHERE k <= 25",
+    "o3_numeric_text": "SELECT source_id, id FROM (SELECT *, row_number() OVER (ORDER BY length(source_id), source_id, id) AS k FROM d_log) x WHERE k <= 30",
+    "o4_quotas": "SELECT kind, id, created_ms FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY created_ms DESC, id) AS k FROM (SELECT 'todo' AS kind, id, created_ms FROM d_todo UNION ALL SELECT 'highlight', id, created_ms FROM d_highlight) a) x WHERE k <= 10",
+    "o5_priority": "SELECT id, status, synced_ms FROM (SELECT *, row_number() OVER (ORDER BY coalesce(list_position(['failed', 'retry'], status), 3), synced_ms DESC, id) AS k FROM d_sync) x WHERE k <= 15",
+    "o7_reading_order": f"SELECT notebook_uuid, {_joined('text', ' ', '(confidence, page_number)')} AS text FROM {_BOOKS}",
+    "o8_filter_then_limit": "SELECT item_id, id FROM (SELECT *, row_number() OVER (ORDER BY id) AS k FROM d_sync WHERE status IN ('failed', 'retry', 'pending')) x WHERE k <= 12",
+    "o9_new_then_backlog": "SELECT page_uuid, is_new FROM (SELECT page_uuid, CAST(known IS NOT TRUE AS INTEGER) AS is_new, row_number() OVER (ORDER BY known IS TRUE, page_number DESC, page_uuid) AS k FROM (SELECT p.*, EXISTS (SELECT 1 FROM d_sync s WHERE s.item_id = p.page_uuid) AS known FROM d_page p) x) y WHERE k <= 50",
+    "u3_distinct": "SELECT notebook_uuid, status FROM d_sync GROUP BY notebook_uuid, status",
+    "u5_three_way": "SELECT if(l AND r, 'both', if(l, 'only_local', 'only_remote')) AS side, count(*) AS n FROM (SELECT notebook_uuid, page_number, bool_or(local) AS l, bool_or(NOT local) AS r FROM (SELECT notebook_uuid, page_number, true AS local FROM d_page UNION ALL SELECT notebook_uuid, page_number, false FROM d_todo) a GROUP BY ALL) x GROUP BY 1",
+    "h7_folder_part": "SELECT notebook_uuid, array_to_string(string_split(full_path, '/')[:-2], '/') AS folder FROM d_notebook",
+    "c20_cutoff": f"SELECT id, ['skipped', 'recent'][1 + CAST(changed_ms - {NOW - 68 * DAY} > 0 AS INTEGER)] AS part FROM d_log",
+    "g7_hook_filter": "SELECT notebook_uuid FROM d_notebook WHERE document_type = 'notebook' AND NOT starts_with(ifnull(full_path, ''), 'trash')",
+    "e7_stale": f"SELECT len(list_filter(list({{'s': status, 'm': synced_ms}}), lambda x: list_contains(['pending', 'in_progress'], x.s) AND x.m < {NOW - DAY})) AS n FROM d_sync",
+    "r6_catch_up": "SELECT DISTINCT source_table, count(*) OVER (PARTITION BY source_table) AS n, count(*) OVER (PARTITION BY source_table) > 10 AS over_cap FROM d_log WHERE status = 'pending'",
+    "r7_recent_events": "SELECT id, source_table FROM d_log a WHERE (SELECT count(*) FROM d_log b WHERE b.id > a.id) < 50",
+    "f19_badge": "SELECT id, ['', '🔴', '🟡', '🟢'][1 + CAST(confidence > 0 AS INTEGER) + CAST(confidence > 0.5 AS INTEGER) + CAST(confidence > 0.8 AS INTEGER)] AS badge FROM d_highlight",
+    "t4_export": "SELECT DISTINCT completed, count(*) OVER (PARTITION BY completed) AS n, first_value(text) OVER (PARTITION BY completed ORDER BY text) AS first_text FROM d_todo",
+    "c14_metadata_diff": "SELECT notebook_uuid, if(document_type = 'epub', 'new', if(length(notebook_uuid) % 2 = 0, 'same', 'path')) AS change FROM d_notebook",
+    "c23_validation": "SELECT item_type, status, count(*) AS n, count(*) FILTER (NOT regexp_full_match(ifnull(content_hash, ''), '[0-9a-f]{64}')) AS bad_hashes, count(*) FILTER (external_id IS NOT NULL) AS with_block FROM d_sync GROUP BY ALL",
+    "g2_typed_changes": "SELECT 'pages' AS source_table, page_uuid AS source_id, sha256('text:' || text || '|page_number:' || page_number) AS h FROM d_page UNION ALL SELECT 'todos', id::VARCHAR, sha256('text:' || text || ifnull('|actual_date:' || actual_date, '')) FROM d_todo",
+    "g4_mark": f"SELECT id, if(status = 'pending' AND id % 10 = 4, 'processed', status) AS status, if(status = 'pending' AND id % 10 = 4, {NOW}, NULL) AS processed_ms FROM d_log",
+    "g6_batch": "SELECT id AS source_id, 'INSERT' AS operation, nullif(sha256(text), sha256('')) AS hash_after FROM d_todo",
+    "f10_collate": f"SELECT notebook_uuid, (SELECT count(*) FROM d_page p WHERE p.notebook_uuid = n.notebook_uuid AND trim(p.text) <> '') AS fragments, {_joined('trim(text)', ' ', 'page_number')} AS text FROM (SELECT DISTINCT notebook_uuid FROM d_page WHERE trim(text) <> '') n",
+    "f16_ms": "SELECT id, if(id % 3 = 0, NULL, changed_ms) AS at_ms FROM d_log",
+    "f17_fence": "SELECT item_id, if(item_id % 3 = 1, '```mermaid' || chr(10) || text || chr(10) || '```', text) AS text FROM benchmark",
+    "f25_distance": "SELECT a.id, round(sqrt((a.page_number - b.page_number - 1.0) ** 2 + (a.id % 50 + 1.0 - b.id % 40) ** 2), 6) AS distance FROM d_highlight a, d_highlight b WHERE b.id - a.id = 1",
+    "d2_upsert": "SELECT page_uuid AS item_id, sha256(text) AS content_hash, 0 AS retry_count FROM d_page WHERE page_number = 1 UNION ALL SELECT DISTINCT item_id, first_value(content_hash) OVER (PARTITION BY item_id ORDER BY synced_ms DESC, id DESC), 0 FROM d_sync WHERE item_id NOT IN (SELECT page_uuid FROM d_page WHERE page_number = 1)",
+    "d6_retention": f"SELECT id FROM d_log EXCEPT ALL SELECT id FROM d_log WHERE changed_ms < {NOW - 68 * DAY}",
+    "d10_stamp": f"SELECT id, coalesce(nullif({NOW} * CAST(status = 'retry' AS BIGINT), 0), synced_ms) AS updated_ms FROM d_sync",
 }
