@@ -2,7 +2,8 @@
 
 A text's features are the shares of its hashed words, word pairs and triples of characters, each kind summing to one, so that a
 score is a sum of gathered weights: whole Arrow batches are scored without a loop over texts. The model is fitted on the
-driver, on at most ``sample`` labelled rows a class (those with the smallest hashes of doc_id, so any input has one choice),
+driver, on at most ``sample`` labelled rows a class (those with the smallest hashes of doc_id, so any input has one choice), of which it gets
+at most 2^BITS cells a kind, however long the texts,
 and calibrated to the prior of all labels on a third of the rows that it wasn't fitted on. Rows whose crc32(doc_id) mod 3 is 1 are left out,
 to measure it.
 
