@@ -4,9 +4,10 @@ from quillspark.plans.adapters import DAY, NOW
 
 LATEST = "SELECT item_id, target, max_by(content_hash, struct(synced_ms, id)) AS content_hash, max(synced_ms) AS synced_ms FROM d_sync WHERE status = 'success' GROUP BY item_id, target"
 MEANT = "lower(text) NOT LIKE '%this appears to be a blank%' AND lower(text) NOT LIKE '%completely empty page%'"
-LETTERS = r"CAST(length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS DOUBLE) / length(text)"
-SYMBOLS = r"CAST(length(regexp_replace(text, '[\p{L}\p{N} \t\n\r\f]', '', 'g')) AS DOUBLE) / length(text)"
-N_WORDS = r"(CASE WHEN trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g')) = '' THEN 0 ELSE length(trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g'))) - length(replace(trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g')), ' ', '')) + 1 END)"
+#: Runs go at once: a match for each letter would cost most of these queries' time.
+LETTERS = r"CAST(length(regexp_replace(text, '[^\p{L}]+', '', 'g')) AS DOUBLE) / length(text)"
+SYMBOLS = r"CAST(length(regexp_replace(text, '[\p{L}\p{N} \t\n\r\f]+', '', 'g')) AS DOUBLE) / length(text)"
+N_WORDS = r"regexp_count(text, '[^ \t\n\r\f]+')"
 
 SQL = {
     # predicates and projections
