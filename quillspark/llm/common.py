@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import hashlib
 import shutil
 import sys
 import tempfile
@@ -154,10 +155,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+LONG = 256  # bytes; sums of powers modulo 2**64 are equal for some pairs of regular strings of 1024 bytes and more
+
+
 class Substrings:
-    """64-bit hashes of any byte ranges of ``data``, from one pass of prefix sums."""
+    """64-bit hashes of any byte ranges of ``data``, from one pass of prefix sums; those of more than LONG bytes are digests."""
 
     def __init__(self, data: np.ndarray, letters: np.ndarray = BYTE):
+        self.data, self.lower, self.key = data, letters is LOWER, letters[:4].tobytes()
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(letters[data] * _power("k", K, len(data)), out=self.sums[1:])
 
@@ -165,7 +170,14 @@ class Substrings:
         return (self.sums[end] - self.sums[start]) * _power("i", K_INVERSE, len(self.sums))[start]
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix(self.raw(start, end))
+        out = mix(self.raw(start, end))
+        far = np.flatnonzero(end - start > LONG)
+        if len(far):
+            view = memoryview(np.ascontiguousarray(self.data))
+            for i in far.tolist():
+                own = view[int(start[i]) : int(end[i])]
+                out[i] = int.from_bytes(hashlib.blake2b(bytes(own).lower() if self.lower else own, digest_size=8, key=self.key).digest(), "little")
+        return out
 
 
 SPACE = np.zeros(256, bool)
