@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chunks, decontam, jaccard, packing, quality, records, rules, shards, suffixes, warc
+from quillspark.llm import chunks, decontam, jaccard, packing, quality, records, rules, shards, spelling, suffixes, warc
 from quillspark.llm.common import work_dir
 
 
@@ -68,8 +68,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs, rules.train(docs, _read(spark, sf_dir, "labels")))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_read(spark, sf_dir, "documents"), work_dir(spark, "op13"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_records, op2_warc_revisits, op3_quality_classifier, op4_benchmark_decontamination, op5_hilbert_shards, op6_best_fit_packing, op7_suffix_family, op8_ngram_jaccard, op9_gear_chunks, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_records, op2_warc_revisits, op3_quality_classifier, op4_benchmark_decontamination, op5_hilbert_shards, op6_best_fit_packing, op7_suffix_family, op8_ngram_jaccard, op9_gear_chunks, op10_quality_rules, op13_spelling_variants)}
 
 
 #: Equal payloads by their text; of those of 1000 bytes the largest page_id is the response.
