@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chunks, decontam, jaccard, packing, quality, records, rules, shards, spelling, suffixes, warc
+from quillspark.llm import chunks, decontam, jaccard, mixing, negatives, packing, quality, records, rules, shards, spelling, suffixes, warc
 from quillspark.llm.common import work_dir
 
 
@@ -68,12 +68,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs, rules.train(docs, _read(spark, sf_dir, "labels")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), moved.alias("label"), F.col("embedding").alias("vector"))
+    return negatives.mine(rows, 100, work_dir(spark, "op11"))
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents"), work_dir(spark, "op12")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_read(spark, sf_dir, "documents"), work_dir(spark, "op13"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_records, op2_warc_revisits, op3_quality_classifier, op4_benchmark_decontamination, op5_hilbert_shards, op6_best_fit_packing, op7_suffix_family, op8_ngram_jaccard, op9_gear_chunks, op10_quality_rules, op13_spelling_variants)}
+    return {f.__name__: f for f in (op1_token_records, op2_warc_revisits, op3_quality_classifier, op4_benchmark_decontamination, op5_hilbert_shards, op6_best_fit_packing, op7_suffix_family, op8_ngram_jaccard, op9_gear_chunks, op10_quality_rules, op11_hard_negatives, op12_source_mix, op13_spelling_variants)}
 
 
 #: Equal payloads by their text; of those of 1000 bytes the largest page_id is the response.
@@ -88,7 +98,16 @@ pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM each a JOIN each b ON b.x = a
 reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON p.a = r.b)
 SELECT s.doc_id, len(s.s) AS n_shingles, c.low AS component_id FROM sets s JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) c ON c.a = s.doc_id"""
 
+#: All anchors with all rows.
+_NEGATIVES = """WITH v AS (SELECT vec_id AS id, if(vec_id % 7 = 0, (label + 1) % 10, label) AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor_id, b.id AS other, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.id % 100 = 0 AND b.id <> a.id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other) AS INTEGER) AS rank, s.other AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 100 * s.score BETWEEN 30 * p.positive_score AND 90 * p.positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other) <= 10"""
+
 
 def oracle_sql() -> dict[str, str]:
     """The others need a tokenizer, a fitted model, bytes or a curve, or all windows of all texts: tests hold them against brute force."""
-    return {"op2_warc_revisits": _WARC, "op8_ngram_jaccard": _JACCARD}
+    return {"op2_warc_revisits": _WARC, "op8_ngram_jaccard": _JACCARD, "op11_hard_negatives": _NEGATIVES}
