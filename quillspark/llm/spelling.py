@@ -93,7 +93,7 @@ def tally(data: np.ndarray, offsets: np.ndarray, seeds: np.ndarray, one_in: int,
             counts[word] = counts.get(word, 0) + m
 
 
-def vocabulary(docs: DataFrame, least_letters: int = 5, least_times: int = 3, one_in: int = 97) -> DataFrame:
+def vocabulary(docs: DataFrame, least_letters: int = 5, least_times: int = 3, one_in: int = 97, held: int = HELD) -> DataFrame:
     """word and n. one_in: of so many pairs of doc_id and word, one loses the letter that crc32 of ``<doc_id>:<word>`` names; 0: none."""
     prepare(docs.sparkSession)
 
@@ -109,7 +109,7 @@ def vocabulary(docs: DataFrame, least_letters: int = 5, least_times: int = 3, on
             seeds = np.array([zlib.crc32(f"{'' if x is None else x}:".encode()) for x in batch.column(0).to_pylist()], np.uint32)
             for row, offsets, data in text_slices(batch, "text"):
                 tally(data, offsets, seeds[row : row + len(offsets) - 1], one_in, counts)
-                if len(counts) > HELD:
+                if len(counts) > held:
                     yield flush(counts)
         yield flush(counts)
 

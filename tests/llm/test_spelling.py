@@ -83,12 +83,11 @@ def test_variants(spark, kind, most):
     assert set(got) == plain(words)
 
 
-def test_checksums_and_flushes(spark, monkeypatch):
-    monkeypatch.setattr(spelling, "HELD", 20)
+def test_checksums_and_flushes(spark):
     rows = [(i, t) for i, t in enumerate(alike(40) + ["x" * 64 + " " + "y" * 65 + " " + "é" * 32 + " " + "é" * 33])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for one_in in (0, 1, 3):
-        assert {tuple(r) for r in spelling.vocabulary(docs, 1, 1, one_in).collect()} == {(w, n) for w, n in counted(rows, one_in, 1, 1).items()}
+        assert {tuple(r) for r in spelling.vocabulary(docs, 1, 1, one_in, held=20).collect()} == {(w, n) for w, n in counted(rows, one_in, 1, 1).items()}
 
 
 def test_each_pair_once(spark):
