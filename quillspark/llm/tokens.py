@@ -17,7 +17,10 @@ LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 NUMBER = "0-9²³¹¼½¾"
 BLANK = " \t\n\r\x0b\x0c\x85\xa0"
 #: Characters beyond these have other classes, compose, or change their number in lower case (U+0130).
-OTHER = re.compile("[^\0-\x1b -įı-ɏ‐-‧‰-⁞₠-₿\U0001f300-\U0001f6ff]")
+ALPHABET = "\0-\x1b -į", "ı-ɏ", "‐-‧‰-⁞₠-₿\U0001f300-\U0001f6ff"
+OTHER = re.compile(f"[^{''.join(ALPHABET)}]")
+#: Where texts are lower-cased, nor may capitals be among them whose small letters lie beyond.
+OTHER_LOWER = re.compile(f"[^{ALPHABET[0]}{''.join(c for c in map(chr, range(0x131, 0x250)) if not OTHER.search(c.lower()))}{ALPHABET[2]}]")
 CONTRACTED = "'s|'t|'re|'ve|'m|'ll|'d"
 DROPS = re.compile(f"{CONTRACTED}|[{LETTER}]+|[{NUMBER}]|[^{BLANK}{LETTER}{NUMBER}]+")
 KEEPS = re.compile(f"{CONTRACTED}| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{BLANK}{LETTER}{NUMBER}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
@@ -42,7 +45,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.drops_space, self.most, self.known = drops_space, most, {}
-        self.split = (DROPS if drops_space else KEEPS).findall
+        self.split, self.other = (DROPS.findall, OTHER_LOWER.search) if drops_space else (KEEPS.findall, OTHER.search)
         #: Every added token starts with one of these.
         self.added = sorted({x["content"][:2] for x in json.loads(self.tokenizer.to_str())["added_tokens"]})
         vocabulary = self.tokenizer.get_vocab()
@@ -95,7 +98,7 @@ class Encoder:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         flat, edges, whole = [], [0], []
         for i, text in enumerate(texts):
-            if any(x in text for x in self.added) or OTHER.search(text):
+            if any(x in text for x in self.added) or self.other(text):
                 whole.append(i)
             else:
                 flat += self.split(text.lower() if self.drops_space else text)

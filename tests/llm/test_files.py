@@ -49,6 +49,19 @@ def test_ids_are_the_librarys_own(name, drops_space):
         assert encoder.encode(texts[i : i + 500]) == want
 
 
+@pytest.mark.parametrize(("name", "drops_space"), [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_every_character_in_contexts(name, drops_space):
+    """Every code point up to U+052F and of the blocks that the pattern allows or borders on, in twelve contexts."""
+    points = [*range(0x530), *range(0x1E00, 0x2100), *range(0x2190, 0x2200), *range(0x2C60, 0x2C80), *range(0xA720, 0xA800), *range(0x1F2F0, 0x1F710), 0xFB01, 0xFF21]
+    contexts = ["%s", "a%s", "%sa", "a%sb", "A%sB", " %s", "%s ", "a %s b", "%s%s", "1%s2", "don't%s", "%s's\n"]
+    encoder, library = tokens.Encoder(queries.tokenizer(name), drops_space), Tokenizer.from_file(queries.tokenizer(name))
+    texts = [x.replace("%s", chr(i)) for i in points for x in contexts]
+    for i in range(0, len(texts), 2000):
+        own, want = encoder.encode(texts[i : i + 2000]), library.encode_batch(texts[i : i + 2000], add_special_tokens=False)
+        wrong = [t for t, a, b in zip(texts[i : i + 2000], own, want, strict=True) if a != np.array(b.ids, "<u4").tobytes()]
+        assert not wrong, wrong[:20]
+
+
 def test_frames_round_trip_and_damage():
     bodies = [records.payload(5, np.array([1, 2, 3], "<u4").tobytes(), 2), records.payload(None, b"", 4)]
     joined = b"".join(records.frames(bodies))
