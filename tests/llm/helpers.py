@@ -5,6 +5,14 @@ import random
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, bucket int, shard int, rank long"
 
 
+def regular(n: int = 10) -> tuple[str, str]:
+    """Two different strings of 2**n letters whose sums of powers of an odd number are equal modulo 2**64."""
+    one, two = "a", "b"
+    for _ in range(n):
+        one, two = one + two, two + one
+    return one, two
+
+
 def prose(seed: int, n: int) -> str:
     rng = random.Random(seed)
     return " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyzé", k=rng.randint(2, 9))) for _ in range(n))

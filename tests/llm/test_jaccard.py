@@ -10,7 +10,7 @@ import pytest
 from quillspark.llm import graph, jaccard
 from quillspark.llm.common import work_dir
 
-from .helpers import DOCS, awkward, documents, empty, prose
+from .helpers import DOCS, awkward, documents, empty, prose, regular
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -55,6 +55,13 @@ def test_components_against_all_pairs(spark, seed, k, percent):
     assert got == brute(docs.select("doc_id", "text").collect(), k, percent)
 
 
+def test_regular_words_do_not_collide(spark):
+    one, two = regular()
+    docs = documents(spark, [one, two, one.upper(), f"x {one} y z", f"x {two} y z", regular(11)[0], regular(11)[1]])
+    got = Counter(map(tuple, jaccard.component_table(docs, work_dir(spark, "t8")).collect()))
+    assert got == brute(docs.select("doc_id", "text").collect()) and len({c for _, _, c in got}) == 6
+
+
 def test_large_families_are_cut_into_tiles(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "TILE", 8)
     docs = documents(spark, near(7, 160))

@@ -10,7 +10,7 @@ import pytest
 from quillspark.llm import quality, rules
 from quillspark.llm.common import work_dir
 
-from .helpers import awkward, documents, empty, prose
+from .helpers import awkward, documents, empty, prose, regular
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -27,7 +27,7 @@ def base(text):
 
 def odd_texts():
     again = "one two three four five six\n"
-    return [None, "", "\n", "\n\n a", again * 3, again * 2 + again.strip(), "a b c d e a b c d e f", prose(1, 40) + "\n\n" + prose(1, 40), "x\ny\nx\n\nx", "[#] *é* <|>", "a\rb\x0bc\x85d", "z" * 5000, prose(9, 20000), again.strip(), "\nq\nq"]
+    return [None, "", "\n", "\n\n a", again * 3, again * 2 + again.strip(), "a b c d e a b c d e f", prose(1, 40) + "\n\n" + prose(1, 40), "x\ny\nx\n\nx", "[#] *é* <|>", "a\rb\x0bc\x85d", "z" * 5000, prose(9, 20000), again.strip(), "\nq\nq", "\n".join(regular()), "\n".join(regular(11)) + "\n" + regular(11)[0], " ".join([*regular(), "b c d e"] * 2)]
 
 
 @pytest.mark.parametrize("kind", ["odd", "awkward", "empty", "table"])
