@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import arrow, prepare, table
+from quillspark.llm.common import arrow, buckets, prepare, table
 from quillspark.llm.store import LAST, load, save
 
 BUCKET, FILE, BLOCK = 2048, 8192, 64
@@ -156,6 +156,8 @@ FOUND = "anchor long, anchor_id long, number int, id long, score long"
 def search(anchors: DataFrame, wants: DataFrame, files: DataFrame, folder: str, same: bool, most: int) -> DataFrame:
     """anchor, anchor_id, number, rank, id and score of the ``most`` best of each window. wants: row (of the anchor), number, low, high; files: those of all rows."""
 
+    spark = anchors.sparkSession
+
     def each(batches):
         done, own = None, None
         for batch in batches:
@@ -174,11 +176,11 @@ def search(anchors: DataFrame, wants: DataFrame, files: DataFrame, folder: str,
         blocks = blocks.select(F.col("file").alias("block"), F.col("top").alias("block_top"), F.col("least").alias("wanted"))
         # The stated queries against all rows, a pair a block and file, unless norms forbid it.
         pairs = blocks.join(candidates.drop("least"), F.col("block_top") * F.col("top") * (1 + 1e-9) + 1 >= F.col("wanted"))
-        dealt = pairs.withColumn("part", F.pmod(F.xxhash64("file"), F.lit(parts))).repartition("block", "part").sortWithinPartitions("block", F.col("top").desc(), "file")
+        dealt = pairs.withColumn("part", F.pmod(F.xxhash64("file"), F.lit(parts))).repartition(max(buckets(spark), parts), "block", "part").sortWithinPartitions("block", F.col("top").desc(), "file")
         return table(arrow(dealt.select("block", "file"), each, FOUND), f"{folder}/{name}")
 
     number, longest = files.agg(F.count("*"), F.max_by("file", F.struct("top", "file"))).first()
-    parts = max(1, number // 8)  # about eight files of a block in a task
+    parts = max(1, number // 8)  # about eight files of a block in a task; pairs are few bytes and much work, so their number of tasks is given
     first = run(wants, files.filter(F.col("file") == longest), "first")
     kth = first.groupBy(F.col("anchor").alias("row"), "number").agg(F.count("*").alias("n"), F.min("score").alias("kth")).filter(F.col("n") >= most)
     raised = wants.join(kth, ["row", "number"], "left").withColumn("low", F.greatest("low", F.coalesce("kth", "low")))
