@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 import sys
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators.windows import best, common_subsequence, partial_ratio, ratio, spans  # noqa: F401
+from quillspark.shared import folder, table
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers needn't have this package
 
 
@@ -38,45 +40,6 @@ def contained(needles: DataFrame, texts: DataFrame, needle_id: str, text_id: str
     return found.withColumn("at", F.instr("_text", F.col("_needle"))).filter("at > 0").select(text_id, needle_id, "at")
 
 
-def common_subsequence(a: str, b: str) -> int:
-    """The length of the longest, a character of b at a time over all of a as bits."""
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    open_ = full
-    for c in b:
-        hit = open_ & places.get(c, 0)
-        open_ = ((open_ + hit) | (open_ - hit)) & full
-    return len(a) - open_.bit_count()
-
-
-def ratio(a: str, b: str) -> int:
-    """Percent of both texts' characters that are in their longest common subsequence."""
-    return round(200 * common_subsequence(a, b) / (len(a) + len(b))) if a and b else 0
-
-
-def partial_ratio(a: str, b: str) -> int:
-    """The best ratio of the shorter text with a piece of its length of the longer one, at the places where runs match."""
-    short, long = sorted((a, b), key=len)
-    starts = {max(0, m.b - m.a) for m in SequenceMatcher(None, short, long).get_matching_blocks()}
-    return max((ratio(short, long[s : s + len(short)]) for s in starts), default=0)
-
-
-def best_window(needle: str, text: str, threshold: int, longer: tuple[int, ...] = (5, 10)) -> tuple[int, int, int]:
-    """Score, first word and word after the last of the best window; the first of equals."""
-    words, n = text.split(), len(needle.split())
-    best = (0, 0, 0)
-    for size, measure in [(n, ratio), *[(n + more, partial_ratio) for more in longer]]:
-        if size > n and best[0] >= threshold or not n:
-            break
-        for i in range(len(words) - size + 1):
-            got = measure(needle, " ".join(words[i : i + size]))
-            if got > best[0]:
-                best = (got, i, i + size)
-    return best
-
-
 def word_span(text: str, first: int, last: int) -> tuple[int, int]:
     """Characters of text from its word ``first`` to before word ``last``; past the last word: to the end."""
     spans = [m.span() for m in re.finditer(r"\S+", text)]
@@ -90,81 +53,177 @@ def to_sentence(text: str, start: int, end: int) -> tuple[int, int]:
     return (before[-1] if before else 0), (after.end() if after else len(text))
 
 
+def located(needle: str | None, text: str | None, threshold: int, longer: tuple[int, ...] = (5, 10)) -> tuple[int, str | None, int | None, int | None, int, int]:
+    """Score, found text, its characters in text, windows and scored windows; found is null under the threshold."""
+    n, t = (" ".join((x or "").split()).lower() for x in (needle, text))
+    got = best(n, t, threshold, longer)
+    if got.exact:  # offsets of the normalised text, as the original is cut
+        return 100, text[got.start : got.end], got.start, got.end, 0, 0
+    if not got.score:
+        return 0, None, None, None, got.windows, got.verified
+    start, end = to_sentence(text, *word_span(text, got.first, got.last))
+    return got.score, text[start:end], start, end, got.windows, got.verified
+
+
 def match(needle: str | None, text: str | None, threshold: int, longer: tuple[int, ...] = (5, 10)) -> tuple[int, str | None]:
-    if not needle or not text:
-        return 0, None
-    n, t = (" ".join(x.split()).lower() for x in (needle, text))
-    if n and n in t:
-        at = t.index(n)
-        return 100, text[at : at + len(n)]  # offsets of the normalised text, as the original is cut
-    score, first, last = best_window(n, t, threshold, longer)
-    if score < threshold:
-        return score, None
-    return score, text[slice(*to_sentence(text, *word_span(text, first, last)))]
-
-
-def chunk(text: str, at: float, window: float = 0.10) -> str:
-    """The part of a book around a position from 0 to 1."""
-    middle, half = int(at * len(text)), int(window * len(text)) // 2
-    return text[max(0, middle - half) : min(len(text), middle + half)]
+    return located(needle, text, threshold, longer)[:2]
+
 
+FOUND = "score int, found string, start int, end int, windows long, verified long"
 
-def book_match(needle: str | None, book: str | None, page: int, pages: int, threshold: int = 85) -> tuple[int, str | None]:
-    """In wider and wider parts of a book around page / pages; accepted at 85 if its first 100 characters are alike by 70."""
-    if not needle or not book or not page or not pages:
-        return 0, None
-    for window in (0.10, 0.15, 0.20, 0.30):
-        score, found = match(needle, chunk(book, page / pages, window), threshold, (5, 10, 20))
-        if found is not None and ratio(needle[:100].lower(), found[:100].lower()) >= 70:
-            return score, found
-    return 0, None
 
+def page_search(highlights: DataFrame, pages: DataFrame, book: str, reach: int = 2, threshold: int = 65) -> DataFrame:
+    """Each highlight's page, score and text: of its page, the next, the one before and so on, the first with ``threshold``.
 
-def scored(pairs: DataFrame, threshold: int) -> DataFrame:
-    """pairs (id, order, page, needle, text): the first of each id by order whose text has the needle, with score and found. Those after it aren't looked at."""
+    highlights: id, book, page_number, text; pages: book, page_number, text. start and end are the characters found, windows how many there
+    were on the pages looked at and verified how many of them were scored. Unknown pages (null, 0) and those not found have no row. The pages about a highlight's own
+    are only joined to highlights that aren't found on it; a page's text goes to its highlights and is not shuffled again.
+    """
+    kind = highlights.schema["id"].dataType.simpleString()
 
     def run(batches):
-        done = None
         for b in batches:
-            rows = []
-            for id_, order, page, needle, text in zip(*(b[c] for c in ("id", "order", "page", "needle", "text")), strict=True):
-                if id_ != done:
-                    score, found = match(needle, text, threshold)
-                    if found is not None:
-                        done = id_
-                        rows.append((id_, order, page, score, found))
-            yield pd.DataFrame(rows, columns=["id", "order", "page", "score", "found"])
+            got = [located(n, t, threshold) for n, t in zip(b["needle"], b["text"], strict=True)]
+            out = pd.DataFrame(got, columns=["score", "found", "start", "end", "windows", "verified"]).astype({"start": "Int32", "end": "Int32"})
+            yield pd.concat([b[["id", "order", "page"]].reset_index(drop=True), out], axis=1)
 
-    dealt = pairs.select("id", "order", "page", "needle", "text").repartition("id").sortWithinPartitions("id", "order")
-    return dealt.mapInPandas(run, f"id {pairs.schema['id'].dataType.simpleString()}, order int, page long, score int, found string")
+    def on(wanted: DataFrame, offsets: list[int]) -> DataFrame:
+        there = wanted.select("id", book, "needle", "page_number", F.posexplode(F.array(*map(F.lit, offsets))).alias("order", "_by"))
+        there = there.withColumn("page_number", F.col("page_number") + F.col("_by"))
+        # Much work for few bytes: the number of tasks is given, so that small partitions aren't merged.
+        dealt, theirs = (x.repartition(tasks, book, "page_number") for x in (there, pages.select(book, "page_number", "text")))
+        pairs = dealt.join(theirs, [book, "page_number"])
+        return pairs.select("id", "order", F.col("page_number").cast("long").alias("page"), "needle", "text").mapInPandas(run, f"id {kind}, order int, page long, {FOUND}")
 
+    def first(found: DataFrame) -> DataFrame:
+        top = F.min_by(F.struct("page", "score", "found", "start", "end"), F.col("order")).alias("_b")
+        return found.filter("found is not null").groupBy("id").agg(top).select("id", "_b.*").join(found.groupBy("id").agg(F.sum("windows").alias("windows"), F.sum("verified").alias("verified")), "id")
 
-def page_search(highlights: DataFrame, pages: DataFrame, book: str, reach: int = 2, threshold: int = 65) -> DataFrame:
-    """Each highlight's page, score and text: of its page, the next, the one before and so on, the first with ``threshold``.
+    spark = highlights.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = highlights.filter("page_number > 0").select("id", book, F.col("text").alias("needle"), "page_number")
+    own = table(on(wanted, [0]), folder(spark, "own-pages"))
+    others = [s * k for k in range(1, reach + 1) for s in (1, -1)]
+    if not others:
+        return first(own)
+    left = wanted.join(own.filter("found is not null"), "id", "left_anti")
+    return first(own).unionByName(first(table(on(left, others), folder(spark, "other-pages"))))
 
-    highlights: id, book, page_number, text; pages: book, page_number, text. Unknown pages (null, 0) and those not found have no row.
-    """
-    offsets = [0] + [s * k for k in range(1, reach + 1) for s in (1, -1)]
-    wanted = highlights.filter("page_number > 0").select("id", book, F.col("text").alias("needle"), "page_number", F.posexplode(F.array(*map(F.lit, offsets))).alias("order", "_by"))
-    wanted = wanted.select("id", book, "needle", "order", (F.col("page_number") + F.col("_by")).alias("page_number"))
-    pairs = wanted.join(pages.select(book, "page_number", "text"), [book, "page_number"])
-    return scored(pairs.select("id", "order", F.col("page_number").cast("long").alias("page"), "needle", "text"), threshold).select("id", "page", "score", "found")
 
+LEVELS, CONTEXT = (0.10, 0.15, 0.20, 0.30), 500
 
-def book_search(highlights: DataFrame, books: DataFrame, book: str, threshold: int = 85) -> DataFrame:
-    """id, score and found of the highlights whose text is in its book around page / pages, accepted as book_match does.
 
-    highlights: id, book, page_number, pages, text; books: book, text. A book's text goes to its highlights; unknown pages have no row.
-    """
-    wanted = highlights.filter("page_number > 0 and pages > 0").select("id", book, F.col("text").alias("needle"), F.col("page_number").cast("long").alias("page"), F.col("pages").cast("long"))
-    pairs = wanted.join(books.select(book, "text"), book).select("id", "needle", "page", "pages", "text")
+def lowered(text: str) -> str:
+    """In lower case, of the same length."""
+    out = text.lower()
+    return out if len(out) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def about(at: float, length: int, window: float) -> tuple[int, int]:
+    """The part of a book around a position from 0 to 1."""
+    middle, half = int(at * length), int(window * length) // 2
+    return max(0, middle - half), min(length, middle + half)
 
-    def run(batches):
-        for b in batches:
-            got = [book_match(n, t, int(p), int(k), threshold) for n, t, p, k in zip(b["needle"], b["text"], b["page"], b["pages"], strict=True)]
-            yield pd.DataFrame({"id": b["id"], "score": [s for s, _ in got], "found": [x for _, x in got]})
 
-    return pairs.mapInPandas(run, f"id {highlights.schema['id'].dataType.simpleString()}, score int, found string").filter(F.col("found").isNotNull())
+def segments(books: DataFrame, book: str, size: int, reach: int) -> DataFrame:
+    """book, segment, base, length (of the book) and text: the book's characters, with single blanks, from a little before each segment to ``reach`` and a little after it."""
+    kind = books.schema[book].dataType.simpleString()
+
+    def cut(batches):
+        for b in batches:
+            for key, text in zip(b[book], b["text"], strict=True):
+                own = " ".join((text or "").split())
+                for i in range(0, len(own), size):
+                    base = max(0, i - CONTEXT)
+                    yield pd.DataFrame({book: [key], "segment": [i // size], "base": [base], "length": [len(own)], "text": [own[base : i + size + reach + CONTEXT]]})
+
+    return books.select(book, "text").mapInPandas(cut, f"{book} {kind}, segment int, base long, length long, text string")
+
+
+def in_segment(needle: str, at: float, segment: int, base: int, length: int, text: str, size: int, reach: int, threshold: int) -> list[tuple]:
+    """(level, kind, order, score, found, start, end, windows, verified) of what a segment has: kind 0 to 2 the best there, 3 counts; 4: the segment is too short for the needle."""
+    low, high = segment * size, (segment + 1) * size
+    whole = base + len(text) == length
+    stop = length if whole else high + reach
+    lower, longer, out, done = lowered(text), (5, 10, 20), [], {}
+    for level, window in enumerate(LEVELS):
+        x, y = about(at, length, window)
+        inside = x <= low  # else the part begins here, with its first whole word
+        begin, end = (low if inside else x) - base, min(y, stop) - base
+        if end <= 0 or max(x, low) >= min(y, high):
+            continue
+        if inside:
+            begin = lower.rfind(" ", 0, begin) + 1
+        elif begin and lower[begin - 1] != " ":
+            begin = lower.find(" ", begin) + 1 or len(lower)
+        if end < len(lower) and lower[end] != " ":
+            end = max(0, lower.rfind(" ", 0, end))
+        if (begin, end) not in done:
+            own = lower[begin:end].rstrip(" ")
+            starts = spans(own)[0] if own else []
+            begun = sum(low - base <= s + begin < high - base for s in starts)
+            before = sum(s + begin < low - base for s in starts)
+            if y > stop and begun and before + begun - 1 + len(needle.split()) + max(longer) > len(starts):
+                return [(0, 4, 0, 0, None, 0, 0, 0, 0)]
+            done[begin, end] = best(needle, own, threshold, longer, lambda a, b, begin=begin: (a + begin >= low - base) & (a + begin < high - base))
+            out.append((level, 3, 0, 0, None, 0, 0, done[begin, end].windows, done[begin, end].verified))
+        got = done[begin, end]
+        if got.score:
+            start, end = got.start + begin, got.end + begin
+            place = start + base, end + base
+            if not got.exact:
+                near = max(0, start - CONTEXT)
+                a, b = to_sentence(text[near : end + CONTEXT], start - near, end - near)
+                start, end = near + a, near + b
+            out.append((level, 0 if got.exact else 1 + bool(got.longer), got.longer, got.score, text[start:end], *place, 0, 0))
+    return out
+
+
+def book_search(highlights: DataFrame, books: DataFrame, book: str, threshold: int = 85, size: int = 4096, reach: int = 4096) -> DataFrame:
+    """id, score, found, start, end, windows and verified of the highlights whose text is in its book around page / pages.
+
+    highlights: id, book, page_number, pages, text; books: book, text. The part of a book about that place is looked at, 10 % of it,
+    else 15, 20 and 30; words that it cuts aren't in it. The first level whose best place has the threshold counts, if the first 100 characters of its sentences and of the
+    highlight are alike by 70. start and end are the place's characters in the book's text with single blanks. Books are cut into segments, which highlights join by number; no
+    text longer than a segment is shuffled, but for books of highlights that are longer than ``reach``. Null texts and unknown pages have no row.
+    """
+    spark, kind = highlights.sparkSession, highlights.schema["id"].dataType.simpleString()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    known = highlights.filter("page_number > 0 and pages > 0 and text is not null").select("id", book, F.col("text").alias("needle"), (F.col("page_number").cast("double") / F.col("pages")).alias("at"))
+    columns = ["level", "kind", "order", "score", "found", "start", "end", "windows", "verified"]
+    schema = f"id {kind}, level int, kind int, `order` int, score int, found string, start long, end long, windows long, verified long"
+
+    def search(size: int, reach: int, wanted: DataFrame, books: DataFrame, name: str) -> DataFrame:
+        cut = table(segments(books, book, size, reach), folder(spark, f"{name}-segments"))
+
+        def run(batches):
+            for b in batches:
+                rows = []
+                for row in zip(*(b[c] for c in ("id", "needle", "at", "segment", "base", "length", "text")), strict=True):
+                    needle = " ".join(row[1].split())
+                    for found in in_segment(lowered(needle), *row[2:], size, reach, threshold):
+                        rows.append((row[0], *found, found[4] is not None and ratio(needle[:100].lower(), found[4][:100].lower()) >= 70))
+                yield pd.DataFrame(rows, columns=["id", *columns, "alike"])
+
+        lengths = cut.filter("segment = 0").select(book, "length")
+        middle, half = F.floor(F.col("at") * F.col("length")), F.floor(F.floor(F.col("length") * LEVELS[-1]) / 2)
+        low, high = F.greatest(F.lit(0), middle - half), F.least(F.col("length"), middle + half)
+        there = wanted.join(lengths, book).withColumn("low", low).withColumn("high", high).filter("low < high")
+        there = there.select("id", book, "needle", "at", F.explode(F.sequence(F.floor(F.col("low") / size).cast("int"), F.floor((F.col("high") - 1) / size).cast("int"))).alias("segment"))
+        dealt, theirs = (x.repartition(tasks, book, "segment") for x in (there, cut))
+        pairs = dealt.join(theirs, [book, "segment"]).select("id", "needle", "at", "segment", "base", "length", "text")
+        return table(pairs.mapInPandas(run, f"{schema}, alike boolean"), folder(spark, name))
+
+    found = search(size, reach, known, books, "places")
+    short = found.filter("kind = 4").select("id").distinct()
+    if not short.isEmpty():  # in one segment, as long as its book
+        long = known.join(short, "id", "left_semi")
+        theirs = books.join(long.select(book).distinct(), book, "left_semi")
+        found = found.join(short, "id", "left_anti").unionByName(search(2**30, 0, long, theirs, "long-places"))
+    order = F.struct("kind", F.when(F.col("kind") == 0, 0).otherwise(-F.col("score")), F.when(F.col("kind") == 2, F.col("order")).otherwise(0), "start")
+    top = found.filter("kind < 3").groupBy("id", "level").agg(F.min_by(F.struct("score", "found", "start", "end", "alike"), order).alias("_b")).filter("_b.alike")
+    top = top.groupBy("id").agg(F.min_by("_b", "level").alias("_b")).select("id", "_b.score", "_b.found", "_b.start", "_b.end")
+    return top.join(found.groupBy("id").agg(F.sum("windows").alias("windows"), F.sum("verified").alias("verified")), "id")
 
 
 def two_stage(highlights: DataFrame, pages: DataFrame, books: DataFrame, book: str) -> DataFrame:

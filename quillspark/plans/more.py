@@ -154,28 +154,35 @@ def k6_blank_pages(spark, sf_dir):
     return blocks.blank_pages(own.select("notebook", F.concat(F.lit("📄 Page "), "page_number", F.lit(" (2 lines)")).alias("title"), F.when(F.col("page_number") % 2 == 0, F.slice(kinds, 1, 2)).otherwise(kinds).alias("children")))
 
 
-#: Highlights are benchmark items; four of them are the pages of a book.
-_LOST = "SELECT item_id AS id, concat('b-', CAST(floor(item_id / 4) AS BIGINT)) AS book, item_id % 4 + 1 AS page_number, text FROM benchmark"
+def _books(spark, sf_dir):
+    """A notebook's pages as one text."""
+    own = _own(spark, sf_dir, "SELECT notebook_uuid, page_number, text FROM d_page")
+    return own.groupBy("notebook_uuid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "text"))), lambda x: x["text"]), " ").alias("text"))
+
+
+def _pages(spark, sf_dir):
+    return _own(spark, sf_dir, "SELECT notebook_uuid, count(*) AS pages FROM d_page GROUP BY notebook_uuid")
 
 
 def m8_book_search(spark, sf_dir):
-    own = _own(spark, sf_dir, _LOST)
-    books = own.groupBy("book").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "text"))), lambda x: x["text"]), ". ").alias("text"))
-    return matching.book_search(own.withColumn("pages", F.lit(4)), books, "book").select("id", "score")
+    """All sentences of all pages, misread, looked for in their books."""
+    wanted = notes.sentences(spark, sf_dir).join(_pages(spark, sf_dir), "notebook_uuid")
+    found = matching.book_search(wanted, _books(spark, sf_dir), "notebook_uuid")
+    return found.select("id", "score", F.md5("found").alias("found"), "start", "end", "windows", "verified")
 
 
 def m9_two_stage(spark, sf_dir):
-    own = _own(spark, sf_dir, _LOST)
-    books = own.groupBy("book").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "text"))), lambda x: x["text"]), ". ").alias("text"))
-    found = matching.two_stage(own.withColumn("page_number", F.when(F.col("id") % 5 == 0, 0).otherwise(F.col("page_number"))), own.select("book", "page_number", "text"), books, "book")
-    return found.select("id", "corrected", (F.col("confidence") > 0.6).alias("sure"))
+    """Sentences that are found on their pages get the text of their books, which here have their pages' words in capitals."""
+    wanted = notes.sentences(spark, sf_dir, "CASE WHEN length(text) % 5 <> 0 THEN page_number END")
+    books = _books(spark, sf_dir).withColumn("text", F.upper("text"))
+    found = matching.two_stage(wanted, _own(spark, sf_dir, "SELECT notebook_uuid, page_number, text FROM d_page"), books, "notebook_uuid")
+    return found.select("id", F.md5("text").alias("text"), "corrected", F.round("confidence", 6).alias("confidence"))
 
 
 def m11_rematch(spark, sf_dir):
-    own = _own(spark, sf_dir, _LOST)
-    books = own.groupBy("book").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "text"))), lambda x: x["text"]), ". ").alias("text"))
-    stored = own.select("id", "book", "page_number", F.col("text").alias("original_text"), F.when(F.col("id") % 2 == 0, F.lower(F.regexp_replace(F.trim("text"), r"\s+", " "))).alias("corrected_text"))
-    return matching.rematch(stored, books, "book").select("id", F.md5("corrected_text").alias("h"))
+    own = notes.sentences(spark, sf_dir)
+    stored = own.select("id", "notebook_uuid", "page_number", F.col("text").alias("original_text"), F.when(F.length("text") % 2 == 0, F.lower("text")).alias("corrected_text"))
+    return matching.rematch(stored, _books(spark, sf_dir), "notebook_uuid").select("id", F.md5("corrected_text").alias("corrected_text"), F.round("confidence", 6).alias("confidence"))
 
 
 def p16_type_audit(spark, sf_dir):

@@ -67,11 +67,17 @@ def m1_exact_containment(spark, sf_dir):
     return matching.contained(items, docs, "item_id", "doc_id")
 
 
+def sentences(spark: SparkSession, sf_dir: str, page_number: str = "page_number") -> DataFrame:
+    """Every sentence of every page as a highlight, misread: each e is a c."""
+    own = _own(spark, sf_dir, f"SELECT page_uuid, notebook_uuid, {page_number} AS page_number, text FROM d_page")
+    each = own.select("page_uuid", "notebook_uuid", "page_number", F.posexplode(F.split("text", r"[.!?\n]+")).alias("at", "text")).withColumn("text", F.trim("text")).filter("text <> ''")
+    return each.select(F.concat_ws("-", "page_uuid", "at").alias("id"), "notebook_uuid", "page_number", F.replace("text", F.lit("e"), F.lit("c")).alias("text"))
+
+
 def m6_page_search(spark, sf_dir):
-    """The longest sentence of each page, misread, looked for around the page after its own."""
-    longest = F.array_max(F.transform(F.split("text", r"[.!?\n]+"), lambda x: F.struct(F.length(x).alias("n"), F.trim(x).alias("x"))))["x"]
-    wanted = _own(spark, sf_dir, "SELECT page_uuid AS id, notebook_uuid, page_number + 1 AS page_number, text FROM d_page").withColumn("text", F.replace(longest, F.lit("e"), F.lit("c")))
-    return matching.page_search(wanted, _own(spark, sf_dir, "SELECT notebook_uuid, page_number, text FROM d_page"), "notebook_uuid")
+    """All sentences, misread, looked for around the page after their own."""
+    found = matching.page_search(sentences(spark, sf_dir, "page_number + 1"), _own(spark, sf_dir, "SELECT notebook_uuid, page_number, text FROM d_page"), "notebook_uuid")
+    return found.select("id", "page", "score", F.md5("found").alias("found"), "start", "end", "windows", "verified")
 
 
 def k1_blocks(spark, sf_dir):
