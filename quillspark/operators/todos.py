@@ -91,20 +91,56 @@ def replaces(new: Column, old: Column, new_confidence: Column, old_confidence: C
     return (close & (new_confidence > old_confidence)) | (alike > 0.95) | (close & better & (new_confidence >= old_confidence - 0.05))
 
 
-def plan(new: DataFrame, existing: DataFrame, page: list[str], threshold: float = 0.8, near: float = 50.0) -> DataFrame:
-    """What becomes of each new todo: id, action (insert, update or skip), existing_id and similarity.
+def letters(norm: Column) -> Column:
+    """Each letter with numbers from 1 to its count, so that common elements are common letters with their counts."""
+    times = lambda c: F.length(norm) - F.length(F.replace(norm, c, F.lit("")))
+    numbered = lambda c: F.transform(F.sequence(F.lit(1), times(c)), lambda i: F.concat(c, i.cast("string")))
+    return F.flatten(F.transform(F.array_distinct(F.filter(F.split(norm, ""), lambda c: c != "")), numbered))
+
+
+def bound(a: Column, b: Column, least: float) -> Column:
+    """Whether the score of two structs of norm, words and letters can be ``least``.
+
+    Matching runs have no more letters than the shorter text, nor than both share, and any spelling may be explained. The lengths are asked first.
+    """
+    size, union = F.length(a["norm"]) + F.length(b["norm"]), F.size(F.array_union(a["words"], b["words"]))
+    overlap = F.when(union > 0, F.size(F.array_intersect(a["words"], b["words"])) / union).otherwise(0.0)
+    most = lambda basic: 0.5 * F.least(F.lit(1.0), basic + 0.2) + 0.3 * overlap + 0.2 * basic >= least - 1e-9
+    by_length = most(2.0 * F.least(F.length(a["norm"]), F.length(b["norm"])) / size)
+    by_letters = most(2.0 * F.size(F.array_intersect(a["letters"], b["letters"])) / size)
+    return F.when(a["norm"] == b["norm"], True).when(by_length, by_letters).otherwise(False)
+
+
+def plan(new: DataFrame, existing: DataFrame, page: list[str], threshold: float = 0.8, near: float = 50.0, most: int = 2000) -> DataFrame:
+    """What becomes of each new todo: id, action (insert, update or skip), existing_id, similarity, pairs and verified.
 
     Both have id, text, confidence, box (may be null) and the columns of page; only todos of one page are compared. The best
-    candidate is the most similar, the smallest existing id at ties. Null pages and texts match nothing: insert.
+    candidate is the most similar, the smallest existing id at ties. Null pages and texts match nothing: insert. pairs: how many existing
+    todos the page has; verified: how many of them passed the bound by words and letters, and were scored in full. The new todos of a page with more
+    than ``most`` are dealt to several tasks, each with the page's existing ones.
     """
-    n = new.select(*page, F.col("id"), F.col("text").alias("_n"), F.col("confidence").alias("_nc"), F.col("box").alias("_nb"))
-    o = existing.select(*page, F.col("id").alias("_id"), F.col("text").alias("_o"), F.col("confidence").alias("_oc"), F.col("box").alias("_ob"))
-    both = n.join(o, page).withColumn("_s", similarity(F.col("_n"), F.col("_o"))).filter(F.col("_s") >= threshold)
+    def described(text: Column) -> Column:
+        norm = todo_norm(text)
+        return F.struct(text.alias("text"), norm.alias("norm"), F.array_distinct(F.filter(F.split(norm, r"\s+"), lambda w: w != "")).alias("words"), letters(norm).alias("letters"))
+
+    parts = new.groupBy(*page).agg(F.ceil(F.count("*") / most).cast("int").alias("_parts"))
+    n = new.select(*page, F.col("id"), described(F.col("text")).alias("_n"), F.col("confidence").alias("_nc"), F.col("box").alias("_nb"))
+    n = n.join(parts, page).withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int")).drop("_parts")
+    o = existing.select(*page, F.col("id").alias("_id"), described(F.col("text")).alias("_o"), F.col("confidence").alias("_oc"), F.col("box").alias("_ob"))
+    o = o.join(parts, page).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    both = n.join(o, [*page, "_part"])
+    could = (F.length(F.col("_n.text")) > 0) & (F.length(F.col("_o.text")) > 0) & bound(F.col("_n"), F.col("_o"), threshold)
+    both = both.withColumn("_could", F.coalesce(could, F.lit(False)))
+    sent = [F.when(F.col("_could"), F.col(c)) for c in ("_n.text", "_o.text", "_n.norm", "_o.norm")]  # nulls score 0 at once
+    both = both.select("id", "_id", "_nc", "_oc", "_nb", "_ob", "_could", F.col("_n.text").alias("_nt"), F.col("_o.text").alias("_ot"), _similarity(*sent).alias("_s"))
     lifted = F.when(distance(F.col("_nb"), F.col("_ob")) <= near, F.least(F.lit(1.0), F.col("_s") + 0.1)).otherwise(F.col("_s"))
-    both = both.withColumn("_s", lifted).withColumn("_r", replaces(F.col("_n"), F.col("_o"), F.col("_nc"), F.col("_oc"), F.col("_s")))
-    best = both.groupBy("id").agg(F.max_by(F.struct("_id", "_s", "_r"), F.struct("_s", -F.col("_id"))).alias("_best"))
+    both = both.withColumn("_close", F.col("_could") & (F.col("_s") >= threshold)).withColumn("_s", lifted)
+    both = both.withColumn("_r", replaces(F.col("_nt"), F.col("_ot"), F.col("_nc"), F.col("_oc"), F.col("_s")))
+    found = F.when(F.col("_close"), F.struct("_id", "_s", "_r"))
+    best = both.groupBy("id").agg(F.max_by(found, F.when(F.col("_close"), F.struct("_s", -F.col("_id")))).alias("_best"), F.count("*").alias("pairs"), F.count_if("_could").alias("verified"))
     action = F.when(F.col("_best").isNull(), "insert").when(F.col("_best._r"), "update").otherwise("skip")
-    return new.select("id").join(best, "id", "left").select("id", action.alias("action"), F.when(action == "update", F.col("_best._id")).alias("existing_id"), F.col("_best._s").alias("similarity"))
+    own = new.select("id").join(best, "id", "left")
+    return own.select("id", action.alias("action"), F.when(action == "update", F.col("_best._id")).alias("existing_id"), F.col("_best._s").alias("similarity"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("pairs", "verified")])
 
 
 def plan_counts(planned: DataFrame) -> DataFrame:

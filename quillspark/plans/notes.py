@@ -53,8 +53,8 @@ def f24_word_jaccard(spark, sf_dir):
 
 
 def n3_todo_plan(spark, sf_dir):
-    """Sentences of documents as todos: those of odd ids as new ones, some misread anew, on the pages of the even id before."""
-    docs = _own(spark, sf_dir, "SELECT doc_id AS id, concat('nb-', doc_id - doc_id % 2) AS nb, text FROM documents")
+    """Sentences of documents as todos, eight documents side by side in a notebook, new ones (odd ids) misread: each has several stored ones on its page."""
+    docs = _own(spark, sf_dir, "SELECT doc_id AS id, concat('nb-', doc_id - doc_id % 8) AS nb, text FROM documents")
     own = docs.select("id", "nb", F.posexplode(F.split("text", r"[.!?\n]+")).alias("page", "text")).withColumn("text", F.trim("text")).filter("text <> ''")
     box = F.struct((F.col("id") % 100).cast("double").alias("x"), F.lit(1.0).alias("y"), F.lit(9.0).alias("width"), F.lit(9.0).alias("height"))
     own = own.withColumn("box", box).withColumn("confidence", (F.col("page") % 10) / 10).withColumn("number", F.col("id") * 100_000 + F.col("page"))
