@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import changes, devices, more, notes, oracles, relational
+from quillspark.plans import changes, devices, more, notes, oracles, relational, streams
 from quillspark.plans.adapters import run, to_duckdb, with_domain
 
 SQL = relational.SQL | changes.SQL
-FUNCTIONS = notes.QUERIES | devices.QUERIES | more.QUERIES
+FUNCTIONS = notes.QUERIES | devices.QUERIES | more.QUERIES | streams.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
