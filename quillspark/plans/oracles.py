@@ -25,9 +25,9 @@ _STORED = """WITH RECURSIVE keyed AS (SELECT id, changed_ms, hash_after, concat_
 
 
 def _spaced(rows: str, key: str, columns: str, us: str, gap: int) -> str:
-    """Of rows (key, at, tie) in order: those that come gap or more after the last one of their key that did."""
-    return f"""WITH RECURSIVE keyed AS (SELECT *, {us} AS us, row_number() OVER (PARTITION BY {key} ORDER BY at, tie) AS n FROM ({rows}) r),
- walk AS (SELECT {key}, at, tie, n, us AS stored, true AS keep FROM keyed WHERE n = 1 UNION ALL SELECT x.{key}, x.at, x.tie, x.n, CASE WHEN x.us - w.stored >= {gap} THEN x.us ELSE w.stored END, x.us - w.stored >= {gap} FROM walk w JOIN keyed x ON x.{key} = w.{key} AND x.n = w.n + 1)
+    """Of rows (key, moment, tie) in order: those that come gap or more after the last one of their key that did."""
+    return f"""WITH RECURSIVE keyed AS (SELECT *, {us} AS us, row_number() OVER (PARTITION BY {key} ORDER BY moment, tie) AS n FROM ({rows}) r),
+ walk AS (SELECT {key}, moment, tie, n, us AS stored, true AS keep FROM keyed WHERE n = 1 UNION ALL SELECT x.{key}, x.moment, x.tie, x.n, CASE WHEN x.us - w.stored >= {gap} THEN x.us ELSE w.stored END, x.us - w.stored >= {gap} FROM walk w JOIN keyed x ON x.{key} = w.{key} AND x.n = w.n + 1)
  SELECT {columns} FROM walk WHERE keep"""
 
 
@@ -73,8 +73,8 @@ SQL = {
     # changelog
     "g1_dedup": _STORED,
     "g1_dedup_stream": _STORED,
-    "r2_cooldown": _spaced("SELECT user_id, ts AS at, event_id AS tie FROM events WHERE ts IS NOT NULL", "user_id", "user_id, tie AS event_id", "epoch_us(at)", 21_600_000_000),
-    "r3_lock": _spaced("SELECT notebook_uuid, synced_ms AS at, id AS tie FROM d_sync", "notebook_uuid", "notebook_uuid, at AS at_ms", "at", 5000),
+    "r2_cooldown": _spaced("SELECT user_id, ts AS moment, event_id AS tie FROM events WHERE ts IS NOT NULL", "user_id", "user_id, tie AS event_id", "epoch_us(moment)", 21_600_000_000),
+    "r3_lock": _spaced("SELECT notebook_uuid, synced_ms AS moment, id AS tie FROM d_sync", "notebook_uuid", "notebook_uuid, moment AS at_ms", "moment", 5000),
     "g3_pending": "SELECT g.id, s.target, s.status FROM (SELECT * FROM d_log WHERE status NOT IN ('failed', 'processed')) g LEFT JOIN (SELECT notebook_uuid, target, status FROM d_sync GROUP BY ALL) s ON substr(s.notebook_uuid, 4) = g.source_id",
     "g5_health": "SELECT count(*) AS total, count(*) FILTER (status = 'pending') AS pending, round(100.0 * count(*) FILTER (status = 'processed') / count(*), 1) AS rate, min(changed_ms) FILTER (status = 'pending') AS oldest FROM d_log",
     "g8_real_updates": "SELECT id FROM d_log g WHERE hash_after IS DISTINCT FROM (SELECT b.hash_after FROM d_log b WHERE b.source_table = g.source_table AND b.source_id = g.source_id AND (b.changed_ms, b.id) < (g.changed_ms, g.id) ORDER BY b.changed_ms DESC, b.id DESC LIMIT 1)",
