@@ -20,24 +20,63 @@ def normalise(text: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(text, "[ \\t\\n\\r]+", " ")))
 
 
+SENT_BYTES = 32 << 20  # of needles that are broadcast
+
+
+def _pieces(text: Column, most: int) -> Column:
+    """All strings of up to ``most`` characters of the words of an array."""
+    starts = lambda w: F.sequence(F.lit(1), F.length(w))
+    each = lambda w: F.flatten(F.transform(starts(w), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.length(w) - i + 1)), lambda k: w.substr(i, k))))
+    return F.flatten(F.transform(F.array_distinct(text), each))
+
+
+def _seams(w: Column, most: int) -> Column:
+    """Up to ``most`` characters on either side of each blank."""
+    ends = lambda x: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.length(x))), lambda k: F.right(x, k))
+    heads = lambda x: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.length(x))), lambda k: F.left(x, k))
+    pair = lambda a, b: F.flatten(F.transform(ends(a), lambda x: F.transform(heads(b), lambda y: F.concat_ws(" ", x, y))))
+    return F.flatten(F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), pair))
+
+
 def contained(needles: DataFrame, texts: DataFrame, needle_id: str, text_id: str, words: int = 3) -> DataFrame:
     """Pairs (text_id, needle_id, at): the normalised needle is in the normalised text from character ``at`` (1 first).
 
-    The needle's second word and those after it are whole words of the text, wherever it starts: pairs meet by ``words`` of
-    them, once each, and are then verified. Shorter needles meet by their second word, those of one or two words are
-    compared with every text while they are broadcast: they are the few that nothing tells apart. Null and empty: no pair.
+    Pairs meet by one key a needle, and are then verified: the needle's words but the first and last are whole words of the text, so long needles meet by
+    ``words`` of them in a row and others by their second one; two words meet by the characters about their blank, one by its first three
+    characters. Needles of SENT_BYTES at most are sent to the texts, which then aren't shuffled; more are joined by key. Null and empty: no pair. Ids of each side are distinct.
     """
     n = needles.select(F.col(needle_id), normalise(F.col("text")).alias("_needle")).filter("_needle <> ''").withColumn("_w", F.split("_needle", " "))
-    t = texts.select(F.col(text_id), normalise(F.col("text")).alias("_text")).filter("_text <> ''")
-    long = n.filter(F.size("_w") >= words + 2).withColumn("_key", F.concat_ws(" ", F.slice("_w", 2, words)))
-    w = F.split("_text", " ")
-    keys = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - words + 1)), lambda i: F.concat_ws(" ", F.slice(F.col("_words"), i, words)))
-    keyed = t.withColumn("_words", w).select(text_id, F.explode(F.array_distinct(keys)).alias("_key"))
-    met = keyed.join(long.select(needle_id, "_key"), "_key").select(text_id, needle_id).distinct()
-    found = met.join(n.select(needle_id, "_needle"), needle_id).join(t, text_id)
-    short = n.filter(F.size("_w") < words + 2).select(needle_id, "_needle")
-    found = found.select(text_id, needle_id, "_needle", "_text").unionByName(t.join(short, F.col("_text").contains(F.col("_needle"))).select(text_id, needle_id, "_needle", "_text"))
-    return found.withColumn("at", F.instr("_text", F.col("_needle"))).filter("at > 0").select(text_id, needle_id, "at")
+    n = n.withColumn("_n", F.size("_w")).withColumn("_kind", F.when(F.col("_n") >= words + 2, "row").when(F.col("_n") > 2, "word").when(F.col("_n") == 2, "seam").otherwise("piece"))
+    t = texts.select(F.col(text_id), normalise(F.col("text")).alias("_text")).filter("_text <> ''").withColumn("_words", F.split("_text", " "))
+    w = F.col("_words")
+    shifted = lambda k: F.slice(w, k + 1, F.greatest(F.size(w) - words + 1, F.lit(0)))
+    in_a_row = shifted(0)
+    for k in range(1, words):
+        in_a_row = F.zip_with(in_a_row, shifted(k), lambda a, b: F.concat(a, F.lit(" "), b))
+    first, second = F.col("_w")[0], F.col("_w")[1]
+    keys = {
+        "row": (F.array_join(F.slice("_w", 2, words), " "), in_a_row),
+        "word": (second, w),
+        "seam": (F.concat_ws(" ", F.right(first, F.least(F.lit(2), F.length(first))), F.left(second, F.least(F.lit(2), F.length(second)))), _seams(w, 2)),
+        "piece": (F.left(first, F.least(F.lit(3), F.length(first))), _pieces(w, 3)),
+    }
+    size = {k: b for k, b in n.groupBy("_kind").agg(F.sum(F.octet_length("_needle") + 100)).collect()}  # four rows at most
+    found = []
+    for kind in [k for k in keys if k in size]:
+        own = n.filter(F.col("_kind") == kind).select(needle_id, "_needle", keys[kind][0].alias("_key"))
+        met = t.select(text_id, "_text", F.explode(F.array_distinct(keys[kind][1])).alias("_key"))
+        if size[kind] <= SENT_BYTES:
+            met = met.join(F.broadcast(own), "_key")
+        else:
+            met = met.select(text_id, "_key").join(own.select(needle_id, "_key"), "_key").select(text_id, needle_id)
+            met = met.join(own, needle_id).join(t, text_id)
+        found.append(met.withColumn("at", F.instr("_text", F.col("_needle"))).filter("at > 0").select(text_id, needle_id, "at"))
+    if not found:
+        return t.limit(0).select(text_id, F.lit(None).cast(n.schema[needle_id].dataType).alias(needle_id), F.lit(0).alias("at"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def word_span(text: str, first: int, last: int) -> tuple[int, int]:

@@ -3,6 +3,7 @@
 import hashlib
 import io
 import json
+import random
 import re
 import struct
 import zipfile
@@ -80,6 +81,22 @@ def test_contained(spark):
     assert got == [(1, 1, 1), (1, 5, 5), (2, 1, 2), (2, 5, 6), (4, 2, 1), (5, 1, 1), (5, 5, 5)]
 
 
+@pytest.mark.parametrize("sent", [0, 1 << 20])
+def test_contained_is_all_pairs(spark, monkeypatch, sent):
+    monkeypatch.setattr(matching, "SENT_BYTES", sent)
+    rng = random.Random(3)
+    own = ["".join(rng.choices("abé", k=rng.randint(1, 5))) for _ in range(12)]
+    texts = [(i, "  ".join(rng.choices(own, k=rng.randint(1, 30)))) for i in range(40)] + [(40, None), (41, " \n"), (42, "😀 b")]
+    items = [(i, t[a : a + rng.randint(1, 25)]) for i, t in ((k, rng.choice(texts[:40])[1]) for k in range(150)) for a in [rng.randrange(len(t))]] + [(200, None), (201, " "), (202, "zz"), (203, "😀")]
+    norm = lambda x: " ".join((x or "").split()).lower()
+    want = {(i, j, norm(t).index(norm(x)) + 1) for i, t in texts for j, x in items if norm(x) and norm(x) in norm(t)}
+    got = matching.contained(spark.createDataFrame(items, "item_id int, text string"), spark.createDataFrame(texts, "doc_id int, text string"), "item_id", "doc_id")
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
+    assert matching.contained(spark.createDataFrame([], "item_id int, text string"), spark.createDataFrame(texts, "doc_id int, text string"), "item_id", "doc_id").count() == 0
+
+
 def test_page_search_finds_passages(spark, sf):
     rows = notes.m6_page_search(spark, sf).collect()
     assert rows and all(r.score >= 65 for r in rows)
