@@ -47,6 +47,9 @@ def contained(needles: DataFrame, texts: DataFrame, needle_id: str, text_id: str
     """
     n = needles.select(F.col(needle_id), normalise(F.col("text")).alias("_needle")).filter("_needle <> ''").withColumn("_w", F.split("_needle", " "))
     n = n.withColumn("_n", F.size("_w")).withColumn("_kind", F.when(F.col("_n") >= words + 2, "row").when(F.col("_n") > 2, "word").when(F.col("_n") == 2, "seam").otherwise("piece"))
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    if texts.rdd.getNumPartitions() < cores:  # a small table in one file: much work for few bytes
+        texts = texts.select(text_id, "text").repartition(cores)
     t = texts.select(F.col(text_id), normalise(F.col("text")).alias("_text")).filter("_text <> ''").withColumn("_words", F.split("_text", " "))
     w = F.col("_words")
     shifted = lambda k: F.slice(w, k + 1, F.greatest(F.size(w) - words + 1, F.lit(0)))
