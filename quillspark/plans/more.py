@@ -13,7 +13,7 @@ from quillspark.operators import blocks, matching, todos
 from quillspark.plans import devices, notes
 from quillspark.plans.adapters import DAY, NOW, run, with_domain
 from quillspark.shared import folder, table
-from quillspark.sources import notebooks, remote, targets
+from quillspark.sources import notebooks, remote, sink, targets
 from quillspark.sources.tables import VersionedTable
 from quillspark.streaming import files
 
@@ -114,15 +114,23 @@ _ITEMS = "SELECT content_hash, item_id FROM d_sync"
 
 
 def e1_sync(spark, sf_dir):
-    """Each distinct content is sent once, if no earlier result has it."""
-    done = _own(spark, sf_dir, "SELECT content_hash, 'mock' AS target, 'success' AS status FROM d_sync WHERE target = 'readwise'")
-    return table(targets.sync(_own(spark, sf_dir, _ITEMS), targets.MockTarget(), done), folder(spark, "sent")).select("content_hash", "target", "status", "external_id")
+    """Each distinct content is sent once, if no earlier job sent it with success."""
+    root = folder(spark, "sink")
+    sink.deliver(_own(spark, sf_dir, f"{_ITEMS} WHERE target = 'readwise'"), targets.MockTarget(), root, "earlier")
+    return sink.deliver(_own(spark, sf_dir, _ITEMS), targets.MockTarget(), root, "now").select("content_hash", "target", "status", "external_id")
+
+
+def e3_unified_sync(spark, sf_dir):
+    """All pages: those whose last success has their hash are skipped, the others sent; a tenth fails."""
+    latest = "SELECT item_id, max_by(content_hash, struct(synced_ms, id)) AS content_hash FROM d_sync WHERE status = 'success' AND target = 'notion' GROUP BY item_id"
+    own = _own(spark, sf_dir, f"SELECT p.page_uuid AS item_id, sha256(p.text) AS content_hash, l.content_hash = sha256(p.text) AS same FROM d_page p LEFT JOIN ({latest}) l ON l.item_id = p.page_uuid")
+    return sink.unified(own, targets.MockTarget(fail_rate=0.1), folder(spark, "sink"), "pages")
 
 
 def e11_failing_target(spark, sf_dir):
-    """A tenth fails, and fails again."""
-    sent = table(targets.sync(_own(spark, sf_dir, _ITEMS), targets.MockTarget(fail_rate=0.1)), folder(spark, "sent"))
-    again = table(targets.sync(_own(spark, sf_dir, _ITEMS), targets.MockTarget(fail_rate=0.1), sent), folder(spark, "sent"))
+    """A tenth fails, and fails again in a job that sends nothing else."""
+    root, items, bad = folder(spark, "sink"), _own(spark, sf_dir, _ITEMS), targets.MockTarget(fail_rate=0.1)
+    sent, again = (sink.deliver(items, bad, root, job) for job in ("first", "again"))
     return sent.groupBy("status").agg(F.count("*").alias("n")).unionByName(again.groupBy(F.concat(F.lit("again "), "status").alias("status")).agg(F.count("*").alias("n")))
 
 
@@ -269,7 +277,7 @@ def s16_paged_list(spark, sf_dir):
 
 _ALL = (
     d1_insert_or_ignore, d2_upsert, d3_replace_partition, d4_partial_update, d5_full_refresh, d6_retention, d7_cleanup, d8_cascade, d9_rebuild, d10_stamp, d11_batched_insert, d14_null_parents,
-    e1_sync, e5_parallel, e11_failing_target, e12_rate, k2_block_structs, k5_layout, k6_blank_pages, m8_book_search, m9_two_stage, m11_rematch, p16_type_audit, u4_dates_in_order,
+    e1_sync, e3_unified_sync, e5_parallel, e11_failing_target, e12_rate, k2_block_structs, k5_layout, k6_blank_pages, m8_book_search, m9_two_stage, m11_rematch, p16_type_audit, u4_dates_in_order,
     t3_plan_counts, x10_page_hashes, f27_legacy_sentences, r5_budget, r8_debounced, s14_sqlite, s16_paged_list,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
@@ -285,6 +293,7 @@ ORACLE = {
     "d11_batched_insert": "SELECT id, source_table, operation FROM d_log",
     "d14_null_parents": "SELECT uuid, parent FROM d_folder f WHERE parent IS NULL OR EXISTS (SELECT 1 FROM d_folder g WHERE g.uuid = f.parent)",
     "e1_sync": f"SELECT content_hash, 'mock' AS target, 'success' AS status, 'mock_' || left(content_hash, 12) AS external_id FROM {_FRESH} f",
+    "e3_unified_sync": "SELECT page_uuid AS item_id, CASE WHEN h = sha256(text) THEN 'skipped' WHEN bad THEN 'failed' ELSE 'success' END AS status, CASE WHEN h IS DISTINCT FROM sha256(text) AND NOT bad THEN 'mock_' || left(sha256(text), 12) END AS external_id FROM (SELECT p.*, (SELECT s.content_hash FROM d_sync s WHERE s.status = 'success' AND s.target = 'notion' AND s.item_id = p.page_uuid ORDER BY s.synced_ms DESC, s.id DESC LIMIT 1) AS h, ('0x' || left(md5(sha256(text)), 8))::UBIGINT % 1000 < 100 AS bad FROM d_page p) x",
     "e5_parallel": "SELECT true AS few, count(DISTINCT content_hash) AS n FROM d_sync",
     "e11_failing_target": "SELECT unnest(['success', 'failed', 'again failed']) AS status, unnest([count(*) - count(*) FILTER (bad), count(*) FILTER (bad), count(*) FILTER (bad)]) AS n FROM (SELECT DISTINCT content_hash, ('0x' || left(md5(content_hash), 8))::UBIGINT % 1000 < 100 AS bad FROM d_sync) x",
     "e12_rate": "SELECT target, CAST((count(*) + 49) // 50 AS INTEGER) AS requests, round(((count(*) + 49) // 50) * 60.0::DOUBLE / 235, 6) AS seconds FROM d_sync GROUP BY target",
