@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.operators import paths
+from quillspark.operators import paths, tour
 from quillspark.shared import folder
 from quillspark.sources import drawing, notebooks, strokes
 from quillspark.streaming import files
@@ -193,6 +193,30 @@ def h5_listing(spark, sf_dir):
     return _tree(spark, sf_dir).filter("over is null").select(place.alias("place"), line.alias("line"))
 
 
+def _walk(spark, sf_dir) -> DataFrame:
+    from quillspark.plans.adapters import run, with_domain
+
+    own = run(spark, sf_dir, with_domain("SELECT uuid, parent, name, item_type FROM d_folder"))
+    return tour.intervals(own, folder(spark, "tour"), tops_last=F.col("parent") == "trash")
+
+
+def h4_tree_order(spark, sf_dir):
+    """Places in the walk of all that isn't in the trash, directly or through its folders."""
+    tree = _walk(spark, sf_dir)
+    return tree.join(tour.below(tree, tree.filter("parent = 'trash'")).select("uuid"), "uuid", "left_anti").select("uuid", "place", "last")
+
+
+def h5_tree_listing(spark, sf_dir):
+    """The lines of the tree's listing by place."""
+    line = F.concat(F.expr("repeat('  ', int(depth))"), "uuid", F.lit(" "), "name")
+    return _walk(spark, sf_dir).select("place", line.alias("line")).orderBy("place")
+
+
+def h5_folder_sizes(spark, sf_dir):
+    """How many rows each folder has below it."""
+    return _walk(spark, sf_dir).filter("item_type = 'folder'").select("uuid", (F.col("last") - F.col("place")).alias("rows"))
+
+
 def _books(spark, sf_dir):
     from quillspark.plans.adapters import run, with_domain
 
@@ -207,12 +231,14 @@ def h8_output_path(spark, sf_dir):
     return _books(spark, sf_dir).select("notebook_uuid", paths.output_path(F.col("full_path"), F.col("name")).alias("file"))
 
 
-_ALL = (s1_sidecars, s2_notebooks, s3_pages, s4_page_counts, s5_page_map, s6_kinds, s7_metadata, s8_templates, s12_page_files, f8_printable_runs, b1_versions, b2_strokes, b3_pens, b4_polylines, r1_file_events, r4_routing, h1_paths, h2_plain_paths, h3_documents, h4_without_trash, h5_listing, h6_tags, h8_output_path)
+_ALL = (s1_sidecars, s2_notebooks, s3_pages, s4_page_counts, s5_page_map, s6_kinds, s7_metadata, s8_templates, s12_page_files, f8_printable_runs, b1_versions, b2_strokes, b3_pens, b4_polylines, r1_file_events, r4_routing, h1_paths, h2_plain_paths, h3_documents, h4_without_trash, h4_tree_order, h5_listing, h5_tree_listing, h5_folder_sizes, h6_tags, h8_output_path)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _CONV = "(SELECT DISTINCT conv_id AS c FROM conversations) n"
 _PAGE = "(SELECT conv_id AS c, turn AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, row_number() OVER (PARTITION BY conv_id, turn % 5 = 4 ORDER BY turn) AS live, role, text FROM conversations) p"
 _WALK = "SELECT uuid, name, item_type, {path} AS path FROM d_folder WHERE {top} UNION ALL SELECT f.uuid, f.name, f.item_type, concat(w.path, '/', f.name) FROM d_folder f JOIN walk w ON f.parent = w.uuid"
+#: A path of names and uuids sorts as the walk goes, since a blank and a slash come before letters and digits; tops in the trash come last.
+_TOUR = "WITH RECURSIVE walk AS (SELECT uuid, name, concat(if(coalesce(parent, '') = 'trash', '1', '0'), lower(name), ' ', uuid) AS sort FROM d_folder WHERE parent IS NULL OR parent NOT IN (SELECT uuid FROM d_folder) UNION ALL SELECT f.uuid, f.name, concat(w.sort, '/', lower(f.name), ' ', f.uuid) FROM d_folder f JOIN walk w ON f.parent = w.uuid)"
 ORACLE = {
     "s1_sidecars": f"SELECT 'nb-' || c AS uuid, 'Notebook ' || c AS visible_name, if(c % 4 = 0, NULL, 'fold-' || c % 7) AS parent, if(c % 9 = 0, 'CollectionType', 'DocumentType') AS item_type, CAST(1704067200000 + c AS VARCHAR) AS modified, false AS deleted, c % 2 = 0 AS pinned, CAST(c % 5 AS INTEGER) AS version FROM {_CONV} WHERE c % 11 <> 0",
     "s2_notebooks": f"SELECT 'nb-' || c AS uuid FROM {_CONV} WHERE c % 11 <> 0 AND c % 9 <> 0 AND c <> 3",
@@ -236,6 +262,9 @@ ORACLE = {
     "h3_documents": "WITH RECURSIVE walk AS (" + _WALK.format(path="name", top="parent IS NULL") + ") SELECT uuid, path FROM walk WHERE item_type = 'document'",
     "h4_without_trash": "WITH RECURSIVE gone AS (SELECT uuid FROM d_folder WHERE parent = 'trash' UNION ALL SELECT f.uuid FROM d_folder f JOIN gone g ON f.parent = g.uuid) SELECT f.uuid, lower(f.name) AS name FROM d_folder f WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.uuid = f.uuid)",
     "h5_listing": "WITH RECURSIVE walk AS (SELECT uuid, name, 0 AS depth, concat(lower(name), ' ', uuid) AS place FROM d_folder WHERE parent IS NULL UNION ALL SELECT f.uuid, f.name, w.depth + 1, concat(w.place, '/', lower(f.name), ' ', f.uuid) FROM d_folder f JOIN walk w ON f.parent = w.uuid) SELECT place, concat(repeat('  ', depth), uuid, ' ', name) AS line FROM walk",
+    "h4_tree_order": f"{_TOUR} SELECT uuid, CAST(row_number() OVER (ORDER BY sort) - 1 AS BIGINT) AS place, CAST(row_number() OVER (ORDER BY sort) - 1 + (SELECT count(*) FROM walk v WHERE starts_with(v.sort, concat(w.sort, '/'))) AS BIGINT) AS last FROM walk w WHERE sort < '1'",
+    "h5_tree_listing": f"{_TOUR} SELECT CAST(row_number() OVER (ORDER BY sort) - 1 AS BIGINT) AS place, concat(repeat('  ', len(string_split(sort, '/')) - 1), uuid, ' ', name) AS line FROM walk w",
+    "h5_folder_sizes": "WITH RECURSIVE up AS (SELECT uuid, parent FROM d_folder UNION ALL SELECT u.uuid, f.parent FROM up u JOIN d_folder f ON f.uuid = u.parent) SELECT f.uuid, count(u.uuid) AS rows FROM d_folder f LEFT JOIN up u ON u.parent = f.uuid WHERE f.item_type = 'folder' GROUP BY f.uuid",
     "h6_tags": "SELECT notebook_uuid, coalesce(array_to_string(list_filter(list_transform(string_split(full_path, '/'), lambda x: trim(x)), lambda x: x <> '')[:-2], '|'), '') AS tags FROM d_notebook",
     "h8_output_path": "SELECT notebook_uuid, if(contains(ifnull(full_path, ''), '/'), full_path, concat(visible_name, '_ _', authors, '__')) || '.md' AS file FROM d_notebook",
 }
