@@ -24,16 +24,21 @@ from quillspark.streaming import files
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers needn't have this package
 
 
+def head(which: int, strokes_: int) -> bytes:
+    return f"reMarkable .lines file, version={which}".encode().ljust(43) + struct.pack("<II", 1, strokes_)
+
+
+def stroke(which: int, colour: int, s: int) -> bytes:
+    """The s-th stroke of a page, of four points."""
+    values = [2 + 2 * s, colour, 0, 2.0, *([0.0] if which == 5 else []), 4]
+    return struct.pack("<IIIffI" if which == 5 else "<IIIfI", *values) + b"".join(struct.pack("<6f", 10 * i + s, 5 * i, 1, 0, 2, 0.5) for i in range(4))
+
+
 def page_file(conv: int, turn: int, role: str, text: str) -> bytes:
     """A page of version 3 or 5 with one layer, ``turn`` % 3 strokes of four points, then the text, which printable runs are looked for in."""
     which = 5 if conv % 2 else 3
-    head = f"reMarkable .lines file, version={which}".encode().ljust(43)
-    strokes_ = b""
-    for s in range(turn % 3):
-        values = [2 + 2 * s, conv % 3, 0, 2.0, *([0.0] if which == 5 else []), 4]
-        strokes_ += struct.pack("<IIIffI" if which == 5 else "<IIIfI", *values)
-        strokes_ += b"".join(struct.pack("<6f", 10 * i + s, 5 * i, 1, 0, 2, 0.5) for i in range(4))
-    return head + struct.pack("<II", 1, turn % 3) + strokes_ + b"\0" + role.encode() + b"\0" + text.encode() + b"\0"
+    strokes_ = b"".join(stroke(which, conv % 3, s) for s in range(turn % 3))
+    return head(which, turn % 3) + strokes_ + b"\0" + role.encode() + b"\0" + text.encode() + b"\0"
 
 
 def seeded(spark: SparkSession, sf_dir: str) -> str:
@@ -104,7 +109,7 @@ def s8_templates(spark, sf_dir):
 
 
 def s12_page_files(spark, sf_dir):
-    return notebooks.strokes(spark, seeded(spark, sf_dir), least=0).select("uuid", "page_uuid")
+    return notebooks.strokes(spark, seeded(spark, sf_dir)).select("uuid", "page_uuid", "length")
 
 
 def f8_printable_runs(spark, sf_dir):
@@ -236,6 +241,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 _CONV = "(SELECT DISTINCT conv_id AS c FROM conversations) n"
 _PAGE = "(SELECT conv_id AS c, turn AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, row_number() OVER (PARTITION BY conv_id, turn % 5 = 4 ORDER BY turn) AS live, role, text FROM conversations) p"
+LISTED = _PAGE
+#: A page's file: which strokes it may have follows from the version and the colour.
+_STROKES = ", ".join(f"unhex('{b''.join(stroke(3 + 2 * odd, colour, s) for s in range(n)).hex()}')" for odd in range(2) for colour in range(3) for n in range(3))
+_HEADS = ", ".join(f"unhex('{head(3 + 2 * odd, n).hex()}')" for odd in range(2) for n in range(3))
+FILE = f"([{_HEADS}][(c % 2 * 3 + t % 3 + 1)::BIGINT] || [{_STROKES}][(c % 2 * 9 + c % 3 * 3 + t % 3 + 1)::BIGINT] || unhex('00') || encode(coalesce(role, '')) || unhex('00') || encode(coalesce(text, '')) || unhex('00'))"
 _WALK = "SELECT uuid, name, item_type, {path} AS path FROM d_folder WHERE {top} UNION ALL SELECT f.uuid, f.name, f.item_type, concat(w.path, '/', f.name) FROM d_folder f JOIN walk w ON f.parent = w.uuid"
 #: A path of names and uuids sorts as the walk goes, since a blank and a slash come before letters and digits; tops in the trash come last.
 _TOUR = "WITH RECURSIVE walk AS (SELECT uuid, name, concat(if(coalesce(parent, '') = 'trash', '1', '0'), lower(name), ' ', uuid) AS sort FROM d_folder WHERE parent IS NULL OR parent NOT IN (SELECT uuid FROM d_folder) UNION ALL SELECT f.uuid, f.name, concat(w.sort, '/', lower(f.name), ' ', f.uuid) FROM d_folder f JOIN walk w ON f.parent = w.uuid)"
@@ -248,7 +258,7 @@ ORACLE = {
     "s6_kinds": f"SELECT 'nb-' || c AS uuid, ['notebook', 'pdf', 'epub'][c % 3 + 1] AS document_type FROM {_CONV} WHERE c % 11 <> 0",
     "s7_metadata": f"SELECT 'nb-' || c AS uuid, if(c % 2 = 1, 'A ' || c || ', B', NULL) AS authors, if(c % 2 = 1, 'P', NULL) AS publisher FROM {_CONV}",
     "s8_templates": "SELECT 'nb-' || conv_id AS uuid, string_agg(if(turn % 2 = 1, 'Lines', 'Blank'), ',' ORDER BY turn) AS templates FROM conversations GROUP BY conv_id",
-    "s12_page_files": "SELECT 'nb-' || conv_id AS uuid, 'pg-' || conv_id || '-' || turn AS page_uuid FROM conversations",
+    "s12_page_files": f"SELECT 'nb-' || c AS uuid, 'pg-' || c || '-' || t AS page_uuid, octet_length({FILE}) AS length FROM {_PAGE} WHERE octet_length({FILE}) >= 100",
     "f8_printable_runs": "SELECT page_uuid, n AS runs FROM (SELECT 'pg-' || conv_id || '-' || turn AS page_uuid, len(regexp_extract_all(text, '[ -~]{15,}')) AS n FROM conversations) x WHERE n > 0",
     "b1_versions": "SELECT 'pg-' || conv_id || '-' || turn AS page_uuid, CAST(if(conv_id % 2 = 1, 5, 3) AS INTEGER) AS version FROM conversations",
     "b2_strokes": "SELECT 'pg-' || conv_id || '-' || turn AS page_uuid, CAST(0 AS INTEGER) AS layer, CAST(s AS INTEGER) AS stroke, ['ballpoint', 'fineliner'][s + 1] AS pen, CAST(conv_id % 3 AS INTEGER) AS colour, CAST(30 + s AS DOUBLE) AS \"right\", CAST(15 AS DOUBLE) AS low, CAST(4 AS INTEGER) AS points FROM conversations, (SELECT unnest(range(2)) AS s) z WHERE s < turn % 3",

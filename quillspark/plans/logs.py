@@ -31,7 +31,7 @@ def d2_upsert_log(spark, sf_dir):
 
 def _pending(spark, sf_dir) -> Pending:
     """Four batches: all pages in an old form under another notebook; their texts; successes, the newest first; and the other half of them."""
-    own = Pending(spark, folder(spark, "pending"))
+    own = Pending(spark, folder(spark, "pending"), buckets=16)
     page = f"page_uuid, notebook_uuid, sha256(text) AS text_hash, {MEANT} AS meant, updated_ms"
     pages = [_own(spark, sf_dir, f"SELECT {x} FROM d_page") for x in ("page_uuid, concat(notebook_uuid, '-old') AS notebook_uuid, md5(text) AS text_hash, TRUE AS meant, updated_ms", page)]
     syncs = _own(spark, sf_dir, "SELECT item_id AS page_uuid, content_hash, synced_ms, id FROM d_sync WHERE status = 'success' AND target = 'notion'")

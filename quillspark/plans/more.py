@@ -213,12 +213,17 @@ def t3_plan_counts(spark, sf_dir):
 
 
 def x10_page_hashes(spark, sf_dir):
-    return notebooks.page_hashes(spark, devices.seeded(spark, sf_dir)).select("page_uuid", F.length("hash").alias("n"))
+    return notebooks.page_hashes(spark, devices.seeded(spark, sf_dir))
+
+
+def x10_short_pages(spark, sf_dir):
+    """Pages whose files are too short to hold strokes have the hash of their place."""
+    return notebooks.page_hashes(spark, devices.seeded(spark, sf_dir), least=100)
 
 
 def f27_legacy_sentences(spark, sf_dir):
     found = notebooks.legacy_sentences(spark, devices.seeded(spark, sf_dir))
-    return found.filter(F.length("sentence") > 20).select("page_uuid", F.md5("sentence").alias("h"), "pdf_page")
+    return found.select("page_uuid", F.md5("sentence").alias("h"), "pdf_page")
 
 
 def r5_budget(spark, sf_dir):
@@ -278,7 +283,7 @@ def s16_paged_list(spark, sf_dir):
 _ALL = (
     d1_insert_or_ignore, d2_upsert, d3_replace_partition, d4_partial_update, d5_full_refresh, d6_retention, d7_cleanup, d8_cascade, d9_rebuild, d10_stamp, d11_batched_insert, d14_null_parents,
     e1_sync, e3_unified_sync, e5_parallel, e11_failing_target, e12_rate, k2_block_structs, k5_layout, k6_blank_pages, m8_book_search, m9_two_stage, m11_rematch, p16_type_audit, u4_dates_in_order,
-    t3_plan_counts, x10_page_hashes, f27_legacy_sentences, r5_budget, r8_debounced, s14_sqlite, s16_paged_list,
+    t3_plan_counts, x10_page_hashes, x10_short_pages, f27_legacy_sentences, r5_budget, r8_debounced, s14_sqlite, s16_paged_list,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
@@ -308,8 +313,9 @@ ORACLE = {
     "p16_type_audit": "SELECT 'string' AS kind, count(*) AS n, max(length(text)) AS longest, 0 AS broken FROM d_page",
     "u4_dates_in_order": "SELECT conv_id, turn, lpad((turn + 1)::VARCHAR, 2, '0') || '-' || lpad((conv_id % 12 + 1)::VARCHAR, 2, '0') || '-2024,30-11-2025,' || lpad((turn + 1)::VARCHAR, 2, '0') || '-' || lpad((conv_id % 12 + 1)::VARCHAR, 2, '0') || '-2020,30-11-2020' AS dates FROM conversations",
     "t3_plan_counts": "SELECT if(id % 4 = 0, 'insert', 'update') AS action, count(*) AS n FROM d_todo WHERE actual_date IS NOT NULL GROUP BY 1",
-    "x10_page_hashes": "SELECT 'pg-' || conv_id || '-' || turn AS page_uuid, CAST(64 AS INTEGER) AS n FROM conversations WHERE conv_id % 2 = 0 OR turn % 5 <> 4",
-    "f27_legacy_sentences": f"SELECT page_uuid, md5(s) AS h, CAST(if(c % 2 = 1 AND t % 2 = 1, t, NULL) AS INTEGER) AS pdf_page FROM (SELECT 'pg-' || conv_id || '-' || turn AS page_uuid, conv_id AS c, turn AS t, unnest(list_transform(regexp_extract_all(text, '[ -~]+'), lambda r: trim(replace(r, 'l!', '')))) AS s FROM conversations) x WHERE length(s) > 20 AND len(regexp_split_to_array(s, '\\s+')) >= 3 AND {_GOOD}",
+    "x10_page_hashes": f"SELECT 'pg-' || c || '-' || t AS page_uuid, sha256({devices.FILE}) AS hash FROM {devices.LISTED} WHERE c % 2 = 0 OR t % 5 <> 4",
+    "x10_short_pages": f"SELECT 'pg-' || c || '-' || t AS page_uuid, if(octet_length({devices.FILE}) >= 100, sha256({devices.FILE}), md5('page:' || if(c % 2 = 0, k, live) || ':pg-' || c || '-' || t)) AS hash FROM {devices.LISTED} WHERE c % 2 = 0 OR t % 5 <> 4",
+    "f27_legacy_sentences": f"SELECT page_uuid, md5(s) AS h, CAST(if(c % 2 = 1 AND t % 2 = 1, t, NULL) AS INTEGER) AS pdf_page FROM (SELECT 'pg-' || conv_id || '-' || turn AS page_uuid, conv_id AS c, turn AS t, unnest(list_transform(regexp_extract_all(text, '[ -~]+'), lambda r: trim(replace(r, 'l!', '')))) AS s FROM conversations) x WHERE s <> '' AND len(regexp_split_to_array(s, '\\s+')) >= 3 AND {_GOOD}",
     "r5_budget": "SELECT notebook_uuid, 120 + 150 * total_pages AS seconds FROM d_notebook",
     "r8_debounced": "SELECT source_id, min(changed_ms) AS first_ms, max(changed_ms) AS last_ms, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY source_id ORDER BY changed_ms, id) AS burst FROM (SELECT *, CAST(changed_ms - lag(changed_ms) OVER (PARTITION BY source_id ORDER BY changed_ms, id) < 86400000 IS NOT TRUE AS INTEGER) AS fresh FROM d_log) a) b GROUP BY source_id, burst",
     "s14_sqlite": "SELECT page_uuid, page_number FROM d_page WHERE page_number > 1",

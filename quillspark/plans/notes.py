@@ -122,9 +122,23 @@ _ALL = (f12_page_dates, f15_calendar_dates, t1_todo_lines, t2_todo_dates, t4_tod
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _LINE = f"SELECT conv_id, turn, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS line, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13) || chr(12)) AS raw FROM ({PAGES}) p"
+_TODOS = f"SELECT conv_id, turn, CAST(line AS INTEGER) AS line, trim(regexp_extract(raw, '^- \\[[ X]\\]\\s*(.+)', 1)) AS todo, raw LIKE '- [X]%' AS completed FROM ({_LINE}) l WHERE length(trim(regexp_extract(raw, '^- \\[[ X]\\]\\s*(.+)', 1))) > 2"
+#: What the patterns find, in their order; a date is one whose numbers have the same mark between them and can be a day, a month and a year.
+_FOUND = ", ".join(f"regexp_extract_all(text, '{p}', 1)" for p in dates.PAGE_DATES)
+_DAY, _MONTH, _YEAR = "TRY_CAST(regexp_extract(d, '^\\d+') AS INTEGER)", "TRY_CAST(regexp_extract(d, '^\\d+\\D(\\d+)', 1) AS INTEGER)", "regexp_extract(d, '\\d+$')"
+_FULL = f"if(length({_YEAR}) = 2, if({_YEAR} <= '30', '20', '19') || {_YEAR}, {_YEAR})"
+_VALID = f"regexp_full_match(d, '\\d+(-\\d+-|/\\d+/|[.]\\d+[.])\\d+') AND {_DAY} BETWEEN 1 AND 31 AND {_MONTH} BETWEEN 1 AND 12 AND {_FULL} BETWEEN '1900' AND '2100'"
+_DATED = f"SELECT conv_id, turn, list_transform(list_filter(flatten([{_FOUND}]), lambda d: {_VALID}), lambda d: lpad({_DAY}::VARCHAR, 2, '0') || '-' || lpad({_MONTH}::VARCHAR, 2, '0') || '-' || {_FULL})[1] AS page_date FROM ({PAGES}) p"
+_DAYS = ", ".join(f"try_strptime(regexp_extract(text, '{p}', 1), '{'%d/%m/%Y' if '/' in f else '%d-%m-%Y'}')" for p, f in dates.CALENDAR_DATES)
 ORACLE = {
-    "t1_todo_lines": f"SELECT conv_id, turn, CAST(line AS INTEGER) AS line, trim(regexp_extract(raw, '^- \\[[ X]\\]\\s*(.+)', 1)) AS todo, raw LIKE '- [X]%' AS completed FROM ({_LINE}) l WHERE length(trim(regexp_extract(raw, '^- \\[[ X]\\]\\s*(.+)', 1))) > 2",
+    "t1_todo_lines": _TODOS,
     "t4_todo_list": "SELECT completed AS part, CAST(-1 AS BIGINT) AS id, concat(CASE WHEN completed THEN '## Completed (' ELSE '## Pending (' END, count(*), ')') AS line FROM d_todo GROUP BY completed UNION ALL SELECT completed, id, concat(CASE WHEN completed THEN '- [x] ' ELSE '- [ ] ' END, coalesce(text, '')) FROM d_todo",
     "m1_exact_containment": f"SELECT doc_id, item_id, CAST(instr(t, n) AS INTEGER) AS at FROM (SELECT doc_id, {NORM.format('text')} AS t FROM documents) d, (SELECT item_id, {NORM.format('text')} AS n FROM benchmark) b WHERE n <> '' AND contains(t, n)",
     "f24_word_jaccard": "SELECT a.id, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 9) AS jaccard FROM (SELECT item_id AS id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \\n\\t\\r]+'), lambda w: w <> '')) AS x FROM benchmark) a JOIN (SELECT item_id AS id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \\n\\t\\r]+'), lambda w: w <> '')) AS y FROM benchmark) b ON b.id = a.id + 1",
+    "f12_page_dates": f"SELECT conv_id, turn, page_date FROM ({_DATED}) d",
+    "f15_calendar_dates": f"SELECT conv_id, turn, strftime(coalesce({_DAYS}), '%Y-%m-%d') AS day FROM ({PAGES}) p",
+    "t2_todo_dates": f"SELECT page_date, count(*) AS n FROM ({_TODOS}) t JOIN ({_DATED}) d USING (conv_id, turn) GROUP BY page_date",
+    "k3_rich_text": """SELECT item_id, CAST(place - 1 AS INTEGER) AS at, CASE WHEN bold THEN r[3:-3] WHEN italic THEN r[2:-2] ELSE r END AS text, bold, italic FROM (
+        SELECT *, starts_with(r, '**') AND ends_with(r, '**') AND length(r) > 4 AS bold, length(r) > 2 AND starts_with(r, '*') AND ends_with(r, '*') AND NOT contains(r[2:-2], '*') AS italic FROM (
+        SELECT item_id, generate_subscripts(runs, 1) AS place, unnest(runs) AS r FROM (SELECT item_id, regexp_extract_all(concat('a **', replace(replace(text, '*', ''), '. ', '** b *'), '* c'), '(?s)\\*\\*.*?\\*\\*|\\*.*?\\*|[^*]+|\\*+') AS runs FROM benchmark) a) b) c""",
 }

@@ -7,6 +7,7 @@ ranks, the oracle compares with all others; regular expressions are matched agai
 from __future__ import annotations
 
 from quillspark.plans.adapters import DAY, NOW
+from quillspark.plans.relational import READ_AGAIN
 
 #: The hash of the newest successful record of page p at a target, and its time: newest time, then largest id.
 _HASH = "(SELECT s.content_hash FROM d_sync s WHERE s.status = 'success' AND s.item_id = p.page_uuid AND s.target = {t} ORDER BY s.synced_ms DESC, s.id DESC LIMIT 1)"
@@ -153,6 +154,8 @@ SQL = {
     "d4_partial_update": "SELECT id, if(retry_count > 5, 'archived', status) AS status, content_hash FROM d_sync",
     "d7_cleanup": f"SELECT id FROM d_sync WHERE status <> 'failed' OR retry_count < 3 OR synced_ms >= {NOW - DAY}",
     "d8_cascade": "SELECT id FROM d_sync WHERE notebook_uuid NOT IN (SELECT notebook_uuid FROM d_notebook WHERE document_type = 'epub')",
+    "n6_read_again": f"SELECT id FROM ({READ_AGAIN}) a EXCEPT ALL SELECT min(id) FROM ({READ_AGAIN}) b GROUP BY notebook_uuid, page_number, text, coalesce(actual_date, '')",
+    "n6_without_date": f"SELECT id FROM ({READ_AGAIN}) a EXCEPT ALL SELECT coalesce(min(id) FILTER (actual_date IS NOT NULL), min(id)) FROM ({READ_AGAIN}) b GROUP BY notebook_uuid, page_number, text",
     "n6_natural_key": "SELECT id FROM d_todo a WHERE EXISTS (SELECT 1 FROM d_todo b WHERE b.id < a.id AND b.notebook_uuid = a.notebook_uuid AND b.page_number = a.page_number AND b.text = a.text AND b.actual_date IS NOT DISTINCT FROM a.actual_date)",
     "s15_restore": "SELECT notebook_uuid, page_uuid, page_number FROM d_page WHERE page_number % 3 = 0",
     "s18_allow_list": "SELECT notebook_uuid FROM d_notebook WHERE visible_name IN ('Notebook 1', 'Notebook 7')",

@@ -9,6 +9,8 @@ LETTERS = r"CAST(length(regexp_replace(text, '[^\p{L}]+', '', 'g')) AS DOUBLE) /
 SYMBOLS = r"CAST(length(regexp_replace(text, '[\p{L}\p{N} \t\n\r\f]+', '', 'g')) AS DOUBLE) / length(text)"
 N_WORDS = r"regexp_count(text, '[^ \t\n\r\f]+')"
 
+READ_AGAIN = "SELECT id, notebook_uuid, page_number, text, actual_date FROM d_todo UNION ALL SELECT id + 1000000000, notebook_uuid, page_number, text, CASE WHEN id % 2 = 0 THEN actual_date END FROM d_todo WHERE id % 3 <> 1"
+
 SQL = {
     # predicates and projections
     "p1_nonempty_text": "SELECT page_uuid, length(text) AS n FROM d_page WHERE text IS NOT NULL AND length(text) > 50",
@@ -150,4 +152,7 @@ SQL = {
     "f23_reasons": f"WITH latest AS ({LATEST}) SELECT p.page_uuid, CASE WHEN r = '' THEN 'no_changes' ELSE r END AS reasons FROM (SELECT p.page_uuid, concat_ws(', ', CASE WHEN l.content_hash <> sha256(p.text) THEN 'content_changed' END, CASE WHEN p.updated_ms > l.synced_ms THEN 'accessed_since_sync' END) AS r FROM d_page p JOIN latest l ON l.item_id = p.page_uuid) p",
     "t4_export": "SELECT completed, count(*) AS n, min(text) AS first_text FROM d_todo GROUP BY completed",
     "n6_natural_key": "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY notebook_uuid, page_number, text, actual_date ORDER BY id) AS rn FROM d_todo) t WHERE rn > 1",
+    # todos that were read in again, some without their date
+    "n6_read_again": f"SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY notebook_uuid, page_number, text, actual_date ORDER BY id) AS rn FROM ({READ_AGAIN}) a) t WHERE rn > 1",
+    "n6_without_date": f"SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY notebook_uuid, page_number, text ORDER BY CASE WHEN actual_date IS NULL THEN 1 ELSE 0 END, id) AS rn FROM ({READ_AGAIN}) a) t WHERE rn > 1",
 }

@@ -98,11 +98,12 @@ def printable_runs(spark: SparkSession, folder: str, least: int = 15) -> DataFra
     return files(spark, folder, "*.rm").select(stem().alias("page_uuid"), F.posexplode(F.regexp_extract_all(text, F.lit(f"([ -~]{{{least},}})"), 1)).alias("at", "run"))
 
 
-def page_hashes(spark: SparkSession, folder: str) -> DataFrame:
-    """page_uuid and hash of every listed page: SHA-256 of its file, or MD5 of its number and name where it has none."""
+def page_hashes(spark: SparkSession, folder: str, least: int = 0) -> DataFrame:
+    """page_uuid and hash of every listed page: SHA-256 of its file, or MD5 of its number and name where it has none of ``least`` bytes or more."""
     listed = pages(spark, folder)
     own = F.md5(F.concat_ws(":", F.lit("page"), F.col("page_number").cast("string"), F.col("page_uuid")))
-    return listed.join(stroke_hashes(spark, folder), "page_uuid", "left").select("page_uuid", F.coalesce("hash", own).alias("hash"))
+    there = files(spark, folder, "*.rm").filter(F.col("length") >= least).select(stem().alias("page_uuid"), F.sha2("content", 256).alias("hash"))
+    return listed.join(there, "page_uuid", "left").select("page_uuid", F.coalesce("hash", own).alias("hash"))
 
 
 def legacy_sentences(spark: SparkSession, folder: str, words: int = 3, letters: float = 0.6, symbols: float = 0.2) -> DataFrame:
