@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import paths, tour
 from quillspark.shared import folder
-from quillspark.sources import drawing, notebooks, strokes
+from quillspark.sources import drawing, notebooks, strokes, watch
 from quillspark.streaming import files
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers needn't have this package
@@ -150,6 +150,35 @@ def r1_file_events(spark, sf_dir):
     return spark.read.schema("page_uuid string").parquet(f"{out}/rows")
 
 
+def r1_folder_changes(spark, sf_dir):
+    """A folder is scanned, changed and scanned again: of a notebook's pages a quarter goes, one is renamed, one grows by a byte."""
+    root = seeded(spark, sf_dir)
+    own = watch.Watch(spark, root, folder(spark, "watch"), buckets=16)
+    own.scan()
+
+    def change(batches):
+        from pyarrow import fs
+
+        system, top = fs.FileSystem.from_uri(root)
+        for b in batches:
+            for conv, turn in zip(b["conv_id"].tolist(), b["turn"].tolist(), strict=True):
+                at = f"{top}/nb-{conv}/pg-{conv}-{turn}"
+                if turn % 4 == 1:
+                    system.delete_file(f"{at}.rm")
+                elif turn % 4 == 2:
+                    system.move(f"{at}.rm", f"{at}-moved.rm")
+                elif turn % 4 == 3:
+                    with system.open_input_stream(f"{at}.rm") as f:
+                        content = f.read()
+                    with system.open_output_stream(f"{at}.rm") as f:
+                        f.write(content + b"+")
+            yield pd.DataFrame({"n": [len(b)]})
+
+    spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn").mapInPandas(change, "n long").agg(F.sum("n")).collect()  # one row
+    name = lambda c: F.regexp_extract(c, r"([^/]*)\.rm$", 1)
+    return own.changes(own.scan()).select("kind", name("path").alias("page"), name("old_path").alias("old_page"), "hash")
+
+
 def r4_routing(spark, sf_dir):
     """Each event goes to the sink of its notebook's type."""
     root, out = seeded(spark, sf_dir), folder(spark, "routes")
@@ -236,7 +265,7 @@ def h8_output_path(spark, sf_dir):
     return _books(spark, sf_dir).select("notebook_uuid", paths.output_path(F.col("full_path"), F.col("name")).alias("file"))
 
 
-_ALL = (s1_sidecars, s2_notebooks, s3_pages, s4_page_counts, s5_page_map, s6_kinds, s7_metadata, s8_templates, s12_page_files, f8_printable_runs, b1_versions, b2_strokes, b3_pens, b4_polylines, r1_file_events, r4_routing, h1_paths, h2_plain_paths, h3_documents, h4_without_trash, h4_tree_order, h5_listing, h5_tree_listing, h5_folder_sizes, h6_tags, h8_output_path)
+_ALL = (s1_sidecars, s2_notebooks, s3_pages, s4_page_counts, s5_page_map, s6_kinds, s7_metadata, s8_templates, s12_page_files, f8_printable_runs, b1_versions, b2_strokes, b3_pens, b4_polylines, r1_file_events, r1_folder_changes, r4_routing, h1_paths, h2_plain_paths, h3_documents, h4_without_trash, h4_tree_order, h5_listing, h5_tree_listing, h5_folder_sizes, h6_tags, h8_output_path)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _CONV = "(SELECT DISTINCT conv_id AS c FROM conversations) n"
@@ -266,6 +295,13 @@ ORACLE = {
     "b3_pens": "SELECT 'pg-' || conv_id || '-' || turn AS page_uuid, CAST(s AS INTEGER) AS stroke, if(s = 0, 'rgb(0,0,0);stroke-width:2.990', ['rgb(0,0,0)', 'rgb(125,125,125)', 'rgb(255,255,255)'][conv_id % 3 + 1] || ';stroke-width:5.573') AS style FROM conversations, (SELECT unnest(range(2)) AS s) z WHERE s < turn % 3",
     "b4_polylines": "SELECT 'pg-' || conv_id || '-' || turn AS page_uuid, CAST(s AS INTEGER) AS at, array_to_string(list_transform(range(4), lambda i: format('{:.3f},{:.3f}', (10 * i + s) / 2, 5 * i / 2)), ' ') AS points FROM conversations, (SELECT unnest(range(2)) AS s) z WHERE s < turn % 3",
     "r1_file_events": "SELECT 'pg-' || conv_id || '-' || turn AS page_uuid FROM conversations",
+    "r1_folder_changes": f"""WITH file AS (SELECT 'pg-' || c || '-' || t AS page, t % 4 AS what, {FILE} AS content FROM {_PAGE}),
+        left_ AS (SELECT content, count(*) AS n, count(*) FILTER (what = 2) AS moved, min(page) AS old_page, max(CASE WHEN what = 2 THEN page || '-moved' END) AS new_page FROM file WHERE what IN (1, 2) GROUP BY content),
+        one AS (SELECT * FROM left_ WHERE n = 1 AND moved = 1)
+        SELECT 'modified' AS kind, page, NULL AS old_page, sha256(content || encode('+')) AS hash FROM file WHERE what = 3
+        UNION ALL SELECT 'renamed', new_page, old_page, sha256(content) FROM one
+        UNION ALL SELECT 'deleted', page, NULL, sha256(content) FROM file WHERE what IN (1, 2) AND page NOT IN (SELECT old_page FROM one)
+        UNION ALL SELECT 'created', page || '-moved', NULL, sha256(content) FROM file WHERE what = 2 AND page NOT IN (SELECT old_page FROM one)""",
     "r4_routing": "SELECT 'pg-' || conv_id || '-' || turn AS page_uuid, if(conv_id % 3 = 0, 'pages', 'books') AS sink FROM conversations",
     "h1_paths": "WITH RECURSIVE walk AS (" + _WALK.format(path="CASE WHEN parent IS NULL THEN name WHEN parent = 'trash' THEN concat('🗑️ Trash/', name) ELSE concat('📁 ', name) END", top="parent IS NULL OR parent NOT IN (SELECT uuid FROM d_folder)") + ") SELECT uuid, path FROM walk",
     "h2_plain_paths": "WITH RECURSIVE walk AS (" + _WALK.format(path="name", top="parent IS NULL") + ") SELECT uuid, path FROM walk",

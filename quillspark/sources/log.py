@@ -38,6 +38,10 @@ class ChangeLog:
         base = max((n for n in numbers if n % 2), default=-1)
         return [n for n in numbers if n >= base]
 
+    def last(self) -> int:
+        """The newest whole batch, -1 where there is none."""
+        return max(self._places(None), default=-2) // 2
+
     def _rows(self, before: int | None) -> DataFrame:
         schema = T.StructType([*self.schema.fields, T.StructField("gone", T.BooleanType()), T.StructField("at", T.LongType()), T.StructField("bucket", T.IntegerType())])
         places = self._places(before)
