@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.operators import queue
 from quillspark.operators.pending import Pending
 from quillspark.plans import oracles
 from quillspark.plans.adapters import run, with_domain
@@ -98,12 +99,22 @@ def d12_health(spark, sf_dir):
     return _state(spark, sf_dir).groupBy("target", "status").agg(F.count("*").alias("records"), F.min("synced_ms").alias("oldest_ms"), F.max("synced_ms").alias("latest_ms"))
 
 
-_ALL = (d2_upsert_log, c9_incremental, c13_incremental, d12_view_notebooks, d12_view_composite_pages, d12_view_todos, d12_pending_changes, d12_health)
+ROUTES = "SELECT 'notebooks' AS source_table, 'notion' AS target UNION ALL SELECT 'pages', 'notion' UNION ALL SELECT 'todos', 'notion' UNION ALL SELECT 'highlights', 'readwise'"
+
+
+def e4_queue(spark, sf_dir):
+    """All pending changes with the target that takes them, in batches of ten by time."""
+    own = _own(spark, sf_dir, f"SELECT g.id, g.changed_ms, c.target FROM d_log g JOIN ({ROUTES}) c ON c.source_table = g.source_table WHERE g.status = 'pending'")
+    return queue.admit(own, ["changed_ms", "id"], folder(spark, "queue")).select("id", "target", "place", "batch")
+
+
+_ALL = (e4_queue, d2_upsert_log, c9_incremental, c13_incremental, d12_view_notebooks, d12_view_composite_pages, d12_view_todos, d12_pending_changes, d12_health)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _NEWEST = "(SELECT * FROM d_sync s WHERE NOT EXISTS (SELECT 1 FROM d_sync t WHERE t.notebook_uuid = s.notebook_uuid AND t.page_number = s.page_number AND t.target = s.target AND (t.synced_ms > s.synced_ms OR t.synced_ms = s.synced_ms AND t.id > s.id)))"
 _BOOKS = "(SELECT *, if(total_pages % 5 = 0, 'failed', 'synced') AS status FROM d_notebook)"
 ORACLE = {
+    "e4_queue": "SELECT id, if(source_table = 'highlights', 'readwise', 'notion') AS target, row_number() OVER (ORDER BY changed_ms, id) - 1 AS place, (row_number() OVER (ORDER BY changed_ms, id) - 1) // 10 AS batch FROM d_log WHERE status = 'pending'",
     "d2_upsert_log": "SELECT item_id, content_hash, 0 AS retry_count FROM d_sync s WHERE item_id NOT IN (SELECT page_uuid FROM d_page WHERE page_number = 1) AND NOT EXISTS (SELECT 1 FROM d_sync t WHERE t.item_id = s.item_id AND (t.synced_ms > s.synced_ms OR t.synced_ms = s.synced_ms AND t.id > s.id)) UNION ALL SELECT page_uuid, sha256(text), 0 FROM d_page WHERE page_number = 1",
     "c9_incremental": oracles.SQL["c9_unified"],
     "c13_incremental": oracles.SQL["c13_page_plan"],
