@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.operators import paths, tour
+from quillspark.operators import paths, pens, tour
 from quillspark.shared import folder
 from quillspark.sources import drawing, notebooks, strokes, watch
 from quillspark.streaming import files
@@ -137,6 +137,21 @@ def b3_pens(spark, sf_dir):
     return found.select(notebooks.stem().alias("page_uuid"), each)
 
 
+#: An order is a stroke, its lines are the points. The pens are all that have a style.
+PENS = sorted(drawing.STYLES)
+_POINT = "l_linenumber * 10.0 AS x, l_quantity AS y, l_quantity * 0.5 AS speed, l_discount * 10 AS tilt, l_quantity * 0.3 + l_tax AS width, l_discount * 8 AS pressure"
+
+
+def b3_every_pen(spark, sf_dir):
+    """All polylines of strokes by every pen."""
+    point = F.struct(*[F.expr(x).cast("double").alias(n) for x, n in (y.split(" AS ") for y in _POINT.split(", "))])
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", F.struct("l_linenumber", "l_quantity", "l_discount", "l_tax", point.alias("p")).alias("n"))
+    strokes = rows.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list("n")), lambda n: n["p"]).alias("points"))  # an order has few lines
+    strokes = strokes.select(F.col("l_orderkey").alias("stroke"), F.element_at(F.array(*map(F.lit, PENS)), (F.col("l_orderkey") % len(PENS) + 1).cast("int")).alias("pen"), F.lit(2.0).alias("width"), "points")
+    each = pens.polylines(strokes)
+    return each.select("stroke", "pen", "at", *[F.round(c, 6).alias(c) for c in ("line_width", "shade", "opacity")], F.size("line").alias("points"))
+
+
 def b4_polylines(spark, sf_dir):
     found = drawing.with_svg(_pages(spark, sf_dir), width=702, height=936)
     return found.select(notebooks.stem().alias("page_uuid"), F.posexplode(F.regexp_extract_all("svg", F.lit('points="([^"]*)"'), 1)).alias("at", "points"))
@@ -265,7 +280,7 @@ def h8_output_path(spark, sf_dir):
     return _books(spark, sf_dir).select("notebook_uuid", paths.output_path(F.col("full_path"), F.col("name")).alias("file"))
 
 
-_ALL = (s1_sidecars, s2_notebooks, s3_pages, s4_page_counts, s5_page_map, s6_kinds, s7_metadata, s8_templates, s12_page_files, f8_printable_runs, b1_versions, b2_strokes, b3_pens, b4_polylines, r1_file_events, r1_folder_changes, r4_routing, h1_paths, h2_plain_paths, h3_documents, h4_without_trash, h4_tree_order, h5_listing, h5_tree_listing, h5_folder_sizes, h6_tags, h8_output_path)
+_ALL = (s1_sidecars, s2_notebooks, s3_pages, s4_page_counts, s5_page_map, s6_kinds, s7_metadata, s8_templates, s12_page_files, f8_printable_runs, b1_versions, b2_strokes, b3_pens, b3_every_pen, b4_polylines, r1_file_events, r1_folder_changes, r4_routing, h1_paths, h2_plain_paths, h3_documents, h4_without_trash, h4_tree_order, h5_listing, h5_tree_listing, h5_folder_sizes, h6_tags, h8_output_path)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _CONV = "(SELECT DISTINCT conv_id AS c FROM conversations) n"
@@ -293,6 +308,12 @@ ORACLE = {
     "b2_strokes": "SELECT 'pg-' || conv_id || '-' || turn AS page_uuid, CAST(0 AS INTEGER) AS layer, CAST(s AS INTEGER) AS stroke, ['ballpoint', 'fineliner'][s + 1] AS pen, CAST(conv_id % 3 AS INTEGER) AS colour, CAST(30 + s AS DOUBLE) AS \"right\", CAST(15 AS DOUBLE) AS low, CAST(4 AS INTEGER) AS points FROM conversations, (SELECT unnest(range(2)) AS s) z WHERE s < turn % 3",
     # a ballpoint's width and shade follow from pressure 0.5, width 2 and speed 1, a fineliner's from its base and the colour
     "b3_pens": "SELECT 'pg-' || conv_id || '-' || turn AS page_uuid, CAST(s AS INTEGER) AS stroke, if(s = 0, 'rgb(0,0,0);stroke-width:2.990', ['rgb(0,0,0)', 'rgb(125,125,125)', 'rgb(255,255,255)'][conv_id % 3 + 1] || ';stroke-width:5.573') AS style FROM conversations, (SELECT unnest(range(2)) AS s) z WHERE s < turn % 3",
+    # a walk from polyline to polyline carries the width on
+    "b3_every_pen": f"""WITH RECURSIVE point AS (SELECT l_orderkey AS stroke, {PENS}[l_orderkey % {len(PENS)} + 1] AS pen, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_discount, l_tax) AS k, count(*) OVER (PARTITION BY l_orderkey) AS total, {{x: CAST(l_linenumber AS DOUBLE), speed: CAST(l_quantity * 0.5 AS DOUBLE), tilt: CAST(l_discount * 10 AS DOUBLE), width: CAST(l_quantity * 0.3 + l_tax AS DOUBLE), pressure: CAST(l_discount * 8 AS DOUBLE)}} AS p, CAST(2 AS DOUBLE) AS width FROM lineitem),
+        based AS (SELECT *, {pens.by_pen(pens.BASE)} AS base, {pens.by_pen(pens.EVERY, 'INT')} AS every FROM point),
+        start AS (SELECT *, (k - 1) // every AS nth, {pens.by_pen(pens.WIDTH)} AS raw, {pens.by_pen(pens.SHADE)} AS dark, {pens.by_pen(pens.OPACITY)} AS opacity FROM based WHERE (k - 1) % every = 0),
+        walk AS (SELECT *, raw AS line_width FROM start WHERE nth = 0 UNION ALL SELECT s.*, s.raw + w.line_width * {pens.by_pen(pens.CARRIED).replace('CASE pen', 'CASE s.pen')} FROM walk w JOIN start s ON s.stroke = w.stroke AND s.nth = w.nth + 1)
+        SELECT stroke, pen, CAST(nth AS INTEGER) AS "at", round(line_width, 6) AS line_width, round(if(dark IS NULL, NULL, least(greatest(dark, 0), 1)), 6) AS shade, round(opacity, 6) AS opacity, CAST(least(total, k - 1 + every) - greatest(1, k - 1) + 1 AS INTEGER) AS points FROM walk""",
     "b4_polylines": "SELECT 'pg-' || conv_id || '-' || turn AS page_uuid, CAST(s AS INTEGER) AS at, array_to_string(list_transform(range(4), lambda i: format('{:.3f},{:.3f}', (10 * i + s) / 2, 5 * i / 2)), ' ') AS points FROM conversations, (SELECT unnest(range(2)) AS s) z WHERE s < turn % 3",
     "r1_file_events": "SELECT 'pg-' || conv_id || '-' || turn AS page_uuid FROM conversations",
     "r1_folder_changes": f"""WITH file AS (SELECT 'pg-' || c || '-' || t AS page, t % 4 AS what, {FILE} AS content FROM {_PAGE}),
