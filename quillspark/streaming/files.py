@@ -97,8 +97,11 @@ def catch_up(pending: DataFrame, cap: int = 10, force: bool = False) -> DataFram
 
 
 def debounced(events: DataFrame, key: str, quiet_seconds: int = 30, late_seconds: int = 60) -> DataFrame:
-    """key, first and last time and number of the events of a burst: one row once the key has been quiet. Works on streams and tables."""
-    bursts = events.withWatermark("ts", f"{late_seconds} seconds").groupBy(F.session_window("ts", f"{quiet_seconds} seconds"), key)
+    """key, first and last time and number of the events of a burst: one row once the key has been quiet. Works on streams and tables.
+
+    An event that comes ``quiet_seconds`` after the one before begins a burst of its own; Spark joins sessions that touch, so theirs end a microsecond earlier.
+    """
+    bursts = events.withWatermark("ts", f"{late_seconds} seconds").groupBy(F.session_window("ts", f"{quiet_seconds * 1_000_000 - 1} microseconds"), key)
     return bursts.agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n")).drop("session_window")
 
 
