@@ -88,18 +88,38 @@ def spaced(events: DataFrame, keys: list[str], at: str, tie: str, gap_us: int, s
     return done.select(*keys, F.timestamp_micros("at_us").alias(at), F.col("tie_no").alias(tie))
 
 
-def replayed(spark: SparkSession, rows: DataFrame, at: str, run, after: str = "400 days", files: int = 4) -> DataFrame:
-    """What run(stream) gives for the rows as a stream of several files, a micro-batch each, and a last row that moves the watermark beyond them."""
-    where = folder(spark, "replay")
-    rows.repartition(files).write.parquet(f"{where}/in")
-    end = rows.agg(F.max(at).alias(at)).filter(F.col(at).isNotNull())
-    nulls = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != at else (F.col(at) + F.expr(f"interval {after}")).alias(at) for f in rows.schema]
+def apart(events: DataFrame, keys: list[str], at: str, tie: str, gap_us: int, strict: bool = False, late: str = "1 hour") -> DataFrame:
+    """What ``spaced`` returns, by session windows without Python: for many keys, where a row may wait until its key has been quiet for the gap.
+
+    A row that comes the gap after the one before passes whatever passed earlier, so only the rows of one session decide on each other. State holds open sessions.
+    """
+    gap = gap_us + strict
+    row = F.struct(F.unix_micros(at).alias("at_us"), F.col(tie).cast("long").alias("tie_no"))
+    own = events.filter(F.col(at).isNotNull()).withWatermark(at, late).select(*keys, at, row.alias("_row"))
+    rows = own.groupBy(F.session_window(at, f"{gap} microseconds").alias("_session"), *keys).agg(F.array_sort(F.collect_list("_row")).alias("_rows"))
+    later = F.expr(f"aggregate(_rows, slice(_rows, 1, 1), (a, r) -> if(r.at_us - element_at(a, -1).at_us >= {gap}, concat(a, array(r)), a))")
+    return rows.select(*keys, F.explode(F.when(F.size("_rows") == 1, F.col("_rows")).otherwise(later)).alias("_row")).select(*keys, F.timestamp_micros("_row.at_us").alias(at), F.col("_row.tie_no").alias(tie))
+
+
+def replayed(spark: SparkSession, rows: DataFrame, at: str, run, gap_us: int, batches: int = 4) -> DataFrame:
+    """What run(stream, late) gives for the rows as a stream of several micro-batches, and a last row that moves the watermark beyond them.
+
+    Rows fall into micro-batches in any order, so late is the time from the first row to the last, whatever that is.
+    """
+    where, tasks = folder(spark, "replay"), spark.sparkContext.defaultParallelism
+    rows.repartition(batches * tasks).write.parquet(f"{where}/in")
+    own = spark.read.schema(rows.schema).parquet(f"{where}/in")
+    first, last = own.agg(F.unix_micros(F.min(at)), F.unix_micros(F.max(at))).first()  # one row
+    late = 1 + ((last or 0) - (first or 0)) // 1_000_000
+    end = F.timestamp_micros(F.lit((last or 0) + (late + 86_400) * 1_000_000 + 10 * gap_us))
+    nulls = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != at else end.alias(at) for f in rows.schema]
 
     def step() -> None:
-        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in")
-        run(stream).writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", tasks).parquet(f"{where}/in")
+        run(stream, f"{late} seconds").writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
 
     step()
-    end.select(*nulls).write.mode("append").parquet(f"{where}/in")
-    step()  # starts again from the checkpoint
-    return spark.read.schema(run(spark.readStream.schema(rows.schema).parquet(f"{where}/in")).schema).parquet(f"{where}/out")
+    if last is not None:
+        spark.range(1).select(*nulls).write.mode("append").parquet(f"{where}/in")
+        step()  # starts again from the checkpoint
+    return spark.read.schema(run(spark.readStream.schema(rows.schema).parquet(f"{where}/in"), f"{late} seconds").schema).parquet(f"{where}/out")
