@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.sources.listing import listing, read
+
 SIDECAR = "visibleName string, parent string, type string, lastModified string, lastOpened string, lastOpenedPage int, deleted boolean, pinned boolean, synced boolean, version int, createdTime string, source string"
 CONTENT = "fileType string, formatVersion int, pageCount int, pages array<string>, cPages struct<pages: array<struct<id: string, deleted: struct<value: int>, redir: struct<value: int>>>>, documentMetadata struct<authors: string, publisher: string, publicationDate: string>"
 
 
 def files(spark: SparkSession, folder: str, pattern: str, deep: bool = True) -> DataFrame:
-    """path, length, modificationTime and content; columns that a query doesn't read aren't loaded."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(deep).lower()).load(folder)
+    """path, modificationTime, length and content; ``listing`` has all but the contents."""
+    return read(listing(spark, folder, pattern, deep), folder)
 
 
 def stem() -> Column:
@@ -38,7 +40,7 @@ def notebooks(spark: SparkSession, folder: str, exclude: list[str] | None = None
     """Documents, at any depth, that have a .content file and aren't excluded by name."""
     docs = sidecars(spark, folder, deep=True).filter(F.col("item_type") == "DocumentType")
     docs = docs.filter(~F.col("visible_name").isin(exclude)) if exclude else docs
-    return docs.join(files(spark, folder, "*.content").select(stem().alias("uuid")), "uuid", "left_semi")
+    return docs.join(listing(spark, folder, "*.content").select(stem().alias("uuid")), "uuid", "left_semi")
 
 
 def page_ids() -> Column:
@@ -63,10 +65,11 @@ def page_map(spark: SparkSession, folder: str) -> DataFrame:
 
 def kinds(spark: SparkSession, folder: str) -> DataFrame:
     """uuid and document_type of every sidecar: without .content folder; otherwise by file type."""
-    there = files(spark, folder, "*.content").select(stem().alias("uuid"), F.lit(True).alias("_there"))
+    listed = listing(spark, folder, "*.content")
+    there = listed.select(stem().alias("uuid"), F.lit(True).alias("_there"))
     kind = F.col("j.fileType")
     name = F.when(F.col("_there").isNull(), "folder").when(kind.isin("", "notebook"), "notebook").when(kind.isin("pdf", "epub"), kind).otherwise("unknown")
-    return sidecars(spark, folder).select("uuid").join(there, "uuid", "left").join(contents(spark, folder), "uuid", "left").select("uuid", name.alias("document_type"))
+    return sidecars(spark, folder).select("uuid").join(there, "uuid", "left").join(_json(read(listed, folder), CONTENT), "uuid", "left").select("uuid", name.alias("document_type"))
 
 
 def metadata(spark: SparkSession, folder: str) -> DataFrame:
@@ -85,7 +88,7 @@ def templates(spark: SparkSession, folder: str) -> DataFrame:
 def strokes(spark: SparkSession, folder: str, least: int = 100) -> DataFrame:
     """Page files of ``least`` bytes or more: notebook, page, length; contents aren't read."""
     parts = F.split("path", "/")
-    return files(spark, folder, "*.rm").filter(F.col("length") >= least).select(F.element_at(parts, -2).alias("uuid"), stem().alias("page_uuid"), "length")
+    return listing(spark, folder, "*.rm").filter(F.col("length") >= least).select(F.element_at(parts, -2).alias("uuid"), stem().alias("page_uuid"), "length")
 
 
 def stroke_hashes(spark: SparkSession, folder: str) -> DataFrame:
@@ -102,13 +105,13 @@ def page_hashes(spark: SparkSession, folder: str, least: int = 0) -> DataFrame:
     """page_uuid and hash of every listed page: SHA-256 of its file, or MD5 of its number and name where it has none of ``least`` bytes or more."""
     listed = pages(spark, folder)
     own = F.md5(F.concat_ws(":", F.lit("page"), F.col("page_number").cast("string"), F.col("page_uuid")))
-    there = files(spark, folder, "*.rm").filter(F.col("length") >= least).select(stem().alias("page_uuid"), F.sha2("content", 256).alias("hash"))
+    there = read(listing(spark, folder, "*.rm").filter(F.col("length") >= least), folder).select(stem().alias("page_uuid"), F.sha2("content", 256).alias("hash"))
     return listed.join(there, "page_uuid", "left").select("page_uuid", F.coalesce("hash", own).alias("hash"))
 
 
 def legacy_sentences(spark: SparkSession, folder: str, words: int = 3, letters: float = 0.6, symbols: float = 0.2) -> DataFrame:
     """page_uuid, pdf_page and a row for each run of a page file that is mostly text; pages with a side file ``<page>-metadata.json`` are left out."""
-    there = files(spark, folder, "*-metadata.json").select(F.regexp_extract("path", r"([^/]*)-metadata\.json$", 1).alias("page_uuid"))
+    there = listing(spark, folder, "*-metadata.json").select(F.regexp_extract("path", r"([^/]*)-metadata\.json$", 1).alias("page_uuid"))
     runs = printable_runs(spark, folder, 1).join(there, "page_uuid", "left_anti")
     text = F.trim(F.replace("run", F.lit("l!"), F.lit("")))
     own = runs.select("page_uuid", text.alias("sentence")).filter("sentence <> '' and not sentence like 'reMarkable .lines file, version=_'")

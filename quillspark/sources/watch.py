@@ -2,7 +2,7 @@
 
 A scan lists the folder by Spark and joins it with the files known before, which a log holds. Only files that are new or look changed are read, for
 their SHA-256. The changes are written before the log is, so a scan that is stopped between goes on with the changes that it wrote. The folders of changes
-are a stream's source: each is written once. Empty files aren't seen, as Spark's source leaves them out: a file that becomes empty is deleted.
+are a stream's source: each is written once. Empty files aren't seen, as in Spark's source: a file that becomes empty is deleted.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.shared import filesystem, table
+from quillspark.sources.listing import listing
 from quillspark.sources.log import ChangeLog
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers needn't have this package
@@ -57,7 +58,7 @@ class Watch:
         self.known = ChangeLog(spark, f"{state}/known", ["path"], FILES, buckets)
 
     def _listing(self) -> DataFrame:
-        found = self.spark.read.format("binaryFile").option("pathGlobFilter", self.pattern).option("recursiveFileLookup", "true").load(self.folder)
+        found = listing(self.spark, self.folder, self.pattern)
         return found.select("path", "length", F.unix_millis("modificationTime").alias("modified_ms"))
 
     def _whole(self, uri: str) -> bool:

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from quillspark import shared
+from quillspark.sources.listing import listing
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers needn't have this package
 
 
@@ -20,6 +23,16 @@ def file_events(spark: SparkSession, folder: str, pattern: str = "*.rm", per_tri
     return stream.load(folder).select("path", F.col("modificationTime").alias("ts"))
 
 
+def listed_events(spark: SparkSession, folder: str, pattern: str = "*.rm", per_trigger: int = 1000) -> DataFrame:
+    """path and ts of the files that are there now, as a stream over their listing, whose files are counted by ``per_trigger``: the driver sees no file's status.
+
+    For a folder that is caught up with; ``file_events`` follows one in which files appear.
+    """
+    rows = listing(spark, folder, pattern).select("path", F.col("modificationTime").alias("ts"))
+    where = shared.folder(spark, "file-events")
+    return spark.readStream.schema(shared.table(rows, where).schema).option("maxFilesPerTrigger", per_trigger).parquet(where)
+
+
 def passing(times: list[pd.Timestamp], last: pd.Timestamp | None, gap: pd.Timedelta) -> tuple[list[bool], pd.Timestamp | None]:
     """Which of the times in order come ``gap`` or more after the one that passed before, and the last that passed."""
     out = []
