@@ -20,6 +20,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers needn't h
 
 ENTRIES = "path string, folder boolean, length long, modified_us long"
 LISTED = "path string, modificationTime timestamp, length long"
+COLUMNS = [x.split()[0] for x in ENTRIES.split(", ")]
+ENTRY_ROWS = 10_000
 ROWS, BYTES = 1000, 16 << 20  # of contents that a task sends on at once
 
 
@@ -40,20 +42,35 @@ def tasks(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-def listing(spark: SparkSession, folder: str, pattern: str = "*", deep: bool = True) -> DataFrame:
-    """path, modificationTime and length of the files whose names match; as in Spark's sources, empty files and names that begin with . or _ are left out."""
+def entries(batches, folder: str, patterns: tuple[str, ...]):
+    """What folders (path, below the folder) hold, many folders in a batch, and one with many entries in several."""
+    from pyarrow import fs
 
-    def look(batches):
-        from pyarrow import fs
+    system, top, _ = opened(folder)
+    out = []
+    for b in batches:
+        for at in b["path"]:
+            for i in system.get_file_info(fs.FileSelector(top + at)):
+                name, deeper = i.base_name, i.type == fs.FileType.Directory
+                if not name.startswith((".", "_")) and (deeper or (i.size and any(fnmatchcase(name, p) for p in patterns))):
+                    out.append((f"{at}/{name}", deeper, i.size or 0, (i.mtime_ns or 0) // 1000))
+                    if len(out) == ENTRY_ROWS:
+                        yield pd.DataFrame(out, columns=COLUMNS)
+                        out = []
+    if out:
+        yield pd.DataFrame(out, columns=COLUMNS)
+
+
+def listing(spark: SparkSession, folder: str, *patterns: str, deep: bool = True) -> DataFrame:
+    """path, modificationTime and length of the files whose names match one of the patterns (none: all).
+
+    As in Spark's sources, empty files and names that begin with . or _ are left out.
+    """
+    where, levels = shared(spark, "listing"), []
 
-        system, top, shown = opened(folder)
-        for b in batches:
-            for at in b["path"]:
-                found = system.get_file_info(fs.FileSelector(top + at))
-                there = [(f"{at}/{i.base_name}", i.type == fs.FileType.Directory, i.size or 0, (i.mtime_ns or 0) // 1000) for i in found if not i.base_name.startswith((".", "_"))]
-                yield pd.DataFrame([x for x in there if x[1] or (x[2] and fnmatchcase(x[0].rsplit("/", 1)[1], pattern))], columns=["path", "folder", "length", "modified_us"])
+    def look(batches):
+        return entries(batches, folder, patterns or ("*",))
 
-    where, levels = shared(spark, "listing"), []
     level = spark.range(1).select(F.lit("").alias("path"))
     while True:
         levels.append(table(level.repartition(tasks(spark)).mapInPandas(look, ENTRIES), f"{where}/{len(levels)}"))

@@ -13,7 +13,7 @@ CONTENT = "fileType string, formatVersion int, pageCount int, pages array<string
 
 def files(spark: SparkSession, folder: str, pattern: str, deep: bool = True) -> DataFrame:
     """path, modificationTime, length and content; ``listing`` has all but the contents."""
-    return read(listing(spark, folder, pattern, deep), folder)
+    return read(listing(spark, folder, pattern, deep=deep), folder)
 
 
 def stem() -> Column:
