@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.sources.listing import listing, read
+from quillspark.sources.listing import listing, opened, read
 
 SIDECAR = "visibleName string, parent string, type string, lastModified string, lastOpened string, lastOpenedPage int, deleted boolean, pinned boolean, synced boolean, version int, createdTime string, source string"
 CONTENT = "fileType string, formatVersion int, pageCount int, pages array<string>, cPages struct<pages: array<struct<id: string, deleted: struct<value: int>, redir: struct<value: int>>>>, documentMetadata struct<authors: string, publisher: string, publicationDate: string>"
 
 
-def files(spark: SparkSession, folder: str, pattern: str, deep: bool = True) -> DataFrame:
-    """path, modificationTime, length and content; ``listing`` has all but the contents."""
-    return read(listing(spark, folder, pattern, deep=deep), folder)
+def files(spark: SparkSession, folder: str, pattern: str, deep: bool = True, listed: DataFrame | None = None) -> DataFrame:
+    """path, modificationTime, length and content; ``listing`` has all but the contents. listed: one of the folder that has more files, not listed again."""
+    return read(listing(spark, folder, pattern, deep=deep) if listed is None else named(listed, pattern), folder)
+
+
+def named(listed: DataFrame, pattern: str) -> DataFrame:
+    """Those of a listing whose names match a pattern of a star and an ending."""
+    return listed.filter(F.endswith("path", F.lit(pattern.removeprefix("*"))))
 
 
 def stem() -> Column:
@@ -24,16 +29,16 @@ def _json(df: DataFrame, schema: str) -> DataFrame:
     return df.select(stem().alias("uuid"), F.from_json(F.decode("content", "UTF-8"), schema, {"mode": "PERMISSIVE"}).alias("j"), F.try_parse_json(F.decode("content", "UTF-8")).isNotNull().alias("_good")).filter("_good").drop("_good")
 
 
-def sidecars(spark: SparkSession, folder: str, deep: bool = False) -> DataFrame:
+def sidecars(spark: SparkSession, folder: str, deep: bool = False, listed: DataFrame | None = None) -> DataFrame:
     """A row for each *.metadata file with its defaults; an empty parent is null. Files that aren't JSON have no row."""
-    j = _json(files(spark, folder, "*.metadata", deep), SIDECAR)
+    j = _json(files(spark, folder, "*.metadata", deep, listed), SIDECAR)
     flags = [F.coalesce(f"j.{c}", F.lit(False)).alias(c) for c in ("deleted", "pinned", "synced")]
     return j.select("uuid", F.coalesce("j.visibleName", F.lit("Unknown")).alias("visible_name"), F.nullif(F.col("j.parent"), F.lit("")).alias("parent"), F.coalesce("j.type", F.lit("Unknown")).alias("item_type"), "j.lastModified", "j.lastOpened", "j.lastOpenedPage", *flags, "j.version")
 
 
-def contents(spark: SparkSession, folder: str) -> DataFrame:
+def contents(spark: SparkSession, folder: str, listed: DataFrame | None = None) -> DataFrame:
     """uuid and j: the .content files that are JSON."""
-    return _json(files(spark, folder, "*.content"), CONTENT)
+    return _json(files(spark, folder, "*.content", listed=listed), CONTENT)
 
 
 def notebooks(spark: SparkSession, folder: str, exclude: list[str] | None = None) -> DataFrame:
@@ -65,11 +70,12 @@ def page_map(spark: SparkSession, folder: str) -> DataFrame:
 
 def kinds(spark: SparkSession, folder: str) -> DataFrame:
     """uuid and document_type of every sidecar: without .content folder; otherwise by file type."""
-    listed = listing(spark, folder, "*.content")
-    there = listed.select(stem().alias("uuid"), F.lit(True).alias("_there"))
+    listed = listing(spark, folder, "*.metadata", "*.content")
+    there = named(listed, "*.content").select(stem().alias("uuid"), F.lit(True).alias("_there"))
     kind = F.col("j.fileType")
     name = F.when(F.col("_there").isNull(), "folder").when(kind.isin("", "notebook"), "notebook").when(kind.isin("pdf", "epub"), kind).otherwise("unknown")
-    return sidecars(spark, folder).select("uuid").join(there, "uuid", "left").join(_json(read(listed, folder), CONTENT), "uuid", "left").select("uuid", name.alias("document_type"))
+    own = listed.filter(F.col("path") == F.concat(F.lit(f"{opened(folder)[2]}/"), F.substring_index("path", "/", -1)))  # not those below
+    return sidecars(spark, folder, listed=own).select("uuid").join(there, "uuid", "left").join(contents(spark, folder, listed), "uuid", "left").select("uuid", name.alias("document_type"))
 
 
 def metadata(spark: SparkSession, folder: str) -> DataFrame:
