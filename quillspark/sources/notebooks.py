@@ -43,9 +43,10 @@ def contents(spark: SparkSession, folder: str, listed: DataFrame | None = None)
 
 def notebooks(spark: SparkSession, folder: str, exclude: list[str] | None = None) -> DataFrame:
     """Documents, at any depth, that have a .content file and aren't excluded by name."""
-    docs = sidecars(spark, folder, deep=True).filter(F.col("item_type") == "DocumentType")
+    listed = listing(spark, folder, "*.metadata", "*.content")
+    docs = sidecars(spark, folder, listed=listed).filter(F.col("item_type") == "DocumentType")
     docs = docs.filter(~F.col("visible_name").isin(exclude)) if exclude else docs
-    return docs.join(listing(spark, folder, "*.content").select(stem().alias("uuid")), "uuid", "left_semi")
+    return docs.join(named(listed, "*.content").select(stem().alias("uuid")), "uuid", "left_semi")
 
 
 def page_ids() -> Column:
