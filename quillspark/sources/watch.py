@@ -10,13 +10,13 @@ from __future__ import annotations
 import hashlib
 import sys
 
-import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.shared import filesystem, table
-from quillspark.sources.listing import listing
+from quillspark.sources.listing import listing, tasks
 from quillspark.sources.log import ChangeLog
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers needn't have this package
@@ -29,8 +29,10 @@ def digest(path: str) -> str | None:
     """SHA-256 of a file, read by blocks; null if it went meanwhile."""
     from pyarrow import fs
 
-    uri = f"file://{path.removeprefix('file:')}" if path.startswith("file:/") and not path.startswith("file://") else path
-    system, own = fs.FileSystem.from_uri(uri)
+    if path.startswith("file:"):  # as the listing writes it, not escaped
+        system, own = fs.LocalFileSystem(), f"/{path.removeprefix('file:').lstrip('/')}"
+    else:
+        system, own = fs.FileSystem.from_uri(path)
     found = hashlib.sha256()
     try:
         with system.open_input_stream(own) as f:
@@ -42,12 +44,15 @@ def digest(path: str) -> str | None:
 
 
 def with_digest(files: DataFrame) -> DataFrame:
+    """files (path and others) with the hash of each, dealt to all tasks."""
+
     def run(batches):
+        import pyarrow as pa
+
         for b in batches:
-            yield pd.DataFrame({"p": b["path"], "hash": b["path"].map(digest)})
+            yield b.append_column("hash", pa.array([digest(p) for p in b["path"].to_pylist()], pa.string()))
 
-    found = files.select("path").mapInPandas(run, "p string, hash string")
-    return files.join(found, F.col("path") == F.col("p")).drop("p")
+    return files.repartition(tasks(files.sparkSession)).mapInArrow(run, T.StructType([*files.schema.fields, T.StructField("hash", T.StringType())]))
 
 
 class Watch:
@@ -70,7 +75,7 @@ class Watch:
         was = self.known.view(number).select(F.col("path").alias("old"), F.col("length").alias("old_length"), F.col("modified_ms").alias("old_ms"), F.col("hash").alias("old_hash"))
         both = self._listing().join(was, F.col("path") == F.col("old"), "full")
         both = table(both.filter("old is null or path is null or length <> old_length or modified_ms <> old_ms"), f"{own}/both")
-        there = table(with_digest(both.filter("path is not null").repartition("path")).filter("hash is not null"), f"{own}/hashed")
+        there = table(with_digest(both.filter("path is not null")).filter("hash is not null"), f"{own}/hashed")
         gone = both.filter("path is null")
         new = there.filter("old is null")
         # a file that went and one that came are one that was renamed if no others have their content
