@@ -55,18 +55,18 @@ def page_ids() -> Column:
     return F.coalesce(F.when(F.col("j.formatVersion") == 1, F.col("j.pages")), F.transform(live, lambda p: p["id"]), F.col("j.pages"))
 
 
-def pages(spark: SparkSession, folder: str) -> DataFrame:
+def pages(spark: SparkSession, folder: str, listed: DataFrame | None = None) -> DataFrame:
     """uuid, page_number (from 1), page_uuid."""
-    return contents(spark, folder).select("uuid", F.posexplode(page_ids()).alias("page_number", "page_uuid")).withColumn("page_number", F.col("page_number") + 1)
+    return contents(spark, folder, listed).select("uuid", F.posexplode(page_ids()).alias("page_number", "page_uuid")).withColumn("page_number", F.col("page_number") + 1)
 
 
 def page_counts(spark: SparkSession, folder: str) -> DataFrame:
     return contents(spark, folder).select("uuid", F.coalesce("j.pageCount", F.size(page_ids()), F.lit(0)).alias("pages"))
 
 
-def page_map(spark: SparkSession, folder: str) -> DataFrame:
+def page_map(spark: SparkSession, folder: str, listed: DataFrame | None = None) -> DataFrame:
     """uuid, page_uuid and the page of the PDF that it shows (from 0); pages of one's own have none."""
-    return contents(spark, folder).select("uuid", F.explode("j.cPages.pages").alias("p")).select("uuid", F.col("p.id").alias("page_uuid"), F.col("p.redir.value").alias("pdf_page")).filter("pdf_page is not null")
+    return contents(spark, folder, listed).select("uuid", F.explode("j.cPages.pages").alias("p")).select("uuid", F.col("p.id").alias("page_uuid"), F.col("p.redir.value").alias("pdf_page")).filter("pdf_page is not null")
 
 
 def kinds(spark: SparkSession, folder: str) -> DataFrame:
@@ -102,30 +102,31 @@ def stroke_hashes(spark: SparkSession, folder: str) -> DataFrame:
     return files(spark, folder, "*.rm").select(stem().alias("page_uuid"), F.sha2("content", 256).alias("hash"))
 
 
-def printable_runs(spark: SparkSession, folder: str, least: int = 15) -> DataFrame:
+def printable_runs(spark: SparkSession, folder: str, least: int = 15, listed: DataFrame | None = None) -> DataFrame:
     """page_uuid, at, run: what page files hold of printable ASCII."""
     text = F.decode("content", "ISO-8859-1")
-    return files(spark, folder, "*.rm").select(stem().alias("page_uuid"), F.posexplode(F.regexp_extract_all(text, F.lit(f"([ -~]{{{least},}})"), 1)).alias("at", "run"))
+    return files(spark, folder, "*.rm", listed=listed).select(stem().alias("page_uuid"), F.posexplode(F.regexp_extract_all(text, F.lit(f"([ -~]{{{least},}})"), 1)).alias("at", "run"))
 
 
 def page_hashes(spark: SparkSession, folder: str, least: int = 0) -> DataFrame:
     """page_uuid and hash of every listed page: SHA-256 of its file, or MD5 of its number and name where it has none of ``least`` bytes or more."""
-    listed = pages(spark, folder)
+    listed = listing(spark, folder, "*.content", "*.rm")
     own = F.md5(F.concat_ws(":", F.lit("page"), F.col("page_number").cast("string"), F.col("page_uuid")))
-    there = read(listing(spark, folder, "*.rm").filter(F.col("length") >= least), folder).select(stem().alias("page_uuid"), F.sha2("content", 256).alias("hash"))
-    return listed.join(there, "page_uuid", "left").select("page_uuid", F.coalesce("hash", own).alias("hash"))
+    there = read(named(listed, "*.rm").filter(F.col("length") >= least), folder).select(stem().alias("page_uuid"), F.sha2("content", 256).alias("hash"))
+    return pages(spark, folder, listed).join(there, "page_uuid", "left").select("page_uuid", F.coalesce("hash", own).alias("hash"))
 
 
 def legacy_sentences(spark: SparkSession, folder: str, words: int = 3, letters: float = 0.6, symbols: float = 0.2) -> DataFrame:
     """page_uuid, pdf_page and a row for each run of a page file that is mostly text; pages with a side file ``<page>-metadata.json`` are left out."""
-    there = listing(spark, folder, "*-metadata.json").select(F.regexp_extract("path", r"([^/]*)-metadata\.json$", 1).alias("page_uuid"))
-    runs = printable_runs(spark, folder, 1).join(there, "page_uuid", "left_anti")
+    listed = listing(spark, folder, "*-metadata.json", "*.rm", "*.content")
+    there = named(listed, "*-metadata.json").select(F.regexp_extract("path", r"([^/]*)-metadata\.json$", 1).alias("page_uuid"))
+    runs = printable_runs(spark, folder, 1, listed).join(there, "page_uuid", "left_anti")
     text = F.trim(F.replace("run", F.lit("l!"), F.lit("")))
     own = runs.select("page_uuid", text.alias("sentence")).filter("sentence <> '' and not sentence like 'reMarkable .lines file, version=_'")
     size = F.greatest(F.length("sentence"), F.lit(1))
     count = lambda pattern: F.length(F.regexp_replace("sentence", pattern, ""))
     good = (count(r"[^\p{L}]") / size > letters) & (F.size(F.split(F.col("sentence"), r"\s+")) >= words) & (count(r"[\p{L}\p{N}\s]") / size < symbols)
-    return own.filter(good).join(page_map(spark, folder).select("page_uuid", "pdf_page"), "page_uuid", "left").select("page_uuid", "sentence", "pdf_page")
+    return own.filter(good).join(page_map(spark, folder, listed).select("page_uuid", "pdf_page"), "page_uuid", "left").select("page_uuid", "sentence", "pdf_page")
 
 
 def allowed(spark: SparkSession, path: str) -> DataFrame:
