@@ -71,10 +71,10 @@ def listing(spark: SparkSession, folder: str, *patterns: str, deep: bool = True)
     def look(batches):
         return entries(batches, folder, patterns or ("*",))
 
-    level = spark.range(1).select(F.lit("").alias("path"))
+    level = spark.range(1, numPartitions=1).select(F.lit("").alias("path"))  # one folder needs one task
     while True:
-        levels.append(table(level.repartition(tasks(spark)).mapInPandas(look, ENTRIES), f"{where}/{len(levels)}"))
-        level = levels[-1].filter("folder").select("path")
+        levels.append(table(level.mapInPandas(look, ENTRIES), f"{where}/{len(levels)}"))
+        level = levels[-1].filter("folder").select("path").repartition(tasks(spark))
         if not deep or level.isEmpty():
             break
     found = levels[0]

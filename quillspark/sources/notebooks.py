@@ -1,4 +1,7 @@
-"""A device's folder of notebooks: sidecar files, page lists, templates, documents and page files."""
+"""A device's folder of notebooks: sidecar files, page lists, templates, documents and page files.
+
+What is read from files is joined by merging: Spark takes it for as small as the listing that names the files, and would send it all through the driver.
+"""
 
 from __future__ import annotations
 
@@ -76,7 +79,7 @@ def kinds(spark: SparkSession, folder: str) -> DataFrame:
     kind = F.col("j.fileType")
     name = F.when(F.col("_there").isNull(), "folder").when(kind.isin("", "notebook"), "notebook").when(kind.isin("pdf", "epub"), kind).otherwise("unknown")
     own = listed.filter(F.col("path") == F.concat(F.lit(f"{opened(folder)[2]}/"), F.substring_index("path", "/", -1)))  # not those below
-    return sidecars(spark, folder, listed=own).select("uuid").join(there, "uuid", "left").join(contents(spark, folder, listed), "uuid", "left").select("uuid", name.alias("document_type"))
+    return sidecars(spark, folder, listed=own).select("uuid").join(there, "uuid", "left").join(contents(spark, folder, listed).hint("merge"), "uuid", "left").select("uuid", name.alias("document_type"))
 
 
 def metadata(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,7 +116,7 @@ def page_hashes(spark: SparkSession, folder: str, least: int = 0) -> DataFrame:
     listed = listing(spark, folder, "*.content", "*.rm")
     own = F.md5(F.concat_ws(":", F.lit("page"), F.col("page_number").cast("string"), F.col("page_uuid")))
     there = read(named(listed, "*.rm").filter(F.col("length") >= least), folder).select(stem().alias("page_uuid"), F.sha2("content", 256).alias("hash"))
-    return pages(spark, folder, listed).join(there, "page_uuid", "left").select("page_uuid", F.coalesce("hash", own).alias("hash"))
+    return pages(spark, folder, listed).join(there.hint("merge"), "page_uuid", "left").select("page_uuid", F.coalesce("hash", own).alias("hash"))
 
 
 def legacy_sentences(spark: SparkSession, folder: str, words: int = 3, letters: float = 0.6, symbols: float = 0.2) -> DataFrame:
@@ -126,7 +129,7 @@ def legacy_sentences(spark: SparkSession, folder: str, words: int = 3, letters:
     size = F.greatest(F.length("sentence"), F.lit(1))
     count = lambda pattern: F.length(F.regexp_replace("sentence", pattern, ""))
     good = (count(r"[^\p{L}]") / size > letters) & (F.size(F.split(F.col("sentence"), r"\s+")) >= words) & (count(r"[\p{L}\p{N}\s]") / size < symbols)
-    return own.filter(good).join(page_map(spark, folder, listed).select("page_uuid", "pdf_page"), "page_uuid", "left").select("page_uuid", "sentence", "pdf_page")
+    return own.filter(good).join(page_map(spark, folder, listed).select("page_uuid", "pdf_page").hint("merge"), "page_uuid", "left").select("page_uuid", "sentence", "pdf_page")
 
 
 def allowed(spark: SparkSession, path: str) -> DataFrame:
