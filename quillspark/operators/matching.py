@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 import sys
+from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.operators.windows import best, common_subsequence, partial_ratio, ratio, spans  # noqa: F401
+from quillspark.operators.windows import best, common_subsequence, partial_ratio, ratio, spans, strands  # noqa: F401
 from quillspark.shared import folder, table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers needn't have this package
@@ -21,6 +23,7 @@ def normalise(text: Column) -> Column:
 
 
 SENT_BYTES = 32 << 20  # of needles that are broadcast
+TOGETHER = 2048  # pairs of needles and texts that are combed at once
 
 
 def _pieces(text: Column, most: int) -> Column:
@@ -95,10 +98,26 @@ def to_sentence(text: str, start: int, end: int) -> tuple[int, int]:
     return (before[-1] if before else 0), (after.end() if after else len(text))
 
 
-def located(needle: str | None, text: str | None, threshold: int, longer: tuple[int, ...] = (5, 10)) -> tuple[int, str | None, int | None, int | None, int, int]:
+Found = tuple[int, str | None, int | None, int | None, int, int]
+
+
+def located(needle: str | None, text: str | None, threshold: int, longer: tuple[int, ...] = (5, 10)) -> Found:
     """Score, found text, its characters in text, windows and scored windows; found is null under the threshold."""
-    n, t = (" ".join((x or "").split()).lower() for x in (needle, text))
-    got = best(n, t, threshold, longer)
+    return located_all([needle], [text], threshold, longer)[0]
+
+
+def located_all(needles: Iterable[str | None], texts: Iterable[str | None], threshold: int, longer: tuple[int, ...] = (5, 10)) -> list[Found]:
+    """``located`` of pairs, of which TOGETHER are combed at once."""
+    pairs, out = list(zip(needles, texts, strict=True)), []
+    for k in range(0, len(pairs), TOGETHER):
+        some = [tuple(" ".join((x or "").split()).lower() for x in pair) for pair in pairs[k : k + TOGETHER]]
+        combed = strands([("", "") if n in t else (n, t) for n, t in some])
+        out += [_located(n, t, text, threshold, longer, stops) for (n, t), (_, text), stops in zip(some, pairs[k : k + TOGETHER], combed, strict=True)]
+    return out
+
+
+def _located(n: str, t: str, text: str | None, threshold: int, longer: tuple[int, ...], stops: np.ndarray | None) -> Found:
+    got = best(n, t, threshold, longer, stops=stops)
     if got.exact:  # offsets of the normalised text, as the original is cut
         return 100, text[got.start : got.end], got.start, got.end, 0, 0
     if not got.score:
@@ -125,7 +144,7 @@ def page_search(highlights: DataFrame, pages: DataFrame, book: str, reach: int =
 
     def run(batches):
         for b in batches:
-            got = [located(n, t, threshold) for n, t in zip(b["needle"], b["text"], strict=True)]
+            got = located_all(b["needle"], b["text"], threshold)
             out = pd.DataFrame(got, columns=["score", "found", "start", "end", "windows", "verified"]).astype({"start": "Int32", "end": "Int32"})
             yield pd.concat([b[["id", "order", "page"]].reset_index(drop=True), out], axis=1)
 

@@ -83,6 +83,35 @@ def test_long_and_odd_needles():
     assert windows.best("a b c d e f g h", "a b", 10).windows == 0
 
 
+@pytest.mark.parametrize("seed", range(3, 6))
+def test_strands_give_the_windows_of_all(seed):
+    """Scored by strands, pairs of all lengths combed together."""
+    all_ = list(cases(80, seed))
+    odd = [("a b", "", 65), ("\ud800 é 😀", "x \ud800 é 😁 y", 65), ("a b c d e f g h", "a b", 65), ("abcdefgh ijklmnop", "a b c d e f g h i j k l m n", 65)]
+    combed = windows.strands([(needle, text) for needle, text, _ in [*all_, *odd]])
+    for (needle, text, threshold), stops in zip([*all_, *odd], combed, strict=True):
+        got, want = windows.best(needle, text, threshold, (5, 10, 20), stops=stops), windows.best(needle, text, threshold, (5, 10, 20))
+        assert (got.score, got.start, got.end, got.first, got.last, got.longer, got.windows) == (want.score, want.start, want.end, want.first, want.last, want.longer, want.windows)
+        if needle not in text:
+            assert (got.score, got.first, got.last) == every_window(needle, text, threshold, (5, 10, 20))
+
+
+def test_strands_count_common_subsequences():
+    rng = random.Random(4)
+    pairs = [("".join(rng.choices("abcd ", k=rng.randint(1, 150))), "".join(rng.choices("abcde ", k=rng.randint(1, 300)))) for _ in range(40)]
+    for (needle, text), stops in zip(pairs, windows.strands(pairs), strict=True):
+        for _ in range(30):
+            a, b = sorted((rng.randint(0, len(text)), rng.randint(0, len(text))))
+            assert (stops[a:b] >= b).sum() == windows.common_subsequence(needle, text[a:b])
+
+
+def test_found_text_is_the_page_s_own():
+    """Blanks and capitals of the page stay, and so does the place of each pair when more than TOGETHER are combed."""
+    pairs = [(f"thc cat numbcr {i} sat", f"A dog.  The Cat number {i} sat.\nEnd {i}.") for i in range(matching.TOGETHER + 5)]
+    got = matching.located_all(*zip(*pairs, strict=True), 65)
+    assert [x[1] for x in got] == [f"The Cat number {i} sat." for i in range(len(pairs))] and got[-1] == matching.located(*pairs[-1], 65)
+
+
 def plain_pages(highlights, pages):
     texts = {(b, p): t for b, p, t in pages}
     out = {}
