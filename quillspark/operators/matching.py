@@ -201,12 +201,10 @@ def segments(books: DataFrame, book: str, size: int, reach: int) -> DataFrame:
     return books.select(book, "text").mapInPandas(cut, f"{book} {kind}, segment int, base long, length long, text string")
 
 
-def in_segment(needle: str, at: float, segment: int, base: int, length: int, text: str, size: int, reach: int, threshold: int) -> list[tuple]:
-    """(level, kind, order, score, found, start, end, windows, verified) of what a segment has: kind 0 to 2 the best there, 3 counts; 4: the segment is too short for the needle."""
+def parts(at: float, segment: int, base: int, length: int, lower: str, size: int, reach: int) -> list[tuple[int, int, int, bool]]:
+    """(level, begin, end, cut) of the parts of a book in a segment, of whole words; cut: the part goes on after the segment."""
     low, high = segment * size, (segment + 1) * size
-    whole = base + len(text) == length
-    stop = length if whole else high + reach
-    lower, longer, out, done = lowered(text), (5, 10, 20), [], {}
+    stop, out = length if base + len(lower) == length else high + reach, []
     for level, window in enumerate(LEVELS):
         x, y = about(at, length, window)
         inside = x <= low  # else the part begins here, with its first whole word
@@ -219,14 +217,27 @@ def in_segment(needle: str, at: float, segment: int, base: int, length: int, tex
             begin = lower.find(" ", begin) + 1 or len(lower)
         if end < len(lower) and lower[end] != " ":
             end = max(0, lower.rfind(" ", 0, end))
+        out.append((level, begin, end, y > stop))
+    return out
+
+
+def in_segment(needle: str, own_parts: list[tuple[int, int, int, bool]], segment: int, base: int, text: str, lower: str, size: int, threshold: int, from_: int = 0, stops: np.ndarray | None = None) -> list[tuple]:
+    """(level, kind, order, score, found, start, end, windows, verified) of what a segment has: kind 0 to 2 the best there, 3 counts; 4: the segment is too short for the needle.
+
+    stops: strands of the needle and the segment's text from ``from_``, which all parts are in.
+    """
+    low, high = segment * size, (segment + 1) * size
+    longer, out, done = (5, 10, 20), [], {}
+    for level, begin, end, cut in own_parts:
         if (begin, end) not in done:
             own = lower[begin:end].rstrip(" ")
             starts = spans(own)[0] if own else []
             begun = sum(low - base <= s + begin < high - base for s in starts)
             before = sum(s + begin < low - base for s in starts)
-            if y > stop and begun and before + begun - 1 + len(needle.split()) + max(longer) > len(starts):
+            if cut and begun and before + begun - 1 + len(needle.split()) + max(longer) > len(starts):
                 return [(0, 4, 0, 0, None, 0, 0, 0, 0)]
-            done[begin, end] = best(needle, own, threshold, longer, lambda a, b, begin=begin: (a + begin >= low - base) & (a + begin < high - base))
+            theirs = None if stops is None else stops[begin - from_ : begin - from_ + len(own)] - (begin - from_)
+            done[begin, end] = best(needle, own, threshold, longer, lambda a, b, begin=begin: (a + begin >= low - base) & (a + begin < high - base), theirs)
             out.append((level, 3, 0, 0, None, 0, 0, done[begin, end].windows, done[begin, end].verified))
         got = done[begin, end]
         if got.score:
@@ -240,6 +251,20 @@ def in_segment(needle: str, at: float, segment: int, base: int, length: int, tex
     return out
 
 
+def in_segments(rows: list[tuple], size: int, reach: int, threshold: int) -> list[list[tuple]]:
+    """What ``in_segment`` says of each needle, at, segment, base, length and text; needles and the widest parts of theirs are combed, TOGETHER at once."""
+    if len(rows) > TOGETHER:
+        return [x for k in range(0, len(rows), TOGETHER) for x in in_segments(rows[k : k + TOGETHER], size, reach, threshold)]
+    own = []
+    for needle, at, segment, base, length, text in rows:
+        lower = lowered(text)
+        there = parts(at, segment, base, length, lower, size, reach)
+        begin, end = min((p[1] for p in there), default=0), max((p[2] for p in there), default=0)
+        own.append((needle, there, segment, base, text, lower, size, threshold, begin, end))
+    combed = strands([(x[0], x[5][x[8] : x[9]]) for x in own])
+    return [in_segment(*x[:-1], stops) for x, stops in zip(own, combed, strict=True)]
+
+
 def book_search(highlights: DataFrame, books: DataFrame, book: str, threshold: int = 85, size: int = 4096, reach: int = 4096) -> DataFrame:
     """id, score, found, start, end, windows and verified of the highlights whose text is in its book around page / pages.
 
@@ -260,10 +285,11 @@ def book_search(highlights: DataFrame, books: DataFrame, book: str, threshold: i
         def run(batches):
             for b in batches:
                 rows = []
-                for row in zip(*(b[c] for c in ("id", "needle", "at", "segment", "base", "length", "text")), strict=True):
-                    needle = " ".join(row[1].split())
-                    for found in in_segment(lowered(needle), *row[2:], size, reach, threshold):
-                        rows.append((row[0], *found, found[4] is not None and ratio(needle[:100].lower(), found[4][:100].lower()) >= 70))
+                needles = [" ".join(x.split()) for x in b["needle"]]
+                all_ = in_segments(list(zip(map(lowered, needles), *(b[c] for c in ("at", "segment", "base", "length", "text")), strict=True)), size, reach, threshold)
+                for key, needle, own in zip(b["id"], needles, all_, strict=True):
+                    for found in own:
+                        rows.append((key, *found, found[4] is not None and ratio(needle[:100].lower(), found[4][:100].lower()) >= 70))
                 yield pd.DataFrame(rows, columns=["id", *columns, "alike"])
 
         lengths = cut.filter("segment = 0").select(book, "length")
