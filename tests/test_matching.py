@@ -146,6 +146,25 @@ def test_pages(spark):
     assert all(texts[books[r.id], r.page][r.start : r.end] == r.found and r.verified <= r.windows for r in got)
 
 
+@pytest.mark.parametrize("threshold", [65, 85])
+def test_parts_share_their_strands(threshold):
+    """Combed once for all levels, a segment has what it has without strands."""
+    rng = random.Random(threshold)
+    size, reach, rows = 500, 400, []
+    for _ in range(40):
+        text = prose(rng, rng.choice([40, 150, 400]))
+        words, segment = text.split(), rng.randrange(max(1, len(text) // 500))
+        at, base = rng.randrange(len(words)), max(0, segment * size - matching.CONTEXT)
+        needle = misread(rng, " ".join(words[at : at + 8]), 0.1).lower() or "x"
+        rows.append((needle, at / len(words), segment, base, len(text), text[base : segment * size + size + reach + matching.CONTEXT]))
+    got = matching.in_segments(rows, size, reach, threshold)
+    for (needle, at, segment, base, length, text), found in zip(rows, got, strict=True):
+        lower = matching.lowered(text)
+        want = matching.in_segment(needle, matching.parts(at, segment, base, length, lower, size, reach), segment, base, text, lower, size, threshold)
+        assert [x[:-1] for x in found] == [x[:-1] for x in want]
+    assert sum(x[1] < 3 for found in got for x in found) > 10
+
+
 def plain_book(needle, book, page, pages, threshold):
     """All windows of the whole words in each part of the book."""
     n, text = " ".join(needle.split()), " ".join(book.split())
